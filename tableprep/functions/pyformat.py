@@ -1,10 +1,9 @@
 """Python-compatible text layouts as native column expressions.
 
 * :func:`py_float_str` prints a double the way Python's ``repr`` does
-  (``3.0``, ``10000000.0``, ``1e-05``, ``1.5e+16``). Spark's cast prints
-  ``1.0E7``; the two agree on digits and differ only in layout, so the cast
-  text is rewritten: plain decimals between 1e-4 and 1e16 (via a decimal
-  cast), ``<mantissa>e<sign><2+ digits>`` outside.
+  (``3.0``, ``10000000.0``, ``1e-05``, ``1.5e+16``): shortest round-trip
+  digits, plain decimals between 1e-4 and 1e16 (via an exact decimal cast),
+  ``<mantissa>e<sign><2+ digits>`` outside.
 * :func:`strptime_to_spark` maps a C ``strftime`` format to a Spark datetime
   pattern.
 """
@@ -19,24 +18,39 @@ from pyspark.sql import functions as F
 NUMBER_RE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
-def py_float_str(c: Column) -> Column:
-    x = c.cast("double")
-    s = x.cast("string")
+def shortest_sci(x: Column) -> Column:
+    """Shortest ``d.ddde+XX`` text that parses back to ``x`` (Python's repr
+    digits). Java 17 sometimes prints one digit too many, so the digits are
+    searched: the first precision whose correctly rounded text round-trips."""
+    cands = [F.format_string(f"%.{p - 1}e", x) for p in range(1, 18)]
+    out = None
+    for c in cands[:-1]:
+        hit = c.cast("double") == x
+        out = F.when(hit, c) if out is None else out.when(hit, c)
+    return out.otherwise(cands[-1])
+
+
+def _layout(sci_txt: Column, x: Column) -> Column:
     a = F.abs(x)
-    # plain layout where Java switches to scientific but Python does not
-    dec = F.regexp_replace(F.regexp_replace(s.cast("decimal(38,21)").cast("string"), "0+$", ""),
-                           r"\.$", ".0")
-    mant = F.regexp_replace(F.substring_index(s, "E", 1), r"\.0$", "")
-    expo = F.substring_index(s, "E", -1).cast("int")
+    mant = F.regexp_replace(F.regexp_replace(F.substring_index(sci_txt, "e", 1), r"(\.[0-9]*?)0+$", "$1"),
+                            r"\.$", "")
+    expo = F.substring_index(sci_txt, "e", -1).cast("int")
     sci = F.concat(mant, F.lit("e"), F.when(expo < 0, F.lit("-")).otherwise(F.lit("+")),
                    F.lpad(F.abs(expo).cast("string"), 2, "0"))
+    plain = F.regexp_replace(F.regexp_replace(sci_txt.cast("decimal(38,21)").cast("string"), "0+$", ""),
+                             r"\.$", ".0")
+    return F.when((a >= 1e-4) & (a < 1e16), plain).otherwise(sci)
+
+
+def py_float_str(c: Column) -> Column:
+    x = c.cast("double")
+    # the digit search runs once per value: bound through a one-element lambda
+    digits = F.transform(F.array(shortest_sci(x)), lambda s: _layout(s, x))[0]
     return (F.when(x.isNull(), F.lit(None).cast("string"))
             .when(F.isnan(x), F.lit("nan"))
-            .when(a == F.lit(float("inf")), F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-            .when(x == 0, s)
-            .when(((a >= 1e7) & (a < 1e16)) | ((a >= 1e-4) & (a < 1e-3)), dec)
-            .when((a >= 1e16) | (a < 1e-4), sci)
-            .otherwise(s))
+            .when(F.abs(x) == F.lit(float("inf")), F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+            .when(x == 0, x.cast("string"))
+            .otherwise(digits))
 
 
 # fixed values: C strftime directives and their Spark datetime-pattern letters

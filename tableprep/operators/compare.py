@@ -1,0 +1,114 @@
+"""Table comparison: U2 (equality), U3 (cell diff), U4 (drop duplicate columns)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..ltypes import CATEGORICAL, LType, STRINGLIKE, ltypes
+from ..step import Step, register
+from ..table import Table
+
+
+def table_equal(a, b) -> DataFrame:
+    """One row ``equal``: same columns with the same logical types, and the
+    same multiset of rows (order ignored). One shuffle: rows of both sides are
+    counted +1/-1 per distinct row; any non-zero balance means different."""
+    ta, tb = Table.of(a), Table.of(b)
+    sa, sb = ltypes(ta.df), ltypes(tb.df)
+    spark = ta.df.sparkSession
+    if sa != sb:
+        return spark.range(1).select(F.lit(False).alias("equal"))
+    cols = sorted(sa)
+    u = (ta.df.select(*cols, F.lit(1).alias("__s"))
+         .unionByName(tb.df.select(*cols, F.lit(-1).alias("__s"))))
+    unbalanced = u.groupBy(*cols).agg(F.sum("__s").alias("__b")).where(F.col("__b") != 0)
+    return unbalanced.agg((F.count(F.lit(1)) == 0).alias("equal"))
+
+
+def table_diff(a, b, key: str | list[str]) -> DataFrame:
+    """Cells of ``a`` that differ from ``b``, matched on ``key``, long form
+    ``(key..., column, left, right)``; a row missing on one side differs in
+    every column. Full outer join on the key (null-safe)."""
+    ta, tb = Table.of(a), Table.of(b)
+    keys = [key] if isinstance(key, str) else list(key)
+    cols = [c for c in ta.columns if c not in keys and c in tb.columns]
+    L = ta.df.select(*[F.col(k).alias("l__" + k) for k in keys], *[F.col(c).alias("l_" + c) for c in cols])
+    R = tb.df.select(*[F.col(k).alias("r__" + k) for k in keys], *[F.col(c).alias("r_" + c) for c in cols])
+    cond = None
+    for k in keys:
+        term = F.col("l__" + k).eqNullSafe(F.col("r__" + k))
+        cond = term if cond is None else cond & term
+    j = L.join(R, cond, "full")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"),
+                               _text(ta.df, "l_" + c, c).alias("left"),
+                               _text(tb.df, "r_" + c, c).alias("right"),
+                               (~F.col("l_" + c).eqNullSafe(F.col("r_" + c))
+                                | F.col("l__" + keys[0]).isNull() & F.col("r__" + keys[0]).isNotNull()
+                                | F.col("r__" + keys[0]).isNull() & F.col("l__" + keys[0]).isNotNull()
+                                ).alias("d"))
+                      for c in cols])
+    keyed = j.select(*[F.coalesce(F.col("l__" + k), F.col("r__" + k)).alias(k) for k in keys],
+                     F.filter(cells, lambda s: s["d"]).alias("cells"))
+    return keyed.select(*keys, F.inline("cells")).drop("d")
+
+
+def _text(df, name, orig):
+    from ..ltypes import field_of, ltype_of_field
+    from ..functions.pyformat import py_float_str
+    f = field_of(df, orig)
+    if ltype_of_field(f) == LType.NUMERIC and f.dataType.typeName() in ("double", "float"):
+        return py_float_str(F.col(name))
+    return F.col(name).cast("string")
+
+
+def _canon(c, lt):
+    if lt == LType.NUMERIC:
+        return F.col(c).cast("double")
+    if lt in STRINGLIKE:
+        return F.col(c).cast("string")
+    return F.col(c)
+
+
+@register
+class RemoveDuplicateColumns(Step):
+    """U4: among ``attributes``, drop every column equal cell-by-cell to an
+    earlier one of the same kind (Nominal/Ordinal/String compared as text;
+    missing equals missing). Fit = two jobs: an order-free fingerprint per
+    column (exact decimal sum of 64-bit hashes), then one ``bool_and(a <=> b)``
+    per pair with equal fingerprints."""
+    key = "remove_duplicate_columns"
+    streaming = "fit"
+
+    def check(self):
+        if not self.options.get("attributes"):
+            yield ("noAttr", "no column selected")
+
+    def input_columns(self):
+        return list(self.options["attributes"])
+
+    def _fit(self, t):
+        sel = set(self.options["attributes"])
+        lt = ltypes(t.df)
+        cols = [c for c in t.columns if c in sel]
+        kind = {c: ("text" if lt[c] in STRINGLIKE else lt[c].value) for c in cols}
+        fp = t.df.agg(*[F.sum(F.xxhash64(_canon(c, lt[c])).cast("decimal(38,0)")).alias(f"h{i}")
+                        for i, c in enumerate(cols)]).collect()[0]
+        prints = {c: (kind[c], fp[f"h{i}"]) for i, c in enumerate(cols)}
+        pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:] if prints[a] == prints[b]]
+        equal = set()
+        if pairs:
+            row = t.df.agg(*[F.bool_and(_canon(a, lt[a]).eqNullSafe(_canon(b, lt[b]))).alias(f"p{i}")
+                             for i, (a, b) in enumerate(pairs)]).collect()[0]
+            equal = {pairs[i] for i in range(len(pairs)) if row[f"p{i}"] is not False}
+        drop = []
+        for i, b in enumerate(cols):
+            if any((a, b) in equal and a not in drop for a in cols[:i]):
+                drop.append(b)
+        return {"dropped": drop}
+
+    def _transform(self, t, params):
+        return t.with_df(t.df.drop(*params["dropped"]))
+
+
+__all__ = ["table_equal", "table_diff", "RemoveDuplicateColumns", "CATEGORICAL"]

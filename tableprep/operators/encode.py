@@ -100,7 +100,8 @@ class CategoryCodes(Step):
 
 @register
 class EpochMillis(Step):
-    """Timestamp -> milliseconds since 1970-01-01 (for time axes)."""
+    """Timestamp -> milliseconds since 1970-01-01 as a double, fraction
+    kept (for time axes)."""
     key = "epoch_millis"
     accepts = frozenset({LType.DATETIME})
 
@@ -113,6 +114,6 @@ class EpochMillis(Step):
 
     def _transform(self, t, params):
         sel = set(self.options["attributes"])
-        exprs = [typed(F.unix_millis(F.col(f).cast("timestamp")), f, LType.NUMERIC)
+        exprs = [typed(F.unix_micros(F.col(f).cast("timestamp")) / 1000.0, f, LType.NUMERIC)
                  if f in sel else F.col(f) for f in t.df.columns]
         return t.with_df(t.df.select(*exprs))

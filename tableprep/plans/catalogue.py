@@ -47,4 +47,5 @@ def load_all():
     return QUERIES, ORACLE
 
 
-MODULES = ["cat_flow"]
+MODULES = ["cat_flow", "cat_columns", "cat_missing", "cat_joins", "cat_profile", "cat_convert",
+           "cat_discretize", "cat_scale", "cat_compare", "cat_reshape", "cat_io"]
