@@ -4,16 +4,19 @@ Spark's exact ``percentile`` keeps a value->count map per group and merges all
 partial maps in one task: memory grows with the number of distinct values.
 Here each wanted order statistic is narrowed down instead:
 
-1. one job counts the non-missing values of every column;
+1. one job counts the non-missing values of every column (or the caller
+   passes the counts from its own aggregate);
 2. while an interval holding a wanted rank has more than ``local_rows``
-   values: one job takes ``percentile_approx`` grid points inside every
-   pending interval, one job counts values ``<`` and ``<=`` each grid point;
-   the interval shrinks to the grid cell holding the rank (an exact hit on a
-   repeated value ends the search at once);
+   values: one job takes two ``percentile_approx`` points inside the interval
+   bracketing the rank (the sketch's rank error is at most size / accuracy,
+   so the margin is known); one job counts the values below / at every
+   bracket point. The interval shrinks to the bracket -- about accuracy / 4
+   times smaller per round -- or the rank is hit exactly (repeated values);
 3. the remaining small intervals are ranked by a window partitioned by
-   interval (each partition holds at most ``local_rows`` rows).
+   interval (each partition holds at most ``local_rows`` rows), fed by ONE
+   scan that tags every value with the interval it falls in.
 
-Only grid points and counts reach the driver. Results use linear
+Only grid points and small count tables reach the driver. Results use linear
 interpolation between the two neighbouring order statistics (pandas /
 ``percentile`` / DuckDB ``quantile_cont``).
 """
@@ -25,19 +28,103 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .buckets import count_below
 
-def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], counts: dict[str, int] | None = None,
-                    local_rows: int = 200_000, grid: int = 32,
-                    accuracy: int = 10_000) -> dict[str, list[float | None]]:
+
+
+def _cond(v, lo, hi):
+    cond = v.isNotNull()
+    if lo is not None:
+        cond = cond & (v > F.lit(lo))
+    if hi is not None:
+        cond = cond & (v < F.lit(hi))
+    return cond
+
+
+def _tag_intervals(src: DataFrame, cols, intervals):
+    """One row per (value, interval containing it): columns iv, v.
+    Intervals of one column are disjoint, so a value lands in at most one per column."""
+    structs = []
+    for c in cols:
+        mine = [(i, lo, hi) for i, (cc, lo, hi) in enumerate(intervals) if cc == c]
+        if not mine:
+            continue
+        v = F.col(c)
+        iv = None
+        for i, lo, hi in mine:
+            cond = _cond(v, lo, hi)
+            iv = F.when(cond, F.lit(i)) if iv is None else iv.when(cond, F.lit(i))
+        structs.append(F.struct(iv.alias("iv"), v.alias("v")))
+    return src.select(F.inline(F.array(*structs))).where(F.col("iv").isNotNull())
+
+
+ACCURACY = 10_000
+
+
+def _first_probs(ps, accuracy):
+    d = 3.0 / accuracy
+    out = set()
+    for p in ps:
+        out.update((max(0.0, p - d), min(1.0, p + d)))
+    return sorted(out)
+
+
+def bracket_aggs(spec: dict[str, list[float]], accuracy: int = ACCURACY, prefix: str = "__qb"):
+    """Aggregate expressions giving the first-round brackets (and counts) of
+    :func:`exact_quantiles`, so a caller can fuse them into its own aggregate."""
+    out = []
+    for i, (c, ps) in enumerate(spec.items()):
+        v = F.col(c).cast("double")
+        out += [F.count(v).alias(f"{prefix}n{i}"),
+                F.percentile_approx(v, _first_probs(ps, accuracy), accuracy).alias(f"{prefix}s{i}")]
+    return out
+
+
+def read_brackets(row, spec, prefix: str = "__qb"):
+    return {c: (int(row[f"{prefix}n{i}"]), list(row[f"{prefix}s{i}"] or []))
+            for i, c in enumerate(spec)}
+
+
+def _bucket_counts(src, cols, points):
+    """For sorted ``points[c]``: per column, counts of values < p and <= p for
+    every point, from ONE scan: each value is tagged with the number of points
+    below it and at-or-below it (two O(log n) CASE trees), then counted per
+    (column, tags) with map-side combining."""
+    structs = []
+    for ci, c in enumerate(cols):
+        pts = points.get(c)
+        if not pts:
+            continue
+        v = F.col(c)
+        structs.append(F.struct(F.lit(ci).alias("ci"),
+                                F.when(v.isNotNull(), count_below(v, pts, strict=True)).alias("klt"),
+                                F.when(v.isNotNull(), count_below(v, pts, strict=False)).alias("kle")))
+    rows = (src.select(F.inline(F.array(*structs))).groupBy("ci", "klt", "kle")
+            .agg(F.count(F.lit(1)).alias("n")).collect())
+    out = {}
+    for ci, c in enumerate(cols):
+        pts = points.get(c)
+        if not pts:
+            continue
+        mine = [(r["klt"], r["kle"], r["n"]) for r in rows if r["ci"] == ci and r["klt"] is not None]
+        for j, x in enumerate(pts):
+            lt = sum(n for _, kle, n in mine if kle <= j)   # x > v  <=>  #points <= v is <= j
+            le = sum(n for klt, _, n in mine if klt <= j)   # x >= v <=>  #points < v is <= j
+            out[(c, x)] = (lt, le)
+    return out
+
+
+def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], local_rows: int = 200_000,
+                    accuracy: int = ACCURACY, prefetched: dict | None = None) -> dict[str, list[float | None]]:
+    """``prefetched``: ``read_brackets`` of a fused aggregate (saves one scan)."""
     cols = list(spec)
     if not cols:
         return {}
     src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    if counts is None:
-        row = src.agg(*[F.count(c).alias(c) for c in cols]).collect()[0]
-        counts = {c: int(row[c]) for c in cols}
+    if prefetched is None:
+        prefetched = read_brackets(src.agg(*bracket_aggs(spec, accuracy)).collect()[0], spec)
+    counts = {c: prefetched[c][0] for c in cols}
 
-    # wanted 0-based order statistics per column
     wanted: dict[str, set[int]] = {}
     for c in cols:
         n = counts[c]
@@ -51,82 +138,88 @@ def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], counts: dict[st
         wanted[c] = ranks
 
     found: dict[tuple[str, int], float] = {}
-    # pending search state per (column, rank): lo (exclusive, None=-inf),
-    # hi (exclusive, None=+inf), base = #values <= lo, size = #values in (lo, hi)
+    # (column, rank) -> (lo exclusive | None, hi exclusive | None, base = #values <= lo, size in interval)
     state = {(c, k): (None, None, 0, counts[c]) for c, ks in wanted.items() for k in ks}
 
-    def interval_cond(c, lo, hi):
-        cond = F.col(c).isNotNull()
-        if lo is not None:
-            cond = cond & (F.col(c) > F.lit(lo))
-        if hi is not None:
-            cond = cond & (F.col(c) < F.lit(hi))
-        return cond
-
+    first = True
     for _ in range(64):
-        big = {key: s for key, s in state.items() if s[3] > local_rows}
+        big = {key: st for key, st in state.items() if st[3] > local_rows}
         if not big:
             break
-        # one interval may serve several ranks
-        intervals = sorted({(c, s[0], s[1]) for (c, _), s in big.items()}, key=str)
-        probs = [(j + 1) / (grid + 1) for j in range(grid)]
-        aggs = [F.percentile_approx(F.when(interval_cond(c, lo, hi), F.col(c)), probs, accuracy)
-                .alias(f"g{i}") for i, (c, lo, hi) in enumerate(intervals)]
-        grow = src.agg(*aggs).collect()[0]
-        cands = {iv: sorted(set(v for v in (grow[f"g{i}"] or []) if v is not None))
-                 for i, iv in enumerate(intervals)}
-        cnt_aggs = []
-        names = []
-        for i, (c, lo, hi) in enumerate(intervals):
-            for j, v in enumerate(cands[(c, lo, hi)]):
-                cnt_aggs.append(F.count_if(F.col(c) < F.lit(v)).alias(f"lt{i}_{j}"))
-                cnt_aggs.append(F.count_if(F.col(c) <= F.lit(v)).alias(f"le{i}_{j}"))
-                names.append((i, j))
-        crow = src.agg(*cnt_aggs).collect()[0] if cnt_aggs else None
+        brackets = {}
+        if first:
+            # round 1: brackets from the prefetched whole-column sketch
+            for (c, k), (lo, hi, base, size) in big.items():
+                n = counts[c]
+                probs = _first_probs(spec[c], accuracy)
+                vals = prefetched[c][1]
+                p = k / max(n - 1, 1)
+                lo_p = max([q for q in probs if q <= p - 2.0 / accuracy] or [0.0])
+                hi_p = min([q for q in probs if q >= p + 2.0 / accuracy] or [1.0])
+                lo_v = vals[probs.index(lo_p)] if lo_p in probs else None
+                hi_v = vals[probs.index(hi_p)] if hi_p in probs else None
+                brackets[(c, k)] = (lo_v, hi_v)
+            first = False
+        else:
+            # two bracket points per wanted rank from one sketch per interval;
+            # the sketch's rank error is at most size / accuracy
+            intervals = sorted({(c, st[0], st[1]) for (c, _), st in big.items()}, key=str)
+            probs = {iv: set() for iv in intervals}
+            want = {}
+            for (c, k), (lo, hi, base, size) in big.items():
+                m = 2.0 * size / accuracy + 1
+                r = k - base
+                pl, ph = max(0.0, (r - m) / size), min(1.0, (r + 1 + m) / size)
+                want[(c, k)] = (pl, ph)
+                probs[(c, lo, hi)].update((pl, ph))
+            plist = {iv: sorted(ps) for iv, ps in probs.items()}
+            grow = src.agg(*[F.percentile_approx(F.when(_cond(F.col(c), lo, hi), F.col(c)),
+                                                 plist[(c, lo, hi)], accuracy).alias(f"g{i}")
+                             for i, (c, lo, hi) in enumerate(intervals)]).collect()[0]
+            for (c, k), (lo, hi, base, size) in big.items():
+                i = intervals.index((c, lo, hi))
+                vals = grow[f"g{i}"]
+                pl, ph = want[(c, k)]
+                brackets[(c, k)] = (vals[plist[(c, lo, hi)].index(pl)], vals[plist[(c, lo, hi)].index(ph)])
+        # one scan: values below / at every bracket point
+        points = {}
+        for (c, _), br in brackets.items():
+            points.setdefault(c, set()).update(v for v in br if v is not None)
+        points = {c: sorted(v) for c, v in points.items()}
+        cnt = _bucket_counts(src, cols, points)
         for (c, k), (lo, hi, base, size) in big.items():
-            i = intervals.index((c, lo, hi))
-            cs = cands[(c, lo, hi)]
-            new_lo, new_base, new_hi, hi_lt = lo, base, hi, base + size
-            hit = None
-            for j, v in enumerate(cs):
-                lt, le = crow[f"lt{i}_{j}"], crow[f"le{i}_{j}"]
-                if lt <= k < le:
-                    hit = v
-                    break
-                if le <= k:
-                    new_lo, new_base = v, le
-                elif lt > k and hi_lt > lt:
-                    new_hi, hi_lt = v, lt
-            if hit is not None:
-                found[(c, k)] = hit
+            a_v, b_v = brackets[(c, k)]
+            top = base + size  # values < hi
+            lt_a, le_a = cnt[(c, a_v)] if a_v is not None else (base, base)
+            lt_b, le_b = cnt[(c, b_v)] if b_v is not None else (top, top)
+            if a_v is not None and lt_a <= k < le_a:
+                found[(c, k)] = a_v
+                del state[(c, k)]
+            elif b_v is not None and lt_b <= k < le_b:
+                found[(c, k)] = b_v
                 del state[(c, k)]
+            elif le_a <= k < lt_b:
+                state[(c, k)] = (a_v if a_v is not None else lo, b_v if b_v is not None else hi, le_a, lt_b - le_a)
+            elif k < lt_a:
+                state[(c, k)] = (lo, a_v, base, lt_a - base)
             else:
-                state[(c, k)] = (new_lo, new_hi, new_base, hi_lt - new_base)
+                state[(c, k)] = (b_v, hi, le_b, top - le_b)
 
     if state:
-        # rank the remaining small intervals: one window partitioned by interval
         intervals = sorted({(c, s[0], s[1]) for (c, _), s in state.items()}, key=str)
-        parts = []
-        for i, (c, lo, hi) in enumerate(intervals):
-            parts.append(src.where(interval_cond(c, lo, hi))
-                         .select(F.lit(i).alias("iv"), F.col(c).alias("v")))
-        u = parts[0]
-        for p in parts[1:]:
-            u = u.unionByName(p)
+        tagged = _tag_intervals(src, cols, intervals)
         w = Window.partitionBy("iv").orderBy("v")
-        ranked = u.select("iv", "v", (F.row_number().over(w) - 1).alias("r"))
+        ranked = tagged.select("iv", "v", (F.row_number().over(w) - 1).alias("r"))
         need = {}
         for (c, k), (lo, hi, base, size) in state.items():
-            i = intervals.index((c, lo, hi))
-            need.setdefault(i, set()).add(k - base)
+            need.setdefault(intervals.index((c, lo, hi)), set()).add(k - base)
         cond = None
         for i, rs in need.items():
             term = (F.col("iv") == i) & F.col("r").isin(sorted(rs))
             cond = term if cond is None else (cond | term)
         got = {(r["iv"], r["r"]): r["v"] for r in ranked.where(cond).collect()}
         for (c, k), (lo, hi, base, size) in state.items():
-            i = intervals.index((c, lo, hi))
-            found[(c, k)] = got[(i, k - base)]
+            found[(c, k)] = got[(intervals.index((c, lo, hi)), k - base)]
 
     out: dict[str, list[float | None]] = {}
     for c in cols:

@@ -146,7 +146,7 @@ class BinsDiscretizer(Step):
         if strategy == "quantile":
             spec = {c: [j / ks[c] for j in range(ks[c] + 1)] for c in cols}
             if self.options.get("exact", True):
-                q = exact_quantiles(t.df, spec, counts=counts)
+                q = exact_quantiles(t.df, spec)
             else:
                 acc = int(self.options.get("accuracy", 10_000))
                 r = t.df.agg(*[F.percentile_approx(F.col(c).cast("double"), spec[c], acc).alias(f"q{i}")
