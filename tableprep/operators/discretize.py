@@ -179,7 +179,8 @@ class BinsDiscretizer(Step):
                 elif p["width"] == 0:
                     b = F.when(v.isNotNull(), F.lit(0))
                 else:
-                    b = F.least(F.lit(k - 1), F.floor((v - F.lit(p["min"])) / F.lit(p["width"])))
+                    # least() skips NULLs: keep missing values missing
+                    b = F.when(v.isNotNull(), F.least(F.lit(k - 1), F.floor((v - F.lit(p["min"])) / F.lit(p["width"]))))
             else:
                 e = params["edges"][c]
                 if e is None:
