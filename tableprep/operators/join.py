@@ -9,11 +9,20 @@
   skew-join splitting of hot keys). ``hint='broadcast'`` is honoured only
   after a bounded count proves the side has at most ``max_broadcast_rows``
   rows; otherwise the plan stays a shuffled join.
+* ``skew='auto'`` (or a list of hot key values) splits hot keys off, for
+  every join type including full outer, which AQE cannot split: keys with at
+  least ``skew_min_rows`` rows on either side (top ``max_hot_keys`` by count,
+  one grouped count per side) are joined by a salted INNER join -- the side
+  with more hot rows spread over ``salt_buckets`` buckets, the other side's
+  hot rows copied once per bucket -- while hot rows whose key has no partner
+  come back through anti joins against the small hot-key set. All other keys
+  take the plain shuffled join. No row is dropped or capped.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import OptionError
 from ..ltypes import CATEGORICAL, STRINGLIKE, LType, field_of, ltype_of_field, typed
@@ -34,6 +43,69 @@ def bounded_broadcast(df, max_rows: int):
     return F.broadcast(df) if n <= max_rows else df
 
 
+def _hot_key_rows(df, keys, min_rows, max_keys):
+    """(key values..., n) of keys with at least ``min_rows`` rows, top ``max_keys``."""
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_rows)
+            .orderBy(F.col("__n").desc()).limit(max_keys).collect())
+
+
+def skew_join(L, R, lkeys, rkeys, how, o):
+    """Equi-join (null-safe) of L and R on lkeys/rkeys with hot keys split off.
+    ``how`` in inner/left/right/full. Returns L columns + R columns."""
+    def cond_of(a, b, ak, bk):
+        c = None
+        for x, y in zip(ak, bk):
+            t_ = a[x].eqNullSafe(b[y])
+            c = t_ if c is None else c & t_
+        return c
+
+    skew = o.get("skew")
+    spark = L.sparkSession
+    if not skew:
+        return L.join(R, cond_of(L, R, lkeys, rkeys), how)
+    min_rows = int(o.get("skew_min_rows", 5_000_000))
+    max_keys = int(o.get("max_hot_keys", 1_000))
+    S = int(o.get("salt_buckets", 64))
+    if skew == "auto":
+        hl = _hot_key_rows(L, lkeys, min_rows, max_keys)
+        hr = _hot_key_rows(R, rkeys, min_rows, max_keys)
+        hot = {tuple(r[:len(lkeys)]) for r in hl} | {tuple(r[:len(rkeys)]) for r in hr}
+        n_l, n_r = sum(r["__n"] for r in hl), sum(r["__n"] for r in hr)
+    else:
+        hot = {tuple(k) if isinstance(k, (list, tuple)) else (k,) for k in skew}
+        n_l, n_r = 1, 0
+    if not hot:
+        return L.join(R, cond_of(L, R, lkeys, rkeys), how)
+    kschema = T.StructType([T.StructField(f"__h{i}", L.schema[k].dataType) for i, k in enumerate(lkeys)])
+    H = F.broadcast(spark.createDataFrame(sorted(hot, key=str), kschema))  # at most 2 * max_hot_keys rows
+    hcols = [f"__h{i}" for i in range(len(lkeys))]
+    Lh = L.join(H, cond_of(L, H, lkeys, hcols), "left_semi")
+    Ln = L.join(H, cond_of(L, H, lkeys, hcols), "left_anti")
+    Rh = R.join(H, cond_of(R, H, rkeys, hcols), "left_semi")
+    Rn = R.join(H, cond_of(R, H, rkeys, hcols), "left_anti")
+    parts = [Ln.join(Rn, cond_of(Ln, Rn, lkeys, rkeys), how)]
+    # hot keys with rows on both sides: salted inner join (every such row has a partner)
+    big, small, bk, sk = (Lh, Rh, lkeys, rkeys) if n_l >= n_r else (Rh, Lh, rkeys, lkeys)
+    # any salt is correct (the small side is in every bucket); a row id spreads duplicates too
+    big_s = big.withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id(), *big.columns), F.lit(S)))
+    small_s = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(S - 1))))
+    inner = big_s.join(small_s, cond_of(big_s, small_s, bk, sk) & (big_s["__salt"] == small_s["__salt"]), "inner")
+    parts.append(inner.select(*[F.col(c) for c in L.columns + R.columns]))
+    # hot rows without partner on the other side (their key is absent there)
+    if how in ("left", "full"):
+        present_r = F.broadcast(Rh.select(*[F.col(k).alias(h) for k, h in zip(rkeys, hcols)]).distinct())
+        lonely = Lh.join(present_r, cond_of(Lh, present_r, lkeys, hcols), "left_anti")
+        parts.append(lonely.select(*L.columns, *[F.lit(None).cast(R.schema[c].dataType).alias(c) for c in R.columns]))
+    if how in ("right", "full"):
+        present_l = F.broadcast(Lh.select(*[F.col(k).alias(h) for k, h in zip(lkeys, hcols)]).distinct())
+        lonely = Rh.join(present_l, cond_of(Rh, present_l, rkeys, hcols), "left_anti")
+        parts.append(lonely.select(*[F.lit(None).cast(L.schema[c].dataType).alias(c) for c in L.columns], *R.columns))
+    out = parts[0].select(*L.columns, *R.columns)
+    for p_ in parts[1:]:
+        out = out.unionByName(p_.select(*L.columns, *R.columns))
+    return out
+
+
 def _key_meta(lf, rf):
     la, lb = ltype_of_field(lf), ltype_of_field(rf)
     if la == lb:
@@ -102,10 +174,10 @@ def join_columns(lt: Table, rt: Table, o) -> Table:
     merged = lk == rk
     L = lt.df.select(*[F.col(c).alias("l__" + c) for c in lcols])
     R = _rhs(Table(rt.df.select(*[F.col(c).alias("r__" + c) for c in rcols])), o)
-    lkey, rkey = F.col("l__" + lk), F.col("r__" + rk)
     if la in STRINGLIKE and la != lb:
-        lkey, rkey = lkey.cast("string"), rkey.cast("string")
-    j = L.join(R, lkey.eqNullSafe(rkey), how)
+        L = L.withColumn("l__" + lk, F.col("l__" + lk).cast("string"))
+        R = R.withColumn("r__" + rk, F.col("r__" + rk).cast("string"))
+    j = skew_join(L, R, ["l__" + lk], ["r__" + rk], how, o)
     lset = set(lcols) - ({lk} if merged else set())
     rset = set(rcols) - ({rk} if merged else set())
     clash = lset & rset
@@ -152,16 +224,13 @@ def join_index(lt: Table, rt: Table, o) -> Table:
             raise OptionError([("type", f"index level types differ: {ta.value} and {tb.value}")])
     L = lt.df.select(*[F.col(c).alias("l__" + c) for c in lt.df.columns])
     R = _rhs(Table(rt.df.select(*[F.col(c).alias("r__" + c) for c in rt.df.columns])), o)
-    cond = None
     for a, b in pairs:
-        x, y = F.col("l__" + ix(a)), F.col("r__" + ix(b))
         ta = ltype_of_field(field_of(lt.df, ix(a)))
         tb = ltype_of_field(field_of(rt.df, ix(b)))
         if ta != tb:
-            x, y = x.cast("string"), y.cast("string")
-        term = x.eqNullSafe(y)
-        cond = term if cond is None else cond & term
-    j = L.join(R, cond, how)
+            L = L.withColumn("l__" + ix(a), F.col("l__" + ix(a)).cast("string"))
+            R = R.withColumn("r__" + ix(b), F.col("r__" + ix(b)).cast("string"))
+    j = skew_join(L, R, ["l__" + ix(a) for a, _ in pairs], ["r__" + ix(b) for _, b in pairs], how, o)
 
     def pick(a, b):
         if how in ("inner", "left"):

@@ -107,3 +107,22 @@ def join_null_keys(spark, sf):
     right = table(spark, sf, "nation").select(
         F.when(F.col("n_nationkey") == 0, F.lit(None)).otherwise(F.col("n_nationkey")).alias("nkey"), "n_name")
     return Join(left_on="nk", right_on="nkey", how="outer")(left, right)
+
+
+# a third of lineitem on key 0 (one partner row) and a third on key -1 (no
+# partner): full outer join with the hot keys split off and salted
+SKEW_L = ("SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_returnflag = 'R' THEN 0 "
+          "WHEN l_returnflag = 'A' THEN -1 ELSE l_suppkey END AS k FROM lineitem")
+
+
+@query("join_skewed_outer", f"""
+WITH l AS ({SKEW_L}), r AS (SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0)
+SELECT l.*, r.* FROM l FULL OUTER JOIN r ON l.k IS NOT DISTINCT FROM r.s_suppkey""")
+def join_skewed_outer(spark, sf):
+    li = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity",
+        F.when(F.col("l_returnflag") == "R", F.lit(0)).when(F.col("l_returnflag") == "A", F.lit(-1))
+        .otherwise(F.col("l_suppkey")).alias("k"))
+    su = table(spark, sf, "supplier").where(F.col("s_acctbal") > 0).select("s_suppkey", "s_name")
+    return Join(left_on="k", right_on="s_suppkey", how="outer", skew="auto", skew_min_rows=1000,
+                salt_buckets=16)(li, su)

@@ -63,6 +63,19 @@ def test_join_null_keys_match_and_merge(spark):
     assert got == {(1, "a", "A"), (None, "n1", "N"), (3, "c", None), (4, None, "D")}
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_skew_split_equals_plain_join(spark, how):
+    a = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.lit(None))
+                                 .otherwise(F.col("id")).alias("k"), F.col("id").alias("a"))
+    b = spark.createDataFrame([(7, "x"), (None, "n"), (5, "y"), (8, "z"), (7, "x2")], "k long, b string")
+    plain = Join(left_on="k", right_on="k", how=how)(a, b)
+    split = Join(left_on="k", right_on="k", how=how, skew="auto", skew_min_rows=100, salt_buckets=8)(a, b)
+    assert split.count() == plain.count()
+    assert plain.exceptAll(split).count() == 0 and split.exceptAll(plain).count() == 0
+    hot_absent = Join(left_on="k", right_on="k", how=how, skew=[2])(a, b)  # explicit key, no partner
+    assert hot_absent.exceptAll(plain).count() == 0 and plain.exceptAll(hot_absent).count() == 0
+
+
 def test_join_broadcast_only_when_small(spark):
     small = spark.range(10)
     big = spark.range(1000)
