@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SchemaError
 from ..functions.buckets import count_below, right_closed_label
-from ..functions.pyformat import py_float_str
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import bracket_aggs, exact_quantiles, read_brackets
 from ..ltypes import LType, typed
 from ..step import Step, register
 
@@ -132,11 +131,13 @@ class BinsDiscretizer(Step):
         strategy = self.options.get("strategy", "uniform")
         cols = list(attrs)
         ks = {c: int(attrs[c]["bins"]) for c in cols}
+        inner = {c: [j / ks[c] for j in range(1, ks[c])] for c in cols}
+        fused = strategy == "quantile" and self.options.get("exact", True)
         row = t.df.agg(*[F.min(F.col(c).cast("double")).alias(f"mn{i}") for i, c in enumerate(cols)],
                        *[F.max(F.col(c).cast("double")).alias(f"mx{i}") for i, c in enumerate(cols)],
-                       *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).collect()[0]
+                       *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+                       *(bracket_aggs(inner) if fused else [])).collect()[0]
         minmax = {c: (row[f"mn{i}"], row[f"mx{i}"]) for i, c in enumerate(cols)}
-        counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
         edges = {}
         if strategy == "uniform":
             for c in cols:
@@ -145,8 +146,11 @@ class BinsDiscretizer(Step):
             return {"uniform": edges, "bins": ks}
         if strategy == "quantile":
             spec = {c: [j / ks[c] for j in range(ks[c] + 1)] for c in cols}
-            if self.options.get("exact", True):
-                q = exact_quantiles(t.df, spec)
+            if fused:
+                # quantiles 0 and 1 are the min and max; the first search round
+                # came with the same aggregate
+                qi = exact_quantiles(t.df, inner, prefetched=read_brackets(row, inner))
+                q = {c: [minmax[c][0]] + qi[c] + [minmax[c][1]] for c in cols}
             else:
                 acc = int(self.options.get("accuracy", 10_000))
                 r = t.df.agg(*[F.percentile_approx(F.col(c).cast("double"), spec[c], acc).alias(f"q{i}")
@@ -179,8 +183,9 @@ class BinsDiscretizer(Step):
                 elif p["width"] == 0:
                     b = F.when(v.isNotNull(), F.lit(0))
                 else:
-                    # least() skips NULLs: keep missing values missing
-                    b = F.when(v.isNotNull(), F.least(F.lit(k - 1), F.floor((v - F.lit(p["min"])) / F.lit(p["width"]))))
+                    # a CASE keeps missing values missing (least() would skip the NULL)
+                    fl = F.floor((v - F.lit(p["min"])) / F.lit(p["width"]))
+                    b = F.when(fl > F.lit(k - 1), F.lit(k - 1)).otherwise(fl)
             else:
                 e = params["edges"][c]
                 if e is None:
@@ -190,7 +195,9 @@ class BinsDiscretizer(Step):
                     b = F.when(v.isNotNull(), count_below(v, e[1:-1], strict=False))
             labels = [_float_label(j) for j in range(k)]
             out = c + suffix if suffix else c
-            produced[out] = typed(py_float_str(b), out, LType.ORDINAL, labels)
+            # k fixed labels: an array lookup per row, not a number layout
+            lab = F.get(F.array(*[F.lit(x) for x in labels]), b.cast("int"))
+            produced[out] = typed(lab, out, LType.ORDINAL, labels)
         return t.with_df(_place(t.df, produced))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators.discretize import BinsDiscretizer, DateDiscretizer, RangeDiscretizer
 from .catalogue import query, table
+from .cat_missing import ORDERS_NULLS_SQL, orders_nulls
 
 
 def _lab(expr):
@@ -104,3 +105,14 @@ def time_ranges(spark, sf):
     return DateDiscretizer(selected={"ts": {
         "ranges": (["00:00", "06:00", "12:00", "16:40:02", "22:00", "23:59"], False, True),
         "labels": ["night1", "morning", "afternoon", "evening", "night2"]}})(e)
+
+
+@query("bins_uniform_nulls", f"""
+WITH t AS ({ORDERS_NULLS_SQL}),
+s AS (SELECT min(price) AS mn, (max(price) - min(price)) / 4 AS w FROM t)
+SELECT o_orderkey, price,
+       CASE WHEN price IS NOT NULL THEN {_lab("least(3, floor((price - mn) / w))")} END AS price_bin
+FROM t, s""")
+def bins_uniform_nulls(spark, sf):
+    o = orders_nulls(spark, sf).select("o_orderkey", "price")
+    return BinsDiscretizer(attributes={"price": {"bins": 4}}, strategy="uniform", suffix="_bin")(o)
