@@ -4,4 +4,4 @@ from .ltypes import LType, canonicalize  # noqa: F401
 from .step import REGISTRY, Model, Step, make, register_step  # noqa: F401
 from .table import Table  # noqa: F401
 from .operators import (columns, compare, convert, discretize, encode, fill, join,  # noqa: F401
-                        missing, replace, reshape, scale)
+                        missing, order, replace, reshape, scale)

@@ -53,3 +53,27 @@ SELECT CAST(s_suppkey AS DOUBLE) AS s_suppkey, s_name, CAST(s_nationkey AS DOUBL
 FROM supplier""")
 def ints_to_floats(spark, sf):
     return C.IntsToFloats()(table(spark, sf, "supplier"))
+
+
+@query("sort_by_priority", """
+SELECT o_orderkey, o_orderpriority, o_orderdate FROM orders""")
+def sort_by_priority(spark, sf):
+    from ..operators.convert import ToCategorical
+    from ..operators.order import SortRows
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    o = ToCategorical(attributes={"o_orderpriority": {"cat": ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH",
+                                                                "1-URGENT"], "ordered": True}})(o)
+    return SortRows(by=["o_orderpriority", "o_orderdate"])(o)
+
+
+@query("append_tables", """
+SELECT o_orderkey AS k, o_totalprice AS amount, NULL::VARCHAR AS note FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT c_custkey, c_acctbal, c_mktsegment FROM customer""")
+def append_tables_q(spark, sf):
+    from pyspark.sql import functions as F
+    from ..operators.order import append_tables
+    o = (table(spark, sf, "orders").where(F.col("o_orderstatus") == "F")
+         .select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("amount")))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("amount"),
+                                            F.col("c_mktsegment").alias("note"))
+    return append_tables(o, c)

@@ -115,3 +115,19 @@ def test_keep_values_and_drop_missing(spark, nulls):
     assert M.keep_values_in(nulls, "i", vals).count() == 2
     assert M.DropMissing(subset=["col1"])(nulls).count() == 4
     assert M.DropMissing()(nulls).count() == 2
+
+
+def test_sort_rows_ordinal_and_hot_value(spark):
+    from tableprep.operators.convert import ToCategorical
+    from tableprep.operators.order import SortRows, append_tables
+    df = spark.createDataFrame([(i, "b" if i % 3 else "a", None if i == 5 else i % 7) for i in range(300)],
+                               "i int, c string, n int")
+    df = ToCategorical(attributes={"c": {"cat": ["b", "a"], "ordered": True}})(df)
+    out = SortRows(by=["c", "n"])(df).collect()
+    keys = [(0 if r.c == "b" else 1, r.n if r.n is not None else 99) for r in out]
+    assert keys == sorted(keys) and len(out) == 300
+    desc = [r.i for r in SortRows(by="i", ascending=False)(df).collect()]
+    assert desc == sorted(desc, reverse=True)
+    a = spark.createDataFrame([(1, "x")], "k int, s string")
+    b = spark.createDataFrame([(2, 2.0)], "k int, d double")
+    assert append_tables(a, b).columns == ["k", "s", "d"] and append_tables(a, b).count() == 2
