@@ -2,23 +2,25 @@
 
 Spark's exact ``percentile`` keeps a value->count map per group and merges all
 partial maps in one task: memory grows with the number of distinct values.
-Here each wanted order statistic is narrowed down instead:
-
-1. one job counts the non-missing values of every column (or the caller
-   passes the counts from its own aggregate);
-2. while an interval holding a wanted rank has more than ``local_rows``
-   values: one job takes two ``percentile_approx`` points inside the interval
-   bracketing the rank (the sketch's rank error is at most size / accuracy,
-   so the margin is known); one job counts the values below / at every
-   bracket point. The interval shrinks to the bracket -- about accuracy / 4
-   times smaller per round -- or the rank is hit exactly (repeated values);
-3. the remaining small intervals are ranked by a window partitioned by
-   interval (each partition holds at most ``local_rows`` rows), fed by ONE
-   scan that tags every value with the interval it falls in.
-
-Only grid points and small count tables reach the driver. Results use linear
-interpolation between the two neighbouring order statistics (pandas /
-``percentile`` / DuckDB ``quantile_cont``).
+Here each wanted order statistic is found by histogram refinement:
+
+1. a *cell* is a value range of one column, identified by a chain of bucket
+   numbers; the first cell of a column is [min, max] (the caller's own
+   aggregate usually has min, max and count already);
+2. while a cell holding a wanted rank has more than ``local_rows`` values
+   and more than one distinct value, ONE scan cuts every pending cell into
+   ``buckets`` equal-width buckets and counts per (cell, bucket) -- count,
+   min, max -- with map-side combining (a bounded number of groups). The
+   bucket number is a monotone function of the value, so ranks stay exact:
+   the wanted rank falls in one bucket, which becomes the next cell. A
+   bucket whose min equals its max answers at once (a hot value never needs
+   more work);
+3. the remaining small cells are ranked by a window partitioned by cell
+   (each holds at most ``local_rows`` rows), fed by ONE scan.
+
+Only small count tables reach the driver. Results use linear interpolation
+between the two neighbouring order statistics (pandas / ``percentile`` /
+DuckDB ``quantile_cont``).
 """
 
 from __future__ import annotations
@@ -28,202 +30,127 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buckets import count_below
+BUCKETS = 4096
 
 
+def _bucket(v, lo: float, w: float, nb: int):
+    f = F.floor((v - F.lit(lo)) / F.lit(w))
+    return F.when(f > F.lit(nb - 1), F.lit(nb - 1)).otherwise(f)
 
-def _cond(v, lo, hi):
+
+def _in_cell(v, chain):
     cond = v.isNotNull()
-    if lo is not None:
-        cond = cond & (v > F.lit(lo))
-    if hi is not None:
-        cond = cond & (v < F.lit(hi))
+    for lo, w, nb, b in chain:
+        cond = cond & (_bucket(v, lo, w, nb) == F.lit(b))
     return cond
 
 
-def _tag_intervals(src: DataFrame, cols, intervals):
-    """One row per (value, interval containing it): columns iv, v.
-    Intervals of one column are disjoint, so a value lands in at most one per column."""
-    structs = []
-    for c in cols:
-        mine = [(i, lo, hi) for i, (cc, lo, hi) in enumerate(intervals) if cc == c]
-        if not mine:
-            continue
-        v = F.col(c)
-        iv = None
-        for i, lo, hi in mine:
-            cond = _cond(v, lo, hi)
-            iv = F.when(cond, F.lit(i)) if iv is None else iv.when(cond, F.lit(i))
-        structs.append(F.struct(iv.alias("iv"), v.alias("v")))
-    return src.select(F.inline(F.array(*structs))).where(F.col("iv").isNotNull())
-
-
-ACCURACY = 10_000
-
-
-def _first_probs(ps, accuracy):
-    d = 3.0 / accuracy
-    out = set()
-    for p in ps:
-        out.update((max(0.0, p - d), min(1.0, p + d)))
-    return sorted(out)
-
-
-def bracket_aggs(spec: dict[str, list[float]], accuracy: int = ACCURACY, prefix: str = "__qb"):
-    """Aggregate expressions giving the first-round brackets (and counts) of
-    :func:`exact_quantiles`, so a caller can fuse them into its own aggregate."""
+def minmax_count_aggs(cols, prefix="__qm"):
+    """Aggregates whose result :func:`read_minmax_count` turns into ``prefetched``."""
     out = []
-    for i, (c, ps) in enumerate(spec.items()):
+    for i, c in enumerate(cols):
         v = F.col(c).cast("double")
-        out += [F.count(v).alias(f"{prefix}n{i}"),
-                F.percentile_approx(v, _first_probs(ps, accuracy), accuracy).alias(f"{prefix}s{i}")]
+        out += [F.count(v).alias(f"{prefix}n{i}"), F.min(v).alias(f"{prefix}a{i}"), F.max(v).alias(f"{prefix}b{i}")]
     return out
 
 
-def read_brackets(row, spec, prefix: str = "__qb"):
-    return {c: (int(row[f"{prefix}n{i}"]), list(row[f"{prefix}s{i}"] or []))
-            for i, c in enumerate(spec)}
-
-
-def _bucket_counts(src, cols, points):
-    """For sorted ``points[c]``: per column, counts of values < p and <= p for
-    every point, from ONE scan: each value is tagged with the number of points
-    below it and at-or-below it (two O(log n) CASE trees), then counted per
-    (column, tags) with map-side combining."""
-    structs = []
-    for ci, c in enumerate(cols):
-        pts = points.get(c)
-        if not pts:
-            continue
-        v = F.col(c)
-        structs.append(F.struct(F.lit(ci).alias("ci"),
-                                F.when(v.isNotNull(), count_below(v, pts, strict=True)).alias("klt"),
-                                F.when(v.isNotNull(), count_below(v, pts, strict=False)).alias("kle")))
-    rows = (src.select(F.inline(F.array(*structs))).groupBy("ci", "klt", "kle")
-            .agg(F.count(F.lit(1)).alias("n")).collect())
-    out = {}
-    for ci, c in enumerate(cols):
-        pts = points.get(c)
-        if not pts:
-            continue
-        mine = [(r["klt"], r["kle"], r["n"]) for r in rows if r["ci"] == ci and r["klt"] is not None]
-        for j, x in enumerate(pts):
-            lt = sum(n for _, kle, n in mine if kle <= j)   # x > v  <=>  #points <= v is <= j
-            le = sum(n for klt, _, n in mine if klt <= j)   # x >= v <=>  #points < v is <= j
-            out[(c, x)] = (lt, le)
-    return out
+def read_minmax_count(row, cols, prefix="__qm"):
+    return {c: (int(row[f"{prefix}n{i}"]), row[f"{prefix}a{i}"], row[f"{prefix}b{i}"]) for i, c in enumerate(cols)}
 
 
 def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], local_rows: int = 200_000,
-                    accuracy: int = ACCURACY, prefetched: dict | None = None) -> dict[str, list[float | None]]:
-    """``prefetched``: ``read_brackets`` of a fused aggregate (saves one scan)."""
+                    buckets: int = BUCKETS, prefetched: dict | None = None) -> dict[str, list[float | None]]:
+    """``prefetched``: {column: (count, min, max)} from the caller's aggregate."""
     cols = list(spec)
     if not cols:
         return {}
     src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     if prefetched is None:
-        prefetched = read_brackets(src.agg(*bracket_aggs(spec, accuracy)).collect()[0], spec)
-    counts = {c: prefetched[c][0] for c in cols}
+        prefetched = read_minmax_count(src.agg(*minmax_count_aggs(cols)).collect()[0], cols)
 
-    wanted: dict[str, set[int]] = {}
+    found: dict[tuple[str, int], float] = {}
+    # (column, rank) -> (chain, base = #values before the cell, size, cell min, cell max)
+    state = {}
     for c in cols:
-        n = counts[c]
-        if n == 0:
-            continue
-        ranks = set()
+        n, mn, mx = prefetched[c]
         for p in spec[c]:
+            if n == 0:
+                continue
             h = (n - 1) * float(p)
-            ranks.add(int(math.floor(h)))
-            ranks.add(int(math.ceil(h)))
-        wanted[c] = ranks
+            for k in (int(math.floor(h)), int(math.ceil(h))):
+                if mn == mx:
+                    found[(c, k)] = mn
+                else:
+                    state[(c, k)] = ((), 0, n, mn, mx)
 
-    found: dict[tuple[str, int], float] = {}
-    # (column, rank) -> (lo exclusive | None, hi exclusive | None, base = #values <= lo, size in interval)
-    state = {(c, k): (None, None, 0, counts[c]) for c, ks in wanted.items() for k in ks}
-
-    first = True
     for _ in range(64):
-        big = {key: st for key, st in state.items() if st[3] > local_rows}
+        big = {key: st for key, st in state.items() if st[2] > local_rows}
         if not big:
             break
-        brackets = {}
-        if first:
-            # round 1: brackets from the prefetched whole-column sketch
-            for (c, k), (lo, hi, base, size) in big.items():
-                n = counts[c]
-                probs = _first_probs(spec[c], accuracy)
-                vals = prefetched[c][1]
-                p = k / max(n - 1, 1)
-                lo_p = max([q for q in probs if q <= p - 2.0 / accuracy] or [0.0])
-                hi_p = min([q for q in probs if q >= p + 2.0 / accuracy] or [1.0])
-                lo_v = vals[probs.index(lo_p)] if lo_p in probs else None
-                hi_v = vals[probs.index(hi_p)] if hi_p in probs else None
-                brackets[(c, k)] = (lo_v, hi_v)
-            first = False
-        else:
-            # two bracket points per wanted rank from one sketch per interval;
-            # the sketch's rank error is at most size / accuracy
-            intervals = sorted({(c, st[0], st[1]) for (c, _), st in big.items()}, key=str)
-            probs = {iv: set() for iv in intervals}
-            want = {}
-            for (c, k), (lo, hi, base, size) in big.items():
-                m = 2.0 * size / accuracy + 1
-                r = k - base
-                pl, ph = max(0.0, (r - m) / size), min(1.0, (r + 1 + m) / size)
-                want[(c, k)] = (pl, ph)
-                probs[(c, lo, hi)].update((pl, ph))
-            plist = {iv: sorted(ps) for iv, ps in probs.items()}
-            grow = src.agg(*[F.percentile_approx(F.when(_cond(F.col(c), lo, hi), F.col(c)),
-                                                 plist[(c, lo, hi)], accuracy).alias(f"g{i}")
-                             for i, (c, lo, hi) in enumerate(intervals)]).collect()[0]
-            for (c, k), (lo, hi, base, size) in big.items():
-                i = intervals.index((c, lo, hi))
-                vals = grow[f"g{i}"]
-                pl, ph = want[(c, k)]
-                brackets[(c, k)] = (vals[plist[(c, lo, hi)].index(pl)], vals[plist[(c, lo, hi)].index(ph)])
-        # one scan: values below / at every bracket point
-        points = {}
-        for (c, _), br in brackets.items():
-            points.setdefault(c, set()).update(v for v in br if v is not None)
-        points = {c: sorted(v) for c, v in points.items()}
-        cnt = _bucket_counts(src, cols, points)
-        for (c, k), (lo, hi, base, size) in big.items():
-            a_v, b_v = brackets[(c, k)]
-            top = base + size  # values < hi
-            lt_a, le_a = cnt[(c, a_v)] if a_v is not None else (base, base)
-            lt_b, le_b = cnt[(c, b_v)] if b_v is not None else (top, top)
-            if a_v is not None and lt_a <= k < le_a:
-                found[(c, k)] = a_v
-                del state[(c, k)]
-            elif b_v is not None and lt_b <= k < le_b:
-                found[(c, k)] = b_v
-                del state[(c, k)]
-            elif le_a <= k < lt_b:
-                state[(c, k)] = (a_v if a_v is not None else lo, b_v if b_v is not None else hi, le_a, lt_b - le_a)
-            elif k < lt_a:
-                state[(c, k)] = (lo, a_v, base, lt_a - base)
-            else:
-                state[(c, k)] = (b_v, hi, le_b, top - le_b)
+        cells = sorted({(c, st[0], st[3], st[4]) for (c, _), st in big.items()}, key=str)
+        structs = []
+        for c in cols:
+            mine = [(i, chain, lo, hi) for i, (cc, chain, lo, hi) in enumerate(cells) if cc == c]
+            if not mine:
+                continue
+            v = F.col(c)
+            cell_id, bucket = None, None
+            for i, chain, lo, hi in mine:
+                cond = _in_cell(v, chain)
+                b = _bucket(v, lo, (hi - lo) / buckets, buckets)
+                cell_id = F.when(cond, F.lit(i)) if cell_id is None else cell_id.when(cond, F.lit(i))
+                bucket = F.when(cond, b) if bucket is None else bucket.when(cond, b)
+            structs.append(F.struct(cell_id.alias("cell"), bucket.alias("b"), v.alias("v")))
+        rows = (src.select(F.inline(F.array(*structs))).where(F.col("cell").isNotNull())
+                .groupBy("cell", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
+                                          F.max("v").alias("hi")).collect())
+        hist = {}
+        for r in rows:
+            hist.setdefault(r["cell"], []).append((r["b"], r["n"], r["lo"], r["hi"]))
+        for (c, k), (chain, base, size, lo, hi) in big.items():
+            i = cells.index((c, chain, lo, hi))
+            w = (hi - lo) / buckets
+            cum = base
+            for b, n, blo, bhi in sorted(hist[i]):
+                if k < cum + n:
+                    if blo == bhi:
+                        found[(c, k)] = blo
+                        del state[(c, k)]
+                    else:
+                        state[(c, k)] = (chain + ((lo, w, buckets, b),), cum, n, blo, bhi)
+                    break
+                cum += n
 
     if state:
-        intervals = sorted({(c, s[0], s[1]) for (c, _), s in state.items()}, key=str)
-        tagged = _tag_intervals(src, cols, intervals)
-        w = Window.partitionBy("iv").orderBy("v")
-        ranked = tagged.select("iv", "v", (F.row_number().over(w) - 1).alias("r"))
+        cells = sorted({(c, st[0]) for (c, _), st in state.items()}, key=str)
+        structs = []
+        for c in cols:
+            mine = [(i, chain) for i, (cc, chain) in enumerate(cells) if cc == c]
+            if not mine:
+                continue
+            v = F.col(c)
+            cell_id = None
+            for i, chain in mine:
+                cond = _in_cell(v, chain)
+                cell_id = F.when(cond, F.lit(i)) if cell_id is None else cell_id.when(cond, F.lit(i))
+            structs.append(F.struct(cell_id.alias("cell"), v.alias("v")))
+        tagged = src.select(F.inline(F.array(*structs))).where(F.col("cell").isNotNull())
+        ranked = tagged.select("cell", "v", (F.row_number().over(Window.partitionBy("cell").orderBy("v")) - 1)
+                               .alias("r"))
         need = {}
-        for (c, k), (lo, hi, base, size) in state.items():
-            need.setdefault(intervals.index((c, lo, hi)), set()).add(k - base)
+        for (c, k), (chain, base, size, lo, hi) in state.items():
+            need.setdefault(cells.index((c, chain)), set()).add(k - base)
         cond = None
         for i, rs in need.items():
-            term = (F.col("iv") == i) & F.col("r").isin(sorted(rs))
+            term = (F.col("cell") == i) & F.col("r").isin(sorted(rs))
             cond = term if cond is None else (cond | term)
-        got = {(r["iv"], r["r"]): r["v"] for r in ranked.where(cond).collect()}
-        for (c, k), (lo, hi, base, size) in state.items():
-            found[(c, k)] = got[(intervals.index((c, lo, hi)), k - base)]
+        got = {(r["cell"], r["r"]): r["v"] for r in ranked.where(cond).collect()}
+        for (c, k), (chain, base, size, lo, hi) in state.items():
+            found[(c, k)] = got[(cells.index((c, chain)), k - base)]
 
     out: dict[str, list[float | None]] = {}
     for c in cols:
-        n = counts[c]
+        n = prefetched[c][0]
         vals = []
         for p in spec[c]:
             if n == 0:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SchemaError
 from ..functions.buckets import count_below, right_closed_label
-from ..functions.quantiles import bracket_aggs, exact_quantiles, read_brackets
+from ..functions.quantiles import exact_quantiles
 from ..ltypes import LType, typed
 from ..step import Step, register
 
@@ -135,8 +135,7 @@ class BinsDiscretizer(Step):
         fused = strategy == "quantile" and self.options.get("exact", True)
         row = t.df.agg(*[F.min(F.col(c).cast("double")).alias(f"mn{i}") for i, c in enumerate(cols)],
                        *[F.max(F.col(c).cast("double")).alias(f"mx{i}") for i, c in enumerate(cols)],
-                       *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)],
-                       *(bracket_aggs(inner) if fused else [])).collect()[0]
+                       *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).collect()[0]
         minmax = {c: (row[f"mn{i}"], row[f"mx{i}"]) for i, c in enumerate(cols)}
         edges = {}
         if strategy == "uniform":
@@ -147,9 +146,10 @@ class BinsDiscretizer(Step):
         if strategy == "quantile":
             spec = {c: [j / ks[c] for j in range(ks[c] + 1)] for c in cols}
             if fused:
-                # quantiles 0 and 1 are the min and max; the first search round
-                # came with the same aggregate
-                qi = exact_quantiles(t.df, inner, prefetched=read_brackets(row, inner))
+                # quantiles 0 and 1 are the min and max; count, min and max of the
+                # same aggregate start the exact search
+                pre = {c: (row[f"n{i}"], row[f"mn{i}"], row[f"mx{i}"]) for i, c in enumerate(cols)}
+                qi = exact_quantiles(t.df, inner, prefetched=pre)
                 q = {c: [minmax[c][0]] + qi[c] + [minmax[c][1]] for c in cols}
             else:
                 acc = int(self.options.get("accuracy", 10_000))

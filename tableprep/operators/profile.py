@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..errors import SchemaError
 from ..functions.buckets import count_below
-from ..functions.quantiles import bracket_aggs, exact_quantiles, read_brackets
+from ..functions.quantiles import exact_quantiles
 from ..ltypes import CATEGORICAL, LType, categories, ltypes
 from ..table import Table
 
@@ -56,8 +56,6 @@ def column_stats(x, columns=None, exact: bool = True) -> DataFrame:
     for i, c in enumerate(dts):
         aggs += [F.min(F.col(c)).alias(f"first{i}"), F.max(F.col(c)).alias(f"last{i}")]
     qspec = {c: [0.25, 0.5, 0.75] for c in num}
-    if num and exact:
-        aggs += bracket_aggs(qspec)  # first quantile round fused into this scan
     row = df.agg(*aggs).collect()[0]
     rows = row["__rows"]
     if rows == 0:
@@ -65,7 +63,9 @@ def column_stats(x, columns=None, exact: bool = True) -> DataFrame:
     counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
     q = {}
     if num and exact:
-        q = exact_quantiles(df, qspec, prefetched=read_brackets(row, qspec))
+        # count, min and max of this aggregate start the exact search
+        pre = {c: (counts[c], row[f"min{i}"], row[f"max{i}"]) for i, c in enumerate(num)}
+        q = exact_quantiles(df, qspec, prefetched=pre)
     elif num:
         r2 = df.agg(*[F.percentile_approx(F.col(c).cast("double"), [0.25, 0.5, 0.75], 10_000)
                       .alias(f"q{i}") for i, c in enumerate(num)]).collect()[0]
