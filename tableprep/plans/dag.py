@@ -5,8 +5,9 @@ It is checked as a whole before any Spark job: unknown steps or inputs,
 cycles, wrong number of inputs, repeated edges, no input node, option
 errors of every step (collected together). Running is a topological fold
 that builds lazy DataFrames; fits run in order (one aggregate each), sinks
-are the only other actions. A node read by 2+ consumers is persisted only
-when a fit or a sink reads it more than once.
+are the only other actions. The output of a join followed by fitted steps
+is persisted (memory and disk), so the join runs once instead of once per
+fit; ``release()`` frees it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import json
 from collections import defaultdict
 
+from pyspark import StorageLevel
 from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,7 +113,8 @@ class StepGraph:
         results: dict = {}
         report = []
         fan_out = {k: len(v) for k, v in self.children.items()}
-        persisted = []
+        persisted = self._persisted = []
+        keep = self._cache_nodes()
         for nid in self.order:
             n = self.by_id[nid]
             kind = n["step"]
@@ -128,16 +131,51 @@ class StepGraph:
                 report.append((nid, kind, "result", "rows", str(obs.get["rows"])))
             else:
                 s = self.steps[nid]
-                if fan_out.get(n["inputs"][0], 0) > 1 and s.streaming == "fit" and not ins[0].is_streaming:
-                    ins[0].df.persist()
+                if (fan_out.get(n["inputs"][0], 0) > 1 and s.streaming == "fit" and not ins[0].is_streaming
+                        and ins[0].df.storageLevel == StorageLevel.NONE):
+                    # fan-out input read by a fit and by other consumers
+                    ins[0].df.persist(StorageLevel.MEMORY_AND_DISK)
                     persisted.append(ins[0].df)
                 m = s.fit(*ins)
                 t = m.transform(*ins)
+                if nid in keep and not Table.of(t).is_streaming:
+                    # a shuffle join read again by later fits: computed once
+                    Table.of(t).df.persist(StorageLevel.MEMORY_AND_DISK)
+                    persisted.append(Table.of(t).df)
+                    report.append((nid, s.key, "plan", "persisted", "MEMORY_AND_DISK"))
                 report += [(nid,) + tuple(r) for r in m.report()]
                 report.append((nid, s.key, "schema", "columns", json.dumps(Table.of(t).columns)))
             results[nid] = Table.of(t)
         return results, report
 
+    def _cache_nodes(self):
+        """Join nodes with a fitted step downstream: each fit is one job over the
+        join's output, so without persisting, the join would run once per fit
+        plus once for the sinks."""
+        fitted = {nid for nid, s in self.steps.items() if s.streaming == "fit" or
+                  (s.streaming == "no" and getattr(s, "arity", 1) == 1)}
+        out = set()
+        for nid, s in self.steps.items():
+            if getattr(s, "arity", 1) != 2:
+                continue
+            stack, seen = list(self.children.get(nid, [])), set()
+            while stack:
+                c = stack.pop()
+                if c in seen:
+                    continue
+                seen.add(c)
+                if c in fitted:
+                    out.add(nid)
+                    break
+                stack.extend(self.children.get(c, []))
+        return out
+
+    def release(self):
+        """Unpersist what :meth:`run` persisted."""
+        for df in getattr(self, "_persisted", []):
+            df.unpersist()
+        self._persisted = []
+
     def report_df(self, spark: SparkSession, report):
         return spark.createDataFrame(report, "node string, step string, kind string, key string, value string")
 
