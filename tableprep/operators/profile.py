@@ -103,12 +103,15 @@ def stacked_values(df: DataFrame, cols) -> DataFrame:
 def value_summary(df: DataFrame, cols) -> DataFrame:
     """Per column: distinct count, most frequent value and its count (ties:
     smallest value). One shuffle on (column, value) with map-side counting, so
-    a hot value collapses before the shuffle."""
+    a hot value collapses before the shuffle; distinct count and top count are
+    hash aggregates, and only the rows carrying the top count are compared as
+    text for the tie-break."""
     vc = stacked_values(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("value")))
-    return (vc.groupBy("column")
-            .agg(F.count(F.lit(1)).alias("unique"), best.alias("b"))
-            .select("column", "unique", F.col("b.value").alias("top"), (-F.col("b.neg")).alias("top_count")))
+    per = vc.groupBy("column").agg(F.count(F.lit(1)).alias("unique"), F.max("n").alias("top_count"))
+    tops = (vc.join(F.broadcast(per), "column")  # one row per column
+            .where(F.col("n") == F.col("top_count"))
+            .groupBy("column").agg(F.min("value").alias("top")))
+    return per.join(tops, "column").select("column", "unique", "top", "top_count")
 
 
 def value_counts(x, column: str) -> DataFrame:
