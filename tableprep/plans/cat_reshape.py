@@ -89,3 +89,16 @@ SELECT * FROM (
 WHERE t IS NOT NULL""")
 def series_q(spark, sf):
     return series_data(events_nulls(spark, sf), "ts", ["value", "user_id"])
+
+
+@query("series_by_id", """
+WITH top AS (SELECT user_id FROM events GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 3)
+SELECT CAST(user_id AS VARCHAR) AS series, CAST(epoch_us(ts) AS DOUBLE) / 1000 AS t, value
+FROM events WHERE user_id IN (SELECT user_id FROM top)""")
+def series_by_id(spark, sf):
+    """A8 + V2 by ids: the series of the three most active users (a top-k report)."""
+    ev = table(spark, sf, "events")
+    top = [r[0] for r in ev.groupBy("user_id").count()
+           .orderBy(F.col("count").desc(), F.col("user_id")).limit(3).collect()]
+    t = SetIndex(columns=["user_id"])(Table(ev.select("user_id", "ts", "value")))
+    return series_data(t, "ts", ["value"], ids=top)

@@ -104,12 +104,23 @@ class StepGraph:
 
     @staticmethod
     def from_json(text: str) -> "StepGraph":
-        return StepGraph(json.loads(text)["nodes"])
+        doc = json.loads(text)
+        g = StepGraph(doc["nodes"])
+        g.saved_fitted = doc.get("fitted") or {}
+        return g
 
     # ---- G4 / G6 ----------------------------------------------------------
-    def run(self, spark: SparkSession, tables: dict | None = None, collect_sinks: bool = True):
-        """Build every node; run sinks. Returns (results by node id, report rows)."""
+    def run(self, spark: SparkSession, tables: dict | None = None, collect_sinks: bool = True,
+            fitted: dict | None = None):
+        """Build every node; run sinks. Returns (results by node id, report rows).
+
+        ``fitted``: learned parameters by node id (``self.fitted`` of an earlier
+        run, or the ``fitted`` part of a saved graph): those nodes are not fitted
+        again, so a graph fitted on a batch applies to a stream unchanged."""
+        from ..step import Model
         tables = tables or {}
+        fitted = fitted or {}
+        self.fitted = {}
         results: dict = {}
         report = []
         fan_out = {k: len(v) for k, v in self.children.items()}
@@ -136,7 +147,11 @@ class StepGraph:
                     # fan-out input read by a fit and by other consumers
                     ins[0].df.persist(StorageLevel.MEMORY_AND_DISK)
                     persisted.append(ins[0].df)
-                m = s.fit(*ins)
+                if nid in fitted and getattr(s, "arity", 1) == 1:
+                    m = Model(s, fitted[nid])
+                else:
+                    m = s.fit(*ins)
+                self.fitted[nid] = m.params
                 t = m.transform(*ins)
                 if nid in keep and not Table.of(t).is_streaming:
                     # a shuffle join read again by later fits: computed once

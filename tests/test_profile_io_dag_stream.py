@@ -144,8 +144,12 @@ def test_graph_run_report_and_json(spark):
     assert ("fill", "learned", "means") in kinds and ("out", "result", "rows") in kinds
     rows = [r for r in report if r[0] == "out" and r[3] == "rows"]
     assert rows[0][4] == "3"
-    g2 = StepGraph.from_json(g.to_json())
-    assert g2.nodes == g.nodes
+    g2 = StepGraph.from_json(g.to_json(fitted=g.fitted))
+    assert g2.nodes == g.nodes and g2.saved_fitted["fill"]["means"]["x"] == 3.0
+    # a saved, fitted graph applies to new data without refitting
+    other = spark.createDataFrame([(9, None), (8, 10.0)], "k int, x double")
+    res2, _ = g2.run(spark, {"t": other}, fitted=g2.saved_fitted)
+    assert sorted(r[0] for r in res2["scale"].df.select("x").collect()) == [0.5, 4.0]
     assert g.report_df(spark, report).count() == len(report)
 
 
@@ -177,3 +181,10 @@ def test_entry_and_registry(spark):
     assert set(o) <= set(q)
     missing = set(q) - set(o)
     assert missing == {"bins_kmeans"}
+
+
+def test_register_user_step(spark):
+    from tableprep.step import make, register_step
+    register_step("double_x", lambda df: df.withColumn("x", F.col("x") * 2))
+    df = spark.createDataFrame([(1.0,)], "x double")
+    assert make("double_x")(df).collect()[0]["x"] == 2.0
