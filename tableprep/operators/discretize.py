@@ -4,19 +4,20 @@ D5-D7 (date/time ranges).
 Edge conventions (kept as in the reference):
   * K bins: left-closed, last bucket closed; labels ``'0.0'``, ``'1.0'``...
   * user and date ranges: right-closed ``(a, b]``, outside -> missing.
-Fits are one aggregate over all selected columns (k-means: one small
-aggregate per Lloyd round over a pre-aggregated (value, count) table).
+Fits are one aggregate over all selected columns (k-means: Lloyd rounds on
+the driver over an exact prefix index -- a bounded histogram plus cached
+detail of the buckets holding a midpoint).
 """
 
 from __future__ import annotations
 
 from datetime import date, datetime, time
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..errors import SchemaError
 from ..functions.buckets import count_below, right_closed_label
+from ..functions.prefix import PrefixIndex
 from ..functions.quantiles import exact_quantiles
 from ..ltypes import LType, typed
 from ..step import Step, register
@@ -52,52 +53,40 @@ def merge_close_edges(edges, tol=1e-8):
     return out
 
 
-def kmeans_edges(df, ks: dict[str, int], minmax: dict[str, tuple], max_iter=300):
-    """1-D Lloyd iterations from uniform-bin midpoints on a pre-aggregated
-    (column, value, count) table; returns edges [min, midpoints..., max]."""
-    cols = [c for c in ks if minmax[c][0] is not None]
-    if not cols:
-        return {c: None for c in ks}
-    stacked = None
-    for i, c in enumerate(cols):
-        part = df.where(F.col(c).isNotNull()).select(F.lit(i).alias("ci"), F.col(c).cast("double").alias("v"))
-        stacked = part if stacked is None else stacked.unionByName(part)
-    vc = stacked.groupBy("ci", "v").agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        centers = {}
-        for c in cols:
-            lo, hi = minmax[c]
-            k = ks[c]
-            u = [lo + (hi - lo) * j / k for j in range(k + 1)]
-            centers[c] = [(u[j] + u[j + 1]) * 0.5 for j in range(k)]
-        for _ in range(max_iter):
-            mids = {c: [(a + b) * 0.5 for a, b in zip(sorted(centers[c])[:-1], sorted(centers[c])[1:])]
-                    for c in cols}
-            bucket = None
-            for i, c in enumerate(cols):
-                e = count_below(F.col("v"), mids[c])
-                bucket = F.when(F.col("ci") == i, e) if bucket is None else bucket.when(F.col("ci") == i, e)
-            rows = (vc.select("ci", "v", "n", bucket.alias("b"))
-                    .groupBy("ci", "b").agg(F.sum(F.col("v") * F.col("n")).alias("s"),
-                                            F.sum("n").alias("m")).collect())
-            new = {c: list(sorted(centers[c])) for c in cols}
-            for r in rows:
-                c = cols[r["ci"]]
-                new[c][r["b"]] = r["s"] / r["m"]
-            new = {c: sorted(v) for c, v in new.items()}
-            if all(new[c] == sorted(centers[c]) for c in cols):
-                break
-            centers = new
-    finally:
-        vc.unpersist()
+def kmeans_edges(df, ks: dict[str, int], minmax: dict[str, tuple], counts: dict[str, int], max_iter=300):
+    """1-D Lloyd rounds from uniform-bin midpoints (scikit-learn's start).
+
+    Each round needs, per cluster, the count and sum of the values between two
+    midpoints: a :class:`PrefixIndex` answers these exactly from a bounded
+    histogram plus cached detail of the few buckets holding a midpoint, so
+    the rounds run on the driver over summaries and a scan happens only when
+    a midpoint enters a bucket not seen before. Returns [min, midpoints, max]."""
     out = {}
-    for c in ks:
-        if c not in centers:
+    for c, k in ks.items():
+        lo, hi = minmax[c]
+        if lo is None:
             out[c] = None
             continue
-        s = sorted(centers[c])
-        lo, hi = minmax[c]
-        out[c] = [lo] + [(a + b) * 0.5 for a, b in zip(s[:-1], s[1:])] + [hi]
+        if lo == hi:
+            out[c] = [lo, hi]
+            continue
+        ix = PrefixIndex(df, c, counts[c], lo, hi)
+        u = [lo + (hi - lo) * j / k for j in range(k + 1)]
+        centers = [(u[j] + u[j + 1]) * 0.5 for j in range(k)]
+        total_n, total_s = ix.below(hi)
+        for _ in range(max_iter):
+            mids = [(a + b) * 0.5 for a, b in zip(centers[:-1], centers[1:])]
+            # nearest centre, ties to the lower one: cluster j = (mid_{j-1}, mid_j]
+            cuts = [(0, 0.0)] + [ix.below(m) for m in mids] + [(total_n, total_s)]
+            new = []
+            for j in range(k):
+                n = cuts[j + 1][0] - cuts[j][0]
+                new.append((cuts[j + 1][1] - cuts[j][1]) / n if n else centers[j])  # empty: keep
+            new = sorted(new)
+            if new == centers:
+                break
+            centers = new
+        out[c] = [lo] + [(a + b) * 0.5 for a, b in zip(centers[:-1], centers[1:])] + [hi]
     return out
 
 
@@ -157,7 +146,7 @@ class BinsDiscretizer(Step):
                                for i, c in enumerate(cols)]).collect()[0]
                 q = {c: r[f"q{i}"] for i, c in enumerate(cols)}
         else:
-            q = kmeans_edges(t.df, ks, minmax)
+            q = kmeans_edges(t.df, ks, minmax, {c: row[f"n{i}"] for i, c in enumerate(cols)})
         for c in cols:
             e = q[c]
             if e is None or any(v is None for v in e):
