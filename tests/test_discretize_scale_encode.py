@@ -169,3 +169,33 @@ def test_codes_and_epoch(spark):
     assert col(EpochMillis(attributes=["t"])(df), "t") == [1000.5, None, None]
     with pytest.raises(SchemaError):
         CategoryCodes(attributes=["t"])(df)
+
+
+def _lloyd_edges(v, k):
+    lo, hi = v.min(), v.max()
+    u = np.linspace(lo, hi, k + 1)
+    cen = (u[1:] + u[:-1]) * 0.5
+    for _ in range(300):
+        mids = (cen[1:] + cen[:-1]) * 0.5
+        idx = np.searchsorted(mids, v, side="left")
+        new = np.sort(np.array([v[idx == j].mean() if (idx == j).any() else cen[j] for j in range(k)]))
+        if np.array_equal(new, cen):
+            break
+        cen = new
+    return [lo] + list((cen[1:] + cen[:-1]) * 0.5) + [hi]
+
+
+def test_bins_kmeans_query_brute_force(spark):
+    """The registered k-means query (no SQL oracle) against numpy Lloyd on the whole column."""
+    import __spark_entry__ as E
+    out = E.queries()["bins_kmeans"](spark, SF001)
+    pdf = out.toPandas()
+    v = pdf["l_quantity"].to_numpy(dtype=float)
+    edges = _lloyd_edges(np.sort(v), 3)
+    expect = np.minimum(np.searchsorted(edges[1:-1], v, side="right"), 2)
+    assert list(pdf["l_quantity_km"]) == [repr(float(x)) for x in expect]
+    m = BinsDiscretizer(attributes={"l_extendedprice": {"bins": 4}}, strategy="kmeans").fit(
+        spark.read.parquet(f"{SF001}/lineitem.parquet"))
+    ev = np.sort(spark.read.parquet(f"{SF001}/lineitem.parquet").select("l_extendedprice").toPandas()
+                 ["l_extendedprice"].to_numpy(dtype=float))
+    assert np.allclose(m.params["edges"]["l_extendedprice"], _lloyd_edges(ev, 4), rtol=1e-9)
