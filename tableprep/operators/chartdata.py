@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SchemaError
-from ..ltypes import CATEGORICAL, LType, categories, category_code, ltypes
+from ..functions.timeutil import epoch_micros
+from ..ltypes import CATEGORICAL, LType, categories, category_code, field_of, ltypes
 from ..table import Table
 
 
@@ -18,7 +19,7 @@ def _numeric_view(df, c, lt):
     if lt in CATEGORICAL:
         return category_code(F.col(c), categories(df, c)).cast("double")
     if lt == LType.DATETIME:
-        return F.unix_micros(F.col(c).cast("timestamp")) / 1000.0
+        return epoch_micros(F.col(c), field_of(df, c).dataType) / 1000.0
     raise SchemaError(f"{c}: cannot be plotted ({lt.value})")
 
 

@@ -19,7 +19,8 @@ from ..errors import SchemaError
 from ..functions.buckets import count_below, right_closed_label
 from ..functions.prefix import PrefixIndex
 from ..functions.quantiles import exact_quantiles
-from ..ltypes import LType, typed
+from ..functions.timeutil import day_micros, epoch_micros
+from ..ltypes import LType, field_of, typed
 from ..step import Step, register
 
 STRATEGIES = ("uniform", "quantile", "kmeans")
@@ -304,12 +305,11 @@ class DateDiscretizer(Step):
         for c, o in self.options["selected"].items():
             edges, by_date, by_time = o["ranges"]
             labels = [str(x) for x in o["labels"]]
-            ts = F.col(c).cast("timestamp")
-            us = F.unix_micros(ts)
+            dt = field_of(t.df, c).dataType
             if by_time and not by_date:
-                v = F.floor((us - F.unix_micros(F.date_trunc("day", ts))) / 1000) * 1000
+                v = F.floor(day_micros(F.col(c), dt) / 1000) * 1000
             else:
-                v = us
+                v = epoch_micros(F.col(c), dt)
             e = [self._edge(x, by_date, by_time) for x in edges]
             out = c + suffix if suffix else c
             produced[out] = typed(right_closed_label(v, e, labels), out, LType.ORDINAL, labels)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..errors import SchemaError
+from ..functions.timeutil import epoch_micros
 from ..ltypes import CATEGORICAL, LType, categories, category_code, ltype, typed
 from ..step import Step, register
 
@@ -114,6 +115,6 @@ class EpochMillis(Step):
 
     def _transform(self, t, params):
         sel = set(self.options["attributes"])
-        exprs = [typed(F.unix_micros(F.col(f).cast("timestamp")) / 1000.0, f, LType.NUMERIC)
-                 if f in sel else F.col(f) for f in t.df.columns]
+        exprs = [typed(epoch_micros(F.col(f.name), f.dataType) / 1000.0, f.name, LType.NUMERIC)
+                 if f.name in sel else F.col(f.name) for f in t.df.schema.fields]
         return t.with_df(t.df.select(*exprs))

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from ..errors import SchemaError
 from ..functions.buckets import count_below
+from ..functions.timeutil import epoch_micros, from_epoch_micros
 from ..ltypes import LType, field_of, ltypes
 from ..session import shuffle_partitions
 from ..step import Step, register
@@ -33,14 +34,14 @@ from ..step import Step, register
 METHODS = ("value", "mean", "ffill", "bfill")
 
 
-def _ts_micros(c):
-    return F.unix_micros(c.cast("timestamp"))
+def _ts_micros(c, dtype=None):
+    return epoch_micros(c, dtype)
 
 
 def _order_number(df, name):
     dt = field_of(df, name).dataType
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return _ts_micros(F.col(name))
+        return _ts_micros(F.col(name), dt)
     if isinstance(dt, T.StringType):
         raise SchemaError("fill: order_by must be numeric or datetime")
     return F.col(name)
@@ -139,7 +140,7 @@ class FillNan(Step):
         for i, c in enumerate(cols):
             if lt[c] == LType.DATETIME:
                 # exact: decimal sum of microseconds, floored mean
-                aggs.append(F.floor(F.sum(_ts_micros(F.col(c)).cast("decimal(38,0)"))
+                aggs.append(F.floor(F.sum(_ts_micros(F.col(c), field_of(t.df, c).dataType).cast("decimal(38,0)"))
                                     / F.count(F.col(c))).cast("long").alias(f"m{i}"))
             else:
                 aggs.append(F.avg(F.col(c).cast("double")).alias(f"m{i}"))
@@ -166,9 +167,9 @@ class FillNan(Step):
                 v = values[f.name]
                 if lt[f.name] == LType.DATETIME:
                     if m == "mean":
-                        lit = F.timestamp_micros(F.lit(int(v)))
+                        lit = from_epoch_micros(F.lit(int(v)))
                     else:
-                        lit = F.to_timestamp(F.lit(str(v)), "yyyy-MM-dd HH:mm:ss")
+                        lit = F.to_timestamp_ntz(F.lit(str(v)), F.lit("yyyy-MM-dd HH:mm:ss"))
                     fill = lit.cast(f.dataType)
                 else:
                     fill = F.lit(float(v)).cast(f.dataType) if not isinstance(

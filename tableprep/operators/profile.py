@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 from ..errors import SchemaError
 from ..functions.buckets import count_below
 from ..functions.quantiles import exact_quantiles
-from ..ltypes import CATEGORICAL, LType, categories, ltypes
+from ..functions.timeutil import epoch_micros, from_epoch_micros
+from ..ltypes import CATEGORICAL, LType, categories, field_of, ltypes
 from ..table import Table
 
 STATS_SCHEMA = T.StructType([
@@ -165,7 +166,7 @@ def histogram(x, column: str, bins: int = 20) -> DataFrame:
     df = t.df
     lt = ltypes(df)[column]
     if lt == LType.DATETIME:
-        v = F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+        v = epoch_micros(F.col(column), field_of(df, column).dataType).cast("double")
     elif lt == LType.NUMERIC:
         v = F.col(column).cast("double")
     else:
@@ -192,8 +193,8 @@ def _hist_frame(df, lt):
                        F.lit(0).cast("long").alias("count")).limit(0)
     if lt == LType.DATETIME:
         return df.select("bucket",
-                         F.timestamp_micros(F.floor("left")).cast("timestamp_ntz").alias("left"),
-                         F.timestamp_micros(F.floor("right")).cast("timestamp_ntz").alias("right"),
+                         from_epoch_micros(F.floor("left")).alias("left"),
+                         from_epoch_micros(F.floor("right")).alias("right"),
                          "count")
     return df
 
