@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import OptionError, SchemaError
-from ..ltypes import ALL_TYPES, LType, field_of, ltypes
+from ..errors import SchemaError
+from ..ltypes import LType, field_of, ltypes
 from ..step import Step, register
 from ..table import Table, ix
 
@@ -176,5 +176,4 @@ def select_by(x, regex=None, types=None):
 
 
 __all__ = ["DropColumns", "DuplicateColumns", "RenameColumns", "SelectColumns", "SetIndex",
-           "ResetIndex", "IntsToFloats", "table_info", "rename_all", "select_by", "ALL_TYPES",
-           "OptionError"]
+           "ResetIndex", "IntsToFloats", "table_info", "rename_all", "select_by", "Table"]

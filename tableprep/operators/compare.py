@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..ltypes import CATEGORICAL, LType, STRINGLIKE, ltypes
+from ..functions.pyformat import py_float_str
+from ..ltypes import LType, STRINGLIKE, field_of, ltype_of_field, ltypes
 from ..step import Step, register
 from ..table import Table
 
@@ -54,8 +55,6 @@ def table_diff(a, b, key: str | list[str]) -> DataFrame:
 
 
 def _text(df, name, orig):
-    from ..ltypes import field_of, ltype_of_field
-    from ..functions.pyformat import py_float_str
     f = field_of(df, orig)
     if ltype_of_field(f) == LType.NUMERIC and f.dataType.typeName() in ("double", "float"):
         return py_float_str(F.col(name))
@@ -111,4 +110,4 @@ class RemoveDuplicateColumns(Step):
         return t.with_df(t.df.drop(*params["dropped"]))
 
 
-__all__ = ["table_equal", "table_diff", "RemoveDuplicateColumns", "CATEGORICAL"]
+__all__ = ["table_equal", "table_diff", "RemoveDuplicateColumns"]

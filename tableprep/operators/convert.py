@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..errors import SchemaError
 from ..functions.pyformat import INFER_FORMATS, NUMBER_RE, py_float_str, strptime_to_spark
-from ..ltypes import CATEGORICAL, LType, STRINGLIKE, categories, field_of, ltype_of_field, typed
+from ..ltypes import LType, STRINGLIKE, field_of, ltype_of_field, typed
 from ..step import Step, register
 
 
@@ -34,8 +34,8 @@ def as_text(field: T.StructField):
 
 @register
 class ToNumeric(Step):
-    """Text or categories to double. ``errors='raise'`` uses the ANSI
-    cast (the job fails on a bad value); ``'coerce'`` gives NULL."""
+    """Text or categories to double. ``errors='raise'`` fails the job on
+    a value that is not a number; ``'coerce'`` gives NULL."""
     key = "to_numeric"
     accepts = STRINGLIKE
 
@@ -54,13 +54,14 @@ class ToNumeric(Step):
         exprs = []
         for f in t.df.schema.fields:
             if f.name in sel:
-                c = F.trim(F.col(f.name))
+                raw = F.col(f.name)
+                ok = raw.rlike(NUMBER_RE)
+                num = F.when(ok, F.trim(raw).try_cast("double"))
                 if coerce:
-                    e = F.when(F.col(f.name).rlike(NUMBER_RE), c.try_cast("double"))
-                else:
-                    e = F.when(F.col(f.name).isNull(), F.lit(None).cast("double")).otherwise(
-                        F.when(F.col(f.name).rlike(NUMBER_RE), c).otherwise(F.col(f.name))
-                        .cast("double"))
+                    e = num
+                else:  # fails the job on a bad value, whatever the ANSI setting
+                    e = F.when(raw.isNotNull() & ~ok, F.raise_error(F.concat(
+                        F.lit(f"to_numeric: cannot parse {f.name} value "), raw)).cast("double")).otherwise(num)
                 exprs.append(typed(e, f.name, LType.NUMERIC))
             else:
                 exprs.append(F.col(f.name))
@@ -197,5 +198,4 @@ def to_ordinal(df, column: str, cats: list[str]):
     return ToCategorical(attributes={column: {"cat": cats, "ordered": True}})(df)
 
 
-__all__ = ["ToNumeric", "ToCategorical", "ToTimestamp", "ToString", "as_text", "to_ordinal",
-           "CATEGORICAL", "categories"]
+__all__ = ["ToNumeric", "ToCategorical", "ToTimestamp", "ToString", "as_text", "to_ordinal"]

@@ -12,7 +12,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..ltypes import CATEGORICAL, LType, categories, field_of, ltype_of_field, typed
+from ..ltypes import CATEGORICAL, LType, categories, ltype_of_field, typed
 from ..step import Step, register
 
 

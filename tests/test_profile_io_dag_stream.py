@@ -1,8 +1,6 @@
 """A1-A7 (brute force), S1/S5-S8/S9/S10/S12, G1/G4-G6, streaming contract, driver entry."""
 
-import json
 import os
-import tempfile
 
 import numpy as np
 import pandas as pd

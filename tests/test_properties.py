@@ -4,7 +4,6 @@ depend on partitioning; scaled values stay in range; bins cover all rows."""
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from tableprep.operators.compare import RemoveDuplicateColumns
 from tableprep.operators.discretize import BinsDiscretizer
