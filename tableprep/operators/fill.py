@@ -10,7 +10,9 @@ ranges of the order key (range-carry scheme):
 2. rows are tagged with their range id (an O(log R) CASE tree) and
    range-partitioned on (group, range);
 3. per (group, range) the last (first) non-missing value of every column is
-   aggregated -- at most groups x R rows;
+   aggregated -- at most groups x R rows; without groups only its position
+   is aggregated (numbers: a hash aggregate), the carry positions are chained
+   on the driver (R rows) and the values fetched by one filtered scan;
 4. the carry from earlier (later) ranges is a window over that summary,
    partitioned by group (at most R rows per group);
 5. the window inside (group, range) fills what it can, the carry the rest.
@@ -32,6 +34,8 @@ from ..session import shuffle_partitions
 from ..step import Step, register
 
 METHODS = ("value", "mean", "ffill", "bfill")
+_FIXED = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+          T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def _ts_micros(c, dtype=None):
@@ -61,19 +65,25 @@ def directional_fill(df, cols, order_by: str, partition_by=(), forward=True, ran
     tagged = df.select("*", rid.alias("__rid"), okey.alias("__okey"))
     keys = part + ["__rid"]
 
-    pick = F.max_by if forward else F.min_by
-    summary = tagged.groupBy(*keys).agg(
-        *[pick(F.col(c), F.when(F.col(c).isNotNull(), F.col("__okey"))).alias(c) for c in cols])
-    wc = Window.partitionBy(*part).orderBy("__rid") if part else Window.orderBy("__rid")
-    if forward:
-        wc = wc.rowsBetween(Window.unboundedPreceding, -1)
-        carry_fn = lambda c: F.last(F.col(c), ignorenulls=True).over(wc)
+    # max_by over fixed-width values stays a hash aggregate; over text it would
+    # sort every row, so without groups text columns take the position path
+    fixed = all(isinstance(df.schema[c].dataType, _FIXED) for c in cols)
+    if part or fixed:
+        pick = F.max_by if forward else F.min_by
+        summary = tagged.groupBy(*keys).agg(
+            *[pick(F.col(c), F.when(F.col(c).isNotNull(), F.col("__okey"))).alias(c) for c in cols])
+        wc = Window.partitionBy(*part).orderBy("__rid") if part else Window.orderBy("__rid")
+        if forward:
+            wc = wc.rowsBetween(Window.unboundedPreceding, -1)
+            carry_fn = lambda c: F.last(F.col(c), ignorenulls=True).over(wc)
+        else:
+            wc = wc.rowsBetween(1, Window.unboundedFollowing)
+            carry_fn = lambda c: F.first(F.col(c), ignorenulls=True).over(wc)
+        carry = summary.select(*keys, *[carry_fn(c).alias(f"__carry_{i}") for i, c in enumerate(cols)])
+        if not part:
+            carry = F.broadcast(carry)  # at most R rows
     else:
-        wc = wc.rowsBetween(1, Window.unboundedFollowing)
-        carry_fn = lambda c: F.first(F.col(c), ignorenulls=True).over(wc)
-    carry = summary.select(*keys, *[carry_fn(c).alias(f"__carry_{i}") for i, c in enumerate(cols)])
-    if not part:
-        carry = F.broadcast(carry)  # at most R rows
+        carry = F.broadcast(_global_carry(df, tagged, cols, okey, len(edges) + 1, forward))  # <= R rows
 
     n_parts = max(shuffle_partitions(spark), 1)
     data = tagged.repartitionByRange(n_parts, *keys) if not part else tagged.repartition(n_parts, *keys)
@@ -96,6 +106,43 @@ def directional_fill(df, cols, order_by: str, partition_by=(), forward=True, ran
     return joined.select(*out)
 
 
+def _global_carry(df, tagged, cols, okey, n_ranges, forward):
+    """Carry table (__rid, __carry_i...) of a fill without groups: per range the
+    position of the last (first) non-missing value of each column -- a hash
+    aggregate over numbers, at most R rows -- chained on the driver, then the
+    values at the chosen positions fetched by one filtered scan (at most
+    R x columns rows)."""
+    agg = F.max if forward else F.min
+    pos_rows = tagged.groupBy("__rid").agg(
+        *[agg(F.when(F.col(c).isNotNull(), F.col("__okey"))).alias(f"p{i}") for i, c in enumerate(cols)]).collect()
+    pos = {r["__rid"]: [r[f"p{i}"] for i in range(len(cols))] for r in pos_rows}
+    order = range(n_ranges) if forward else range(n_ranges - 1, -1, -1)
+    carry_pos = {}
+    running = [None] * len(cols)
+    for rid in order:
+        carry_pos[rid] = list(running)
+        for i, p in enumerate(pos.get(rid, [None] * len(cols))):
+            if p is not None:
+                running[i] = p
+    wanted = sorted({p for ps in carry_pos.values() for p in ps if p is not None})
+    spark = df.sparkSession
+    values = {}
+    if wanted:
+        keys = spark.createDataFrame([(p,) for p in wanted], "__okey " + _okey_type(df, okey))
+        got = (df.select(okey.alias("__okey"), *cols).join(F.broadcast(keys), "__okey", "left_semi").collect())
+        values = {r["__okey"]: r for r in got}
+    rows = []
+    for rid in range(n_ranges):
+        rows.append((rid, *[values[p][c] if p is not None else None for p, c in zip(carry_pos[rid], cols)]))
+    schema = T.StructType([T.StructField("__rid", T.IntegerType())] +
+                          [T.StructField(f"__carry_{i}", df.schema[c].dataType) for i, c in enumerate(cols)])
+    return spark.createDataFrame(rows, schema)
+
+
+def _okey_type(df, okey):
+    return df.select(okey.alias("k")).schema["k"].dataType.simpleString()
+
+
 @register
 class FillNan(Step):
     """N1/N2/W1/W2. ``selected``: list of columns, or ``{column: fill value}``
