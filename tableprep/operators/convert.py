@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..errors import SchemaError
 from ..functions.pyformat import INFER_FORMATS, NUMBER_RE, py_float_str, strptime_to_spark
-from ..ltypes import LType, STRINGLIKE, field_of, ltype_of_field, typed
+from ..ltypes import CATEGORICAL, LType, STRINGLIKE, field_of, ltype_of_field, typed
 from ..step import Step, register
 
 
@@ -103,6 +103,9 @@ class ToCategorical(Step):
                 learned[c] = list(o["cat"])
                 continue
             f = field_of(t.df, c)
+            if ltype_of_field(f) in CATEGORICAL:  # Nominal <-> Ordinal keeps the category list
+                learned[c] = list((f.metadata or {}).get("categories") or [])
+                continue
             vals = (t.df.select(as_text(f).alias("v")).where(F.col("v").isNotNull())
                     .distinct().limit(cap + 1).collect())
             if len(vals) > cap:
