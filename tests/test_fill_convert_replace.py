@@ -116,7 +116,8 @@ def test_to_timestamp(spark):
 
 
 def test_to_string_python_layout(spark):
-    vals = [3.0, 1e7, 1e-5, 1.5e16, 0.1, -2.5e8, 1.2e-10, 1e22, 123456789.123, 0.00012345, 2e23]
+    vals = [3.0, 1e7, 1e-5, 1.5e16, 0.1, -2.5e8, 1.2e-10, 1e22, 123456789.123, 0.00012345, 2e23,
+            4.07748826219687e-250, 1.7976931348623157e308, 5e-324, 1.3116923000000002e+17]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, x double")
     out = ToString(attributes=["x"])(df)
     assert col(out, "x") == [repr(v) for v in vals]
