@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.pyformat import py_float_str
 from ..ltypes import LType, STRINGLIKE, field_of, ltype_of_field, ltypes
 from ..step import Step, register
+from .join import skew_join
 from ..table import Table
 
 
@@ -27,20 +28,17 @@ def table_equal(a, b) -> DataFrame:
     return unbalanced.agg((F.count(F.lit(1)) == 0).alias("equal"))
 
 
-def table_diff(a, b, key: str | list[str]) -> DataFrame:
+def table_diff(a, b, key: str | list[str], options: dict | None = None) -> DataFrame:
     """Cells of ``a`` that differ from ``b``, matched on ``key``, long form
     ``(key..., column, left, right)``; a row missing on one side differs in
-    every column. Full outer join on the key (null-safe)."""
+    every column. Full outer join on the key (null-safe, hot keys split off as
+    in :func:`join.skew_join`; ``options`` passes its settings)."""
     ta, tb = Table.of(a), Table.of(b)
     keys = [key] if isinstance(key, str) else list(key)
     cols = [c for c in ta.columns if c not in keys and c in tb.columns]
     L = ta.df.select(*[F.col(k).alias("l__" + k) for k in keys], *[F.col(c).alias("l_" + c) for c in cols])
     R = tb.df.select(*[F.col(k).alias("r__" + k) for k in keys], *[F.col(c).alias("r_" + c) for c in cols])
-    cond = None
-    for k in keys:
-        term = F.col("l__" + k).eqNullSafe(F.col("r__" + k))
-        cond = term if cond is None else cond & term
-    j = L.join(R, cond, "full")
+    j = skew_join(L, R, ["l__" + k for k in keys], ["r__" + k for k in keys], "full", options or {})
     cells = F.array(*[F.struct(F.lit(c).alias("column"),
                                _text(ta.df, "l_" + c, c).alias("left"),
                                _text(tb.df, "r_" + c, c).alias("right"),

@@ -9,10 +9,13 @@
   skew-join splitting of hot keys). ``hint='broadcast'`` is honoured only
   after a bounded count proves the side has at most ``max_broadcast_rows``
   rows; otherwise the plan stays a shuffled join.
-* ``skew='auto'`` (or a list of hot key values) splits hot keys off, for
-  every join type including full outer, which AQE cannot split: keys with at
-  least ``skew_min_rows`` rows on either side (top ``max_hot_keys`` by count,
-  one grouped count per side) are joined by a salted INNER join -- the side
+* A full outer join, whose skewed partitions AQE cannot split, runs as an
+  inner join plus the unmatched rows of each side (two anti joins): AQE can
+  split all three, and they share the shuffles of both sides.
+* ``skew='auto'`` or a list of hot key values splits hot keys off explicitly:
+  keys with at least ``skew_min_rows`` rows on either side (top
+  ``max_hot_keys`` by count, one grouped count over both sides' keys; NULL
+  is a key like any other) are joined by a salted INNER join -- the side
   with more hot rows spread over ``salt_buckets`` buckets, the other side's
   hot rows copied once per bucket -- while hot rows whose key has no partner
   come back through anti joins against the small hot-key set. All other keys
@@ -43,10 +46,18 @@ def bounded_broadcast(df, max_rows: int):
     return F.broadcast(df) if n <= max_rows else df
 
 
-def _hot_key_rows(df, keys, min_rows, max_keys):
-    """(key values..., n) of keys with at least ``min_rows`` rows, top ``max_keys``."""
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_rows)
-            .orderBy(F.col("__n").desc()).limit(max_keys).collect())
+def _hot_keys(L, R, lkeys, rkeys, min_rows, max_keys):
+    """Keys with at least ``min_rows`` rows on either side, top ``max_keys`` by
+    count: ONE grouped count over both sides' keys (map-side combined).
+    Returns (keys, rows of hot keys on the left, on the right)."""
+    names = [f"__k{i}" for i in range(len(lkeys))]
+    both = (L.select(*[F.col(k).alias(n) for k, n in zip(lkeys, names)], F.lit(0).alias("__side"))
+            .unionByName(R.select(*[F.col(k).alias(n) for k, n in zip(rkeys, names)], F.lit(1).alias("__side"))))
+    rows = (both.groupBy(*names).agg(F.count_if(F.col("__side") == 0).alias("__nl"),
+                                     F.count_if(F.col("__side") == 1).alias("__nr"))
+            .where((F.col("__nl") >= min_rows) | (F.col("__nr") >= min_rows))
+            .orderBy(F.greatest("__nl", "__nr").desc()).limit(max_keys).collect())
+    return ({tuple(r[n] for n in names) for r in rows}, sum(r["__nl"] for r in rows), sum(r["__nr"] for r in rows))
 
 
 def skew_join(L, R, lkeys, rkeys, how, o):
@@ -61,16 +72,23 @@ def skew_join(L, R, lkeys, rkeys, how, o):
 
     skew = o.get("skew")
     spark = L.sparkSession
+    if not skew and how == "full":
+        # AQE splits skewed partitions of inner and anti joins but not of a full
+        # outer join: full = inner + unmatched left + unmatched right. The three
+        # joins shuffle L and R on the same keys, so the exchanges are reused.
+        inner = L.join(R, cond_of(L, R, lkeys, rkeys), "inner").select(*L.columns, *R.columns)
+        lonely_l = L.join(R, cond_of(L, R, lkeys, rkeys), "left_anti").select(
+            *L.columns, *[F.lit(None).cast(R.schema[c].dataType).alias(c) for c in R.columns])
+        lonely_r = R.join(L, cond_of(R, L, rkeys, lkeys), "left_anti").select(
+            *[F.lit(None).cast(L.schema[c].dataType).alias(c) for c in L.columns], *R.columns)
+        return inner.unionByName(lonely_l).unionByName(lonely_r)
     if not skew:
         return L.join(R, cond_of(L, R, lkeys, rkeys), how)
     min_rows = int(o.get("skew_min_rows", 5_000_000))
     max_keys = int(o.get("max_hot_keys", 1_000))
     S = int(o.get("salt_buckets", 64))
     if skew == "auto":
-        hl = _hot_key_rows(L, lkeys, min_rows, max_keys)
-        hr = _hot_key_rows(R, rkeys, min_rows, max_keys)
-        hot = {tuple(r[:len(lkeys)]) for r in hl} | {tuple(r[:len(rkeys)]) for r in hr}
-        n_l, n_r = sum(r["__n"] for r in hl), sum(r["__n"] for r in hr)
+        hot, n_l, n_r = _hot_keys(L, R, lkeys, rkeys, min_rows, max_keys)
     else:
         hot = {tuple(k) if isinstance(k, (list, tuple)) else (k,) for k in skew}
         n_l, n_r = 1, 0
