@@ -74,6 +74,8 @@ def test_csv_roundtrip_and_typing(spark, tmp_path):
     back = csvsrc.read_csv(spark, path, sep="tab")
     assert dict(back.dtypes) == {"a": "double", "b": "string", "c": "double", "d": "boolean"}
     assert sorted(r["b"] or "-" for r in back.collect()) == ["-", "x"]  # "NA" reads as missing
+    given = csvsrc.read_csv(spark, path, sep="tab", schema="a double, b string, c double, d boolean")
+    assert sorted(r["b"] or "-" for r in given.collect()) == ["-", "x"]
     g = spark.createDataFrame([(123456789.0,), (0.1,), (1e-7,), (0.0,), (None,)], "x double")
     got = [r[0] for r in g.select(csvsrc.float_format_expr(F.col("x"), "%g")).collect()]
     assert got == ["%g" % 123456789.0, "%g" % 0.1, "%g" % 1e-7, "0", None]
