@@ -10,9 +10,9 @@ ranges of the order key (range-carry scheme):
 2. rows are tagged with their range id (an O(log R) CASE tree) and
    range-partitioned on (group, range);
 3. per (group, range) the last (first) non-missing value of every column is
-   aggregated -- at most groups x R rows; without groups only its position
-   is aggregated (numbers: a hash aggregate), the carry positions are chained
-   on the driver (R rows) and the values fetched by one filtered scan;
+   aggregated -- at most groups x R rows; without groups, for text columns,
+   only its position is aggregated (a hash aggregate; max_by over text would
+   sort every row) and the values at the carry positions are joined back;
 4. the carry from earlier (later) ranges is a window over that summary,
    partitioned by group (at most R rows per group);
 5. the window inside (group, range) fills what it can, the carry the rest.
@@ -107,40 +107,29 @@ def directional_fill(df, cols, order_by: str, partition_by=(), forward=True, ran
 
 
 def _global_carry(df, tagged, cols, okey, n_ranges, forward):
-    """Carry table (__rid, __carry_i...) of a fill without groups: per range the
-    position of the last (first) non-missing value of each column -- a hash
-    aggregate over numbers, at most R rows -- chained on the driver, then the
-    values at the chosen positions fetched by one filtered scan (at most
-    R x columns rows)."""
+    """Carry table (__rid, __carry_i...) of a fill without groups, as one lazy
+    plan: per range the position of the last (first) non-missing value of
+    each column (a hash aggregate over numbers, at most R rows), the carry
+    positions from earlier (later) ranges by a window over those R rows, the
+    values at those positions by a join against at most R x columns
+    positions, pivoted back by a tiny aggregate."""
     agg = F.max if forward else F.min
-    pos_rows = tagged.groupBy("__rid").agg(
-        *[agg(F.when(F.col(c).isNotNull(), F.col("__okey"))).alias(f"p{i}") for i, c in enumerate(cols)]).collect()
-    pos = {r["__rid"]: [r[f"p{i}"] for i in range(len(cols))] for r in pos_rows}
-    order = range(n_ranges) if forward else range(n_ranges - 1, -1, -1)
-    carry_pos = {}
-    running = [None] * len(cols)
-    for rid in order:
-        carry_pos[rid] = list(running)
-        for i, p in enumerate(pos.get(rid, [None] * len(cols))):
-            if p is not None:
-                running[i] = p
-    wanted = sorted({p for ps in carry_pos.values() for p in ps if p is not None})
-    spark = df.sparkSession
-    values = {}
-    if wanted:
-        keys = spark.createDataFrame([(p,) for p in wanted], "__okey " + _okey_type(df, okey))
-        got = (df.select(okey.alias("__okey"), *cols).join(F.broadcast(keys), "__okey", "left_semi").collect())
-        values = {r["__okey"]: r for r in got}
-    rows = []
-    for rid in range(n_ranges):
-        rows.append((rid, *[values[p][c] if p is not None else None for p, c in zip(carry_pos[rid], cols)]))
-    schema = T.StructType([T.StructField("__rid", T.IntegerType())] +
-                          [T.StructField(f"__carry_{i}", df.schema[c].dataType) for i, c in enumerate(cols)])
-    return spark.createDataFrame(rows, schema)
-
-
-def _okey_type(df, okey):
-    return df.select(okey.alias("k")).schema["k"].dataType.simpleString()
+    pos = tagged.groupBy("__rid").agg(
+        *[agg(F.when(F.col(c).isNotNull(), F.col("__okey"))).alias(f"p{i}") for i, c in enumerate(cols)])
+    if forward:
+        w = Window.orderBy("__rid").rowsBetween(Window.unboundedPreceding, -1)
+        pick = lambda c: F.last(F.col(c), ignorenulls=True).over(w)
+    else:
+        w = Window.orderBy("__rid").rowsBetween(1, Window.unboundedFollowing)
+        pick = lambda c: F.first(F.col(c), ignorenulls=True).over(w)
+    carry_pos = pos.select("__rid", *[pick(f"p{i}").alias(f"cp{i}") for i in range(len(cols))])
+    need = (carry_pos.select("__rid", F.inline(F.array(*[F.struct(F.lit(i).alias("ci"), F.col(f"cp{i}").alias("cp"))
+                                                         for i in range(len(cols))])))
+            .where(F.col("cp").isNotNull()))
+    vals = df.select(okey.alias("__okey"), *cols).join(F.broadcast(need), F.col("__okey") == F.col("cp"))
+    return vals.groupBy("__rid").agg(
+        *[F.first(F.when(F.col("ci") == i, F.col(c)), ignorenulls=True).alias(f"__carry_{i}")
+          for i, c in enumerate(cols)])
 
 
 @register
