@@ -163,9 +163,11 @@ class ToTimestamp(Step):
                 fmt = (attrs[f.name] or {}).get("format")
                 fmts = [fmt] if fmt else INFER_FORMATS
                 c = F.col(f.name)
-                parsed = F.coalesce(*[F.try_to_timestamp(c, F.lit(strptime_to_spark(x)))
-                                      for x in fmts]) if len(fmts) > 1 else \
-                    F.try_to_timestamp(c, F.lit(strptime_to_spark(fmts[0])))
+                # validate with the lenient parser, then parse the wall clock
+                # straight to TIMESTAMP_NTZ (no session-zone step in between)
+                tries = [F.when(F.try_to_timestamp(c, F.lit(strptime_to_spark(x))).isNotNull(),
+                                F.to_timestamp_ntz(c, F.lit(strptime_to_spark(x)))) for x in fmts]
+                parsed = F.coalesce(*tries) if len(tries) > 1 else tries[0]
                 if not coerce:
                     bad = c.isNotNull() & parsed.isNull()
                     parsed = F.when(bad, F.raise_error(F.concat(
