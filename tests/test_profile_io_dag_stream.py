@@ -188,3 +188,17 @@ def test_register_user_step(spark):
     register_step("double_x", lambda df: df.withColumn("x", F.col("x") * 2))
     df = spark.createDataFrame([(1.0,)], "x double")
     assert make("double_x")(df).collect()[0]["x"] == 2.0
+
+
+def test_stream_sink_to_table(spark, tmp_path):
+    src = str(tmp_path / "src2")
+    batch = spark.read.parquet(f"{SF0001}/events.parquet").select("event_id", "value")
+    batch.write.parquet(src)
+    stream = S.read_parquet_stream(spark, src, batch.schema)
+    model = MinMaxScaler(attributes={"value": {"range": [0, 1]}}).fit(batch)
+    q = S.write_stream_table(model.transform(stream), "tp_stream_table", checkpoint=str(tmp_path / "ckpt"))
+    q.awaitTermination(120)
+    got = spark.table("tp_stream_table")
+    assert got.count() == batch.count()
+    assert got.agg(F.min("value"), F.max("value")).collect()[0][:] == (0.0, 1.0)
+    spark.sql("DROP TABLE IF EXISTS tp_stream_table")
