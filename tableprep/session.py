@@ -45,7 +45,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     Only when none is configured (local runs, tests) a scratch folder is made.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext; use the session setting
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        return d or tempfile.mkdtemp(prefix="tableprep-ckpt-")
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -57,6 +61,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's shuffle partition count (sizes range cuts and repartitions)."""
     try:
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
     except Exception:  # pragma: no cover
