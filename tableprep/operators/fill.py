@@ -7,6 +7,8 @@ caller names ``order_by`` (unique within a group) and optionally
 ranges of the order key (range-carry scheme):
 
 1. ``percentile_approx`` cuts the order key into R ranges (one small job);
+   R grows with the table (about 2,000,000 rows per range, at most 65,536
+   ranges), never fewer than the shuffle partitions;
 2. rows are tagged with their range id (an O(log R) CASE tree) and
    range-partitioned on (group, range);
 3. per (group, range) the last (first) non-missing value of every column is
@@ -51,16 +53,45 @@ def _order_number(df, name):
     return F.col(name)
 
 
-def directional_fill(df, cols, order_by: str, partition_by=(), forward=True, ranges=None):
+ROWS_PER_RANGE = 2_000_000
+GRID = 1024
+MAX_RANGES = 65_536
+
+
+def range_edges(df, okey, ranges=None, min_ranges=2, rows_per_range=ROWS_PER_RANGE):
+    """Sorted cut points of the order key into R ranges of about equal size.
+
+    R grows with the data: max(``min_ranges``, rows / ``rows_per_range``), at
+    most 65,536, so one range -- one window group -- stays bounded whatever the
+    table size. One job gives the row count and a 1,024-point quantile grid;
+    only when more ranges than that are needed a finer grid is computed."""
+    if ranges:
+        probs = [i / int(ranges) for i in range(1, int(ranges))]
+        e = df.agg(F.percentile_approx(okey, probs, max(10_000, 4 * int(ranges))).alias("e")).collect()[0]["e"]
+        return sorted(set(x for x in (e or []) if x is not None))
+    grid = [i / GRID for i in range(1, GRID)]
+    row = df.agg(F.count(F.lit(1)).alias("n"),
+                 F.percentile_approx(okey, grid, 4 * GRID * 4).alias("e")).collect()[0]
+    n = row["n"]
+    want = max(int(min_ranges), -(-n // int(rows_per_range)))
+    if want <= GRID:
+        g = row["e"] or []
+        picks = [g[round(j * GRID / want) - 1] for j in range(1, want)] if g else []
+        return sorted(set(x for x in picks if x is not None))
+    R = min(MAX_RANGES, want)
+    probs = [i / R for i in range(1, R)]
+    e = df.agg(F.percentile_approx(okey, probs, 4 * R).alias("e")).collect()[0]["e"]
+    return sorted(set(x for x in (e or []) if x is not None))
+
+
+def directional_fill(df, cols, order_by: str, partition_by=(), forward=True, ranges=None,
+                     rows_per_range=ROWS_PER_RANGE):
     """Forward (``forward=True``) or backward fill of ``cols`` over the order of
     ``order_by`` within ``partition_by`` groups, by the range-carry scheme."""
     spark = df.sparkSession
     part = list(partition_by or [])
-    R = int(ranges or max(2, shuffle_partitions(spark)))
     okey = _order_number(df, order_by)
-    probs = [i / R for i in range(1, R)]
-    edges = df.agg(F.percentile_approx(okey, probs, 10_000).alias("e")).collect()[0]["e"] or []
-    edges = sorted(set(e for e in edges if e is not None))
+    edges = range_edges(df, okey, ranges, max(2, shuffle_partitions(spark)), rows_per_range)
     rid = count_below(okey, edges)
     tagged = df.select("*", rid.alias("__rid"), okey.alias("__okey"))
     keys = part + ["__rid"]
@@ -85,7 +116,8 @@ def directional_fill(df, cols, order_by: str, partition_by=(), forward=True, ran
     else:
         carry = F.broadcast(_global_carry(df, tagged, cols, okey, len(edges) + 1, forward))  # <= R rows
 
-    n_parts = max(shuffle_partitions(spark), 1)
+    # at least one partition per range when ranges outnumber shuffle partitions
+    n_parts = max(shuffle_partitions(spark), len(edges) + 1)
     data = tagged.repartitionByRange(n_parts, *keys) if not part else tagged.repartition(n_parts, *keys)
     joined = data.join(carry, on=keys, how="left")
     w = Window.partitionBy(*keys).orderBy("__okey")

@@ -57,14 +57,16 @@ def test_fill_value(fill):
 
 
 @pytest.mark.parametrize("forward", [True, False])
-@pytest.mark.parametrize("ranges,part", [(3, ()), (7, ("user_id",)), (64, ())])
-def test_range_carry_equals_plain_window(spark, forward, ranges, part):
+@pytest.mark.parametrize("ranges,part,per_range", [(3, (), None), (7, ("user_id",), None), (64, (), None),
+                                                   (None, ("user_id",), 700)])
+def test_range_carry_equals_plain_window(spark, forward, ranges, part, per_range):
     """Carry scheme == one plain window, with null runs longer than a range."""
     e = spark.read.parquet(f"{SF001}/events.parquet")
     e = e.select("event_id", "user_id",
                  F.when((F.col("event_id") > 100) & (F.col("event_id") < 4000), None).otherwise(F.col("value")).alias("v"),
                  F.when(F.col("value") < 200, None).otherwise(F.col("event_type")).alias("t"))
-    got = directional_fill(e, ["v", "t"], "event_id", part, forward=forward, ranges=ranges)
+    got = directional_fill(e, ["v", "t"], "event_id", part, forward=forward, ranges=ranges,
+                           rows_per_range=per_range or 2_000_000)
     from pyspark.sql import Window
     w = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(1))
     w = w.orderBy("event_id")
@@ -74,6 +76,11 @@ def test_range_carry_equals_plain_window(spark, forward, ranges, part):
     assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
 
 
+def test_range_carry_fine_grid(spark):
+    """More ranges than the first quantile grid (the finer-grid path)."""
+    test_range_carry_equals_plain_window(spark, True, None, (), 8)
+
+
 def test_to_numeric(spark):
     df = spark.createDataFrame([(0, "3", None), (1, None, "2"), (2, "5", "0.43"), (3, "6", "4"), (4, "0", None)],
                                "i int, col1 string, col3 string")
