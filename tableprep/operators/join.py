@@ -16,7 +16,8 @@
   keys with at least ``skew_min_rows`` rows on either side (top
   ``max_hot_keys`` by count, one grouped count over both sides' keys; NULL
   is a key like any other) are joined by a salted INNER join -- the side
-  with more hot rows spread over ``salt_buckets`` buckets, the other side's
+  with more hot rows spread over buckets (at least ``salt_buckets``, about
+  ``rows_per_salt`` rows each for the hottest key, at most 100,000), the other side's
   hot rows copied once per bucket -- while hot rows whose key has no partner
   come back through anti joins against the small hot-key set. All other keys
   take the plain shuffled join. No row is dropped or capped.
@@ -57,7 +58,8 @@ def _hot_keys(L, R, lkeys, rkeys, min_rows, max_keys):
                                      F.count_if(F.col("__side") == 1).alias("__nr"))
             .where((F.col("__nl") >= min_rows) | (F.col("__nr") >= min_rows))
             .orderBy(F.greatest("__nl", "__nr").desc()).limit(max_keys).collect())
-    return ({tuple(r[n] for n in names) for r in rows}, sum(r["__nl"] for r in rows), sum(r["__nr"] for r in rows))
+    return ({tuple(r[n] for n in names) for r in rows}, sum(r["__nl"] for r in rows), sum(r["__nr"] for r in rows),
+            max([max(r["__nl"], r["__nr"]) for r in rows] or [0]))
 
 
 def skew_join(L, R, lkeys, rkeys, how, o):
@@ -88,7 +90,9 @@ def skew_join(L, R, lkeys, rkeys, how, o):
     max_keys = int(o.get("max_hot_keys", 1_000))
     S = int(o.get("salt_buckets", 64))
     if skew == "auto":
-        hot, n_l, n_r = _hot_keys(L, R, lkeys, rkeys, min_rows, max_keys)
+        hot, n_l, n_r, hottest = _hot_keys(L, R, lkeys, rkeys, min_rows, max_keys)
+        # buckets grow with the hottest key: about ``rows_per_salt`` rows per task
+        S = min(100_000, max(S, -(-hottest // int(o.get("rows_per_salt", 2_000_000)))))
     else:
         hot = {tuple(k) if isinstance(k, (list, tuple)) else (k,) for k in skew}
         n_l, n_r = 1, 0
