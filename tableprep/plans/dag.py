@@ -23,6 +23,7 @@ from .. import step as stepmod
 from ..errors import GraphError, OptionError
 from ..sources import catalog, parquet
 from ..sources import csv as csvsrc
+from ..streaming import stream
 from ..table import Table
 
 SOURCES = {"input"}
@@ -121,6 +122,7 @@ class StepGraph:
         tables = tables or {}
         fitted = fitted or {}
         self.fitted = {}
+        self.queries = []  # streaming sinks started by this run
         results: dict = {}
         report = []
         fan_out = {k: len(v) for k, v in self.children.items()}
@@ -134,6 +136,12 @@ class StepGraph:
             if kind == "input":
                 t = self._source(spark, opts, tables)
                 report.append((nid, kind, "option", "source", json.dumps(opts, sort_keys=True)))
+            elif kind == "output" and ins[0].is_streaming:
+                t = ins[0]
+                q = stream.write_stream_table(t, opts["stream_table"], checkpoint=opts.get("checkpoint"),
+                                              trigger_once=True)
+                self.queries.append(q)
+                report.append((nid, kind, "result", "stream", opts["stream_table"]))
             elif kind == "output":
                 t = ins[0]
                 obs = Observation(f"rows_{nid}")
@@ -203,8 +211,13 @@ class StepGraph:
         if "parquet" in opts:
             return parquet.read_table(spark, opts["parquet"])
         if "csv" in opts:
-            return Table.of(csvsrc.read_csv(spark, opts["csv"], sep=opts.get("sep", ",")))
-        raise GraphError(f"input needs table, parquet or csv: {opts}")
+            return Table.of(csvsrc.read_csv(spark, opts["csv"], sep=opts.get("sep", ","),
+                                            schema=opts.get("schema")))
+        if "stream_parquet" in opts:
+            if not opts.get("schema"):
+                raise GraphError("a stream input needs a schema")
+            return Table.of(spark.readStream.schema(opts["schema"]).parquet(opts["stream_parquet"]))
+        raise GraphError(f"input needs table, parquet, csv or stream_parquet: {opts}")
 
     @staticmethod
     def _sink(t: Table, opts):

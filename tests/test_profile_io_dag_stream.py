@@ -202,3 +202,27 @@ def test_stream_sink_to_table(spark, tmp_path):
     assert got.count() == batch.count()
     assert got.agg(F.min("value"), F.max("value")).collect()[0][:] == (0.0, 1.0)
     spark.sql("DROP TABLE IF EXISTS tp_stream_table")
+
+
+def test_graph_fitted_on_batch_runs_on_stream(spark, tmp_path):
+    src = str(tmp_path / "src3")
+    batch = spark.read.parquet(f"{SF0001}/events.parquet").select("event_id", "value", "event_type")
+    batch.write.parquet(src)
+    nodes = [{"id": "in", "step": "input", "options": {"table": "events"}},
+             {"id": "scale", "step": "minmax_scaler", "inputs": ["in"],
+              "options": {"attributes": {"value": {"range": [0, 1]}}}},
+             {"id": "out", "step": "output", "inputs": ["scale"], "options": {"name": "tp_batch_scaled"}}]
+    g = StepGraph(nodes)
+    g.run(spark, {"events": batch})
+    saved = g.to_json(fitted=g.fitted)
+    snodes = [dict(nodes[0], options={"stream_parquet": src, "schema": "event_id long, value double, event_type string"}),
+              nodes[1], dict(nodes[2], options={"stream_table": "tp_stream_scaled",
+                                                "checkpoint": str(tmp_path / "ck3")})]
+    g2 = StepGraph(snodes)
+    g2.run(spark, fitted=StepGraph.from_json(saved).saved_fitted)
+    for q in g2.queries:
+        q.awaitTermination(120)
+    a = spark.table("tp_stream_scaled").select("event_id", "value")
+    b = spark.table("tp_batch_scaled").select("event_id", "value")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    spark.sql("DROP TABLE IF EXISTS tp_stream_scaled")
