@@ -117,3 +117,19 @@ GROUP BY 1""")
 def value_summary_events(spark, sf):
     return P.value_summary(table(spark, sf, "events"), ["event_type", "user_id"]).select(
         "column", F.col("unique").cast("long").alias("unique"), "top", F.col("top_count").cast("long"))
+
+
+HIST_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _hist_sql_col(c, k=20):
+    body = HIST_SQL.format(v=c, tab="lineitem", k=k, left="round(l.e, 4)", right="round(r.e, 4)")
+    return f"SELECT '{c}' AS \"column\", * FROM ({body})"
+
+
+@query("hist_all_numeric", " UNION ALL ".join(_hist_sql_col(c) for c in HIST_COLS))
+def hist_all_numeric(spark, sf):
+    """A4 over several columns in two jobs (not two per column)."""
+    h = P.histograms(table(spark, sf, "lineitem"), HIST_COLS, bins=20)
+    return h.select("column", F.col("bucket").cast("int").alias("bucket"), r4("left").alias("left"),
+                    r4("right").alias("right"), "count")
