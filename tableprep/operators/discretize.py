@@ -15,7 +15,6 @@ from datetime import date, datetime, time
 
 from pyspark.sql import functions as F
 
-from ..errors import SchemaError
 from ..functions.buckets import count_below, right_closed_label
 from ..functions.prefix import PrefixIndex
 from ..functions.quantiles import exact_quantiles
@@ -314,8 +313,3 @@ class DateDiscretizer(Step):
             out = c + suffix if suffix else c
             produced[out] = typed(right_closed_label(v, e, labels), out, LType.ORDINAL, labels)
         return t.with_df(_place(t.df, produced, drop_and_append=True))
-
-
-def check_edges_strict(edges):
-    if any(b <= a for a, b in zip(edges[:-1], edges[1:])):
-        raise SchemaError("edges must increase")

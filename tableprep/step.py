@@ -18,7 +18,7 @@ from typing import Any, ClassVar
 from pyspark.sql import DataFrame
 
 from .errors import OptionError, SchemaError, StreamingError
-from .ltypes import ALL_TYPES, LType, ltypes
+from .ltypes import ALL_TYPES, ltypes
 from .table import Table, like
 
 REGISTRY: dict[str, type["Step"]] = {}
@@ -132,7 +132,3 @@ def make(key: str, **options) -> Step:
     if key not in REGISTRY:
         raise OptionError([("unknown", f"no step named {key!r}")])
     return REGISTRY[key](**options)
-
-
-def accepted_names(types) -> list[str]:
-    return sorted(t.value if isinstance(t, LType) else str(t) for t in types)
