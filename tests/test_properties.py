@@ -59,3 +59,34 @@ def test_minmax_in_range_and_bins_cover(spark, values, lo, width):
     for strategy in ("uniform", "quantile"):
         b = BinsDiscretizer(attributes={"x": {"bins": 3}}, strategy=strategy)(df).collect()
         assert sum(r.x is not None for r in b) == sum(v is not None for v in values)
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from([0.0, 1.5, -2.0, 7.0]), st.floats(-1e4, 1e4, allow_nan=False)),
+                min_size=1, max_size=300),
+       st.sampled_from([2, 5, 1000]), st.sampled_from([2, 16, 4096]))
+def test_exact_quantiles_random(spark, values, local_rows, buckets):
+    """Duplicates, hot values and negatives, with tiny cells to force refinement."""
+    import numpy as np
+    from tableprep.functions.quantiles import exact_quantiles
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = exact_quantiles(df, {"x": probs}, local_rows=local_rows, buckets=buckets)["x"]
+    assert np.allclose(got, np.percentile(np.array(values), [p * 100 for p in probs]), rtol=0, atol=1e-9)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from([3.0, 3.5]), st.floats(-100, 100, allow_nan=False)), min_size=2,
+                max_size=200), st.lists(st.floats(-120, 120, allow_nan=False), min_size=1, max_size=6))
+def test_prefix_index_random(spark, values, points):
+    """Exact (count, sum) of values <= m and < m, with tiny buckets and details."""
+    import numpy as np
+    from tableprep.functions.prefix import PrefixIndex
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    v = np.array(values)
+    ix = PrefixIndex(df, "x", len(values), float(v.min()), float(v.max()), buckets=8, local_rows=3)
+    for m in points:
+        n, s = ix.below(m)
+        assert n == int((v <= m).sum()) and abs(s - float(v[v <= m].sum())) < 1e-6
+        n2, s2 = ix.below(m, strict=True)
+        assert n2 == int((v < m).sum()) and abs(s2 - float(v[v < m].sum())) < 1e-6
