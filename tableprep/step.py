@@ -1,8 +1,9 @@
 """Step / Model: the operator interface.
 
 A step is validated options plus ``DataFrame -> DataFrame``. Steps that learn
-from the data are split into ``fit`` (at most one aggregate job, returns a
-:class:`Model` holding small learned parameters) and ``Model.transform``
+from the data are split into ``fit`` (usually one aggregate job over all
+selected columns; exact quantiles and k-means take a few bounded passes;
+returns a :class:`Model` holding small learned parameters) and ``Model.transform``
 (row-local, lazy, also valid on a streaming DataFrame). Stateless steps fit
 without touching the data.
 
