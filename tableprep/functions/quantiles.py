@@ -33,9 +33,14 @@ from pyspark.sql import functions as F
 BUCKETS = 4096
 
 
+INF = float("inf")
+
+
 def _bucket(v, lo: float, w: float, nb: int):
+    """Bucket of ``v`` in [lo, lo + nb * w]; -inf and +inf get buckets of their own."""
     f = F.floor((v - F.lit(lo)) / F.lit(w))
-    return F.when(f > F.lit(nb - 1), F.lit(nb - 1)).otherwise(f)
+    return (F.when(v == F.lit(-INF), F.lit(-1)).when(v == F.lit(INF), F.lit(nb))
+            .when(f > F.lit(nb - 1), F.lit(nb - 1)).otherwise(f))
 
 
 def _in_cell(v, chain):
@@ -68,6 +73,16 @@ def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], local_rows: int
     if prefetched is None:
         prefetched = read_minmax_count(src.agg(*minmax_count_aggs(cols)).collect()[0], cols)
 
+    # bucket widths come from the finite range: one more aggregate only when a
+    # column holds an infinity
+    inf_cols = [c for c in cols if prefetched[c][0] and (abs(prefetched[c][1]) == INF or abs(prefetched[c][2]) == INF)]
+    finite = {}
+    if inf_cols:
+        fin = lambda c: F.when(F.abs(F.col(c)) < F.lit(INF), F.col(c))
+        r = src.agg(*[F.min(fin(c)).alias(f"a{i}") for i, c in enumerate(inf_cols)],
+                    *[F.max(fin(c)).alias(f"b{i}") for i, c in enumerate(inf_cols)]).collect()[0]
+        finite = {c: (r[f"a{i}"], r[f"b{i}"]) for i, c in enumerate(inf_cols)}
+
     found: dict[tuple[str, int], float] = {}
     # (column, rank) -> (chain, base = #values before the cell, size, cell min, cell max)
     state = {}
@@ -83,6 +98,14 @@ def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], local_rows: int
                 else:
                     state[(c, k)] = ((), 0, n, mn, mx)
 
+    def width(c, lo, hi, nb):
+        if abs(lo) == INF or abs(hi) == INF:  # only the root cell can hold infinities
+            flo, fhi = finite.get(c, (None, None))
+            if flo is None or flo == fhi:
+                return (flo if flo is not None else 0.0), 1.0
+            return flo, (fhi - flo) / nb
+        return lo, (hi - lo) / nb
+
     for _ in range(64):
         big = {key: st for key, st in state.items() if st[2] > local_rows}
         if not big:
@@ -97,7 +120,10 @@ def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], local_rows: int
             cell_id, bucket = None, None
             for i, chain, lo, hi in mine:
                 cond = _in_cell(v, chain)
-                b = _bucket(v, lo, (hi - lo) / buckets, buckets)
+                blo, bw = width(c, lo, hi, buckets)
+                # a range too narrow to split holds at most ``buckets`` + 1 doubles:
+                # the value itself is the bucket, every bucket single-valued
+                b = _bucket(v, blo, bw, buckets) if bw > 0 else v
                 cell_id = F.when(cond, F.lit(i)) if cell_id is None else cell_id.when(cond, F.lit(i))
                 bucket = F.when(cond, b) if bucket is None else bucket.when(cond, b)
             structs.append(F.struct(cell_id.alias("cell"), bucket.alias("b"), v.alias("v")))
@@ -109,15 +135,16 @@ def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], local_rows: int
             hist.setdefault(r["cell"], []).append((r["b"], r["n"], r["lo"], r["hi"]))
         for (c, k), (chain, base, size, lo, hi) in big.items():
             i = cells.index((c, chain, lo, hi))
-            w = (hi - lo) / buckets
+            blo, w = width(c, lo, hi, buckets)
             cum = base
+            blo_cell = blo
             for b, n, blo, bhi in sorted(hist[i]):
                 if k < cum + n:
                     if blo == bhi:
                         found[(c, k)] = blo
                         del state[(c, k)]
                     else:
-                        state[(c, k)] = (chain + ((lo, w, buckets, b),), cum, n, blo, bhi)
+                        state[(c, k)] = (chain + ((blo_cell, w, buckets, b),), cum, n, blo, bhi)
                     break
                 cum += n
 

@@ -152,10 +152,11 @@ class BinsDiscretizer(Step):
             if e is None or any(v is None for v in e):
                 edges[c] = None
                 continue
-            if minmax[c][0] == minmax[c][1]:
-                edges[c] = [minmax[c][0], minmax[c][1]]  # one bin
+            merged = merge_close_edges(e)
+            if minmax[c][0] == minmax[c][1] or len(merged) < 2:
+                edges[c] = [minmax[c][0], minmax[c][1]]  # one bin (range below the merge tolerance)
             else:
-                edges[c] = merge_close_edges(e)
+                edges[c] = merged
         return {"edges": edges}
 
     def _transform(self, t, params):

@@ -90,3 +90,24 @@ def test_prefix_index_random(spark, values, points):
         assert n == int((v <= m).sum()) and abs(s - float(v[v <= m].sum())) < 1e-6
         n2, s2 = ix.below(m, strict=True)
         assert n2 == int((v < m).sum()) and abs(s2 - float(v[v < m].sum())) < 1e-6
+
+
+def test_exact_quantiles_with_infinities(spark):
+    import numpy as np
+    from tableprep.functions.quantiles import exact_quantiles
+    vals = [float("-inf"), 1.0, 2.0, 2.0, 5.0, float("inf"), float("inf"), 3.5] * 5
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    probs = [0.0, 0.1, 0.3, 0.5, 0.7, 1.0]
+    got = exact_quantiles(df, {"x": probs}, local_rows=3)["x"]
+    ref = np.percentile(np.array(vals), [p * 100 for p in probs])
+    # numpy's interpolation turns an exact-rank infinity into NaN; the order
+    # statistic itself is the infinity (as DuckDB's quantile_cont returns)
+    assert got[0] == float("-inf") and got[-1] == float("inf")
+    assert np.isnan(got[1]) and np.isnan(ref[1])  # between -inf and a finite value
+    assert got[2:-1] == list(ref[2:-1])
+
+
+def test_exact_quantiles_tiny_range(spark):
+    from tableprep.functions.quantiles import exact_quantiles
+    df = spark.createDataFrame([(0.0,), (0.0,), (5e-324,)], "x double")
+    assert exact_quantiles(df, {"x": [0.0, 0.5, 1.0]}, local_rows=2, buckets=2)["x"] == [0.0, 0.0, 5e-324]
