@@ -111,3 +111,63 @@ def test_exact_quantiles_tiny_range(spark):
     from tableprep.functions.quantiles import exact_quantiles
     df = spark.createDataFrame([(0.0,), (0.0,), (5e-324,)], "x double")
     assert exact_quantiles(df, {"x": [0.0, 0.5, 1.0]}, local_rows=2, buckets=2)["x"] == [0.0, 0.0, 5e-324]
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(-20, 20).map(float)), min_size=1, max_size=40),
+       st.lists(st.integers(-25, 25), min_size=2, max_size=6, unique=True))
+def test_range_bins_match_python(spark, values, edges):
+    from tableprep.operators.discretize import RangeDiscretizer
+    edges = sorted(float(e) for e in edges)
+    labels = [f"L{i}" for i in range(len(edges) - 1)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    out = {r.i: r.x_bins for r in RangeDiscretizer(table={"x": {"bins": edges, "labels": labels}})(df).collect()}
+    for i, v in enumerate(values):
+        want = None
+        if v is not None:
+            for j in range(len(labels)):
+                if edges[j] < v <= edges[j + 1]:
+                    want = labels[j]
+        assert out[i] == want
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.one_of(st.none(), st.integers(0, 9))), min_size=1, max_size=60),
+       st.sampled_from([2, 3, 7]), st.booleans(), st.booleans())
+def test_fill_matches_python(spark, rows, ranges, forward, grouped):
+    from tableprep.operators.fill import directional_fill
+    data = [(i, g, v, None if v is None else f"s{v}") for i, (g, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "o long, g int, v long, t string")
+    got = {r.o: (r.v, r.t) for r in directional_fill(df, ["v", "t"], "o", ["g"] if grouped else [],
+                                                     forward=forward, ranges=ranges).collect()}
+    order = list(range(len(data))) if forward else list(reversed(range(len(data))))
+    last = {}
+    for i in order:
+        key = data[i][1] if grouped else 0
+        if data[i][2] is not None:
+            last[key] = (data[i][2], data[i][3])
+        assert got[i] == (data[i][2], data[i][3]) if data[i][2] is not None else got[i] == last.get(key, (None, None))
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(0, 4)), max_size=12),
+       st.lists(st.one_of(st.none(), st.integers(0, 4)), max_size=12),
+       st.sampled_from(["inner", "left", "right", "outer"]))
+def test_null_safe_join_matches_python(spark, lkeys, rkeys, how):
+    from collections import Counter
+    from tableprep.operators.join import Join
+    a = spark.createDataFrame([(k, i) for i, k in enumerate(lkeys)], "k int, a int")
+    b = spark.createDataFrame([(k, i) for i, k in enumerate(rkeys)], "k int, b int")
+    got = Counter((r.k, r.a, r.b) for r in Join(left_on="k", right_on="k", how=how)(a, b).collect())
+    want = Counter()
+    for i, x in enumerate(lkeys):
+        hits = [j for j, y in enumerate(rkeys) if x == y]  # None == None: missing matches missing
+        for j in hits:
+            want[(x, i, j)] += 1
+        if not hits and how in ("left", "outer"):
+            want[(x, i, None)] += 1
+    if how in ("right", "outer"):
+        for j, y in enumerate(rkeys):
+            if y not in lkeys:
+                want[(y, None, j)] += 1
+    assert got == want
