@@ -171,3 +171,36 @@ def test_null_safe_join_matches_python(spark, lkeys, rkeys, how):
             if y not in lkeys:
                 want[(y, None, j)] += 1
     assert got == want
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.floats(-1e3, 1e3, allow_nan=False)), min_size=1, max_size=80),
+       st.integers(2, 12))
+def test_histogram_matches_pandas_cut(spark, values, bins):
+    import pandas as pd
+    from tableprep.operators.profile import histogram
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    present = pd.Series([v for v in values if v is not None], dtype=float)
+    got = histogram(df, "x", bins=bins).orderBy("bucket").collect()
+    if present.empty:
+        assert got == []
+        return
+    assert len(got) == bins
+    ref = pd.cut(present, bins).value_counts(sort=False).tolist()
+    assert [r["count"] for r in got] == ref
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.sampled_from(["a", "b", "c", "d"])), min_size=1, max_size=50))
+def test_value_summary_matches_counter(spark, values):
+    from collections import Counter
+    from tableprep.operators.profile import value_summary
+    df = spark.createDataFrame([(v,) for v in values], "c string")
+    cnt = Counter(v for v in values if v is not None)
+    got = value_summary(df, ["c"]).collect()
+    if not cnt:
+        assert got == []
+        return
+    top_n = max(cnt.values())
+    assert (got[0]["unique"], got[0]["top"], got[0]["top_count"]) == (
+        len(cnt), min(k for k, n in cnt.items() if n == top_n), top_n)
