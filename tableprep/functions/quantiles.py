@@ -50,6 +50,31 @@ def _in_cell(v, chain):
     return cond
 
 
+# The search builds many CASE branches; as SQL text each column costs one JVM
+# call instead of one per literal and operator (same plan either way).
+
+def _d(x: float) -> str:
+    """Exact double literal."""
+    if x == INF:
+        return "CAST('Infinity' AS DOUBLE)"
+    if x == -INF:
+        return "CAST('-Infinity' AS DOUBLE)"
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
+def _bucket_sql(v: str, lo: float, w: float, nb: int) -> str:
+    f = f"FLOOR(({v} - {_d(lo)}) / {_d(w)})"
+    return (f"(CASE WHEN {v} = {_d(-INF)} THEN -1 WHEN {v} = {_d(INF)} THEN {nb} "
+            f"WHEN {f} > {nb - 1} THEN {nb - 1} ELSE {f} END)")
+
+
+def _in_cell_sql(v: str, chain) -> str:
+    parts = [f"{v} IS NOT NULL"]
+    for lo, w, nb, b in chain:
+        parts.append(f"{_bucket_sql(v, lo, w, nb)} = {_d(b)}")
+    return " AND ".join(parts)
+
+
 def minmax_count_aggs(cols, prefix="__qm"):
     """Aggregates whose result :func:`read_minmax_count` turns into ``prefetched``."""
     out = []
@@ -116,17 +141,18 @@ def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], local_rows: int
             mine = [(i, chain, lo, hi) for i, (cc, chain, lo, hi) in enumerate(cells) if cc == c]
             if not mine:
                 continue
-            v = F.col(c)
-            cell_id, bucket = None, None
+            v = f"`{c}`"
+            cell_sql, bucket_sql = [], []
             for i, chain, lo, hi in mine:
-                cond = _in_cell(v, chain)
+                cond = _in_cell_sql(v, chain)
                 blo, bw = width(c, lo, hi, buckets)
                 # a range too narrow to split holds at most ``buckets`` + 1 doubles:
                 # the value itself is the bucket, every bucket single-valued
-                b = _bucket(v, blo, bw, buckets) if bw > 0 else v
-                cell_id = F.when(cond, F.lit(i)) if cell_id is None else cell_id.when(cond, F.lit(i))
-                bucket = F.when(cond, b) if bucket is None else bucket.when(cond, b)
-            structs.append(F.struct(cell_id.alias("cell"), bucket.alias("b"), v.alias("v")))
+                b = _bucket_sql(v, blo, bw, buckets) if bw > 0 else v
+                cell_sql.append(f"WHEN {cond} THEN {i}")
+                bucket_sql.append(f"WHEN {cond} THEN CAST({b} AS DOUBLE)")
+            structs.append(F.struct(F.expr(f"CASE {' '.join(cell_sql)} END").alias("cell"),
+                                    F.expr(f"CASE {' '.join(bucket_sql)} END").alias("b"), F.col(c).alias("v")))
         rows = (src.select(F.inline(F.array(*structs))).where(F.col("cell").isNotNull())
                 .groupBy("cell", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
                                           F.max("v").alias("hi")).collect())
@@ -155,12 +181,9 @@ def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], local_rows: int
             mine = [(i, chain) for i, (cc, chain) in enumerate(cells) if cc == c]
             if not mine:
                 continue
-            v = F.col(c)
-            cell_id = None
-            for i, chain in mine:
-                cond = _in_cell(v, chain)
-                cell_id = F.when(cond, F.lit(i)) if cell_id is None else cell_id.when(cond, F.lit(i))
-            structs.append(F.struct(cell_id.alias("cell"), v.alias("v")))
+            v = f"`{c}`"
+            cell_sql = [f"WHEN {_in_cell_sql(v, chain)} THEN {i}" for i, chain in mine]
+            structs.append(F.struct(F.expr(f"CASE {' '.join(cell_sql)} END").alias("cell"), F.col(c).alias("v")))
         tagged = src.select(F.inline(F.array(*structs))).where(F.col("cell").isNotNull())
         ranked = tagged.select("cell", "v", (F.row_number().over(Window.partitionBy("cell").orderBy("v")) - 1)
                                .alias("r"))
