@@ -36,20 +36,6 @@ BUCKETS = 4096
 INF = float("inf")
 
 
-def _bucket(v, lo: float, w: float, nb: int):
-    """Bucket of ``v`` in [lo, lo + nb * w]; -inf and +inf get buckets of their own."""
-    f = F.floor((v - F.lit(lo)) / F.lit(w))
-    return (F.when(v == F.lit(-INF), F.lit(-1)).when(v == F.lit(INF), F.lit(nb))
-            .when(f > F.lit(nb - 1), F.lit(nb - 1)).otherwise(f))
-
-
-def _in_cell(v, chain):
-    cond = v.isNotNull()
-    for lo, w, nb, b in chain:
-        cond = cond & (_bucket(v, lo, w, nb) == F.lit(b))
-    return cond
-
-
 # The search builds many CASE branches; as SQL text each column costs one JVM
 # call instead of one per literal and operator (same plan either way).
 
