@@ -159,6 +159,14 @@ def test_onehot(spark):
     assert ltypes(out)["col3_q"] == LType.NOMINAL
 
 
+def test_onehot_category_cap(spark):
+    df = spark.createDataFrame([(i, str(i)) for i in range(5)], "i int, c string")
+    with pytest.raises(SchemaError):
+        OneHotEncoder(attributes=["c"], max_categories=4)(df)
+    out = OneHotEncoder(attributes=["c"], max_categories=5)(df)
+    assert out.columns == ["i", "c"] + [f"c_{i}" for i in range(5)]
+
+
 def test_codes_and_epoch(spark):
     md = {"ltype": "ordinal", "categories": ["b", "a"]}
     df = spark.createDataFrame([(0, "a", datetime(1970, 1, 1, 0, 0, 1, 500)), (1, "b", None), (2, "z", None)],
