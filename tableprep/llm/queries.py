@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from .chat import OP7_SQL, op7_chat
 from .mixing import OP1_SQL, op1_mix
+from .secret_scan import op9_secrets
 from .sharding import op10_shard
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op7_chat": op7_chat,
+    "op9_secrets": op9_secrets,
     "op10_shard": op10_shard,
 }
 
 ORACLES = {
     "op1_mix": OP1_SQL,
+    "op7_chat": OP7_SQL,
 }
