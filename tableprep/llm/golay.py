@@ -6,7 +6,6 @@ gives the 12-bit index of that codeword for whole arrays of words.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -23,7 +22,6 @@ def _remainder(word: int) -> int:
     return word
 
 
-@lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Syndromes of the low and the high bits, and the error pattern of each syndrome."""
     unit = [_remainder(1 << i) for i in range(LENGTH)]
@@ -44,12 +42,14 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low, high, leaders
 
 
+_LOW, _HIGH, _LEADERS = _tables()
+
+
 def indices(words: np.ndarray) -> np.ndarray:
     """Index (top 12 bits) of the codeword nearest to each 23-bit word."""
-    low, high, leaders = _tables()
     w = words.astype(np.uint32)
-    syndrome = low[w & np.uint32(0xFFF)] ^ high[w >> np.uint32(12)]
-    return (w ^ leaders[syndrome]) >> np.uint32(LENGTH - DATA_BITS)
+    syndrome = _LOW[w & np.uint32(0xFFF)] ^ _HIGH[w >> np.uint32(12)]
+    return (w ^ _LEADERS[syndrome]) >> np.uint32(LENGTH - DATA_BITS)
 
 
 def ball_indices(words: np.ndarray, bits: int) -> np.ndarray:

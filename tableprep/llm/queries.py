@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP7_SQL, op7_chat
 from .decontam import op4_decontam
 from .mixing import OP1_SQL, op1_mix
+from .quality_rules import op6_quality
 from .secret_scan import op9_secrets
 from .sharding import op10_shard
 from .simhash import op3_simhash
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_mix": op1_mix,
     "op3_simhash": op3_simhash,
     "op4_decontam": op4_decontam,
+    "op6_quality": op6_quality,
     "op7_chat": op7_chat,
     "op9_secrets": op9_secrets,
     "op10_shard": op10_shard,

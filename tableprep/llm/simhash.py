@@ -19,9 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import golay
 from .common import fresh, q, read, stored
 from .components import components
+from .golay import ball_indices
 
 SHINGLE, MAX_BITS = 3, 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
@@ -77,7 +77,7 @@ def fuzzy_keys(fps: DataFrame) -> DataFrame:
             for s, (first, bits) in enumerate(SEGMENTS):
                 nxt, nbits = SEGMENTS[(s + 1) % len(SEGMENTS)]
                 seg = (v >> np.uint64(first)) & np.uint64((1 << bits) - 1)
-                idx = np.sort(golay.ball_indices((v >> np.uint64(nxt)) & np.uint64((1 << nbits) - 1), nbits), axis=1)
+                idx = np.sort(ball_indices((v >> np.uint64(nxt)) & np.uint64((1 << nbits) - 1), nbits), axis=1)
                 new = np.ones(idx.shape, dtype=bool)
                 new[:, 1:] = idx[:, 1:] != idx[:, :-1]
                 row, col = np.nonzero(new)

@@ -10,9 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _S = np.uint64(31)
+_LONG = 64  # bytes of a word from which it is hashed on its own
 
 #: ASCII white space.
 WHITE = bytes(range(0x09, 0x0E)) + b" "
@@ -92,7 +94,10 @@ class Words:
         start, left = self.start[which], self.end[which] - self.start[which]
         lanes = np.ndarray((max(0, len(self.bytes) - 7),), dtype="<u8", buffer=self.bytes, strides=(1,))
         h = left.astype(np.uint64) * _M1
-        todo = np.arange(len(which))
+        long = left > _LONG  # hashed one by one: a text may be one word of any length
+        for i in np.flatnonzero(long).tolist():
+            h[i] = xxhash.xxh64_intdigest(self.bytes[start[i]:start[i] + left[i]])
+        todo = np.flatnonzero(~long)
         k = 0
         while len(todo):
             rest = left[todo] - 8 * k
