@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from .chat import OP7_SQL, op7_chat
+from .compress_quality import op8_quality
 from .decontam import op4_decontam
 from .mixing import OP1_SQL, op1_mix
 from .quality_rules import op6_quality
 from .secret_scan import op9_secrets
 from .sharding import op10_shard
 from .simhash import op3_simhash
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_mix": op1_mix,
     "op3_simhash": op3_simhash,
     "op4_decontam": op4_decontam,
+    "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op7_chat": op7_chat,
+    "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_shard": op10_shard,
 }

@@ -86,12 +86,12 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            self._hash = self.hash_words(np.arange(len(self)))
+            self._hash = self.hash_spans(self.start, self.end)
         return self._hash
 
-    def hash_words(self, which: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the given words' bytes (equal words, equal hashes)."""
-        start, left = self.start[which], self.end[which] - self.start[which]
+    def hash_spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of byte ranges (equal bytes, equal hashes)."""
+        left = end - start
         lanes = np.ndarray((max(0, len(self.bytes) - 7),), dtype="<u8", buffer=self.bytes, strides=(1,))
         h = left.astype(np.uint64) * _M1
         long = left > _LONG  # hashed one by one: a text may be one word of any length
