@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP7_SQL, op7_chat
 from .compress_quality import op8_quality
 from .decontam import op4_decontam
+from .hmm_lm import op2_hmm
 from .mixing import OP1_SQL, op1_mix
 from .quality_rules import op6_quality
 from .secret_scan import op9_secrets
@@ -14,6 +15,7 @@ from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_hmm": op2_hmm,
     "op3_simhash": op3_simhash,
     "op4_decontam": op4_decontam,
     "op5_toxicity": op5_toxicity,
