@@ -2,8 +2,8 @@
 
 Two zstandard dictionaries, one from good and one from bad labelled text: a
 text that compresses better with the good one is likelier good. The
-difference of the two compressed sizes over the text's size is turned into a
-probability by a logistic curve fitted on labelled texts that neither
+difference of the two compressed sizes over the root of the text's size (its
+spread grows like that) is turned into a probability by a logistic curve fitted on labelled texts that neither
 dictionary saw.
 """
 
@@ -23,7 +23,6 @@ from .labelled import clear_labels, logistic, sample_ids
 #: of the dictionary texts at most this many pieces of PIECE bytes, by hash.
 SAMPLE_DOCS, PIECE, SAMPLE_PIECES = 2_000, 4_096, 2_500
 DICT_BYTES, LEVEL = 112_640, 3
-SMALL = 32          # bytes added to a text's size, so that a few bytes' difference says little of a tiny text
 THRESHOLD = 0.3
 SEED = 8
 
@@ -48,7 +47,7 @@ def _differences(rows: DataFrame, good: bytes, bad: bytes, level: int, out: str)
         a, b = _compressor(good, level), _compressor(bad, level)
         for batch in batches:
             texts = batch.column(len(kept))
-            diff = np.fromiter(((len(b.compress(t)) - len(a.compress(t))) / (len(t) + SMALL) for t in (x.as_py() for x in texts)),
+            diff = np.fromiter(((len(b.compress(t)) - len(a.compress(t))) / np.sqrt(len(t) + 1) for t in (x.as_py() for x in texts)),
                                np.float64, len(texts))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(diff)], [*kept, out])
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField(out, T.DoubleType())]))
