@@ -60,7 +60,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] | Mapping, share=SHA
     w_rest = F.col("all_w") - F.col("w_upto") + F.col("w_tie")
     level = (num * F.col("total") - den * c_below) / (den * w_rest)
     t = t.withColumn("level", F.when((F.col("weight") > 0) & (level <= F.col("ratio")), level))
-    t = t.withColumn("level", F.min("level").over(everything))
+    # supposing too many sources at their caps leaves a lower level for the rest: the highest is the true one
+    t = t.withColumn("level", F.max("level").over(everything))
     raw = F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double"))
     target = F.when(F.col("weight") > 0, F.least(raw, F.col("cap").cast("double"))).otherwise(F.lit(0.0))
     return t.select("source", "size", "weight", target.alias("target"))
@@ -146,7 +147,7 @@ def op1_mix(spark, sf_dir):
 
 
 OP1_SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, text,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS key
@@ -154,10 +155,14 @@ WITH d AS (
 s AS (SELECT source, sum(size)::BIGINT AS size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rk FROM d GROUP BY source),
 w AS (SELECT *, [3, 1, 2][((rk - 1) % 3 + 1)::INT]::BIGINT AS weight, (SELECT sum(size) FROM s)::BIGINT AS total FROM s),
 r AS (SELECT *, 2 * size AS cap, (2 * size)::DOUBLE / weight AS ratio FROM w),
-l AS (SELECT min(lev) AS lev FROM (
-  SELECT a.ratio, (3 * any_value(a.total) - 2 * coalesce(sum(b.cap) FILTER (b.ratio < a.ratio), 0))::DOUBLE
-         / (2 * sum(b.weight) FILTER (b.ratio >= a.ratio))::DOUBLE AS lev
-  FROM r a, r b GROUP BY a.source, a.ratio) WHERE lev <= ratio),
+-- the excess over the caps is shared again until none is above: the level rises round by round
+rounds(k, lev) AS (
+  SELECT 0, (SELECT (3 * any_value(total))::DOUBLE / (2 * sum(weight))::DOUBLE FROM r)
+  UNION ALL
+  SELECT k + 1, (SELECT (3 * any_value(total) - 2 * coalesce(sum(cap) FILTER (ratio < lev), 0))::DOUBLE
+                        / (2 * sum(weight) FILTER (ratio >= lev))::DOUBLE FROM r)
+  FROM rounds WHERE k < (SELECT count(*) FROM r)),
+l AS (SELECT max(lev) AS lev FROM rounds),
 t AS (SELECT source, size AS source_size, least(lev * weight, cap::DOUBLE) AS target FROM r, l),
 x AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS budget,
         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size

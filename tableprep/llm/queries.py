@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
+from corpus_pipeline import run as pipeline
+
 from .chat import OP7_SQL, op7_chat
 from .compress_quality import op8_quality
 from .decontam import op4_decontam
@@ -24,9 +27,12 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_shard": op10_shard,
+    "pipeline": pipeline,
 }
 
 ORACLES = {
     "op1_mix": OP1_SQL,
     "op7_chat": OP7_SQL,
 }
+if PIPELINE_SQL is not None:
+    ORACLES["pipeline"] = PIPELINE_SQL
