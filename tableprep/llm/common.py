@@ -67,7 +67,7 @@ def random_key(seed: str, *parts: Column) -> Column:
 
 
 #: Range cuts of a hash-random key hold about this many rows each.
-ROWS_PER_CUT = 50_000
+ROWS_PER_CUT = 5_000
 
 
 def cut_step(n_rows: int, rows_per_cut: int = ROWS_PER_CUT) -> int:
