@@ -29,7 +29,7 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 IDENTIFIER = r"[A-Za-z0-9_-]{6,}"
 #: Bounds of the training sample: this many rows of each label, by hash of the id.
 SAMPLE_SECRETS, SAMPLE_DOCS = 20_000, 2_000
-THRESHOLD = 1.0   # nats per character
+THRESHOLD = 0.4   # nats per character
 CODES = 128
 
 

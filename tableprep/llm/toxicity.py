@@ -8,6 +8,8 @@ them as uncertain as they are on new texts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,29 +22,63 @@ from .textblock import Words, byte_map, slices
 
 #: Bounds of the labelled sample: documents of each combination of labels, features of each category.
 SAMPLE_DOCS, FEATURES = 3_000, 400
-PREFIXES = (4, 5, 6)   # bytes of a word's beginning that are features as well
+PREFIXES = tuple(range(4, 11))   # bytes of a longer word's beginning that are features as well: stems
 MIN_DOCS = 5
 FOLDS = 5
-THRESHOLD = 0.5
+CLIP = 8.0   # bound of a logit that feeds a later model
+RIDGE = 10.0
+THRESHOLD = 0.3
 SEED = 5
 _MAP = byte_map(lower=True, punctuation=True)
 
 
-def _feature_hashes(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(text of the run, feature hash), each feature once per text: words and word beginnings."""
-    doc = w.doc_of().astype(np.uint64)
-    size = w.end - w.start
-    docs, feats = [doc], [w.hash]
+def _word_features(w: Words, which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (index into ``which``, feature hash): each word itself and its beginnings."""
+    start, end = w.start[which], w.end[which]
+    yield np.arange(len(which)), w.hash[which]
     for k in PREFIXES:
-        longer = np.flatnonzero(size > k)
-        docs.append(doc[longer])
-        feats.append(w.hash_spans(w.start[longer], w.start[longer] + k) ^ np.uint64(k))
-    docs, feats = np.concatenate(docs), np.concatenate(feats)
+        longer = np.flatnonzero(end - start > k)
+        yield longer, w.hash_spans(start[longer], start[longer] + k) ^ np.uint64(k)
+
+
+def _feature_hashes(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(text of the run, feature hash), each feature once per text."""
+    doc = w.doc_of()
+    pairs = list(_word_features(w, np.arange(len(w))))
+    docs = np.concatenate([doc[i] for i, _ in pairs])
+    feats = np.concatenate([f for _, f in pairs])
     order = np.lexsort((feats, docs))
     docs, feats = docs[order], feats[order]
     new = np.ones(len(docs), dtype=bool)
     new[1:] = (docs[1:] != docs[:-1]) | (feats[1:] != feats[:-1])
-    return docs[new].astype(np.int64), feats[new]
+    return docs[new], feats[new]
+
+
+def _known_features(w: Words, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text of the run, index into the sorted ``features``), each once per text.
+
+    Features are worked out for distinct words only.
+    """
+    k = len(features)
+    if not k or not len(w):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+    word, hit = [], []
+    for i, f in _word_features(w, first):
+        at = np.minimum(np.searchsorted(features, f), k - 1)
+        good = np.flatnonzero(features[at] == f)
+        word.append(i[good])
+        hit.append(at[good])
+    word, hit = np.concatenate(word), np.concatenate(hit)
+    order = np.argsort(word, kind="stable")
+    word, hit = word[order], hit[order]
+    begin = np.searchsorted(word, np.arange(len(first) + 1))
+    n = np.diff(begin)[inverse]                       # features of each word of the run
+    some = np.flatnonzero(n)
+    n = n[some]
+    at = np.repeat(begin[inverse[some]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    pair = np.unique(np.repeat(w.doc_of()[some], n) * k + hit[at])
+    return pair // k, pair % k
 
 
 def _sample_features(sample: DataFrame, flags: list[str]) -> DataFrame:
@@ -82,18 +118,19 @@ class Chain:
         return self.names, self.features, self.weights
 
 
-def chain_logits(doc: np.ndarray, feat: np.ndarray, n: int, features: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
-    """Logits ``(n, categories)`` of a run of texts."""
-    k = len(features)
-    out = np.zeros((n, len(weights)))
-    if k:
-        i = np.minimum(np.searchsorted(features, feat), k - 1)
-        hit = features[i] == feat
-        doc, i = doc[hit], i[hit]
-    else:
-        doc, i = doc[:0], doc[:0]
-    for c, w in enumerate(weights):
-        out[:, c] = w[-1] + np.bincount(doc, weights=w[i] if k else None, minlength=n)[:n] + np.clip(out[:, :c], -8, 8) @ w[k:k + c]
+def chain_logits(doc: np.ndarray, feat: np.ndarray, n: int, models: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Logits ``(n, categories)`` of texts given as pairs (text, feature index).
+
+    A model: how telling each feature is, of which the largest present counts,
+    and the weights of features, that largest value, earlier logits and one.
+    """
+    out = np.zeros((n, len(models)))
+    for c, (sure, w) in enumerate(models):
+        k = len(sure)
+        peak = np.zeros(n)
+        np.maximum.at(peak, doc, sure[feat])
+        out[:, c] = (w[-1] + np.bincount(doc, weights=w[feat], minlength=n)[:n] + w[k] * peak
+                     + np.clip(out[:, :c], -CLIP, CLIP) @ w[k + 1:k + 1 + c])
     return out
 
 
@@ -138,23 +175,29 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *,
     fold = np.arange(len(rows)) % FOLDS
     weights, earlier = [], np.zeros((len(rows), 0))
     for c in range(len(names)):
-        inputs = np.hstack([x, earlier])
+        # each feature counts by its log ratio of shares, so that telling ones are held back less
+        one, zero = weight * y[:, c], weight * (1 - y[:, c])
+        ratio = np.log((one @ x + 1) / (one.sum() + 2)) - np.log((zero @ x + 1) / (zero.sum() + 2))
+        # one telling feature is enough for a person: the largest ratio present, less its standard error
+        sure = ratio - np.sqrt(1 / (one @ x + 1) + 1 / (zero @ x + 1))
+        peak = np.maximum((x * np.maximum(sure, 0)).max(axis=1, initial=0), 0)
+        inputs = np.hstack([x * ratio, peak[:, None], earlier])
         if len(set(y[:, c])) < 2:
             w = np.zeros(inputs.shape[1] + 1)
             w[-1] = -20.0 if not y[:, c].any() else 20.0
             logits = np.full(len(rows), w[-1])
         else:
-            w = logistic(inputs, y[:, c], weight)
+            w = logistic(inputs, y[:, c], weight, RIDGE)
             logits = np.zeros(len(rows))
             for k in range(FOLDS):  # predictions for a fold by a model that has not seen it
                 out, rest = fold == k, fold != k
                 if len(set(y[rest, c])) < 2:
                     logits[out] = inputs[out] @ w[:-1] + w[-1]
                     continue
-                v = logistic(inputs[rest], y[rest, c], weight[rest])
+                v = logistic(inputs[rest], y[rest, c], weight[rest], RIDGE)
                 logits[out] = inputs[out] @ v[:-1] + v[-1]
-        weights.append(w)
-        earlier = np.hstack([earlier, np.clip(logits, -8, 8)[:, None]])
+        weights.append((np.maximum(sure, 0), np.concatenate([w[:len(ratio)] * ratio, w[len(ratio):]])))
+        earlier = np.hstack([earlier, np.clip(logits, -CLIP, CLIP)[:, None]])
     return Chain(names, features, weights)
 
 
@@ -168,7 +211,7 @@ def score(docs: DataFrame, chain: Chain, *, text: str = "text") -> tuple[DataFra
     def run(batches):
         _, features, weights = shared.value
         for b in batches:
-            parts = [chain_logits(*_feature_hashes(Words(data, offsets, _MAP)), n, features, weights)
+            parts = [chain_logits(*_known_features(Words(data, offsets, _MAP), features), n, weights)
                      for _, n, data, offsets in slices(b.column(len(kept)))]
             if parts:
                 p = sigmoid(np.vstack(parts))
