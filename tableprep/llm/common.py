@@ -73,3 +73,13 @@ ROWS_PER_CUT = 5_000
 def cut_step(n_rows: int, rows_per_cut: int = ROWS_PER_CUT) -> int:
     """Width of equal cuts of [0, 2**60) such that a cut holds about ``rows_per_cut`` rows."""
     return (1 << 60) // max(1, -(-n_rows // rows_per_cut)) + 1
+
+
+def hash_share(key: Column, most: int, n: int) -> Column:
+    """Condition that about ``most`` of ``n`` rows meet, a little more, chosen by a 64-bit hash ``key``.
+
+    Bounds a sample before anything is moved: what follows sees few rows more
+    than ``most`` from the whole cluster, not ``most`` rows from every task.
+    """
+    share = (most + 6 * most ** 0.5 + 10) / max(1, n)
+    return F.lit(True) if share >= 1 else F.shiftrightunsigned(key, 1) < int(share * (1 << 63))

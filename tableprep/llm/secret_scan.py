@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, q, read
+from .common import fresh, hash_share, q, read
 
 #: The patterns, the group whose length counts, its least length.
 KINDS = (
@@ -27,8 +27,8 @@ MODEL_KIND = "markov"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 #: Words that may serve as ordinary identifiers.
 IDENTIFIER = r"[A-Za-z0-9_-]{6,}"
-#: Bounds of the training sample: this many rows of each label, by hash of the id.
-SAMPLE_SECRETS, SAMPLE_DOCS = 20_000, 2_000
+#: Bound of the sample of ordinary texts: about this many, by hash of the row.
+SAMPLE_DOCS = 2_000
 THRESHOLD = 0.4   # nats per character
 CODES = 128
 
@@ -80,22 +80,19 @@ def _pairs(strings: DataFrame, name: str) -> DataFrame:
     return pairs.groupBy(code.alias("code")).agg(F.count("*").alias(name))
 
 
-def train(scanned: DataFrame, text: str, doc_id: str, spans: str) -> list[float]:
-    """Log-likelihood ratio per character pair, as an array of CODES * CODES doubles.
+def train(docs: DataFrame, text: str, doc_id: str, sample_docs: int = SAMPLE_DOCS) -> list[float]:
+    """Log-likelihood ratio per character pair, as CODES * CODES doubles.
 
-    ``scanned`` holds the base spans. Labelled random: the values of accepted
-    spans. Labelled ordinary: the identifiers of texts without spans. Both are
-    bounded samples by hash; both models are smoothed by one count per
-    character of the key alphabet.
+    Labelled random: the values of all accepted spans. Labelled ordinary: the
+    identifiers of texts without spans, from a bounded sample of texts by hash.
+    Both models are smoothed by one count per character of the key alphabet.
     """
-    by = F.xxhash64(F.lit(9), q(doc_id), q(text))
-    secrets = (scanned.filter(F.size(q(spans)) > 0).orderBy(by, q(doc_id)).limit(SAMPLE_SECRETS)
-               .select(F.explode(F.transform(q(spans), lambda s: s["value"])).alias("s")))
-    plain = (scanned.filter((F.size(q(spans)) == 0) & q(text).isNotNull()).orderBy(by, q(doc_id)).limit(SAMPLE_DOCS)
-             .select(F.explode(F.regexp_extract_all(q(text), F.lit(IDENTIFIER), F.lit(0))).alias("s")))
+    body = F.coalesce(q(text), F.lit(""))
+    secrets = docs.select(F.explode(F.transform(base_spans(body), lambda s: s["value"])).alias("s"))
+    few = docs.filter(hash_share(F.xxhash64(F.lit(9), q(doc_id), q(text)), sample_docs, docs.count()))
+    plain = few.filter(F.size(base_spans(body)) == 0).select(F.explode(F.regexp_extract_all(body, F.lit(IDENTIFIER), F.lit(0))).alias("s"))
     both = _pairs(secrets, "r").join(_pairs(plain, "o"), "code", "full")
-    counts = {row[0]: (row[1] or 0, row[2] or 0) for row in both.collect()}  # at most CODES * CODES rows
-    return llr_table(counts)
+    return llr_table({row[0]: (row[1] or 0, row[2] or 0) for row in both.collect()})  # at most CODES * CODES rows
 
 
 #: The key alphabet: characters a candidate can hold.
@@ -127,7 +124,7 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     base, every, found = fresh(docs, "base_spans", "spans", "secret_candidates")
     body = F.coalesce(q(text), F.lit(""))
     scanned = docs.withColumn(base, base_spans(body))
-    table = train(scanned, text, doc_id, base)
+    table = train(docs, text, doc_id)
     if not any(table):
         return scanned.withColumn(every, q(base)), base, every
     ratios = F.from_json(F.lit(json.dumps(table)), "array<double>")  # folded to one constant
