@@ -81,24 +81,24 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     half = F.pmod(F.xxhash64(F.lit(SEED), "label_id"), F.lit(2))
     texts = docs.select(q(doc_id).alias("label_id"), F.coalesce(q(text).cast("string"), F.lit("")).cast("binary").alias("raw"))
 
-    def picked(k):  # bounded: at most sample_docs ids of each label
-        return texts.join(F.broadcast(sample_ids(known.filter(half == k), ["good"], sample_docs, SEED + 1)), "label_id")
+    ids = [sample_ids(known.filter(half == k), ["good"], sample_docs, SEED + 1) for k in (0, 1)]
+    picked = [texts.join(F.broadcast(few), "label_id") for few, _ in ids]  # at most sample_docs ids of each label
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.octet_length("raw") - 1, F.lit(0)).cast("int"), F.lit(PIECE)))
-    pieces = picked(0).select("good", "label_id", "raw", at.alias("at"))
+    pieces = picked[0].select("good", "label_id", "raw", at.alias("at"))
     pieces = pieces.select("good", "label_id", "at", F.expr(f"substring(raw, at + 1, {PIECE})").alias("piece"))
     pieces = pieces.filter(F.octet_length("piece") >= 8)
     dicts = []
     for k in (1, 0):
         rows = pieces.filter(F.col("good") == k).orderBy(F.xxhash64("label_id", "at"), "label_id", "at").limit(SAMPLE_PIECES)
         dicts.append(make_dictionary([bytes(r["piece"]) for r in rows.select("piece").collect()]))
-    seen = _differences(picked(1).select("good", "raw"), *dicts, LEVEL, "d").collect()
+    seen = _differences(picked[1].select("good", "raw"), *dicts, LEVEL, "d").collect()
     y = np.array([r["good"] for r in seen], dtype=float)
     d = np.array([r["d"] for r in seen], dtype=float)
     if not all(dicts) or len(set(y)) < 2:
         return QualityModel(*dicts, 0.0, 0.0)
     # the sample may hold the labels in other shares than the labelled rows do
-    sizes = {r["good"]: r["count"] for r in known.filter(half == 1).groupBy("good").count().collect()}
-    weight = np.where(y == 1, sizes[1] / (y == 1).sum(), sizes[0] / (y == 0).sum())
+    sizes = ids[1][1]
+    weight = np.where(y == 1, sizes[(1,)] / (y == 1).sum(), sizes[(0,)] / (y == 0).sum())
     scale = d.std() or 1.0
     w, shift = logistic((d / scale)[:, None], y, weight / weight.mean())
     return QualityModel(*dicts, float(w / scale), float(shift))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import q, read, stored
+from .common import hash_share, q, read, stored
 from .compress_quality import held_out
 from .hmm import Packed, expected_counts, first_guess, forward, groups, reestimate
 
@@ -185,8 +185,9 @@ def train(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: i
     """Parameters: a guess refined on a bounded sample, then ``rounds`` of Baum-Welch over all rows."""
     rng = np.random.default_rng(SEED)
     params = first_guess(vocab.prior, states, rng)
-    sample = (encoded.filter(F.col("n_tokens") <= GUESS_WORDS).orderBy(F.xxhash64("classes"), "classes").limit(GUESS_DOCS)
-              .select("classes").toArrow())
+    short, key = encoded.filter(F.col("n_tokens") <= GUESS_WORDS), F.xxhash64("row", "classes")
+    sample = (short.filter(hash_share(key, GUESS_DOCS, short.count())).orderBy(F.shiftrightunsigned(key, 1), "classes")
+              .limit(GUESS_DOCS).select("classes").toArrow())
     if len(sample):
         classes, offsets = _sequences(sample["classes"].combine_chunks())
         packs = list(groups(classes, offsets, GROUP))

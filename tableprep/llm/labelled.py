@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import q
+from .common import hash_share, q
 
 
 def clear_labels(labels: DataFrame, doc_id: str, **flags: Column) -> DataFrame:
@@ -21,16 +21,20 @@ def clear_labels(labels: DataFrame, doc_id: str, **flags: Column) -> DataFrame:
     return rows.select("label_id", *flags)
 
 
-def sample_ids(labels: DataFrame, by: list[str], most: int, seed: int) -> DataFrame:
-    """At most ``most`` rows of ``labels`` for each combination of 0/1 flags, those of smallest hash of the id."""
-    out = None
-    for code in range(1 << len(by)):
+def sample_ids(labels: DataFrame, by: list[str], most: int, seed: int) -> tuple[DataFrame, dict[tuple, int]]:
+    """At most ``most`` rows of ``labels`` for each combination of 0/1 flags, those of smallest hash of the id.
+
+    Also the number of rows of each combination there are.
+    """
+    counts = {tuple(r[k] for k in by): r["count"] for r in labels.groupBy(*by).count().collect()}
+    key = F.xxhash64(F.lit(seed), "label_id")
+    out = labels.limit(0)
+    for combo, n in sorted(counts.items()):
         part = labels
-        for i, k in enumerate(by):
-            part = part.filter(F.col(k) == (code >> i & 1))
-        part = part.orderBy(F.xxhash64(F.lit(seed), "label_id"), "label_id").limit(most)
-        out = part if out is None else out.unionByName(part)
-    return out
+        for k, v in zip(by, combo, strict=True):
+            part = part.filter(F.col(k) == v)
+        out = out.unionByName(part.filter(hash_share(key, most, n)).orderBy(F.shiftrightunsigned(key, 1), "label_id").limit(most))
+    return out, counts
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1.0, rounds: int = 25) -> np.ndarray:

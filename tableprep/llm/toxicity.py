@@ -144,13 +144,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *,
     names = list(categories)
     flags = [f"flag{i}" for i in range(len(names))]
     known = clear_labels(labels, doc_id, **dict(zip(flags, categories.values(), strict=True)))
-    picked = sample_ids(known, flags, sample_docs, SEED)
+    picked, counts = sample_ids(known, flags, sample_docs, SEED)
     texts = docs.select(q(doc_id).alias("label_id"), F.coalesce(q(text).cast("string"), F.lit("")).cast("binary").alias("raw"))
     sample = texts.join(F.broadcast(picked), "label_id").select("label_id", *flags, "raw")
     marked = _sample_features(sample, flags).persist()
     try:
         y_rows = marked.select(*flags).collect()
-        counts = {tuple(r[f] for f in flags): r["count"] for r in known.groupBy(*flags).count().collect()}
         chosen: set[int] = set()
         for i, f in enumerate(flags):
             one = sum(r[i] for r in y_rows)

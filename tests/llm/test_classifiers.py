@@ -101,8 +101,10 @@ def test_labels_and_samples(spark):
     clear = clear_labels(spark.createDataFrame(rows, "doc_id long, toxic int"), "doc_id", t=F.col("toxic"))
     assert sorted(tuple(r) for r in clear.collect()) == [(1, 1), (4, 0)]
     many = spark.range(1000).selectExpr("id AS label_id", "cast(id % 10 = 0 AS int) AS t")
-    got = sample_ids(many, ["t"], 60, 1).collect()
-    assert sum(r["t"] for r in got) == 60 and len(got) == 120
+    few, counts = sample_ids(many, ["t"], 60, 1)
+    got = few.collect()
+    assert sum(r["t"] for r in got) == 60 and len(got) == 120 and counts == {(0,): 900, (1,): 100}
+    assert sample_ids(many.limit(0), ["t"], 60, 1)[0].count() == 0
 
 
 def test_odd_rows(spark, empty_docs):
