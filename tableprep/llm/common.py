@@ -52,6 +52,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of slim rows are broadcast up to this many rows, and joined by a shuffle beyond.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, marked for broadcast if it is known to have few rows (``rows``, counted beforehand)."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text as long (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from .common import fresh, q, read
 from .labelled import clear_labels, logistic, sample_ids
+from .textblock import trim
 
 #: Bounds of the labelled sample: texts of each label for the dictionaries, and as many for the curve;
 #: of the dictionary texts at most this many pieces of PIECE bytes, by hash.
@@ -50,6 +51,7 @@ def _differences(rows: DataFrame, good: bytes, bad: bytes, level: int, out: str)
             diff = np.fromiter(((len(b.compress(t)) - len(a.compress(t))) / np.sqrt(len(t) + 1) for t in (x.as_py() for x in texts)),
                                np.float64, len(texts))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(diff)], [*kept, out])
+        trim()
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField(out, T.DoubleType())]))
 
 

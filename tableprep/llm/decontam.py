@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, q, read
-from .textblock import Words, byte_map, slices
+from .common import fresh, q, read, small, stored
+from .textblock import Words, byte_map, slices, trim
 
 SHINGLE, THRESHOLD = 5, 0.8
 RADIUS, BLOCKS = 21, 11      # 21 < 2 * 11: some block differs by one bit at most
@@ -197,6 +197,7 @@ def _searcher(shared, shingle, threshold, radius, blocks, schema):
                 take = ids.take(pa.array([f[0] for f in found], pa.int64()))
                 cols = [take, *(pa.array([f[i] for f in found], arrow.field(i).type) for i in range(1, 5))]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+        trim()
     return run
 
 
@@ -230,8 +231,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
     """
     (mark,) = fresh(docs, "leak_row")
     marked = docs.withColumn(mark, F.concat_ws(":", q(doc_id).cast("string"), F.xxhash64(q(text)).cast("string")))
-    bad = find_leaks(marked, benchmark, doc_id=mark, text=text, **options).select(F.col("doc_id").alias("leak_of")).distinct()
-    return marked.join(bad, marked[mark] == bad["leak_of"], "left_anti").select(*[q(c) for c in docs.columns])
+    bad = stored(find_leaks(marked, benchmark, doc_id=mark, text=text, **options).select(F.col("doc_id").alias("leak_of")).distinct())
+    return marked.join(small(bad, bad.count()), marked[mark] == bad["leak_of"], "left_anti").select(*[q(c) for c in docs.columns])
 
 
 def op4_decontam(spark, sf_dir):

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import hash_share, q, read, stored
 from .compress_quality import held_out
 from .hmm import Packed, expected_counts, first_guess, forward, groups, reestimate
+from .textblock import trim
 
 STATES, ROUNDS = 8, 2
 #: The most frequent words (at most so many, of at most so many bytes) are sent to the tasks; the others are joined.
@@ -50,6 +51,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                     yield out()
                     held = Counter()
         yield out()
+        trim()
     return texts.mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
@@ -134,6 +136,7 @@ def encode(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))],
                                              [*kept, "n_tokens", "known", "logs", "spread", "classes", "rare", "rare_n"])
+        trim()
     return rows.mapInArrow(run, fields + ", n_tokens long, known long, logs double, spread double, classes binary, "
                                          "rare array<binary>, rare_n array<int>")
 
@@ -167,6 +170,7 @@ def baum_welch(encoded: DataFrame, params, prior: np.ndarray, smooth: float = SM
         keys = np.concatenate([seen, -1 - np.arange(states + 1)])
         yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), *(pa.array(table[:, i].copy()) for i in range(states))],
                                          ["k", *names])
+        trim()
     rows = encoded.select("classes").mapInArrow(run, "k int, " + ", ".join(f"{n} double" for n in names))
     total = rows.groupBy("k").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # at most classes + states + 1 rows
     starts, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((len(prior), states))
@@ -213,6 +217,7 @@ def _forward_scores(encoded: DataFrame, params, vocab: Vocabulary, kept: list[st
             spent = np.concatenate([[0.0], np.cumsum(mass[classes])])
             path = out - (spent[offsets[1:]] - spent[offsets[:-1]])
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(path)], [*kept, "path"])
+        trim()
     rows = encoded.select(*[q(c) for c in kept], "classes")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, fields + ", path double")

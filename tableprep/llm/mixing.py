@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut_step, fresh, n_words, q, random_key, read
+from .common import cut_step, fresh, n_words, q, random_key, read, small, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)     # the mix holds 3/2 of all words
@@ -102,7 +102,8 @@ def mix_sources(docs: DataFrame, *, text: str = "text", source: str = "source",
         F.col("c.source").alias(n("src")), F.col("c.cut").alias(n("of")), F.col("before").alias(n("before")),
         F.col("g.size").alias(n("source_size")), F.col("target").alias(n("target")), F.col("budget").alias(n("budget")))
 
-    joined = rows.join(cuts, q(source).eqNullSafe(q(n("src"))) & (q(n("cut")) == q(n("of"))))
+    cuts = stored(cuts)
+    joined = rows.join(small(cuts, cuts.count()), q(source).eqNullSafe(q(n("src"))) & (q(n("cut")) == q(n("of"))))
     inside = (W.partitionBy(q(source), q(n("cut"))).orderBy(q(n("key")), q(doc_id), q(n("size")))
               .rowsBetween(W.unboundedPreceding, -1))
     first = q(n("before")) + F.coalesce(F.sum(q(n("size"))).over(inside), F.lit(0))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut_step, fresh, q, read, stored
+from .common import cut_step, fresh, q, read, small, stored
 
 SHARDS = 16
 SEED = 20
@@ -118,7 +118,7 @@ def shuffle_shards(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     table = spark.createDataFrame([(p, row.tolist()) for (p, _), row in zip(counts, sent, strict=True)],
                                   f"`{part}` long, `{upto}` array<long>")
     # a row's shard: how many shards end at or before its random rank in the partition
-    placed = (local.join(table, part)
+    placed = (local.join(small(table, len(counts) * shards), part)
               .withColumn(shard, F.expr(f"cast(size(filter(`{upto}`, u -> u <= `{rank}`)) as int)"))
               .drop(upto, part, rank))
     step = cut_step(sum(n for _, n in counts))
@@ -127,7 +127,7 @@ def shuffle_shards(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     before = W.partitionBy(q(s_)).orderBy(q(c_)).rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.withColumn(before_, F.coalesce(F.sum(q(before_)).over(before), F.lit(0)))
     inside = W.partitionBy(q(shard), q(cut)).orderBy(q(again), q(doc_id))
-    out = (placed.join(sizes, (q(shard) == q(s_)) & (q(cut) == q(c_)))
+    out = (placed.join(small(sizes, shards * ((1 << 60) // step + 1)), (q(shard) == q(s_)) & (q(cut) == q(c_)))
            .withColumn(slot, q(before_) + F.row_number().over(inside) - 1))
     return out.select(*[q(c) for c in docs.columns], q(shard), q(slot)), shard, slot
 

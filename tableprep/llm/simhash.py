@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from .common import fresh, q, read, stored
 from .components import components
 from .golay import ball_indices
+from .textblock import trim
 
 SHINGLE, MAX_BITS = 3, 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
@@ -63,6 +64,7 @@ def fingerprints(docs: DataFrame, *, text: str = "text", keep: list[Column], nam
         for b in batches:
             fps = _signed(np.array([fingerprint(t, shingle) for t in b.column(len(names)).to_pylist()], dtype=np.uint64))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(fps)], [*names, "fp"])
+        trim()
     return rows.mapInArrow(run, kept.add("fp", "long"))
 
 
@@ -83,6 +85,7 @@ def fuzzy_keys(fps: DataFrame) -> DataFrame:
                 row, col = np.nonzero(new)
                 key = (np.uint64(s) << np.uint64(34)) | (seg[row] << np.uint64(12)) | idx[row, col].astype(np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(v[row].view(np.int64))], ["key", "fp"])
+        trim()
     return fps.mapInArrow(run, "key long, fp long")
 
 

@@ -6,6 +6,8 @@ its bytes, without a Python object per word.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,16 @@ WHITE = bytes(range(0x09, 0x0E)) + b" "
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
+def trim() -> None:
+    """Hands freed memory back to the system: a worker stays beside the JVM when its task is over."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc: nothing to hand back
+        pass
+
+
 def byte_map(*, lower: bool, punctuation: bool = False) -> np.ndarray:
     """What each byte becomes; 0 separates words. Bytes of non-ASCII characters stay."""
     out = np.arange(256, dtype=np.uint8)
@@ -39,7 +51,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def slices(column: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, most_bytes: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of a binary column: (first row, rows, their bytes, offsets from 0).
 
     A run holds about ``most_bytes``; a longer text is a run of its own.

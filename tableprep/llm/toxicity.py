@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from .common import fresh, q, read
 from .labelled import clear_labels, logistic, sample_ids, sigmoid
-from .textblock import Words, byte_map, slices
+from .textblock import Words, byte_map, slices, trim
 
 #: Bounds of the labelled sample: documents of each combination of labels, features of each category.
 SAMPLE_DOCS, FEATURES = 3_000, 400
@@ -94,6 +94,7 @@ def _sample_features(sample: DataFrame, flags: list[str]) -> DataFrame:
                 rows += [feat[x:y].view(np.int64) for x, y in zip(bounds, bounds[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(1 + len(flags))), pa.array(rows, pa.list_(pa.int64()))],
                                              [f.name for f in fields])
+        trim()
     return sample.mapInArrow(run, T.StructType(fields))
 
 
@@ -216,6 +217,7 @@ def score(docs: DataFrame, chain: Chain, *, text: str = "text") -> tuple[DataFra
                 p = sigmoid(np.vstack(parts))
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), *(pa.array(p[:, c].copy()) for c in range(p.shape[1]))],
                                                  [*kept, *names.values()])
+        trim()
     schema = T.StructType([*docs.schema.fields, *(T.StructField(names[n], T.DoubleType()) for n in chain.names)])
     return rows.mapInArrow(run, schema), names
 
