@@ -8,9 +8,13 @@ Three edge conventions exist in the engine and all are kept:
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..names import qcol
+
 
 def count_below(c: Column, edges: list, strict: bool = True, lo: int = 0, hi: int | None = None) -> Column:
     """Number of ``edges`` (sorted) that are ``< c`` (``<= c`` when not strict).
@@ -29,6 +33,30 @@ def count_below(c: Column, edges: list, strict: bool = True, lo: int = 0, hi: in
         count_below(c, edges, strict, mid + 1, hi))
 
 
+#: Edges a CASE tree holds; more are searched by Spark's bucketizer.
+TREE_EDGES = 128
+
+
+def with_count_below(df: DataFrame, c: Column, edges: list, out: str, strict: bool = True) -> DataFrame:
+    """``df`` with column ``out``: :func:`count_below` of ``c`` for any number of edges.
+
+    Few edges make a CASE tree; many a binary search in the JVM over one sorted
+    array (as double: equal doubles get equal counts), so the plan does not
+    grow with the edges. Missing values give NULL.
+    """
+    if len(edges) <= TREE_EDGES:
+        return df.withColumn(out, F.when(c.isNotNull(), count_below(c, edges, strict)))
+    from pyspark.ml.feature import Bucketizer
+    # buckets are closed on the left: for a strict count the edge is the next double up
+    cuts = sorted({math.nextafter(float(e), math.inf) if strict else float(e) for e in edges})
+    of = {e: i for i, e in enumerate(cuts)}
+    if len(of) != len(edges):  # edges that are one double: the count steps over all of them at once
+        return df.withColumn(out, F.when(c.isNotNull(), count_below(c, edges, strict)))
+    key = "__bucket_of"
+    bucketizer = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=key, outputCol=out, handleInvalid="keep")
+    return bucketizer.transform(df.withColumn(key, c.cast("double"))).withColumn(out, qcol(out).cast("int")).drop(key)
+
+
 def right_closed_label(c: Column, edges: list, labels: list) -> Column:
     """``labels[i]`` when ``edges[i] < c <= edges[i+1]``, NULL outside or missing."""
     expr = None

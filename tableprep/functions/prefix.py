@@ -20,6 +20,8 @@ import bisect
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..names import qcol
+
 
 def _bucket(v, lo, w, nb):
     f = F.floor((v - F.lit(lo)) / F.lit(w))
@@ -41,7 +43,7 @@ class _Cell:
 
     def load(self, size):
         ix = self.index
-        v = F.col(ix.column)
+        v = qcol(ix.column)
         src = ix.df.where(self.cond(v))
         if size <= ix.local_rows or self.lo == self.hi:
             rows = src.groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()
@@ -120,7 +122,7 @@ def _fetch_around(self, j):
             break
     want = [self.hist[x][0] for x in range(lo_j, hi_j + 1) if self.hist[x][0] not in self.children]
     ix = self.index
-    v = F.col(ix.column)
+    v = qcol(ix.column)
     b = _bucket(v, self.lo, self.w, ix.buckets)
     # a contiguous bucket range: one comparison pair, not a long IN list
     rows = (ix.df.where(self.cond(v) & b.between(self.hist[lo_j][0], self.hist[hi_j][0]))
@@ -138,7 +140,7 @@ _Cell._fetch_around = _fetch_around
 class PrefixIndex:
     def __init__(self, df: DataFrame, column: str, count: int, lo: float, hi: float,
                  buckets: int = 65_536, local_rows: int = 100_000):
-        self.df = df.select(F.col(column).cast("double").alias(column))
+        self.df = df.select(qcol(column).cast("double").alias(column))
         self.column, self.buckets, self.local_rows = column, buckets, local_rows
         self.count = count
         self.root = _Cell(self, (), lo, hi)

@@ -19,7 +19,14 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER_RE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+NUMBER_RE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$|^\s*[+-]?([iI][nN][fF]|[iI][nN][fF][iI][nN][iI][tT][yY])\s*$"
+
+
+def number(x: Column) -> Column:
+    """Text that matches ``NUMBER_RE`` as double (infinities in any case), else NULL."""
+    t = F.lower(F.trim(x))
+    inf = F.when(t.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+    return F.when(x.rlike(NUMBER_RE), F.when(t.contains("inf"), inf).otherwise(F.trim(x).try_cast("double")))
 
 
 def shortest_sci(x: Column) -> Column:

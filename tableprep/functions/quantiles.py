@@ -30,6 +30,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..names import qcol
+
 BUCKETS = 4096
 
 
@@ -65,7 +67,7 @@ def minmax_count_aggs(cols, prefix="__qm"):
     """Aggregates whose result :func:`read_minmax_count` turns into ``prefetched``."""
     out = []
     for i, c in enumerate(cols):
-        v = F.col(c).cast("double")
+        v = qcol(c).cast("double")
         out += [F.count(v).alias(f"{prefix}n{i}"), F.min(v).alias(f"{prefix}a{i}"), F.max(v).alias(f"{prefix}b{i}")]
     return out
 
@@ -80,7 +82,7 @@ def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], local_rows: int
     cols = list(spec)
     if not cols:
         return {}
-    src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    src = df.select(*[qcol(c).cast("double").alias(c) for c in cols])
     if prefetched is None:
         prefetched = read_minmax_count(src.agg(*minmax_count_aggs(cols)).collect()[0], cols)
 
@@ -89,7 +91,7 @@ def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], local_rows: int
     inf_cols = [c for c in cols if prefetched[c][0] and (abs(prefetched[c][1]) == INF or abs(prefetched[c][2]) == INF)]
     finite = {}
     if inf_cols:
-        fin = lambda c: F.when(F.abs(F.col(c)) < F.lit(INF), F.col(c))
+        fin = lambda c: F.when(F.abs(qcol(c)) < F.lit(INF), qcol(c))
         r = src.agg(*[F.min(fin(c)).alias(f"a{i}") for i, c in enumerate(inf_cols)],
                     *[F.max(fin(c)).alias(f"b{i}") for i, c in enumerate(inf_cols)]).collect()[0]
         finite = {c: (r[f"a{i}"], r[f"b{i}"]) for i, c in enumerate(inf_cols)}
@@ -138,8 +140,8 @@ def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], local_rows: int
                 cell_sql.append(f"WHEN {cond} THEN {i}")
                 bucket_sql.append(f"WHEN {cond} THEN CAST({b} AS DOUBLE)")
             structs.append(F.struct(F.expr(f"CASE {' '.join(cell_sql)} END").alias("cell"),
-                                    F.expr(f"CASE {' '.join(bucket_sql)} END").alias("b"), F.col(c).alias("v")))
-        rows = (src.select(F.inline(F.array(*structs))).where(F.col("cell").isNotNull())
+                                    F.expr(f"CASE {' '.join(bucket_sql)} END").alias("b"), qcol(c).alias("v")))
+        rows = (src.select(F.inline(F.array(*structs))).where(qcol("cell").isNotNull())
                 .groupBy("cell", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
                                           F.max("v").alias("hi")).collect())
         hist = {}
@@ -169,8 +171,8 @@ def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], local_rows: int
                 continue
             v = f"`{c}`"
             cell_sql = [f"WHEN {_in_cell_sql(v, chain)} THEN {i}" for i, chain in mine]
-            structs.append(F.struct(F.expr(f"CASE {' '.join(cell_sql)} END").alias("cell"), F.col(c).alias("v")))
-        tagged = src.select(F.inline(F.array(*structs))).where(F.col("cell").isNotNull())
+            structs.append(F.struct(F.expr(f"CASE {' '.join(cell_sql)} END").alias("cell"), qcol(c).alias("v")))
+        tagged = src.select(F.inline(F.array(*structs))).where(qcol("cell").isNotNull())
         ranked = tagged.select("cell", "v", (F.row_number().over(Window.partitionBy("cell").orderBy("v")) - 1)
                                .alias("r"))
         need = {}
@@ -178,7 +180,7 @@ def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], local_rows: int
             need.setdefault(cells.index((c, chain)), set()).add(k - base)
         cond = None
         for i, rs in need.items():
-            term = (F.col("cell") == i) & F.col("r").isin(sorted(rs))
+            term = (qcol("cell") == i) & qcol("r").isin(sorted(rs))
             cond = term if cond is None else (cond | term)
         got = {(r["cell"], r["r"]): r["v"] for r in ranked.where(cond).collect()}
         for (c, k), (chain, base, size, lo, hi) in state.items():

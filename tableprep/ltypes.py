@@ -9,13 +9,14 @@ expressions, so every operator re-attaches it with :func:`typed`.
 
 from __future__ import annotations
 
-import json
 from enum import Enum
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import qcol
+
 
 class LType(str, Enum):
     STRING = "string"
@@ -78,7 +79,8 @@ def categories(df: DataFrame, name: str) -> list[str] | None:
 
 def meta(lt: LType, cats=None) -> dict:
     if lt in CATEGORICAL:
-        return {"ltype": lt.value, "categories": list(cats or [])}
+        # no list: more categories than metadata should hold
+        return {"ltype": lt.value} if cats is None else {"ltype": lt.value, "categories": list(cats)}
     return {}
 
 
@@ -87,13 +89,8 @@ def typed(expr: Column, name: str, lt: LType, cats=None) -> Column:
     return expr.alias(name, metadata=meta(lt, cats))
 
 
-def same_meta(df: DataFrame, name: str, expr: Column, new_name: str | None = None) -> Column:
-    """Alias ``expr`` keeping the metadata of column ``name``."""
-    return expr.alias(new_name or name, metadata=dict(field_of(df, name).metadata or {}))
-
-
 def category_code(c: Column, cats: list[str]) -> Column:
-    """Position of the value in the category list, NULL when missing or unknown."""
+    """Position of the value in a short category list, NULL when missing or unknown."""
     return F.nullif(F.array_position(F.array(*[F.lit(x) for x in cats]), c), F.lit(0)) - 1
 
 
@@ -103,28 +100,9 @@ def canonicalize(df: DataFrame) -> DataFrame:
     changed = False
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            exprs.append(F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType))
+            exprs.append(F.nanvl(qcol(f.name), F.lit(None).cast(f.dataType))
                          .alias(f.name, metadata=f.metadata))
             changed = True
         else:
-            exprs.append(F.col(f.name))
+            exprs.append(qcol(f.name))
     return df.select(*exprs) if changed else df
-
-
-def shape(df: DataFrame, index=()) -> dict[str, str]:
-    """{name: logical type} map; equal shapes ignore column order."""
-    out = {n: t.value for n, t in ltypes(df).items()}
-    return out
-
-
-def describe_field(field: T.StructField) -> str:
-    lt = ltype_of_field(field)
-    if lt in CATEGORICAL:
-        cats = (field.metadata or {}).get("categories", [])
-        sep = " < " if lt == LType.ORDINAL else ", "
-        return f"{lt.value}[{sep.join(map(str, cats))}]"
-    return lt.value
-
-
-def schema_json(df: DataFrame) -> str:
-    return json.dumps(json.loads(df.schema.json()), sort_keys=True)

@@ -4,22 +4,29 @@ the chart (``fraction``), never a way around data size."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SchemaError
 from ..functions.timeutil import epoch_micros
 from ..ltypes import CATEGORICAL, LType, categories, category_code, field_of, ltypes
+from ..names import qcol
 from ..table import Table
 
 
 def _numeric_view(df, c, lt):
     if lt == LType.NUMERIC:
-        return F.col(c).cast("double")
+        return qcol(c).cast("double")
     if lt in CATEGORICAL:
-        return category_code(F.col(c), categories(df, c)).cast("double")
+        cats = categories(df, c)
+        if cats is None:
+            raise SchemaError(f"{c}: no category list (too many categories to plot)")
+        return category_code(qcol(c), cats).cast("double")
     if lt == LType.DATETIME:
-        return epoch_micros(F.col(c), field_of(df, c).dataType) / 1000.0
+        return epoch_micros(qcol(c), field_of(df, c).dataType) / 1000.0
     raise SchemaError(f"{c}: cannot be plotted ({lt.value})")
 
 
@@ -27,7 +34,7 @@ def scatter_data(x, columns, colour: str | None = None, fraction: float | None =
                  seed: int = 0) -> DataFrame:
     """V1: the given columns (2+) as numbers -- categories become their codes,
     datetimes epoch ms -- plus an optional colour column; rows with any missing
-    value removed; optional Bernoulli down-sampling (stratified by colour)."""
+    value removed; optional Bernoulli down-sampling (each row alike)."""
     t = Table.of(x)
     df = t.df
     lt = ltypes(df)
@@ -36,8 +43,9 @@ def scatter_data(x, columns, colour: str | None = None, fraction: float | None =
         raise SchemaError("scatter needs at least two columns")
     exprs = [_numeric_view(df, c, lt[c]).alias(c) for c in cols]
     if colour:
-        exprs.append(F.col(colour).cast("string").alias(colour))
-    out = df.select(*exprs).dropna(how="any")
+        exprs.append(qcol(colour).cast("string").alias(colour))
+    out = df.select(*exprs)
+    out = out.where(reduce(and_, [qcol(c).isNotNull() for c in out.columns]))
     if fraction is not None:
         out = out.sample(withReplacement=False, fraction=float(fraction), seed=seed)
     return out
@@ -62,14 +70,18 @@ def series_data(x, time: str, values, ids=None, id_column: str | None = None) ->
     tcol = _numeric_view(df, time, lt[time]).alias("t")
     base = df
     if ids is not None:
-        key = t.icol(t.index[0]) if id_column is None else F.col(id_column)
-        base = base.where(key.isin(list(ids)))
+        key = t.icol(t.index[0]) if id_column is None else qcol(id_column)
+        if isinstance(ids, DataFrame):  # many ids: a semi join
+            name = "__series_id"
+            base = base.join(ids.select(qcol(ids.columns[0]).alias(name)).distinct(), key.eqNullSafe(qcol(name)), "left_semi")
+        else:
+            base = base.where(key.isin(list(ids)))
         series = key.cast("string")
         arr = F.array(F.struct(series.alias("series"), _numeric_view(df, values[0], lt[values[0]]).alias("value")))
     else:
         arr = F.array(*[F.struct(F.lit(v).alias("series"), _numeric_view(df, v, lt[v]).alias("value"))
                         for v in values])
-    return base.select(tcol, F.inline(arr)).where(F.col("t").isNotNull()).select("series", "t", "value")
+    return base.select(tcol, F.inline(arr)).where(qcol("t").isNotNull()).select("series", "t", "value")
 
 
 def value_range(series: DataFrame) -> DataFrame:

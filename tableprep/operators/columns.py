@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..errors import SchemaError
 from ..ltypes import LType, field_of, ltypes
+from ..names import qcol, qcols
 from ..step import Step, register
 from ..table import Table, ix
 
@@ -25,7 +26,7 @@ class DropColumns(Step):
 
     def check(self):
         if not self.options.get("columns"):
-            yield ("notSet", "no column selected")
+            yield ("not_given", "no column selected")
 
     def input_columns(self):
         return list(self.options["columns"])
@@ -42,10 +43,10 @@ class DuplicateColumns(Step):
     def check(self):
         table = self.options.get("table") or {}
         if not table:
-            yield ("notSet", "no column selected")
+            yield ("not_given", "no column selected")
         names = list(table.values())
         if any(not n for n in names):
-            yield ("noname", "new names must not be empty")
+            yield ("empty_name", "new names must not be empty")
         if len(set(names)) != len(names):
             yield ("unique", "new names must be distinct")
 
@@ -57,7 +58,7 @@ class DuplicateColumns(Step):
         clash = set(table.values()) & set(t.columns)
         if clash:
             raise SchemaError(f"duplicate_columns: names already present {sorted(clash)}")
-        extra = [F.col(c).alias(n, metadata=field_of(t.df, c).metadata) for c, n in table.items()]
+        extra = [qcol(c).alias(n, metadata=field_of(t.df, c).metadata) for c, n in table.items()]
         return t.with_df(t.df.select("*", *extra))
 
 
@@ -69,9 +70,9 @@ class RenameColumns(Step):
     def check(self):
         names = self.options.get("names") or {}
         if not names:
-            yield ("notSet", "no rename given")
+            yield ("not_given", "no rename given")
         if any(not n for n in names.values()):
-            yield ("noname", "new names must not be empty")
+            yield ("empty_name", "new names must not be empty")
 
     def input_columns(self):
         return list(self.options["names"])
@@ -101,7 +102,7 @@ class SelectColumns(Step):
 
     def check(self):
         if self.options.get("regex") is None and not self.options.get("types"):
-            yield ("notSet", "give regex and/or types")
+            yield ("not_given", "give regex and/or types")
         if self.options.get("regex") is not None:
             try:
                 re.compile(self.options["regex"])
@@ -115,7 +116,7 @@ class SelectColumns(Step):
         keep = [c for c in t.columns
                 if (rx is None or re.search(rx, c, re.IGNORECASE))
                 and (not types or lt[c] in types)]
-        return t.with_df(t.df.select(*t.index_columns, *keep))
+        return t.with_df(t.df.select(*qcols(t.index_columns), *qcols(keep)))
 
 
 @register
@@ -125,7 +126,7 @@ class SetIndex(Step):
 
     def check(self):
         if not self.options.get("columns"):
-            yield ("notSet", "no column selected")
+            yield ("not_given", "no column selected")
 
     def input_columns(self):
         return list(self.options["columns"])
@@ -134,8 +135,8 @@ class SetIndex(Step):
         cols = list(self.options["columns"])
         df = t.df.drop(*t.index_columns)
         rest = [c for c in t.columns if c not in cols]
-        df = df.select(*[F.col(c).alias(ix(c), metadata=field_of(df, c).metadata) for c in cols],
-                       *rest)
+        df = df.select(*[qcol(c).alias(ix(c), metadata=field_of(df, c).metadata) for c in cols],
+                       *qcols(rest))
         return Table(df, tuple(cols))
 
 
@@ -155,9 +156,9 @@ class IntsToFloats(Step):
 
     def _transform(self, t, params):
         ints = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-        exprs = [F.col(f.name).cast("double").alias(f.name, metadata=f.metadata)
+        exprs = [qcol(f.name).cast("double").alias(f.name, metadata=f.metadata)
                  if isinstance(f.dataType, ints) and not f.name.startswith("__ix__")
-                 else F.col(f.name) for f in t.df.schema.fields]
+                 else qcol(f.name) for f in t.df.schema.fields]
         return t.with_df(t.df.select(*exprs))
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import SchemaError
 from ..functions.pyformat import py_float_str
 from ..ltypes import LType, STRINGLIKE, field_of, ltype_of_field, ltypes
+from ..names import qcol, qcols
 from ..step import Step, register
 from .join import skew_join
 from ..table import Table
@@ -22,64 +24,67 @@ def table_equal(a, b) -> DataFrame:
     if sa != sb:
         return spark.range(1).select(F.lit(False).alias("equal"))
     cols = sorted(sa)
-    u = (ta.df.select(*cols, F.lit(1).alias("__s"))
-         .unionByName(tb.df.select(*cols, F.lit(-1).alias("__s"))))
-    unbalanced = u.groupBy(*cols).agg(F.sum("__s").alias("__b")).where(F.col("__b") != 0)
+    u = (ta.df.select(*qcols(cols), F.lit(1).alias("__s"))
+         .unionByName(tb.df.select(*qcols(cols), F.lit(-1).alias("__s"))))
+    unbalanced = u.groupBy(*qcols(cols)).agg(F.sum("__s").alias("__b")).where(qcol("__b") != 0)
     return unbalanced.agg((F.count(F.lit(1)) == 0).alias("equal"))
 
 
 def table_diff(a, b, key: str | list[str], options: dict | None = None) -> DataFrame:
     """Cells of ``a`` that differ from ``b``, matched on ``key``, long form
     ``(key..., column, left, right)``; a row missing on one side differs in
-    every column. Full outer join on the key (null-safe, hot keys split off as
-    in :func:`join.skew_join`; ``options`` passes its settings)."""
+    every column; a column on one side only is an error. Full outer join on
+    the key (null-safe; ``options`` passes the settings of :func:`join.skew_join`)."""
     ta, tb = Table.of(a), Table.of(b)
     keys = [key] if isinstance(key, str) else list(key)
-    cols = [c for c in ta.columns if c not in keys and c in tb.columns]
-    L = ta.df.select(*[F.col(k).alias("l__" + k) for k in keys], *[F.col(c).alias("l_" + c) for c in cols])
-    R = tb.df.select(*[F.col(k).alias("r__" + k) for k in keys], *[F.col(c).alias("r_" + c) for c in cols])
+    lone = sorted(set(ta.columns) ^ set(tb.columns))
+    if lone:
+        raise SchemaError(f"table_diff: columns on one side only: {lone}")
+    cols = [c for c in ta.columns if c not in keys]
+    L = ta.df.select(*[qcol(k).alias("l__" + k) for k in keys], *[qcol(c).alias("l_" + c) for c in cols],
+                     F.lit(True).alias("__in_l"))
+    R = tb.df.select(*[qcol(k).alias("r__" + k) for k in keys], *[qcol(c).alias("r_" + c) for c in cols],
+                     F.lit(True).alias("__in_r"))
     j = skew_join(L, R, ["l__" + k for k in keys], ["r__" + k for k in keys], "full", options or {})
+    alone = qcol("__in_l").isNull() | qcol("__in_r").isNull()
     cells = F.array(*[F.struct(F.lit(c).alias("column"),
                                _text(ta.df, "l_" + c, c).alias("left"),
                                _text(tb.df, "r_" + c, c).alias("right"),
-                               (~F.col("l_" + c).eqNullSafe(F.col("r_" + c))
-                                | F.col("l__" + keys[0]).isNull() & F.col("r__" + keys[0]).isNotNull()
-                                | F.col("r__" + keys[0]).isNull() & F.col("l__" + keys[0]).isNotNull()
-                                ).alias("d"))
+                               (alone | ~qcol("l_" + c).eqNullSafe(qcol("r_" + c))).alias("d"))
                       for c in cols])
-    keyed = j.select(*[F.coalesce(F.col("l__" + k), F.col("r__" + k)).alias(k) for k in keys],
-                     F.filter(cells, lambda s: s["d"]).alias("cells"))
-    return keyed.select(*keys, F.inline("cells")).drop("d")
+    keyed = j.select(*[F.when(qcol("__in_l").isNotNull(), qcol("l__" + k)).otherwise(qcol("r__" + k)).alias(k) for k in keys],
+                     F.filter(cells, lambda s: s["d"]).alias("__cells"))
+    return keyed.select(*qcols(keys), F.inline("__cells")).drop("d")
 
 
 def _text(df, name, orig):
     f = field_of(df, orig)
     if ltype_of_field(f) == LType.NUMERIC and f.dataType.typeName() in ("double", "float"):
-        return py_float_str(F.col(name))
-    return F.col(name).cast("string")
+        return py_float_str(qcol(name))
+    return qcol(name).cast("string")
 
 
 def _canon(c, lt):
     if lt == LType.NUMERIC:
-        return F.col(c).cast("double")
+        return qcol(c).cast("double")
     if lt in STRINGLIKE:
-        return F.col(c).cast("string")
-    return F.col(c)
+        return qcol(c).cast("string")
+    return qcol(c)
 
 
 @register
 class RemoveDuplicateColumns(Step):
     """U4: among ``attributes``, drop every column equal cell-by-cell to an
     earlier one of the same kind (Nominal/Ordinal/String compared as text;
-    missing equals missing). Fit = two jobs: an order-free fingerprint per
-    column (exact decimal sum of 64-bit hashes), then one ``bool_and(a <=> b)``
-    per pair with equal fingerprints."""
+    missing equals missing). Fit: an order-free fingerprint per column (exact
+    decimal sum of 64-bit hashes), then ``bool_and(a <=> b)`` of each column
+    with the first column of its fingerprint."""
     key = "remove_duplicate_columns"
     streaming = "fit"
 
     def check(self):
         if not self.options.get("attributes"):
-            yield ("noAttr", "no column selected")
+            yield ("no_columns", "no column selected")
 
     def input_columns(self):
         return list(self.options["attributes"])
@@ -91,18 +96,20 @@ class RemoveDuplicateColumns(Step):
         kind = {c: ("text" if lt[c] in STRINGLIKE else lt[c].value) for c in cols}
         fp = t.df.agg(*[F.sum(F.xxhash64(_canon(c, lt[c])).cast("decimal(38,0)")).alias(f"h{i}")
                         for i, c in enumerate(cols)]).collect()[0]
-        prints = {c: (kind[c], fp[f"h{i}"]) for i, c in enumerate(cols)}
-        pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:] if prints[a] == prints[b]]
-        equal = set()
-        if pairs:
+        # one representative per class of equal columns: columns of one fingerprint are
+        # compared with the representatives so far, one job per further class (usually one)
+        classes: dict = {}
+        for i, c in enumerate(cols):
+            classes.setdefault((kind[c], fp[f"h{i}"]), []).append(c)
+        drop, todo = [], [v for v in classes.values() if len(v) > 1]
+        while todo:
+            pairs = [(v[0], c) for v in todo for c in v[1:]]
             row = t.df.agg(*[F.bool_and(_canon(a, lt[a]).eqNullSafe(_canon(b, lt[b]))).alias(f"p{i}")
                              for i, (a, b) in enumerate(pairs)]).collect()[0]
-            equal = {pairs[i] for i in range(len(pairs)) if row[f"p{i}"] is not False}
-        drop = []
-        for i, b in enumerate(cols):
-            if any((a, b) in equal and a not in drop for a in cols[:i]):
-                drop.append(b)
-        return {"dropped": drop}
+            same = {b for i, (_, b) in enumerate(pairs) if row[f"p{i}"] is not False}
+            drop += sorted(same, key=cols.index)
+            todo = [rest for v in todo if len(rest := [c for c in v[1:] if c not in same]) > 1]
+        return {"dropped": sorted(drop, key=cols.index)}
 
     def _transform(self, t, params):
         return t.with_df(t.df.drop(*params["dropped"]))

@@ -1,8 +1,9 @@
 """Type conversion: T1-T5.
 
 All row-local ``select``s except ``ToCategorical`` without a category list,
-whose fit is one distributed ``distinct`` capped at ``max_categories + 1``
-rows (an error above the cap, never a silent truncation).
+whose fit is one distributed ``distinct``. Up to ``LISTED`` categories are
+kept as a list in the column's metadata; a column with more is Nominal (or
+Ordinal) without a list, and what needs its categories takes its sorted distinct values.
 """
 
 from __future__ import annotations
@@ -11,11 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SchemaError
-from ..functions.pyformat import INFER_FORMATS, NUMBER_RE, py_float_str, strptime_to_spark
-from ..ltypes import CATEGORICAL, LType, STRINGLIKE, field_of, ltype_of_field, typed
+from ..functions.pyformat import INFER_FORMATS, NUMBER_RE, number, py_float_str, strptime_to_spark
+from ..ltypes import CATEGORICAL, LType, STRINGLIKE, categories, field_of, ltype_of_field, typed
+from ..names import qcol
 from ..step import Step, register
 
 
+#: Categories a column's metadata lists at most.
+LISTED = 10_000
+
+
 def _cols(opts, key="attributes"):
     a = opts.get(key)
     return list(a) if a else []
@@ -23,7 +29,7 @@ def _cols(opts, key="attributes"):
 
 def as_text(field: T.StructField):
     """Value as text the way the reference prints it (ints were floats there)."""
-    c = F.col(field.name)
+    c = qcol(field.name)
     lt = ltype_of_field(field)
     if lt == LType.NUMERIC:
         if isinstance(field.dataType, T.BooleanType):
@@ -41,7 +47,7 @@ class ToNumeric(Step):
 
     def check(self):
         if not self.options.get("attributes"):
-            yield ("notSet", "no column selected")
+            yield ("not_given", "no column selected")
         if self.options.get("errors", "raise") not in ("raise", "coerce"):
             yield ("errors", "errors must be raise or coerce")
 
@@ -54,9 +60,9 @@ class ToNumeric(Step):
         exprs = []
         for f in t.df.schema.fields:
             if f.name in sel:
-                raw = F.col(f.name)
+                raw = qcol(f.name)
                 ok = raw.rlike(NUMBER_RE)
-                num = F.when(ok, F.trim(raw).try_cast("double"))
+                num = number(raw)
                 if coerce:
                     e = num
                 else:  # fails the job on a bad value, whatever the ANSI setting
@@ -64,7 +70,7 @@ class ToNumeric(Step):
                         F.lit(f"to_numeric: cannot parse {f.name} value "), raw)).cast("double")).otherwise(num)
                 exprs.append(typed(e, f.name, LType.NUMERIC))
             else:
-                exprs.append(F.col(f.name))
+                exprs.append(qcol(f.name))
         return t.with_df(t.df.select(*exprs))
 
 
@@ -79,7 +85,7 @@ class ToCategorical(Step):
 
     def check(self):
         if not self.options.get("attributes"):
-            yield ("notSet", "no column selected")
+            yield ("not_given", "no column selected")
         for c, o in (self.options.get("attributes") or {}).items():
             cats = (o or {}).get("cat")
             if cats is not None and len(set(cats)) != len(cats):
@@ -96,7 +102,7 @@ class ToCategorical(Step):
         return any((o or {}).get("cat") is None for o in self.options["attributes"].values())
 
     def _fit(self, t):
-        cap = int(self.options.get("max_categories", 10_000))
+        cap = self.options.get("max_categories")  # an error above it, only if asked for
         learned = {}
         for c, o in self.options["attributes"].items():
             if (o or {}).get("cat") is not None:
@@ -104,13 +110,14 @@ class ToCategorical(Step):
                 continue
             f = field_of(t.df, c)
             if ltype_of_field(f) in CATEGORICAL:  # Nominal <-> Ordinal keeps the category list
-                learned[c] = list((f.metadata or {}).get("categories") or [])
+                learned[c] = categories(t.df, c)
                 continue
-            vals = (t.df.select(as_text(f).alias("v")).where(F.col("v").isNotNull())
-                    .distinct().limit(cap + 1).collect())
-            if len(vals) > cap:
+            most = LISTED if cap is None else int(cap)
+            vals = (t.df.select(as_text(f).alias("v")).where(qcol("v").isNotNull())
+                    .distinct().limit(most + 1).collect())
+            if len(vals) > most and cap is not None:
                 raise SchemaError(f"to_categorical: {c} has more than {cap} distinct values")
-            learned[c] = sorted(r["v"] for r in vals)
+            learned[c] = sorted(r["v"] for r in vals) if len(vals) <= most else None
         return {"categories": learned}
 
     def _transform(self, t, params):
@@ -126,7 +133,7 @@ class ToCategorical(Step):
                 lt = LType.ORDINAL if o.get("ordered") else LType.NOMINAL
                 exprs.append(typed(e, f.name, lt, cats))
             else:
-                exprs.append(F.col(f.name))
+                exprs.append(qcol(f.name))
         return t.with_df(t.df.select(*exprs))
 
 
@@ -140,7 +147,7 @@ class ToTimestamp(Step):
 
     def check(self):
         if not self.options.get("attributes"):
-            yield ("notSet", "no column selected")
+            yield ("not_given", "no column selected")
         if self.options.get("errors", "raise") not in ("raise", "coerce"):
             yield ("errors", "errors must be raise or coerce")
         for c, o in (self.options.get("attributes") or {}).items():
@@ -162,7 +169,7 @@ class ToTimestamp(Step):
             if f.name in attrs:
                 fmt = (attrs[f.name] or {}).get("format")
                 fmts = [fmt] if fmt else INFER_FORMATS
-                c = F.col(f.name)
+                c = qcol(f.name)
                 # validate with the lenient parser, then parse the wall clock
                 # straight to TIMESTAMP_NTZ (no session-zone step in between)
                 tries = [F.when(F.try_to_timestamp(c, F.lit(strptime_to_spark(x))).isNotNull(),
@@ -174,7 +181,7 @@ class ToTimestamp(Step):
                         F.lit(f"to_timestamp: cannot parse {f.name} value "), c))).otherwise(parsed)
                 exprs.append(typed(parsed.cast("timestamp_ntz"), f.name, LType.DATETIME))
             else:
-                exprs.append(F.col(f.name))
+                exprs.append(qcol(f.name))
         return t.with_df(t.df.select(*exprs))
 
 
@@ -186,14 +193,14 @@ class ToString(Step):
 
     def check(self):
         if not self.options.get("attributes"):
-            yield ("notSet", "no column selected")
+            yield ("not_given", "no column selected")
 
     def input_columns(self):
         return _cols(self.options)
 
     def _transform(self, t, params):
         sel = set(_cols(self.options))
-        exprs = [typed(as_text(f), f.name, LType.STRING) if f.name in sel else F.col(f.name)
+        exprs = [typed(as_text(f), f.name, LType.STRING) if f.name in sel else qcol(f.name)
                  for f in t.df.schema.fields]
         return t.with_df(t.df.select(*exprs))
 

@@ -20,6 +20,7 @@ from ..functions.prefix import PrefixIndex
 from ..functions.quantiles import exact_quantiles
 from ..functions.timeutil import day_micros, epoch_micros
 from ..ltypes import LType, field_of, typed
+from ..names import qcol
 from ..step import Step, register
 
 STRATEGIES = ("uniform", "quantile", "kmeans")
@@ -40,7 +41,7 @@ def _place(df, produced: dict, drop_and_append: bool = False):
         elif c in produced:
             continue
         else:
-            exprs.append(F.col(c))
+            exprs.append(qcol(c))
     exprs += [e for n, e in produced.items() if drop_and_append or n not in names]
     return df.select(*exprs)
 
@@ -90,6 +91,12 @@ def kmeans_edges(df, ks: dict[str, int], minmax: dict[str, tuple], counts: dict[
     return out
 
 
+def _lifted(v):
+    """A value as compared with bin edges: raised by 1e-8 plus 1e-5 of its size,
+    so that a value on an edge (up to rounding) is in the bin above it."""
+    return v + (F.lit(1e-8) + F.lit(1e-5) * F.abs(v))
+
+
 @register
 class BinsDiscretizer(Step):
     """``attributes {col: {"bins": k}}``, ``strategy``, ``suffix``
@@ -101,16 +108,16 @@ class BinsDiscretizer(Step):
     def check(self):
         attrs = self.options.get("attributes") or {}
         if not attrs:
-            yield ("noAttr", "no column selected")
+            yield ("no_columns", "no column selected")
         for c, o in attrs.items():
             if not o or o.get("bins") is None:
-                yield ("notSet", f"{c}: number of bins not set")
+                yield ("not_given", f"{c}: number of bins not set")
             elif int(o["bins"]) < 2:
                 yield ("bins", f"{c}: at least 2 bins")
         if self.options.get("strategy", "uniform") not in STRATEGIES:
             yield ("strategy", f"strategy must be one of {STRATEGIES}")
         if self.options.get("suffix") == "":
-            yield ("suff", "suffix must not be empty")
+            yield ("empty_suffix", "suffix must not be empty")
 
     def input_columns(self):
         return list(self.options["attributes"])
@@ -122,9 +129,9 @@ class BinsDiscretizer(Step):
         ks = {c: int(attrs[c]["bins"]) for c in cols}
         inner = {c: [j / ks[c] for j in range(1, ks[c])] for c in cols}
         fused = strategy == "quantile" and self.options.get("exact", True)
-        row = t.df.agg(*[F.min(F.col(c).cast("double")).alias(f"mn{i}") for i, c in enumerate(cols)],
-                       *[F.max(F.col(c).cast("double")).alias(f"mx{i}") for i, c in enumerate(cols)],
-                       *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).collect()[0]
+        row = t.df.agg(*[F.min(qcol(c).cast("double")).alias(f"mn{i}") for i, c in enumerate(cols)],
+                       *[F.max(qcol(c).cast("double")).alias(f"mx{i}") for i, c in enumerate(cols)],
+                       *[F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(cols)]).collect()[0]
         minmax = {c: (row[f"mn{i}"], row[f"mx{i}"]) for i, c in enumerate(cols)}
         edges = {}
         if strategy == "uniform":
@@ -142,7 +149,7 @@ class BinsDiscretizer(Step):
                 q = {c: [minmax[c][0]] + qi[c] + [minmax[c][1]] for c in cols}
             else:
                 acc = int(self.options.get("accuracy", 10_000))
-                r = t.df.agg(*[F.percentile_approx(F.col(c).cast("double"), spec[c], acc).alias(f"q{i}")
+                r = t.df.agg(*[F.percentile_approx(qcol(c).cast("double"), spec[c], acc).alias(f"q{i}")
                                for i, c in enumerate(cols)]).collect()[0]
                 q = {c: r[f"q{i}"] for i, c in enumerate(cols)}
         else:
@@ -164,7 +171,7 @@ class BinsDiscretizer(Step):
         suffix = self.options.get("suffix")
         produced = {}
         for c in attrs:
-            v = F.col(c).cast("double")
+            v = qcol(c).cast("double")
             if "uniform" in params:
                 k = params["bins"][c]
                 p = params["uniform"][c]
@@ -173,17 +180,17 @@ class BinsDiscretizer(Step):
                 elif p["width"] == 0:
                     b = F.when(v.isNotNull(), F.lit(0))
                 else:
-                    # a CASE keeps missing values missing (least() would skip the NULL)
-                    fl = F.floor((v - F.lit(p["min"])) / F.lit(p["width"]))
-                    b = F.when(fl > F.lit(k - 1), F.lit(k - 1)).otherwise(fl)
+                    inner = [j * p["width"] + p["min"] for j in range(1, k)]
+                    b = F.when(v.isNotNull(), count_below(_lifted(v), inner, strict=False))
             else:
                 e = params["edges"][c]
                 if e is None:
                     k, b = 1, F.lit(None).cast("long")
                 else:
                     k = len(e) - 1
-                    b = F.when(v.isNotNull(), count_below(v, e[1:-1], strict=False))
-            labels = [_float_label(j) for j in range(k)]
+                    b = F.when(v.isNotNull(), count_below(_lifted(v), e[1:-1], strict=False))
+            # all bins asked for are categories, also those lost to merged edges
+            labels = [_float_label(j) for j in range(max(k, int(attrs[c]["bins"])))]
             out = c + suffix if suffix else c
             # k fixed labels: an array lookup per row, not a number layout
             lab = F.get(F.array(*[F.lit(x) for x in labels]), b.cast("int"))
@@ -205,7 +212,7 @@ def _check_ranges(opts_table, suffix):
         if len(set(map(str, labels))) != len(labels):
             yield ("unique", f"{c}: labels must be unique")
     if suffix is not None and suffix == "":
-        yield ("suff", "suffix must not be empty")
+        yield ("empty_suffix", "suffix must not be empty")
 
 
 @register
@@ -217,7 +224,7 @@ class RangeDiscretizer(Step):
 
     def check(self):
         if not self.options.get("table"):
-            yield ("noAttr", "no column selected")
+            yield ("no_columns", "no column selected")
         yield from _check_ranges(self.options.get("table") or {}, self.options.get("suffix", "_bins"))
 
     def input_columns(self):
@@ -230,7 +237,7 @@ class RangeDiscretizer(Step):
             edges = [float(e) for e in o["bins"]]
             labels = [str(x) for x in o["labels"]]
             out = c + suffix if suffix else c
-            produced[out] = typed(right_closed_label(F.col(c).cast("double"), edges, labels),
+            produced[out] = typed(right_closed_label(qcol(c).cast("double"), edges, labels),
                                   out, LType.ORDINAL, labels)
         return t.with_df(_place(t.df, produced))
 
@@ -273,7 +280,7 @@ class DateDiscretizer(Step):
     def check(self):
         sel = self.options.get("selected") or {}
         if not sel:
-            yield ("noAttr", "no column selected")
+            yield ("no_columns", "no column selected")
         table = {}
         for c, o in sel.items():
             edges, by_date, by_time = o["ranges"]
@@ -307,9 +314,9 @@ class DateDiscretizer(Step):
             labels = [str(x) for x in o["labels"]]
             dt = field_of(t.df, c).dataType
             if by_time and not by_date:
-                v = F.floor(day_micros(F.col(c), dt) / 1000) * 1000
+                v = F.floor(day_micros(qcol(c), dt) / 1000) * 1000
             else:
-                v = epoch_micros(F.col(c), dt)
+                v = epoch_micros(qcol(c), dt)
             e = [self._edge(x, by_date, by_time) for x in edges]
             out = c + suffix if suffix else c
             produced[out] = typed(right_closed_label(v, e, labels), out, LType.ORDINAL, labels)

@@ -5,21 +5,46 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..errors import SchemaError
+from ..functions.store import stored
 from ..functions.timeutil import epoch_micros
 from ..ltypes import CATEGORICAL, LType, categories, category_code, ltype, typed
+from ..names import qcol
 from ..step import Step, register
 
 
-def distinct_values(df, column: str, cap: int) -> list[str]:
-    """Sorted distinct non-missing values, at most ``cap`` (error above):
-    one distributed ``distinct`` with ``cap + 1`` rows brought back."""
-    rows = (df.select(F.col(column).cast("string").alias("v")).where(F.col("v").isNotNull())
-            .distinct().limit(cap + 1).collect())
-    if len(rows) > cap:
+def distinct_values(df, column: str, cap: int | None = None) -> list[str]:
+    """Sorted distinct non-missing values; with ``cap``, an error above it
+    (then at most ``cap + 1`` rows are brought back)."""
+    vals = df.select(qcol(column).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct()
+    rows = (vals if cap is None else vals.limit(int(cap) + 1)).collect()
+    if cap is not None and len(rows) > int(cap):
         raise SchemaError(f"{column}: more than {cap} distinct values")
     return sorted(r["v"] for r in rows)
 
 
+#: Categories looked up in a literal list; more are looked up by a join.
+LITERAL = 64
+
+
+def code_table(df, column: str):
+    """``(v, code)``: the sorted distinct non-missing values and their positions.
+
+    Sorted over range partitions; a value's position is its row in its
+    partition plus the rows of the partitions before (one number each on the driver).
+    """
+    vals = df.select(qcol(column).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct().orderBy("v")
+    # the written rows fix the partitions, so that counts and rows agree
+    rows = stored(vals.withColumn("at", F.monotonically_increasing_id()))
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    before, total = [], 0
+    for p_, n in sizes:
+        before.append((p_, total))
+        total += n
+    first = df.sparkSession.createDataFrame(before, "p long, before long")
+    return rows.withColumn("p", part).join(first, "p").select("v", (F.col("before") + row).cast("int").alias("code"))
+
+
 @register
 class OneHotEncoder(Step):
     """``attributes, include_nan``. Appends ``<col>_<value>`` 0/1 Nominal
@@ -31,7 +56,7 @@ class OneHotEncoder(Step):
 
     def check(self):
         if not self.options.get("attributes"):
-            yield ("noAttr", "no column selected")
+            yield ("no_columns", "no column selected")
 
     def input_columns(self):
         return list(self.options["attributes"])
@@ -40,12 +65,12 @@ class OneHotEncoder(Step):
         return True
 
     def _fit(self, t):
-        cap = int(self.options.get("max_categories", 1_000))
+        cap = self.options.get("max_categories")  # an error above it, only if asked for
         values = {}
         for c in self.options["attributes"]:
             cats = categories(t.df, c) if ltype(t.df, c) in CATEGORICAL else None
             values[c] = list(cats) if cats is not None else distinct_values(t.df, c, cap)
-            if len(values[c]) > cap:
+            if cap is not None and len(values[c]) > int(cap):
                 raise SchemaError(f"onehot: {c} has more than {cap} categories")
         return {"values": values}
 
@@ -55,13 +80,13 @@ class OneHotEncoder(Step):
         for c in self.options["attributes"]:
             for v in params["values"][c]:
                 name = f"{c}_{v}"
-                produced[name] = typed(F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)),
+                produced[name] = typed(F.coalesce((qcol(c) == F.lit(v)).cast("int"), F.lit(0)),
                                        name, LType.NOMINAL, [0, 1])
             if include_nan:
                 name = f"{c}_nan"
-                produced[name] = typed(F.col(c).isNull().cast("int"), name, LType.NOMINAL, [0, 1])
+                produced[name] = typed(qcol(c).isNull().cast("int"), name, LType.NOMINAL, [0, 1])
         names = t.df.columns
-        exprs = [produced[n] if n in produced else F.col(n) for n in names]
+        exprs = [produced[n] if n in produced else qcol(n) for n in names]
         exprs += [e for n, e in produced.items() if n not in names]
         return t.with_df(t.df.select(*exprs))
 
@@ -69,13 +94,14 @@ class OneHotEncoder(Step):
 @register
 class CategoryCodes(Step):
     """C4: category -> position in the category list, missing/unknown -> NULL.
-    String columns use their sorted distinct values (one bounded fit)."""
+    Columns without a list use their sorted distinct values. Short lists are
+    looked up in place, long ones by a join with a table of (value, code)."""
     key = "category_codes"
     accepts = frozenset({LType.ORDINAL, LType.NOMINAL, LType.STRING})
 
     def check(self):
         if not self.options.get("attributes"):
-            yield ("noAttr", "no column selected")
+            yield ("no_columns", "no column selected")
 
     def input_columns(self):
         return list(self.options["attributes"])
@@ -85,18 +111,36 @@ class CategoryCodes(Step):
         return "fit"
 
     def _fit(self, t):
-        cap = int(self.options.get("max_categories", 10_000))
         out = {}
         for c in self.options["attributes"]:
             cats = categories(t.df, c) if ltype(t.df, c) in CATEGORICAL else None
-            out[c] = list(cats) if cats is not None else distinct_values(t.df, c, cap)
+            if cats is None:
+                few = t.df.select(qcol(c)).where(qcol(c).isNotNull()).distinct().limit(LITERAL + 1).count()
+                # many values: a table, kept with the model
+                cats = distinct_values(t.df, c) if few <= LITERAL else code_table(t.df, c)
+            out[c] = cats
         return {"categories": out}
 
     def _transform(self, t, params):
-        cats = params["categories"]
-        exprs = [typed(category_code(F.col(f), cats[f]).cast("int"), f, LType.NUMERIC)
-                 if f in cats else F.col(f) for f in t.df.columns]
-        return t.with_df(t.df.select(*exprs))
+        cats, df = params["categories"], t.df
+        joined = {}
+        for i, (c, x) in enumerate(cats.items()):
+            if isinstance(x, list) and len(x) <= LITERAL:
+                continue
+            if isinstance(x, list):
+                x = df.sparkSession.createDataFrame([(v, j) for j, v in enumerate(x)], "v string, code int")
+            v, code = f"__v{i}", f"__code{i}"
+            df = df.join(x.select(F.col("v").alias(v), F.col("code").alias(code)), qcol(c) == F.col(v), "left").drop(v)
+            joined[c] = code
+        exprs = []
+        for f in t.df.columns:
+            if f in joined:
+                exprs.append(typed(qcol(joined[f]).cast("int"), f, LType.NUMERIC))
+            elif f in cats:
+                exprs.append(typed(category_code(qcol(f), cats[f]).cast("int"), f, LType.NUMERIC))
+            else:
+                exprs.append(qcol(f))
+        return t.with_df(df.select(*exprs))
 
 
 @register
@@ -108,13 +152,13 @@ class EpochMillis(Step):
 
     def check(self):
         if not self.options.get("attributes"):
-            yield ("noAttr", "no column selected")
+            yield ("no_columns", "no column selected")
 
     def input_columns(self):
         return list(self.options["attributes"])
 
     def _transform(self, t, params):
         sel = set(self.options["attributes"])
-        exprs = [typed(epoch_micros(F.col(f.name), f.dataType) / 1000.0, f.name, LType.NUMERIC)
-                 if f.name in sel else F.col(f.name) for f in t.df.schema.fields]
+        exprs = [typed(epoch_micros(qcol(f.name), f.dataType) / 1000.0, f.name, LType.NUMERIC)
+                 if f.name in sel else qcol(f.name) for f in t.df.schema.fields]
         return t.with_df(t.df.select(*exprs))

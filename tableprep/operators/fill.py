@@ -7,9 +7,9 @@ caller names ``order_by`` (unique within a group) and optionally
 ranges of the order key (range-carry scheme):
 
 1. ``percentile_approx`` cuts the order key into R ranges (one small job);
-   R grows with the table (about 2,000,000 rows per range, at most 65,536
-   ranges), never fewer than the shuffle partitions;
-2. rows are tagged with their range id (an O(log R) CASE tree) and
+   R grows with the table (about 2,000,000 rows per range), never fewer than
+   the shuffle partitions;
+2. rows are tagged with their range id (binary search; rows without an order key are a first range of their own) and
    range-partitioned on (group, range);
 3. per (group, range) the last (first) non-missing value of every column is
    aggregated -- at most groups x R rows; without groups, for text columns,
@@ -24,14 +24,18 @@ A hot group is split over R ranges instead of landing in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SchemaError
-from ..functions.buckets import count_below
+from ..functions.buckets import with_count_below
 from ..functions.timeutil import epoch_micros, from_epoch_micros
 from ..ltypes import LType, field_of, ltypes
+from ..names import qcol, qcols
 from ..session import shuffle_partitions
 from ..step import Step, register
 
@@ -47,22 +51,20 @@ def _ts_micros(c, dtype=None):
 def _order_number(df, name):
     dt = field_of(df, name).dataType
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return _ts_micros(F.col(name), dt)
+        return _ts_micros(qcol(name), dt)
     if isinstance(dt, T.StringType):
         raise SchemaError("fill: order_by must be numeric or datetime")
-    return F.col(name)
+    return qcol(name)
 
 
 ROWS_PER_RANGE = 2_000_000
 GRID = 1024
-MAX_RANGES = 65_536
 
 
 def range_edges(df, okey, ranges=None, min_ranges=2, rows_per_range=ROWS_PER_RANGE):
     """Sorted cut points of the order key into R ranges of about equal size.
 
-    R grows with the data: max(``min_ranges``, rows / ``rows_per_range``), at
-    most 65,536, so one range -- one window group -- stays bounded whatever the
+    R grows with the data: max(``min_ranges``, rows / ``rows_per_range``), so one range -- one window group -- stays bounded whatever the
     table size. One job gives the row count and a 1,024-point quantile grid;
     only when more ranges than that are needed a finer grid is computed."""
     if ranges:
@@ -78,7 +80,7 @@ def range_edges(df, okey, ranges=None, min_ranges=2, rows_per_range=ROWS_PER_RAN
         g = row["e"] or []
         picks = [g[round(j * GRID / want) - 1] for j in range(1, want)] if g else []
         return sorted(set(x for x in picks if x is not None))
-    R = min(MAX_RANGES, want)
+    R = want
     probs = [i / R for i in range(1, R)]
     e = df.agg(F.percentile_approx(okey, probs, 4 * R).alias("e")).collect()[0]["e"]
     return sorted(set(x for x in (e or []) if x is not None))
@@ -92,76 +94,98 @@ def directional_fill(df, cols, order_by: str, partition_by=(), forward=True, ran
     part = list(partition_by or [])
     okey = _order_number(df, order_by)
     edges = range_edges(df, okey, ranges, max(2, shuffle_partitions(spark)), rows_per_range)
-    rid = count_below(okey, edges)
-    tagged = df.select("*", rid.alias("__rid"), okey.alias("__okey"))
+    tagged = with_count_below(df.withColumn("__okey", okey), qcol("__okey"), edges, "__rid")
+    # a missing order key sorts first: a range before all others, where any order is right
+    zero = F.lit(0).cast(tagged.schema["__okey"].dataType)
+    tagged = tagged.withColumns({"__rid": F.coalesce(qcol("__rid"), F.lit(-1)), "__okey": F.coalesce(qcol("__okey"), zero)})
     keys = part + ["__rid"]
+    if part and not _hot_group(df, part, rows_per_range, ranges):
+        # no group outgrows a range: one window per group, no carry needed
+        w = Window.partitionBy(*qcols(part)).orderBy("__rid", "__okey")
+        w = w.rowsBetween(Window.unboundedPreceding, 0) if forward else w.rowsBetween(0, Window.unboundedFollowing)
+        take = F.last if forward else F.first
+        return tagged.select(*[F.coalesce(qcol(f.name), take(qcol(f.name), ignorenulls=True).over(w)).alias(f.name, metadata=f.metadata)
+                               if f.name in cols else qcol(f.name) for f in df.schema.fields])
 
     # max_by over fixed-width values stays a hash aggregate; over text it would
     # sort every row, so without groups text columns take the position path
     fixed = all(isinstance(df.schema[c].dataType, _FIXED) for c in cols)
     if part or fixed:
         pick = F.max_by if forward else F.min_by
-        summary = tagged.groupBy(*keys).agg(
-            *[pick(F.col(c), F.when(F.col(c).isNotNull(), F.col("__okey"))).alias(c) for c in cols])
-        wc = Window.partitionBy(*part).orderBy("__rid") if part else Window.orderBy("__rid")
+        summary = tagged.groupBy(*qcols(keys)).agg(
+            *[pick(qcol(c), F.when(qcol(c).isNotNull(), qcol("__okey"))).alias(c) for c in cols])
+        wc = Window.partitionBy(*qcols(part)).orderBy("__rid") if part else Window.orderBy("__rid")
         if forward:
             wc = wc.rowsBetween(Window.unboundedPreceding, -1)
-            carry_fn = lambda c: F.last(F.col(c), ignorenulls=True).over(wc)
+            carry_fn = lambda c: F.last(qcol(c), ignorenulls=True).over(wc)
         else:
             wc = wc.rowsBetween(1, Window.unboundedFollowing)
-            carry_fn = lambda c: F.first(F.col(c), ignorenulls=True).over(wc)
-        carry = summary.select(*keys, *[carry_fn(c).alias(f"__carry_{i}") for i, c in enumerate(cols)])
-        if not part:
-            carry = F.broadcast(carry)  # at most R rows
+            carry_fn = lambda c: F.first(qcol(c), ignorenulls=True).over(wc)
+        carry = summary.select(*qcols(keys), *[carry_fn(c).alias(f"__carry_{i}") for i, c in enumerate(cols)])
     else:
-        carry = F.broadcast(_global_carry(df, tagged, cols, okey, len(edges) + 1, forward))  # <= R rows
+        carry = _global_carry(tagged, cols, forward)  # at most R rows, of texts of any size: the planner picks the join
 
     # at least one partition per range when ranges outnumber shuffle partitions
     n_parts = max(shuffle_partitions(spark), len(edges) + 1)
-    data = tagged.repartitionByRange(n_parts, *keys) if not part else tagged.repartition(n_parts, *keys)
-    joined = data.join(carry, on=keys, how="left")
-    w = Window.partitionBy(*keys).orderBy("__okey")
+    data = tagged.repartitionByRange(n_parts, *qcols(keys)) if not part else tagged.repartition(n_parts, *qcols(keys))
+    # groups may be missing (NULL) too: a null-safe join on renamed keys
+    carry = carry.select(*[qcol(k).alias(f"__c{i}") for i, k in enumerate(keys)],
+                         *[qcol(f"__carry_{i}") for i in range(len(cols))])
+    if not part and fixed:
+        carry = F.broadcast(carry)  # at most R rows of fixed width
+    match = reduce(and_, [qcol(k).eqNullSafe(qcol(f"__c{i}")) for i, k in enumerate(keys)])
+    joined = data.join(carry, match, "left")
+    w = Window.partitionBy(*qcols(keys)).orderBy("__okey")
     if forward:
         w = w.rowsBetween(Window.unboundedPreceding, 0)
-        win = lambda c: F.last(F.col(c), ignorenulls=True).over(w)
+        win = lambda c: F.last(qcol(c), ignorenulls=True).over(w)
     else:
         w = w.rowsBetween(0, Window.unboundedFollowing)
-        win = lambda c: F.first(F.col(c), ignorenulls=True).over(w)
+        win = lambda c: F.first(qcol(c), ignorenulls=True).over(w)
     idx = {c: i for i, c in enumerate(cols)}
     out = []
     for f in df.schema.fields:
         if f.name in idx:
-            e = F.coalesce(F.col(f.name), win(f.name), F.col(f"__carry_{idx[f.name]}"))
+            e = F.coalesce(qcol(f.name), win(f.name), qcol(f"__carry_{idx[f.name]}"))
             out.append(e.alias(f.name, metadata=f.metadata))
         else:
-            out.append(F.col(f.name))
+            out.append(qcol(f.name))
     return joined.select(*out)
 
 
-def _global_carry(df, tagged, cols, okey, n_ranges, forward):
+def _hot_group(df, part, rows_per_range, ranges) -> bool:
+    """Whether some group holds more rows than a range should (or ranges were asked for)."""
+    if ranges:
+        return True
+    sizes = df.groupBy(*qcols(part)).agg(F.count(F.lit(1)).alias("__n"))
+    return (sizes.agg(F.max("__n")).first()[0] or 0) > rows_per_range
+
+
+def _global_carry(tagged, cols, forward):
     """Carry table (__rid, __carry_i...) of a fill without groups, as one lazy
     plan: per range the position of the last (first) non-missing value of
     each column (a hash aggregate over numbers, at most R rows), the carry
     positions from earlier (later) ranges by a window over those R rows, the
-    values at those positions by a join against at most R x columns
-    positions, pivoted back by a tiny aggregate."""
+    values at those positions by a join on (range, position)."""
     agg = F.max if forward else F.min
     pos = tagged.groupBy("__rid").agg(
-        *[agg(F.when(F.col(c).isNotNull(), F.col("__okey"))).alias(f"p{i}") for i, c in enumerate(cols)])
+        *[agg(F.when(qcol(c).isNotNull(), qcol("__okey"))).alias(f"p{i}") for i, c in enumerate(cols)])
     if forward:
         w = Window.orderBy("__rid").rowsBetween(Window.unboundedPreceding, -1)
-        pick = lambda c: F.last(F.col(c), ignorenulls=True).over(w)
+        pick = lambda c: F.last(c, ignorenulls=True).over(w)
     else:
         w = Window.orderBy("__rid").rowsBetween(1, Window.unboundedFollowing)
-        pick = lambda c: F.first(F.col(c), ignorenulls=True).over(w)
-    carry_pos = pos.select("__rid", *[pick(f"p{i}").alias(f"cp{i}") for i in range(len(cols))])
-    need = (carry_pos.select("__rid", F.inline(F.array(*[F.struct(F.lit(i).alias("ci"), F.col(f"cp{i}").alias("cp"))
-                                                         for i in range(len(cols))])))
-            .where(F.col("cp").isNotNull()))
-    vals = df.select(okey.alias("__okey"), *cols).join(F.broadcast(need), F.col("__okey") == F.col("cp"))
-    return vals.groupBy("__rid").agg(
-        *[F.first(F.when(F.col("ci") == i, F.col(c)), ignorenulls=True).alias(f"__carry_{i}")
-          for i, c in enumerate(cols)])
+        pick = lambda c: F.first(c, ignorenulls=True).over(w)
+    at = [F.when(qcol(f"p{i}").isNotNull(), F.struct(qcol("__rid").alias("r"), qcol(f"p{i}").alias("p"))) for i in range(len(cols))]
+    carry_pos = pos.select("__rid", *[pick(x).alias(f"cp{i}") for i, x in enumerate(at)])
+    need = (carry_pos.select(qcol("__rid").alias("__to"), F.inline(F.array(*[
+        F.struct(F.lit(i).alias("ci"), qcol(f"cp{i}").alias("cp")) for i in range(len(cols))])))
+        .where(qcol("cp").isNotNull()).select("__to", "ci", F.col("cp.r").alias("__from"), F.col("cp.p").alias("__pos")))
+    # at most R x columns positions of fixed width, against one scan of the table
+    vals = tagged.select("__rid", "__okey", *qcols(cols)).join(
+        F.broadcast(need), (qcol("__rid") == qcol("__from")) & (qcol("__okey") == qcol("__pos")))
+    return vals.groupBy(qcol("__to").alias("__rid")).agg(
+        *[F.max(F.when(qcol("ci") == i, qcol(c))).alias(f"__carry_{i}") for i, c in enumerate(cols)])
 
 
 @register
@@ -176,7 +200,7 @@ class FillNan(Step):
         if m not in METHODS:
             yield ("method", f"method must be one of {METHODS}")
         if not self.options.get("selected"):
-            yield ("notSet", "no column selected")
+            yield ("not_given", "no column selected")
         if m == "value" and not isinstance(self.options.get("selected"), dict):
             yield ("value", "method 'value' needs {column: value}")
         if m in ("ffill", "bfill") and not self.options.get("order_by"):
@@ -208,10 +232,10 @@ class FillNan(Step):
         for i, c in enumerate(cols):
             if lt[c] == LType.DATETIME:
                 # exact: decimal sum of microseconds, floored mean
-                aggs.append(F.floor(F.sum(_ts_micros(F.col(c), field_of(t.df, c).dataType).cast("decimal(38,0)"))
-                                    / F.count(F.col(c))).cast("long").alias(f"m{i}"))
+                aggs.append(F.floor(F.sum(_ts_micros(qcol(c), field_of(t.df, c).dataType).cast("decimal(38,0)"))
+                                    / F.count(qcol(c))).cast("long").alias(f"m{i}"))
             else:
-                aggs.append(F.avg(F.col(c).cast("double")).alias(f"m{i}"))
+                aggs.append(F.avg(qcol(c).cast("double")).alias(f"m{i}"))
         row = t.df.agg(*aggs).collect()[0]
         return {"means": {c: row[f"m{i}"] for i, c in enumerate(cols)}}
 
@@ -244,10 +268,10 @@ class FillNan(Step):
                         f.dataType, (T.DoubleType, T.FloatType)) else F.lit(float(v))
                     if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
                         # pandas turns the column to float when the fill is fractional
-                        exprs.append(F.coalesce(F.col(f.name).cast("double"), F.lit(float(v)))
+                        exprs.append(F.coalesce(qcol(f.name).cast("double"), F.lit(float(v)))
                                      .alias(f.name, metadata=f.metadata))
                         continue
-                exprs.append(F.coalesce(F.col(f.name), fill).alias(f.name, metadata=f.metadata))
+                exprs.append(F.coalesce(qcol(f.name), fill).alias(f.name, metadata=f.metadata))
             else:
-                exprs.append(F.col(f.name))
+                exprs.append(qcol(f.name))
         return t.with_df(df.select(*exprs))

@@ -9,18 +9,16 @@
   skew-join splitting of hot keys). ``hint='broadcast'`` is honoured only
   after a bounded count proves the side has at most ``max_broadcast_rows``
   rows; otherwise the plan stays a shuffled join.
-* A full outer join, whose skewed partitions AQE cannot split, runs as an
-  inner join plus the unmatched rows of each side (two anti joins): AQE can
-  split all three, and they share the shuffles of both sides.
+* A full outer join is one join; where keys are hot (AQE cannot split the
+  skewed partitions of a full outer join) ask for ``skew``.
 * ``skew='auto'`` or a list of hot key values splits hot keys off explicitly:
-  keys with at least ``skew_min_rows`` rows on either side (top
-  ``max_hot_keys`` by count, one grouped count over both sides' keys; NULL
-  is a key like any other) are joined by a salted INNER join -- the side
-  with more hot rows spread over buckets (at least ``salt_buckets``, about
-  ``rows_per_salt`` rows each for the hottest key, at most 100,000), the other side's
-  hot rows copied once per bucket -- while hot rows whose key has no partner
-  come back through anti joins against the small hot-key set. All other keys
-  take the plain shuffled join. No row is dropped or capped.
+  keys with at least ``skew_min_rows`` rows on either side (one grouped count
+  over both sides' keys; NULL is a key like any other) are joined by a salted
+  INNER join -- per key the side with more rows is spread over buckets by a
+  hash of the row (at least ``salt_buckets``, about ``rows_per_salt`` rows
+  each), the other side's rows copied once per bucket -- while hot rows whose
+  key has no partner come back through anti joins. All other keys take the
+  plain shuffled join. No row is dropped or capped.
 """
 
 from __future__ import annotations
@@ -30,6 +28,7 @@ from pyspark.sql import types as T
 
 from ..errors import OptionError
 from ..ltypes import CATEGORICAL, STRINGLIKE, LType, field_of, ltype_of_field, typed
+from ..names import qcol, qcols, quoted
 from ..step import Step, register
 from ..table import Table, ix
 
@@ -40,26 +39,28 @@ def compatible(a: LType, b: LType) -> bool:
     return a == b or (a in STRINGLIKE and b in STRINGLIKE)
 
 
-def bounded_broadcast(df, max_rows: int):
-    """``broadcast(df)`` if it provably has at most ``max_rows`` rows (one job
-    reading at most ``max_rows + 1`` rows), else ``df`` unchanged."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+BROADCAST_BYTES = 64 << 20
 
 
-def _hot_keys(L, R, lkeys, rkeys, min_rows, max_keys):
-    """Keys with at least ``min_rows`` rows on either side, top ``max_keys`` by
-    count: ONE grouped count over both sides' keys (map-side combined).
-    Returns (keys, rows of hot keys on the left, on the right)."""
+def bounded_broadcast(df, max_rows: int, max_bytes: int = BROADCAST_BYTES):
+    """``broadcast(df)`` if it provably has at most ``max_rows`` rows of together at
+    most ``max_bytes`` (one job reading at most ``max_rows + 1`` rows), else ``df`` unchanged."""
+    wide = [F.coalesce(F.octet_length(qcol(f.name).cast("string")), F.lit(0)) for f in df.schema.fields]
+    row = df.limit(max_rows + 1).select(sum(wide, F.lit(8 * len(wide))).alias("b")).agg(F.count("b"), F.sum("b")).first()
+    return F.broadcast(df) if row[0] <= max_rows and (row[1] or 0) <= max_bytes else df
+
+
+def _hot_keys(L, R, lkeys, rkeys, min_rows):
+    """Keys with at least ``min_rows`` rows on either side, as (key..., rows left, rows right):
+    ONE grouped count over both sides' keys (map-side combined). There are at
+    most rows / ``min_rows`` of them."""
     names = [f"__k{i}" for i in range(len(lkeys))]
-    both = (L.select(*[F.col(k).alias(n) for k, n in zip(lkeys, names)], F.lit(0).alias("__side"))
-            .unionByName(R.select(*[F.col(k).alias(n) for k, n in zip(rkeys, names)], F.lit(1).alias("__side"))))
+    both = (L.select(*[qcol(k).alias(n) for k, n in zip(lkeys, names)], F.lit(0).alias("__side"))
+            .unionByName(R.select(*[qcol(k).alias(n) for k, n in zip(rkeys, names)], F.lit(1).alias("__side"))))
     rows = (both.groupBy(*names).agg(F.count_if(F.col("__side") == 0).alias("__nl"),
                                      F.count_if(F.col("__side") == 1).alias("__nr"))
-            .where((F.col("__nl") >= min_rows) | (F.col("__nr") >= min_rows))
-            .orderBy(F.greatest("__nl", "__nr").desc()).limit(max_keys).collect())
-    return ({tuple(r[n] for n in names) for r in rows}, sum(r["__nl"] for r in rows), sum(r["__nr"] for r in rows),
-            max([max(r["__nl"], r["__nr"]) for r in rows] or [0]))
+            .where((F.col("__nl") >= min_rows) | (F.col("__nr") >= min_rows)).collect())
+    return [(tuple(r[n] for n in names), r["__nl"], r["__nr"]) for r in rows]
 
 
 def skew_join(L, R, lkeys, rkeys, how, o):
@@ -68,63 +69,59 @@ def skew_join(L, R, lkeys, rkeys, how, o):
     def cond_of(a, b, ak, bk):
         c = None
         for x, y in zip(ak, bk):
-            t_ = a[x].eqNullSafe(b[y])
+            t_ = a[quoted(x)].eqNullSafe(b[quoted(y)])
             c = t_ if c is None else c & t_
         return c
 
     skew = o.get("skew")
     spark = L.sparkSession
-    if not skew and how == "full":
-        # AQE splits skewed partitions of inner and anti joins but not of a full
-        # outer join: full = inner + unmatched left + unmatched right. The three
-        # joins shuffle L and R on the same keys, so the exchanges are reused.
-        inner = L.join(R, cond_of(L, R, lkeys, rkeys), "inner").select(*L.columns, *R.columns)
-        lonely_l = L.join(R, cond_of(L, R, lkeys, rkeys), "left_anti").select(
-            *L.columns, *[F.lit(None).cast(R.schema[c].dataType).alias(c) for c in R.columns])
-        lonely_r = R.join(L, cond_of(R, L, rkeys, lkeys), "left_anti").select(
-            *[F.lit(None).cast(L.schema[c].dataType).alias(c) for c in L.columns], *R.columns)
-        return inner.unionByName(lonely_l).unionByName(lonely_r)
+    plain = lambda: L.join(R, cond_of(L, R, lkeys, rkeys), how)
     if not skew:
-        return L.join(R, cond_of(L, R, lkeys, rkeys), how)
-    min_rows = int(o.get("skew_min_rows", 5_000_000))
-    max_keys = int(o.get("max_hot_keys", 1_000))
+        return plain()
     S = int(o.get("salt_buckets", 64))
+    per_bucket = int(o.get("rows_per_salt", 2_000_000))
     if skew == "auto":
-        hot, n_l, n_r, hottest = _hot_keys(L, R, lkeys, rkeys, min_rows, max_keys)
-        # buckets grow with the hottest key: about ``rows_per_salt`` rows per task
-        S = min(100_000, max(S, -(-hottest // int(o.get("rows_per_salt", 2_000_000)))))
+        hot = _hot_keys(L, R, lkeys, rkeys, int(o.get("skew_min_rows", 5_000_000)))
     else:
-        hot = {tuple(k) if isinstance(k, (list, tuple)) else (k,) for k in skew}
-        n_l, n_r = 1, 0
+        hot = [(tuple(k) if isinstance(k, (list, tuple)) else (k,), 1, 0) for k in skew]
     if not hot:
-        return L.join(R, cond_of(L, R, lkeys, rkeys), how)
-    kschema = T.StructType([T.StructField(f"__h{i}", L.schema[k].dataType) for i, k in enumerate(lkeys)])
-    H = F.broadcast(spark.createDataFrame(sorted(hot, key=str), kschema))  # at most 2 * max_hot_keys rows
+        return plain()
+    # per key: which side is spread over how many buckets (about ``rows_per_salt`` rows
+    # each); the other side's rows of that key, the fewer, are copied to each
+    rows = [(*k, nl >= nr, max(S, -(-max(nl, nr) // per_bucket))) for k, nl, nr in sorted(hot, key=str)]
     hcols = [f"__h{i}" for i in range(len(lkeys))]
-    Lh = L.join(H, cond_of(L, H, lkeys, hcols), "left_semi")
+    kschema = T.StructType([T.StructField(h, L.schema[k].dataType) for h, k in zip(hcols, lkeys)]
+                           + [T.StructField("__spread_l", T.BooleanType()), T.StructField("__buckets", T.LongType())])
+    H = spark.createDataFrame(rows, kschema)
+    if len(rows) <= 100_000:
+        H = F.broadcast(H)
+    Lh = L.join(H, cond_of(L, H, lkeys, hcols), "inner")
     Ln = L.join(H, cond_of(L, H, lkeys, hcols), "left_anti")
-    Rh = R.join(H, cond_of(R, H, rkeys, hcols), "left_semi")
+    Rh = R.join(H, cond_of(R, H, rkeys, hcols), "inner")
     Rn = R.join(H, cond_of(R, H, rkeys, hcols), "left_anti")
     parts = [Ln.join(Rn, cond_of(Ln, Rn, lkeys, rkeys), how)]
+
+    def salted(side, columns, spread):
+        # the salt is a hash of the row, so a task that runs again salts alike
+        one = F.array(F.pmod(F.xxhash64(*qcols(columns)), qcol("__buckets")))
+        return side.withColumn("__salt", F.explode(F.when(spread, one).otherwise(
+            F.sequence(F.lit(0).cast("long"), qcol("__buckets") - 1))))
+    ls, rs = salted(Lh, L.columns, qcol("__spread_l")), salted(Rh, R.columns, ~qcol("__spread_l"))
     # hot keys with rows on both sides: salted inner join (every such row has a partner)
-    big, small, bk, sk = (Lh, Rh, lkeys, rkeys) if n_l >= n_r else (Rh, Lh, rkeys, lkeys)
-    # any salt is correct (the small side is in every bucket); a row id spreads duplicates too
-    big_s = big.withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id(), *big.columns), F.lit(S)))
-    small_s = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(S - 1))))
-    inner = big_s.join(small_s, cond_of(big_s, small_s, bk, sk) & (big_s["__salt"] == small_s["__salt"]), "inner")
-    parts.append(inner.select(*[F.col(c) for c in L.columns + R.columns]))
+    inner = ls.join(rs, cond_of(ls, rs, lkeys, rkeys) & (ls["__salt"] == rs["__salt"]), "inner")
+    parts.append(inner.select(*qcols(L.columns + R.columns)))
     # hot rows without partner on the other side (their key is absent there)
     if how in ("left", "full"):
-        present_r = F.broadcast(Rh.select(*[F.col(k).alias(h) for k, h in zip(rkeys, hcols)]).distinct())
-        lonely = Lh.join(present_r, cond_of(Lh, present_r, lkeys, hcols), "left_anti")
-        parts.append(lonely.select(*L.columns, *[F.lit(None).cast(R.schema[c].dataType).alias(c) for c in R.columns]))
+        present_r = Rh.select(*hcols).distinct()
+        lonely = Lh.select(*qcols(L.columns)).join(present_r, cond_of(Lh, present_r, lkeys, hcols), "left_anti")
+        parts.append(lonely.select(*qcols(L.columns), *[F.lit(None).cast(R.schema[c].dataType).alias(c) for c in R.columns]))
     if how in ("right", "full"):
-        present_l = F.broadcast(Lh.select(*[F.col(k).alias(h) for k, h in zip(lkeys, hcols)]).distinct())
-        lonely = Rh.join(present_l, cond_of(Rh, present_l, rkeys, hcols), "left_anti")
-        parts.append(lonely.select(*[F.lit(None).cast(L.schema[c].dataType).alias(c) for c in L.columns], *R.columns))
-    out = parts[0].select(*L.columns, *R.columns)
+        present_l = Lh.select(*hcols).distinct()
+        lonely = Rh.select(*qcols(R.columns)).join(present_l, cond_of(Rh, present_l, rkeys, hcols), "left_anti")
+        parts.append(lonely.select(*[F.lit(None).cast(L.schema[c].dataType).alias(c) for c in L.columns], *qcols(R.columns)))
+    out = parts[0].select(*qcols(L.columns + R.columns))
     for p_ in parts[1:]:
-        out = out.unionByName(p_.select(*L.columns, *R.columns))
+        out = out.unionByName(p_.select(*qcols(L.columns + R.columns)))
     return out
 
 
@@ -152,7 +149,7 @@ class Join(Step):
         if on not in ("columns", "index"):
             yield ("on", "on must be columns or index")
         if on == "columns" and (not self.options.get("left_on") or not self.options.get("right_on")):
-            yield ("notSet", "left_on and right_on are required")
+            yield ("not_given", "left_on and right_on are required")
 
     def fit(self, left, right=None):  # type: ignore[override]
         return JoinModel(self)
@@ -194,11 +191,11 @@ def join_columns(lt: Table, rt: Table, o) -> Table:
         raise OptionError([("type", f"key types differ: {la.value} and {lb.value}")])
     lcols, rcols = lt.columns, rt.columns
     merged = lk == rk
-    L = lt.df.select(*[F.col(c).alias("l__" + c) for c in lcols])
-    R = _rhs(Table(rt.df.select(*[F.col(c).alias("r__" + c) for c in rcols])), o)
+    L = lt.df.select(*[qcol(c).alias("l__" + c) for c in lcols])
+    R = _rhs(Table(rt.df.select(*[qcol(c).alias("r__" + c) for c in rcols])), o)
     if la in STRINGLIKE and la != lb:
-        L = L.withColumn("l__" + lk, F.col("l__" + lk).cast("string"))
-        R = R.withColumn("r__" + rk, F.col("r__" + rk).cast("string"))
+        L = L.withColumn("l__" + lk, qcol("l__" + lk).cast("string"))
+        R = R.withColumn("r__" + rk, qcol("r__" + rk).cast("string"))
     j = skew_join(L, R, ["l__" + lk], ["r__" + rk], how, o)
     lset = set(lcols) - ({lk} if merged else set())
     rset = set(rcols) - ({rk} if merged else set())
@@ -208,21 +205,21 @@ def join_columns(lt: Table, rt: Table, o) -> Table:
         if merged and c == lk:
             kt, kc = _key_meta(lf, rf)
             if how == "inner" or how == "left":
-                e = F.col("l__" + c)
+                e = qcol("l__" + c)
             elif how == "right":
-                e = F.col("r__" + c)
+                e = qcol("r__" + c)
             else:
-                e = F.coalesce(F.col("l__" + c), F.col("r__" + c))
+                e = F.coalesce(qcol("l__" + c), qcol("r__" + c))
             exprs.append(typed(e, c, kt, kc) if kt in CATEGORICAL else
                          e.alias(c, metadata=lf.metadata or {}))
         else:
             name = c + ls if c in clash else c
-            exprs.append(F.col("l__" + c).alias(name, metadata=field_of(lt.df, c).metadata or {}))
+            exprs.append(qcol("l__" + c).alias(name, metadata=field_of(lt.df, c).metadata or {}))
     for c in rcols:
         if merged and c == rk:
             continue
         name = c + rs if c in clash else c
-        exprs.append(F.col("r__" + c).alias(name, metadata=field_of(rt.df, c).metadata or {}))
+        exprs.append(qcol("r__" + c).alias(name, metadata=field_of(rt.df, c).metadata or {}))
     return Table(j.select(*exprs), ())
 
 
@@ -244,22 +241,22 @@ def join_index(lt: Table, rt: Table, o) -> Table:
         ta, tb = ltype_of_field(fa), ltype_of_field(fb)
         if not compatible(ta, tb):
             raise OptionError([("type", f"index level types differ: {ta.value} and {tb.value}")])
-    L = lt.df.select(*[F.col(c).alias("l__" + c) for c in lt.df.columns])
-    R = _rhs(Table(rt.df.select(*[F.col(c).alias("r__" + c) for c in rt.df.columns])), o)
+    L = lt.df.select(*[qcol(c).alias("l__" + c) for c in lt.df.columns])
+    R = _rhs(Table(rt.df.select(*[qcol(c).alias("r__" + c) for c in rt.df.columns])), o)
     for a, b in pairs:
         ta = ltype_of_field(field_of(lt.df, ix(a)))
         tb = ltype_of_field(field_of(rt.df, ix(b)))
         if ta != tb:
-            L = L.withColumn("l__" + ix(a), F.col("l__" + ix(a)).cast("string"))
-            R = R.withColumn("r__" + ix(b), F.col("r__" + ix(b)).cast("string"))
+            L = L.withColumn("l__" + ix(a), qcol("l__" + ix(a)).cast("string"))
+            R = R.withColumn("r__" + ix(b), qcol("r__" + ix(b)).cast("string"))
     j = skew_join(L, R, ["l__" + ix(a) for a, _ in pairs], ["r__" + ix(b) for _, b in pairs], how, o)
 
     def pick(a, b):
         if how in ("inner", "left"):
-            return F.col("l__" + ix(a))
+            return qcol("l__" + ix(a))
         if how == "right":
-            return F.col("r__" + ix(b))
-        return F.coalesce(F.col("l__" + ix(a)), F.col("r__" + ix(b)))
+            return qcol("r__" + ix(b))
+        return F.coalesce(qcol("l__" + ix(a)), qcol("r__" + ix(b)))
 
     index, exprs = [], []
     for a, b in pairs:
@@ -274,17 +271,17 @@ def join_index(lt: Table, rt: Table, o) -> Table:
     paired_r = {b for _, b in pairs}
     for n in lt.index:
         if n not in paired_l:
-            exprs.append(F.col("l__" + ix(n)).alias(ix(n), metadata=field_of(lt.df, ix(n)).metadata or {}))
+            exprs.append(qcol("l__" + ix(n)).alias(ix(n), metadata=field_of(lt.df, ix(n)).metadata or {}))
             index.append(n)
     for n in rt.index:
         if n not in paired_r and n not in index:
-            exprs.append(F.col("r__" + ix(n)).alias(ix(n), metadata=field_of(rt.df, ix(n)).metadata or {}))
+            exprs.append(qcol("r__" + ix(n)).alias(ix(n), metadata=field_of(rt.df, ix(n)).metadata or {}))
             index.append(n)
     clash = set(lt.columns) & set(rt.columns)
     for c in lt.columns:
-        exprs.append(F.col("l__" + c).alias(c + ls if c in clash else c,
+        exprs.append(qcol("l__" + c).alias(c + ls if c in clash else c,
                                             metadata=field_of(lt.df, c).metadata or {}))
     for c in rt.columns:
-        exprs.append(F.col("r__" + c).alias(c + rs if c in clash else c,
+        exprs.append(qcol("r__" + c).alias(c + rs if c in clash else c,
                                             metadata=field_of(rt.df, c).metadata or {}))
     return Table(j.select(*exprs), tuple(index))

@@ -1,17 +1,18 @@
 """Missing-value filters: F1-F6.
 
-NULL is the only missing value (NaN is turned into NULL at ingest, see
-``ltypes.canonicalize``). Index levels are never counted.
+NULL is the only missing value (NaN becomes NULL where a table enters, see
+``Table.of``). Index levels are never counted.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..names import qcol
 from ..step import Step, register
 from ..table import Table
 
@@ -19,7 +20,7 @@ from ..table import Table
 def _share_or_number(opts):
     share, number = opts.get("percentage"), opts.get("number")
     if (share is None) == (number is None):
-        yield ("notSet", "give exactly one of percentage or number")
+        yield ("not_given", "give exactly one of percentage or number")
     if share is not None and not (0.0 <= float(share) <= 1.0):
         yield ("percentage", "percentage must be within [0, 1]")
     if number is not None and int(number) < 0:
@@ -27,7 +28,7 @@ def _share_or_number(opts):
 
 
 def null_count_expr(cols):
-    return reduce(add, [F.col(c).isNull().cast("int") for c in cols], F.lit(0))
+    return reduce(add, [qcol(c).isNull().cast("int") for c in cols], F.lit(0))
 
 
 @register
@@ -45,7 +46,8 @@ class RemoveNanRows(Step):
         if self.options.get("number") is not None:
             cond = nulls <= F.lit(int(self.options["number"]))
         else:
-            cond = nulls <= F.lit(float(self.options["percentage"])) * F.lit(len(cols))
+            # the share as a quotient: 29 of 100 is exactly 0.29, 0.29 * 100 is not 29
+            cond = nulls / F.lit(float(max(1, len(cols)))) <= F.lit(float(self.options["percentage"]))
         return t.with_df(t.df.where(cond))
 
 
@@ -62,7 +64,7 @@ class RemoveNanColumns(Step):
     def _fit(self, t):
         cols = t.columns
         row = t.df.agg(F.count(F.lit(1)).alias("__n"),
-                       *[F.count(F.col(c)).alias(f"c{i}") for i, c in enumerate(cols)]).collect()[0]
+                       *[F.count(qcol(c)).alias(f"c{i}") for i, c in enumerate(cols)]).collect()[0]
         n = row["__n"]
         nulls = {c: n - row[f"c{i}"] for i, c in enumerate(cols)}
         if self.options.get("number") is not None:
@@ -84,11 +86,11 @@ class KeepIndexValues(Step):
 
     def check(self):
         if self.options.get("values") is None:
-            yield ("notSet", "no values given")
+            yield ("not_given", "no values given")
 
     def _transform(self, t, params):
         column = self.options.get("column")
-        key = F.col(column) if column else t.icol(t.index[0])
+        key = qcol(column) if column else t.icol(t.index[0])
         return t.with_df(t.df.where(key.isin(list(self.options["values"]))))
 
 
@@ -97,8 +99,8 @@ def keep_values_in(x, key: str, values: DataFrame, value_col: str | None = None)
     broadcast only when its size estimate allows."""
     t = Table.of(x)
     vc = value_col or values.columns[0]
-    kcol = t.icol(key) if key in t.index else F.col(key)
-    out = t.df.join(values.select(F.col(vc).alias("__v")).distinct(), kcol.eqNullSafe(F.col("__v")),
+    kcol = t.icol(key) if key in t.index else qcol(key)
+    out = t.df.join(values.select(qcol(vc).alias("__v")).distinct(), kcol.eqNullSafe(qcol("__v")),
                     "left_semi")
     return out if isinstance(x, DataFrame) else t.with_df(out)
 
@@ -110,4 +112,5 @@ class DropMissing(Step):
 
     def _transform(self, t, params):
         subset = self.options.get("subset") or t.columns
-        return t.with_df(t.df.dropna(how="any", subset=list(subset)))
+        present = reduce(and_, [qcol(c).isNotNull() for c in subset], F.lit(True))
+        return t.with_df(t.df.where(present))

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..ltypes import LType, categories, category_code, ltypes
+from ..names import qcol
 from ..step import Step, register
 from ..table import Table
 
@@ -21,8 +22,10 @@ from ..table import Table
 def sort_key(df, name):
     lt = ltypes(df)[name]
     if lt == LType.ORDINAL:
-        return category_code(F.col(name), categories(df, name))
-    return F.col(name)
+        cats = categories(df, name)
+        # without a list the categories are the sorted values themselves
+        return qcol(name) if cats is None else category_code(qcol(name), cats)
+    return qcol(name)
 
 
 @register
@@ -34,7 +37,7 @@ class SortRows(Step):
 
     def check(self):
         if not self.options.get("by"):
-            yield ("notSet", "no sort column")
+            yield ("not_given", "no sort column")
 
     def _transform(self, t, params):
         by = [self.options["by"]] if isinstance(self.options["by"], str) else list(self.options["by"])
@@ -46,7 +49,7 @@ class SortRows(Step):
             col = f"__ix__{name}" if name in t.index else name
             k = sort_key(df, col)
             keys.append(k.asc_nulls_last() if a else k.desc_nulls_last())
-        tiebreak = F.xxhash64(*[F.col(c) for c in df.columns])
+        tiebreak = F.xxhash64(*[qcol(c) for c in df.columns])
         return t.with_df(df.orderBy(*keys, tiebreak))
 
 

@@ -13,6 +13,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..ltypes import CATEGORICAL, LType, categories, ltype_of_field, typed
+from ..names import qcol
 from ..step import Step, register
 
 
@@ -61,7 +62,7 @@ class ReplaceValues(Step):
     def check(self):
         table = self.options.get("table") or {}
         if not table:
-            yield ("notSet", "no column selected")
+            yield ("not_given", "no column selected")
         for c, o in table.items():
             if len(o.get("values", [])) != len(o.get("replace", [])):
                 yield ("len", f"{c}: one replacement per list of values")
@@ -75,11 +76,11 @@ class ReplaceValues(Step):
         exprs = []
         for f in t.df.schema.fields:
             if f.name not in table:
-                exprs.append(F.col(f.name))
+                exprs.append(qcol(f.name))
                 continue
             lt = ltype_of_field(f)
             numeric = lt == LType.NUMERIC
-            c = F.col(f.name).cast("double") if numeric and f.dataType.typeName() != "double" else F.col(f.name)
+            c = qcol(f.name).cast("double") if numeric and f.dataType.typeName() != "double" else qcol(f.name)
             cats = categories(t.df, f.name) if lt in CATEGORICAL else None
             cur = c
             for values, rep in zip(table[f.name]["values"], table[f.name]["replace"]):

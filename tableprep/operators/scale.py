@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..ltypes import LType, typed
+from ..names import qcol
 from ..step import Step, register
 
 
@@ -19,7 +20,7 @@ class MinMaxScaler(Step):
     def check(self):
         attrs = self.options.get("attributes") or {}
         if not attrs:
-            yield ("noAttr", "no column selected")
+            yield ("no_columns", "no column selected")
         for c, o in attrs.items():
             lo, hi = (o or {}).get("range", (0.0, 1.0))
             if not float(lo) < float(hi):
@@ -30,8 +31,8 @@ class MinMaxScaler(Step):
 
     def _fit(self, t):
         cols = list(self.options["attributes"])
-        row = t.df.agg(*[F.min(F.col(c).cast("double")).alias(f"a{i}") for i, c in enumerate(cols)],
-                       *[F.max(F.col(c).cast("double")).alias(f"b{i}") for i, c in enumerate(cols)]
+        row = t.df.agg(*[F.min(qcol(c).cast("double")).alias(f"a{i}") for i, c in enumerate(cols)],
+                       *[F.max(qcol(c).cast("double")).alias(f"b{i}") for i, c in enumerate(cols)]
                        ).collect()[0]
         return {"min": {c: row[f"a{i}"] for i, c in enumerate(cols)},
                 "max": {c: row[f"b{i}"] for i, c in enumerate(cols)}}
@@ -41,11 +42,11 @@ class MinMaxScaler(Step):
         exprs = []
         for f in t.df.schema.fields:
             if f.name not in attrs:
-                exprs.append(F.col(f.name))
+                exprs.append(qcol(f.name))
                 continue
             lo, hi = map(float, (attrs[f.name] or {}).get("range", (0.0, 1.0)))
             mn, mx = params["min"][f.name], params["max"][f.name]
-            x = F.col(f.name).cast("double")
+            x = qcol(f.name).cast("double")
             if mn is None:
                 e = F.lit(None).cast("double")
             elif mx == mn:
@@ -65,15 +66,15 @@ class StandardScaler(Step):
 
     def check(self):
         if not self.options.get("attributes"):
-            yield ("noAttr", "no column selected")
+            yield ("no_columns", "no column selected")
 
     def input_columns(self):
         return list(self.options["attributes"])
 
     def _fit(self, t):
         cols = list(self.options["attributes"])
-        row = t.df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
-                       *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]
+        row = t.df.agg(*[F.avg(qcol(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
+                       *[F.stddev_pop(qcol(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]
                        ).collect()[0]
         return {"mean": {c: row[f"m{i}"] for i, c in enumerate(cols)},
                 "std": {c: row[f"s{i}"] for i, c in enumerate(cols)}}
@@ -83,12 +84,12 @@ class StandardScaler(Step):
         exprs = []
         for f in t.df.schema.fields:
             if f.name not in cols:
-                exprs.append(F.col(f.name))
+                exprs.append(qcol(f.name))
                 continue
             m, s = params["mean"][f.name], params["std"][f.name]
             if m is None:
                 e = F.lit(None).cast("double")
             else:
-                e = (F.col(f.name).cast("double") - F.lit(m)) / F.lit(s if s else 1.0)
+                e = (qcol(f.name).cast("double") - F.lit(m)) / F.lit(s if s else 1.0)
             exprs.append(typed(e, f.name, LType.NUMERIC))
         return t.with_df(t.df.select(*exprs))

@@ -50,12 +50,19 @@ def table_diff_q(spark, sf):
     return table_diff(table(spark, sf, "supplier"), _supplier_changed(spark, sf), "s_suppkey")
 
 
-@query("table_equal_same", "SELECT true AS equal")
+@query("table_equal_same", """
+SELECT count(*) = 0 AS equal FROM (
+  (SELECT s_suppkey, s_acctbal, s_name FROM supplier EXCEPT ALL SELECT s_suppkey, s_acctbal, s_name FROM supplier)
+  UNION ALL (SELECT s_suppkey, s_acctbal, s_name FROM supplier EXCEPT ALL SELECT s_suppkey, s_acctbal, s_name FROM supplier))""")
 def table_equal_same(spark, sf):
     s = table(spark, sf, "supplier")
     return table_equal(s, s.select(*reversed(s.columns)))
 
 
-@query("table_equal_changed", "SELECT false AS equal")
+@query("table_equal_changed", """
+WITH c AS (SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN s_name || '*' ELSE s_name END AS s_name, s_nationkey,
+  CASE WHEN s_nationkey = 3 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal FROM supplier),
+s AS (SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier)
+SELECT count(*) = 0 AS equal FROM ((SELECT * FROM s EXCEPT ALL SELECT * FROM c) UNION ALL (SELECT * FROM c EXCEPT ALL SELECT * FROM s))""")
 def table_equal_changed(spark, sf):
     return table_equal(table(spark, sf, "supplier"), _supplier_changed(spark, sf))

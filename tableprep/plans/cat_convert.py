@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.pyformat import NUMBER_RE
 from ..operators.convert import ToCategorical, ToNumeric, ToString, ToTimestamp
 from ..operators.replace import ReplaceValues
+from ..operators.encode import CategoryCodes
 from .catalogue import query, table
 from .cat_missing import ORDERS_NULLS_SQL, orders_nulls
 
@@ -24,7 +24,9 @@ def part_txt(spark, sf):
 
 @query("to_numeric_coerce", f"""
 WITH t AS ({PART_TXT_SQL})
-SELECT p_partkey, CASE WHEN regexp_full_match(txt, '{NUMBER_RE}') THEN TRY_CAST(trim(txt) AS DOUBLE) END AS txt FROM t""")
+SELECT p_partkey, CASE WHEN regexp_matches(trim(txt), '^[-+]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][-+]?[0-9]+)?$') THEN TRY_CAST(trim(txt) AS DOUBLE)
+       WHEN lower(trim(txt)) IN ('inf', '+inf', 'infinity') THEN 'inf'::DOUBLE
+       WHEN lower(trim(txt)) IN ('-inf', '-infinity') THEN '-inf'::DOUBLE END AS txt FROM t""")
 def to_numeric_coerce(spark, sf):
     return ToNumeric(attributes=["txt"], errors="coerce")(part_txt(spark, sf))
 
@@ -111,3 +113,21 @@ def replace_null(spark, sf):
     return ReplaceValues(table={
         "price": {"values": [["nan"]], "replace": [-1]},
         "prio": {"values": [[None, "1-URGENT"], ["2-HIGH"]], "replace": ["none", None]}})(orders_nulls(spark, sf))
+
+
+@query("to_numeric_raise", """
+SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS txt FROM orders""")
+def to_numeric_raise(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit(" "), F.col("o_totalprice").cast("string")).alias("txt"))
+    return ToNumeric(attributes=["txt"], errors="raise")(o)
+
+
+# more distinct values than a column's metadata lists: codes come from a table of categories
+@query("to_categorical_wide", """
+WITH t AS (SELECT l_orderkey, l_linenumber, l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR AS k FROM lineitem),
+c AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS code FROM (SELECT DISTINCT k FROM t))
+SELECT l_orderkey, l_linenumber, CAST(code AS INTEGER) AS k FROM t JOIN c USING (k)""")
+def to_categorical_wide(spark, sf):
+    t = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(
+        "-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("k"))
+    return CategoryCodes(attributes=["k"])(ToCategorical(attributes={"k": {"cat": None}})(t))

@@ -11,12 +11,26 @@ def _lab(expr):
     return f"CAST(CAST({expr} AS DOUBLE) AS VARCHAR)"
 
 
+def _count(value, edges):
+    """How many edges lie at or below the value, edges met within 1e-8 + 1e-5 of its size included."""
+    return "(" + " + ".join(f"CAST({value} + (1e-8 + 1e-5 * abs({value})) >= {e} AS INT)" for e in edges) + ")"
+
+
+# tenths from 0 to 1: every value lies on an edge, up to rounding
+@query("bins_edges", """
+WITH t AS (SELECT l_orderkey, l_linenumber, (l_orderkey % 11) / 10.0::DOUBLE AS x, l_orderkey % 11 AS j FROM lineitem)
+SELECT l_orderkey, l_linenumber, x, CAST(CAST(least(j, 9) AS DOUBLE) AS VARCHAR) AS x_bin FROM t""")
+def bins_edges(spark, sf):
+    t = table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "(l_orderkey % 11) / 10.0D AS x")
+    return BinsDiscretizer(attributes={"x": {"bins": 10}}, strategy="uniform", suffix="_bin")(t)
+
+
 @query("bins_uniform", f"""
 WITH s AS (SELECT min(l_extendedprice) AS mn1, (max(l_extendedprice) - min(l_extendedprice)) / 5 AS w1,
                   min(l_quantity) AS mn2, (max(l_quantity) - min(l_quantity)) / 4 AS w2 FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_extendedprice, l_quantity,
-       {_lab("least(4, floor((l_extendedprice - mn1) / w1))")} AS l_extendedprice_bin,
-       {_lab("least(3, floor((l_quantity - mn2) / w2))")} AS l_quantity_bin
+       {_lab(_count("l_extendedprice", [f"{j} * w1 + mn1" for j in range(1, 5)]))} AS l_extendedprice_bin,
+       {_lab(_count("l_quantity", [f"{j} * w2 + mn2" for j in range(1, 4)]))} AS l_quantity_bin
 FROM lineitem, s""")
 def bins_uniform(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
@@ -27,8 +41,7 @@ def bins_uniform(spark, sf):
 @query("bins_quantile", f"""
 WITH q AS (SELECT quantile_cont(l_extendedprice, [0.25, 0.5, 0.75]) AS e FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_extendedprice,
-       {_lab("(CAST(l_extendedprice >= e[1] AS INT) + CAST(l_extendedprice >= e[2] AS INT) "
-             "+ CAST(l_extendedprice >= e[3] AS INT))")} AS l_extendedprice
+       {_lab(_count("l_extendedprice", ["e[1]", "e[2]", "e[3]"]))} AS l_extendedprice
 FROM lineitem, q""".replace("l_extendedprice,\n", "l_extendedprice AS price,\n"))
 def bins_quantile(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
@@ -111,7 +124,7 @@ def time_ranges(spark, sf):
 WITH t AS ({ORDERS_NULLS_SQL}),
 s AS (SELECT min(price) AS mn, (max(price) - min(price)) / 4 AS w FROM t)
 SELECT o_orderkey, price,
-       CASE WHEN price IS NOT NULL THEN {_lab("least(3, floor((price - mn) / w))")} END AS price_bin
+       CASE WHEN price IS NOT NULL THEN {_lab(_count("price", [f"{j} * w + mn" for j in range(1, 4)]))} END AS price_bin
 FROM t, s""")
 def bins_uniform_nulls(spark, sf):
     o = orders_nulls(spark, sf).select("o_orderkey", "price")

@@ -27,16 +27,18 @@ def flagship_inputs(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus",
         F.when(F.col("o_orderstatus") == "P", F.lit(None)).otherwise(F.col("o_totalprice")).alias("price"))
-    customer = (table(spark, sf_dir, "customer")
-                .where(F.col("c_mktsegment") != "AUTOMOBILE")
-                .select("c_custkey", "c_mktsegment", "c_acctbal"))
+    # a key turned negative gives a row without partner; every row is read
+    customer = table(spark, sf_dir, "customer").select(
+        F.when(F.col("c_mktsegment") == "AUTOMOBILE", -F.col("c_custkey")).otherwise(F.col("c_custkey")).alias("c_custkey"),
+        "c_mktsegment", "c_acctbal")
     return {"orders": orders, "customer": customer}
 
 
 @query("dag_flagship", """
 WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus,
                   CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END AS price FROM orders),
-c AS (SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_mktsegment <> 'AUTOMOBILE'),
+c AS (SELECT CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN -c_custkey ELSE c_custkey END AS c_custkey, c_mktsegment, c_acctbal
+      FROM customer),
 j AS (SELECT * FROM o LEFT JOIN c ON o.o_custkey IS NOT DISTINCT FROM c.c_custkey),
 f AS (SELECT o_orderkey, o_custkey, o_orderstatus, c_custkey, c_mktsegment,
              coalesce(price, avg(price) OVER ()) AS price,
@@ -51,6 +53,7 @@ FROM s
 def dag_flagship(spark, sf_dir):
     g = StepGraph(FLAGSHIP_NODES)
     results, _ = g.run(spark, flagship_inputs(spark, sf_dir))
+    g.release()  # the result is lazy: nothing stays cached behind it
     df = results["bands"].to_df()
     return df.select("o_orderkey", "o_custkey", "o_orderstatus", "c_custkey", "c_mktsegment",
                      r4("price").alias("price"), r4("c_acctbal").alias("c_acctbal"), "price_band")
@@ -86,7 +89,9 @@ def dag_branch_join(spark, sf_dir):
     tabs = {"orders": table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"),
             "nation": table(spark, sf_dir, "nation").select("n_nationkey", "n_name"),
             "customer": table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")}
-    results, _ = StepGraph(BRANCH_NODES).run(spark, tabs)
+    g = StepGraph(BRANCH_NODES)
+    results, _ = g.run(spark, tabs)
+    g.release()
     df = results["both"].to_df()
     return df.select("o_orderkey", F.col("o_orderpriority").alias("prio_code"), "n_name",
                      r4("c_acctbal").alias("acctbal_z"))

@@ -57,3 +57,34 @@ def named_table(spark, sf):
 @query("head_page", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 400 OFFSET 100")
 def head_page(spark, sf):
     return catalog.head(table(spark, sf, "orders"), n=400, offset=100, order_by="o_orderkey")
+
+
+# texts with quotes, commas, line ends and padding go through a file unchanged
+@query("csv_text_exact", """
+SELECT doc_id::DOUBLE AS doc_id, '  "' || text || chr(10) || ', ""x"" ' AS text, doc_id % 3 = 0 AS flag FROM documents""")
+def csv_text_exact(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.concat(
+        F.lit('  "'), F.col("text"), F.lit('\n, ""x"" ')).alias("text"), (F.col("doc_id") % 3 == 0).alias("flag"))
+    path = scratch(spark, "documents-csv")
+    csvsrc.write_csv(d, path, index=False)
+    return csvsrc.read_csv(spark, path)
+
+
+@query("csv_schema", """
+SELECT event_id, CASE WHEN event_type <> 'error' THEN value END AS value, event_type FROM events""")
+def csv_schema(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("value"), "event_type")
+    path = scratch(spark, "events-csv")
+    csvsrc.write_csv(e, path, index=False, nan="NaN", ffloat="repr", max_records_per_file=500)
+    return csvsrc.read_csv(spark, path, schema="event_id long, value double, event_type string")
+
+
+@query("csv_floats", """
+SELECT l_orderkey, l_linenumber, printf('%.2f', (l_orderkey * 125 + l_linenumber) / 1000.0::DOUBLE) AS a,
+       CASE WHEN l_linenumber = 1 THEN 'inf' ELSE printf('%.3f', l_quantity::DOUBLE / 16) END AS b FROM lineitem""")
+def csv_floats(spark, sf):
+    t = table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "(l_orderkey * 125 + l_linenumber) / 1000.0D AS a",
+        "CASE WHEN l_linenumber = 1 THEN double('Infinity') ELSE l_quantity / 16 END AS b")
+    return t.select("l_orderkey", "l_linenumber", csvsrc.float_format_expr(F.col("a"), "%.2f").alias("a"),
+                    csvsrc.float_format_expr(F.col("b"), "%.3f").alias("b"))

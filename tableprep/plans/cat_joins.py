@@ -10,7 +10,14 @@ from ..table import Table
 from .catalogue import query, table
 
 ORD = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders"
-CUST = "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment <> 'AUTOMOBILE'"
+# all rows are read: a key turned negative gives a row without partner
+CUST = ("SELECT CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN -c_custkey ELSE c_custkey END AS c_custkey, "
+        "c_name, c_acctbal FROM customer")
+
+
+def _lost(cond, key, name=None):
+    """The key, negative where ``cond`` holds: those rows find no partner."""
+    return F.when(cond, -F.col(key)).otherwise(F.col(key)).alias(name or key)
 
 
 def _orders(spark, sf):
@@ -18,8 +25,7 @@ def _orders(spark, sf):
 
 
 def _cust(spark, sf):
-    return (table(spark, sf, "customer").where(F.col("c_mktsegment") != "AUTOMOBILE")
-            .select("c_custkey", "c_name", "c_acctbal"))
+    return table(spark, sf, "customer").select(_lost(F.col("c_mktsegment") == "AUTOMOBILE", "c_custkey"), "c_name", "c_acctbal")
 
 
 @query("join_left_cols", f"""
@@ -41,18 +47,21 @@ def join_inner_cols(spark, sf):
 
 
 # same key name on both sides -> one merged key; a clashing column -> suffixes
-OUT_L = ("SELECT c_custkey AS custkey, c_name, c_mktsegment AS note FROM customer WHERE c_acctbal > 0")
-OUT_R = ("SELECT o_custkey AS custkey, o_orderkey, o_orderpriority AS note FROM orders WHERE o_orderstatus = 'F'")
+OUT_L = ("SELECT CASE WHEN c_acctbal <= 0 THEN -c_custkey ELSE c_custkey END AS custkey, c_name, "
+         "c_mktsegment AS note FROM customer")
+OUT_R = ("SELECT CASE WHEN o_orderstatus <> 'F' THEN -1000000 - o_custkey ELSE o_custkey END AS custkey, o_orderkey, "
+         "o_orderpriority AS note FROM orders")
 
 
 @query("join_outer_cols", f"""
 SELECT coalesce(l.custkey, r.custkey) AS custkey, l.c_name, l.note AS note_l, r.o_orderkey, r.note AS note_r
 FROM ({OUT_L}) l FULL OUTER JOIN ({OUT_R}) r ON l.custkey IS NOT DISTINCT FROM r.custkey""")
 def join_outer_cols(spark, sf):
-    left = (table(spark, sf, "customer").where(F.col("c_acctbal") > 0)
-            .select(F.col("c_custkey").alias("custkey"), "c_name", F.col("c_mktsegment").alias("note")))
-    right = (table(spark, sf, "orders").where(F.col("o_orderstatus") == "F")
-             .select(F.col("o_custkey").alias("custkey"), "o_orderkey", F.col("o_orderpriority").alias("note")))
+    left = table(spark, sf, "customer").select(_lost(F.col("c_acctbal") <= 0, "c_custkey", "custkey"), "c_name",
+                                               F.col("c_mktsegment").alias("note"))
+    right = table(spark, sf, "orders").select(
+        F.when(F.col("o_orderstatus") != "F", -1000000 - F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("custkey"),
+        "o_orderkey", F.col("o_orderpriority").alias("note"))
     return Join(left_on="custkey", right_on="custkey", how="outer")(left, right)
 
 
@@ -65,31 +74,53 @@ def join_left_index(spark, sf):
     return Join(on="index", how="left")(lt, rt).to_df()
 
 
+@query("join_right_index", f"""
+SELECT o.o_custkey AS "index", c.c_name, c.c_acctbal, o.o_orderkey, o.o_totalprice
+FROM ({CUST}) c RIGHT JOIN ({ORD}) o ON c.c_custkey IS NOT DISTINCT FROM o.o_custkey""")
+def join_right_index(spark, sf):
+    lt = SetIndex(columns=["c_custkey"])(Table(_cust(spark, sf)))
+    rt = SetIndex(columns=["o_custkey"])(Table(_orders(spark, sf)))
+    return Join(on="index", how="right")(lt, rt).to_df()
+
+
+@query("join_inner_index", f"""
+SELECT c.c_custkey AS "index", c.c_name, c.c_acctbal, o.o_orderkey, o.o_totalprice
+FROM ({CUST}) c JOIN ({ORD}) o ON c.c_custkey IS NOT DISTINCT FROM o.o_custkey""")
+def join_inner_index(spark, sf):
+    lt = SetIndex(columns=["c_custkey"])(Table(_cust(spark, sf)))
+    rt = SetIndex(columns=["o_custkey"])(Table(_orders(spark, sf)))
+    return Join(on="index", how="inner")(lt, rt).to_df()
+
+
 @query("join_outer_index", """
-WITH l AS (SELECT c_custkey AS custkey, c_name, c_acctbal AS bal FROM customer WHERE c_acctbal > 0),
-r AS (SELECT o_custkey AS custkey, o_orderkey, o_totalprice AS bal FROM orders WHERE o_orderstatus = 'O')
+WITH l AS (SELECT CASE WHEN c_acctbal <= 0 THEN -c_custkey ELSE c_custkey END AS custkey, c_name, c_acctbal AS bal FROM customer),
+r AS (SELECT CASE WHEN o_orderstatus <> 'O' THEN -1000000 - o_custkey ELSE o_custkey END AS custkey, o_orderkey,
+             o_totalprice AS bal FROM orders)
 SELECT coalesce(l.custkey, r.custkey) AS custkey, l.c_name, l.bal AS bal_ll, r.o_orderkey, r.bal AS bal_rr
 FROM l FULL OUTER JOIN r ON l.custkey IS NOT DISTINCT FROM r.custkey""")
 def join_outer_index(spark, sf):
-    left = (table(spark, sf, "customer").where(F.col("c_acctbal") > 0)
-            .select(F.col("c_custkey").alias("custkey"), "c_name", F.col("c_acctbal").alias("bal")))
-    right = (table(spark, sf, "orders").where(F.col("o_orderstatus") == "O")
-             .select(F.col("o_custkey").alias("custkey"), "o_orderkey", F.col("o_totalprice").alias("bal")))
+    left = table(spark, sf, "customer").select(_lost(F.col("c_acctbal") <= 0, "c_custkey", "custkey"), "c_name",
+                                               F.col("c_acctbal").alias("bal"))
+    right = table(spark, sf, "orders").select(
+        F.when(F.col("o_orderstatus") != "O", -1000000 - F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("custkey"),
+        "o_orderkey", F.col("o_totalprice").alias("bal"))
     lt = SetIndex(columns=["custkey"])(Table(left))
     rt = SetIndex(columns=["custkey"])(Table(right))
     return Join(on="index", how="outer", suffixes=("_ll", "_rr"))(lt, rt).to_df()
 
 
 @query("join_multi_index", """
-WITH l AS (SELECT c_nationkey AS nationkey, c_custkey, c_name FROM customer WHERE c_acctbal > 0),
-r AS (SELECT n_nationkey AS nationkey, n_regionkey, n_name FROM nation WHERE n_regionkey <> 1)
+WITH l AS (SELECT CASE WHEN c_acctbal <= 0 THEN -1 - c_nationkey ELSE c_nationkey END AS nationkey, c_custkey, c_name FROM customer),
+r AS (SELECT CASE WHEN n_regionkey = 1 THEN 1000 + n_nationkey ELSE n_nationkey END AS nationkey, n_regionkey, n_name FROM nation)
 SELECT coalesce(l.nationkey, r.nationkey) AS nationkey, l.c_custkey, r.n_regionkey, l.c_name, r.n_name
 FROM l FULL OUTER JOIN r ON l.nationkey IS NOT DISTINCT FROM r.nationkey""")
 def join_multi_index(spark, sf):
-    left = (table(spark, sf, "customer").where(F.col("c_acctbal") > 0)
-            .select(F.col("c_nationkey").alias("nationkey"), "c_custkey", "c_name"))
-    right = (table(spark, sf, "nation").where(F.col("n_regionkey") != 1)
-             .select(F.col("n_nationkey").alias("nationkey"), "n_regionkey", "n_name"))
+    left = table(spark, sf, "customer").select(
+        F.when(F.col("c_acctbal") <= 0, -1 - F.col("c_nationkey")).otherwise(F.col("c_nationkey")).alias("nationkey"),
+        "c_custkey", "c_name")
+    right = table(spark, sf, "nation").select(
+        F.when(F.col("n_regionkey") == 1, 1000 + F.col("n_nationkey")).otherwise(F.col("n_nationkey")).alias("nationkey"),
+        "n_regionkey", "n_name")
     lt = SetIndex(columns=["nationkey", "c_custkey"])(Table(left))
     rt = SetIndex(columns=["nationkey", "n_regionkey"])(Table(right))
     return Join(on="index", how="outer")(lt, rt).to_df()
@@ -116,13 +147,14 @@ SKEW_L = ("SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_returnflag =
 
 
 @query("join_skewed_outer", f"""
-WITH l AS ({SKEW_L}), r AS (SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0)
+WITH l AS ({SKEW_L}), r AS (SELECT CASE WHEN s_acctbal <= 0 THEN -1000 - s_suppkey ELSE s_suppkey END AS s_suppkey, s_name FROM supplier)
 SELECT l.*, r.* FROM l FULL OUTER JOIN r ON l.k IS NOT DISTINCT FROM r.s_suppkey""")
 def join_skewed_outer(spark, sf):
     li = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_quantity",
         F.when(F.col("l_returnflag") == "R", F.lit(0)).when(F.col("l_returnflag") == "A", F.lit(-1))
         .otherwise(F.col("l_suppkey")).alias("k"))
-    su = table(spark, sf, "supplier").where(F.col("s_acctbal") > 0).select("s_suppkey", "s_name")
+    su = table(spark, sf, "supplier").select(
+        F.when(F.col("s_acctbal") <= 0, -1000 - F.col("s_suppkey")).otherwise(F.col("s_suppkey")).alias("s_suppkey"), "s_name")
     return Join(left_on="k", right_on="s_suppkey", how="outer", skew="auto", skew_min_rows=1000,
                 salt_buckets=16)(li, su)

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import missing as M
+from ..operators.columns import DropColumns, RenameColumns
+from ..operators.discretize import BinsDiscretizer
+from ..operators.encode import OneHotEncoder
 from ..operators.fill import FillNan
+from ..operators.scale import MinMaxScaler
 from .catalogue import query, r4, table
 
 # orders with NULLs injected by value predicates (the tables have none)
@@ -38,7 +42,7 @@ def rows_nan_count(spark, sf):
     return M.RemoveNanRows(number=1)(orders_nulls(spark, sf))
 
 
-@query("rows_nan_share", f"WITH t AS ({ORDERS_NULLS_SQL}) SELECT * FROM t WHERE {NULLS} <= 0.4 * 5")
+@query("rows_nan_share", f"WITH t AS ({ORDERS_NULLS_SQL}) SELECT * FROM t WHERE {NULLS} <= 2")
 def rows_nan_share(spark, sf):
     return M.RemoveNanRows(percentage=0.4)(orders_nulls(spark, sf))
 
@@ -116,6 +120,9 @@ BW = "OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
 FWU = "OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
+BWU = "OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+
+
 @query("ffill_global", f"""
 WITH t AS ({EVENTS_NULLS_SQL})
 SELECT event_id, user_id, last_value(value IGNORE NULLS) {FW} AS value,
@@ -141,3 +148,93 @@ SELECT event_id, user_id, first_value(value IGNORE NULLS) {BW} AS value,
 def bfill_global(spark, sf):
     return FillNan(method="bfill", selected=["value", "event_type", "ts"], order_by="event_id")(
         events_nulls(spark, sf))
+
+
+@query("bfill_by_user", f"""
+WITH t AS ({EVENTS_NULLS_SQL})
+SELECT event_id, user_id, first_value(value IGNORE NULLS) {BWU} AS value,
+       first_value(event_type IGNORE NULLS) {BWU} AS event_type, ts FROM t""")
+def bfill_by_user(spark, sf):
+    return FillNan(method="bfill", selected=["value", "event_type"], order_by="event_id", partition_by=["user_id"],
+                   ranges=7)(events_nulls(spark, sf))
+
+
+# one row has no order key: it comes first, and its value is carried on
+NULL_KEY_SQL = f"""
+SELECT CASE WHEN event_id = (SELECT max(event_id) FROM events) THEN NULL ELSE event_id END AS k, event_id,
+       CASE WHEN event_id < 50 THEN NULL ELSE value END AS value,
+       CASE WHEN event_id < 70 THEN NULL ELSE event_type END AS event_type FROM ({EVENTS_NULLS_SQL})"""
+
+
+@query("ffill_null_key", f"""
+WITH t AS ({NULL_KEY_SQL})
+SELECT k, event_id, last_value(value IGNORE NULLS) OVER w AS value, last_value(event_type IGNORE NULLS) OVER w AS event_type
+FROM t WINDOW w AS (ORDER BY k ASC NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def ffill_null_key(spark, sf):
+    e = events_nulls(spark, sf)
+    last = e.agg(F.max("event_id").alias("last"))
+    t = e.join(F.broadcast(last)).select(  # one row
+        F.when(F.col("event_id") != F.col("last"), F.col("event_id")).alias("k"), "event_id",
+        F.when(F.col("event_id") >= 50, F.col("value")).alias("value"),
+        F.when(F.col("event_id") >= 70, F.col("event_type")).alias("event_type"))
+    return FillNan(method="ffill", selected=["value", "event_type"], order_by="k")(t)
+
+
+# NaN and NULL together: both are missing, whichever way a table comes in
+def _nan_events(spark, sf):
+    e = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet")
+    return e.select("event_id", F.when(F.col("event_type") == "error", F.lit(float("nan")))
+                    .when(F.col("event_type") != "signup", F.col("value")).alias("x"),
+                    F.when(F.col("value") < 20, F.lit(float("nan"))).otherwise(F.col("value")).alias("y"))
+
+
+NAN_SQL = """SELECT event_id, CASE WHEN event_type NOT IN ('error', 'signup') THEN value END AS x,
+                    CASE WHEN value >= 20 THEN value END AS y FROM events"""
+
+
+@query("nan_fill_mean", f"""
+WITH t AS ({NAN_SQL})
+SELECT event_id, round(coalesce(x, avg(x) OVER ()), 4) AS x, y FROM t""")
+def nan_fill_mean(spark, sf):
+    return FillNan(method="mean", selected=["x"])(_nan_events(spark, sf)).select("event_id", r4("x").alias("x"), "y")
+
+
+@query("nan_minmax", f"""
+WITH t AS ({NAN_SQL})
+SELECT event_id, round((x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()), 4) AS x, y FROM t""")
+def nan_minmax(spark, sf):
+    out = MinMaxScaler(attributes={"x": {"range": (0, 1)}})(_nan_events(spark, sf))
+    return out.select("event_id", r4("x").alias("x"), "y")
+
+
+@query("nan_rows", f"SELECT * FROM ({NAN_SQL}) WHERE x IS NOT NULL AND y IS NOT NULL")
+def nan_rows(spark, sf):
+    return M.RemoveNanRows(number=0)(_nan_events(spark, sf))
+
+
+# a row of 100 cells with 29 missing has a share of exactly 0.29 and stays
+@query("rows_share_exact", """
+WITH t AS (SELECT l_orderkey, l_linenumber, 25 + l_orderkey % 9 AS gaps FROM lineitem)
+SELECT l_orderkey, l_linenumber FROM t WHERE gaps <= 29""")
+def rows_share_exact(spark, sf):
+    t = table(spark, sf, "lineitem")
+    gaps = 25 + F.col("l_orderkey") % 9
+    wide = t.select("l_orderkey", "l_linenumber", *[F.when(gaps <= j, F.lit(1)).alias(f"c{j}") for j in range(98)])
+    return M.RemoveNanRows(percentage=0.29)(wide).select("l_orderkey", "l_linenumber")
+
+
+# names with dots through a chain of steps
+@query("dotted_names", """
+WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity AS q FROM lineitem),
+s AS (SELECT min(q) AS mn, (max(q) - min(q)) / 2 AS w FROM t)
+SELECT l_orderkey, l_linenumber, round((q - mn) / (2 * w), 4) AS qty,
+       CAST(q + (1e-8 + 1e-5 * q) < mn + w AS INTEGER) AS low, CAST(q + (1e-8 + 1e-5 * q) >= mn + w AS INTEGER) AS high
+FROM t, s""")
+def dotted_names(spark, sf):
+    t = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("qty.raw"))
+    t = BinsDiscretizer(attributes={"qty.raw": {"bins": 2}}, strategy="uniform", suffix="#")(t)
+    t = RenameColumns(names={"qty.raw#": "qty.bin"})(t)
+    t = M.DropMissing()(OneHotEncoder(attributes=["qty.bin"])(t))
+    t = DropColumns(columns=["qty.bin"])(MinMaxScaler(attributes={"qty.raw": {"range": (0, 1)}})(t))
+    return t.select("l_orderkey", "l_linenumber", F.round(F.col("`qty.raw`"), 4).alias("qty"),
+                    F.col("`qty.bin_0.0`").alias("low"), F.col("`qty.bin_1.0`").alias("high"))

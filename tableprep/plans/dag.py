@@ -111,8 +111,7 @@ class StepGraph:
         return g
 
     # ---- G4 / G6 ----------------------------------------------------------
-    def run(self, spark: SparkSession, tables: dict | None = None, collect_sinks: bool = True,
-            fitted: dict | None = None):
+    def run(self, spark: SparkSession, tables: dict | None = None, fitted: dict | None = None):
         """Build every node; run sinks. Returns (results by node id, report rows).
 
         ``fitted``: learned parameters by node id (``self.fitted`` of an earlier
@@ -231,9 +230,3 @@ class StepGraph:
             csvsrc.write_csv(t, opts["csv"])
         else:
             t.df.write.format("noop").mode("overwrite").save()
-
-
-def run_graph(spark, nodes, tables=None):
-    g = StepGraph(nodes)
-    results, report = g.run(spark, tables)
-    return g, results, report

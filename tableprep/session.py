@@ -43,17 +43,22 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when none is configured (local runs, tests) a scratch folder is made.
+    Only a local master, where every task sees the same disk, gets a scratch
+    folder of its own when none is configured; a cluster must name one.
     """
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: no SparkContext; use the session setting
         d = spark.conf.get("spark.checkpoint.dir", None)
-        return d or tempfile.mkdtemp(prefix="tableprep-ckpt-")
+        if not d:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share") from None
+        return d
     current = sc.getCheckpointDir()
     if current:
         return current
     d = sc.getConf().get("spark.checkpoint.dir", None)
+    if not d and not sc.master.startswith("local") or sc.master.startswith("local-cluster") and not d:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="tableprep-ckpt-")
     sc.setCheckpointDir(d)

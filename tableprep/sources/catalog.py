@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import OptionError
+from ..functions.store import stored
+from ..names import qcol, qcols
 from ..table import IX, Table
 
 
@@ -22,17 +24,18 @@ def set_input(spark: SparkSession, name: str) -> Table:
 
 
 def to_variable(x, name: str, persistent: bool = False) -> None:
-    """Store under ``name``, overwriting. Temp view by default; a managed
-    table (written once, survives the session) with ``persistent=True``."""
+    """Store under ``name``, overwriting: the rows are computed and written
+    once, under the cluster's shared folder (a temp view names them) or, with
+    ``persistent=True``, as a managed table that survives the session."""
     if not name:
-        raise OptionError([("noname", "name must not be empty")])
+        raise OptionError([("empty_name", "name must not be empty")])
     t = Table.of(x)
     if t.df.isStreaming:
         raise OptionError([("stream", "use to_stream_table for a streaming DataFrame")])
     if persistent:
         t.df.write.mode("overwrite").saveAsTable(name)
     else:
-        t.df.createOrReplaceTempView(name)
+        stored(t.df).createOrReplaceTempView(name)
 
 
 def list_tables(spark: SparkSession) -> list[str]:
@@ -42,7 +45,7 @@ def list_tables(spark: SparkSession) -> list[str]:
 def rename_table(spark: SparkSession, old: str, new: str) -> None:
     names = set(list_tables(spark))
     if not new or new == old:
-        raise OptionError([("noname", "new name must be non-empty and different")])
+        raise OptionError([("empty_name", "new name must be non-empty and different")])
     if new in names:
         raise OptionError([("taken", f"{new} exists")])
     if old not in names:
@@ -75,7 +78,7 @@ def head(x, n: int = 400, offset: int = 0, order_by=None, columns=None, column_o
     keys = [order_by] if isinstance(order_by, str) else list(order_by or [])
     if not keys:
         raise OptionError([("order", "a page needs order_by")])
-    out = df.orderBy(*[F.col(k) for k in keys])
+    out = df.orderBy(*[qcol(k) for k in keys])
     if offset:
         out = out.offset(int(offset))
-    return out.limit(int(n)).select(*cols)
+    return out.limit(int(n)).select(*qcols(cols))

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import OptionError
-from ..functions.pyformat import NUMBER_RE, py_float_str, strptime_to_spark
-from ..ltypes import LType, ltype_of_field
+from ..functions.pyformat import NUMBER_RE, number, py_float_str, strptime_to_spark
+from ..ltypes import LType, canonicalize, ltype_of_field
+from ..names import qcol, qcols
 from ..table import Table
 
 # fixed values: text read as missing (the pandas read_csv default NA set)
@@ -38,32 +39,52 @@ def _sep(sep: str) -> str:
     return s
 
 
+EXTRA = "__extra_cell"
+
+
+def _reader(spark, sep, multiline):
+    # quotes inside a quoted cell are doubled; a quoted cell may hold line ends
+    return (spark.read.option("header", True).option("sep", _sep(sep)).option("quote", '"').option("escape", '"')
+            .option("multiLine", multiline).option("nullValue", "").option("mode", "PERMISSIVE"))
+
+
+def _no_extra(df):
+    """Fails the job on a row with more cells than the header (Spark alone would drop them)."""
+    guard = F.when(qcol(EXTRA).isNotNull(), F.raise_error(F.lit("read_csv: a row has more cells than the header")).cast("boolean"))
+    return df.where(F.coalesce(guard, F.lit(True))).drop(EXTRA)
+
+
 def read_csv(spark: SparkSession, path: str, sep: str = ",", columns=None,
-             typed: bool = True, schema=None) -> DataFrame:
+             typed: bool = True, schema=None, multiline: bool = True) -> DataFrame:
     """S1. ``schema`` (DDL string or StructType) skips the typing pass: one scan
-    instead of two, and the only form that works on a stream."""
+    instead of two, and the only form that works on a stream. Rows with more
+    cells than the header are an error, shorter rows end in missing cells.
+    ``multiline=False`` lets Spark split large files where no cell holds a line end."""
+    if columns is not None and not columns:
+        raise OptionError([("no_columns", "no column selected")])
     if schema is not None:
-        df = (spark.read.option("header", True).option("sep", _sep(sep)).option("nullValue", "")
-              .schema(schema).csv(path))
+        kinds = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        wide = T.StructType([*kinds.fields, T.StructField(EXTRA, T.StringType())])
+        df = _no_extra(_reader(spark, sep, multiline).schema(wide).csv(path))
         if columns is not None:
-            df = df.select(*columns)
+            df = df.select(*qcols(columns))
         strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-        return df.select(*[F.when(F.col(c).isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(F.col(c)).alias(c)
-                           if c in strings else F.col(c) for c in df.columns])
-    raw = (spark.read.option("header", True).option("sep", _sep(sep))
-           .option("inferSchema", False).option("mode", "PERMISSIVE").csv(path))
+        df = df.select(*[F.when(qcol(c).isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(qcol(c)).alias(c)
+                         if c in strings else qcol(c) for c in df.columns])
+        return canonicalize(df)
+    names = _reader(spark, sep, multiline).option("inferSchema", False).csv(path).columns
+    text = T.StructType([T.StructField(c, T.StringType()) for c in [*names, EXTRA]])
+    raw = _no_extra(_reader(spark, sep, multiline).schema(text).csv(path))
     if columns is not None:
-        if not columns:
-            raise OptionError([("noAttr", "no column selected")])
-        raw = raw.select(*columns)
-    cleaned = raw.select(*[F.when(F.col(c).isin(NA_TOKENS), F.lit(None).cast("string"))
-                           .otherwise(F.col(c)).alias(c) for c in raw.columns])
+        raw = raw.select(*qcols(columns))
+    cleaned = raw.select(*[F.when(qcol(c).isin(NA_TOKENS), F.lit(None).cast("string"))
+                           .otherwise(qcol(c)).alias(c) for c in raw.columns])
     if not typed:
         return cleaned
     cols = cleaned.columns
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c)
+        x = qcol(c)
         aggs += [F.count(x).alias(f"n{i}"),
                  F.count_if(F.trim(x).rlike(NUMBER_RE)).alias(f"d{i}"),
                  F.count_if(x.isin(TRUE_TOKENS + FALSE_TOKENS)).alias(f"b{i}")]
@@ -71,14 +92,14 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", columns=None,
     exprs = []
     for i, c in enumerate(cols):
         n, d, b = row[f"n{i}"], row[f"d{i}"], row[f"b{i}"]
-        x = F.col(c)
+        x = qcol(c)
         if n == d:
-            exprs.append(F.trim(x).cast("double").alias(c))
+            exprs.append(number(x).alias(c))
         elif n == b:
             exprs.append(x.isin(TRUE_TOKENS).alias(c))
         else:
             exprs.append(x.alias(c))
-    return cleaned.select(*exprs)
+    return canonicalize(cleaned.select(*exprs))
 
 
 def float_format_expr(c, fmt: str):
@@ -86,25 +107,60 @@ def float_format_expr(c, fmt: str):
     ``%.Nf``, ``%.Ne`` or ``repr`` (Python layout)."""
     if fmt in (None, "", "repr", "%r"):
         return py_float_str(c)
-    if fmt.endswith(("f", "e")):
-        return F.format_string(fmt, c.cast("double"))
+    x = c.cast("double")
+    special = (F.when(x == float("inf"), F.lit("inf")).when(x == float("-inf"), F.lit("-inf"))
+               .when(F.isnan(x), F.lit("nan")))
+    finite = F.when(special.isNull(), x)
+    if fmt.endswith("f") and fmt[1:-1].lstrip(".").isdigit() or fmt == "%f":
+        n = int(fmt[1:-1].lstrip(".")) if fmt != "%f" else 6
+        return F.coalesce(special, _fixed(finite, n, fmt))
+    if fmt.endswith("e"):
+        return F.coalesce(special, F.format_string(fmt, finite))
     if not fmt.endswith("g"):
         raise OptionError([("ffloat", f"unsupported float format {fmt}")])
     p = fmt[1:-1].lstrip(".")
     p = max(int(p) if p else 6, 1)
-    x = c.cast("double")
+    x = finite
     sci = F.format_string(f"%.{p - 1}e", x)
     expo = F.substring_index(sci, "e", -1).cast("int")
     fixed_fmt = F.concat(F.lit("%."), (F.lit(p - 1) - expo).cast("string"), F.lit("f"))
     fixed = _strip_zeros(F.call_function("format_string", fixed_fmt, x))
     sci_out = F.concat(_strip_zeros(F.substring_index(sci, "e", 1)), F.lit("e"),
                        F.substring_index(sci, "e", -1))
-    return (F.when(x.isNull(), F.lit(None).cast("string"))
+    return (F.when(special.isNotNull(), special)
+            .when(x.isNull(), F.lit(None).cast("string"))
             .when(x == 0, F.lit("0"))
             .when((expo >= -4) & (expo < p), fixed)
             .otherwise(sci_out))
 
 
+def _fixed(x, n: int, fmt: str):
+    """``%.nf`` as C prints it: the binary value itself is rounded, ties to even.
+
+    (Spark's ``format_string`` rounds the shortest decimal form half up.) The
+    scaled value is taken with its rounding error (Dekker's product), so the
+    halfway case is decided exactly; values too large for a fraction are left to Spark.
+    """
+    size, s = F.abs(x), float(10 ** n)
+    whole = F.floor(size)
+    a = size - whole  # exact
+    split = 134217729.0
+    p = a * s
+    ah = a * split - (a * split - a)
+    sh = s * split - (s * split - s)
+    err = ((ah * sh - p) + ah * (s - sh) + (a - ah) * sh) + (a - ah) * (s - sh)
+    f = F.floor(p)
+    d = p - f
+    odd = (f % 2 == 1) if n else (whole % 2 == 1)
+    f = f + ((d > 0.5) | ((d == 0.5) & ((err > 0) | ((err == 0) & odd)))).cast("long")
+    full = f >= int(s)
+    head = (whole + full.cast("long")).cast("string")
+    tail = F.lpad(F.when(full, F.lit(0)).otherwise(f).cast("string"), max(n, 1), "0")
+    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
+    exact = F.concat(sign, head, F.lit("."), tail) if n else F.concat(sign, head)
+    return F.when(size < 2.0**53, exact).otherwise(F.format_string(fmt, x))
+
+
 def _strip_zeros(s):
     """Trailing zeros of the fraction and a bare decimal point removed."""
     return F.regexp_replace(F.regexp_replace(s, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
@@ -120,28 +176,31 @@ def write_csv(x, path: str, columns=None, sep: str = ",", nan: str = "nan", fflo
     decimal = codecs.decode(decimal, "unicode_escape") if "\\" in decimal else decimal
     if len(decimal) != 1:
         raise OptionError([("decimal", "decimal mark must be one character")])
-    df = t.to_df() if index else t.df.select(*t.columns)
-    keep = list(columns) if columns is not None else df.columns
-    if index and columns is not None:
-        keep = [c for c in df.columns if c in t.index or c.endswith("_index")] + list(columns)
+    df = t.to_df() if index else t.df.select(*qcols(t.columns))
+    keep = list(df.columns)
+    if columns is not None:  # in the order asked for, index levels first
+        lead = df.columns[:len(t.index)] if index else []
+        keep = [*lead, *[c for c in columns if c not in lead]]
     exprs = []
     pattern = strptime_to_spark(date)
-    for f in df.schema.fields:
-        if f.name not in keep:
-            continue
-        c = F.col(f"`{f.name}`")
+    fields = {f.name: f for f in df.schema.fields}
+    for f in (fields[c] for c in keep):
+        c = qcol(f.name)
         lt = ltype_of_field(f)
         if isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
-            e = float_format_expr(F.col(f.name), ffloat)
+            e = float_format_expr(qcol(f.name), ffloat)
             if decimal != ".":
                 e = F.translate(e, ".", decimal)
         elif lt == LType.DATETIME:
             e = F.date_format(c, pattern)
+        elif isinstance(f.dataType, T.BooleanType):
+            e = F.when(c, F.lit("True")).when(~c, F.lit("False"))
         else:
             e = c.cast("string")
         exprs.append(e.alias(f.name))
     w = (df.select(*exprs).write.mode(mode).option("header", header).option("sep", sep)
-         .option("nullValue", nan).option("emptyValue", ""))
+         .option("nullValue", nan).option("emptyValue", "").option("quote", '"').option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", int(max_records_per_file))
     w.csv(path)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..ltypes import canonicalize
+from ..names import qcols
 from ..table import IX, Table
 
 
@@ -17,7 +18,7 @@ def read_table(spark: SparkSession, path: str, columns=None, canonical: bool = T
     df = spark.read.parquet(path)
     index = [c[len(IX):] for c in df.columns if c.startswith(IX)]
     if columns is not None:
-        df = df.select(*[IX + n for n in index], *columns)
+        df = df.select(*qcols([IX + n for n in index]), *qcols(columns))
     if canonical:
         df = canonicalize(df)
     return Table(df, tuple(index))

@@ -14,9 +14,24 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ltypes import canonicalize
+from .names import qcol
+
 IX = "__ix__"
 
 
+def clean(df: DataFrame) -> DataFrame:
+    """``df`` with NaN as NULL; frames that steps return are clean already."""
+    if getattr(df, "_tableprep_clean", False):
+        return df
+    return marked_clean(canonicalize(df))
+
+
+def marked_clean(df: DataFrame) -> DataFrame:
+    df._tableprep_clean = True
+    return df
+
+
 def ix(name: str) -> str:
     return IX + name
 
@@ -29,9 +44,9 @@ class Table:
     @staticmethod
     def of(x) -> "Table":
         if isinstance(x, Table):
-            return x
+            return x if getattr(x.df, "_tableprep_clean", False) else Table(clean(x.df), x.index)
         if isinstance(x, DataFrame):
-            return Table(x, ())
+            return Table(clean(x), ())
         raise TypeError(f"expected DataFrame or Table, got {type(x).__name__}")
 
     @property
@@ -43,7 +58,7 @@ class Table:
         return [ix(n) for n in self.index]
 
     def icol(self, name: str) -> Column:
-        return F.col(ix(name))
+        return qcol(ix(name))
 
     def with_df(self, df: DataFrame) -> "Table":
         return Table(df, self.index)
@@ -60,12 +75,13 @@ class Table:
         lead = []
         for n in self.index:
             out = n + "_index" if n in data else n
-            lead.append(F.col(ix(n)).alias(out))
-        return self.df.select(*lead, *[F.col(c) for c in self.columns])
+            lead.append(qcol(ix(n)).alias(out))
+        return self.df.select(*lead, *[qcol(c) for c in self.columns])
 
 
 def like(x, t: Table):
     """Return ``t`` in the same kind as the caller's input ``x``."""
+    marked_clean(t.df)
     if isinstance(x, Table):
         return t
-    return t.to_df()
+    return marked_clean(t.to_df())

@@ -141,10 +141,10 @@ def test_extract_series_errors(spark, waves):
     assert "duplicates" in e.value.codes
     with pytest.raises(OptionError) as e:
         extract_series({"F": f}, {}, [])
-    assert {"noseries", "notimelabels"} <= set(e.value.codes)
+    assert {"no_series", "no_labels"} <= set(e.value.codes)
     with pytest.raises(OptionError) as e:
         extract_series({"F": f}, {"": [("F", "diab1", "a")]}, ["a"])
-    assert "noname" in e.value.codes
+    assert "empty_name" in e.value.codes
     dup = SetIndex(columns=["id"])(Table(spark.createDataFrame([("a", 1.0), ("a", 2.0)], "id string, v double")))
     with pytest.raises(Exception):
         extract_series({"F": f, "D": dup}, {"s": [("F", "diab1", "x"), ("D", "v", "y")]}, ["x", "y"]).df.collect()

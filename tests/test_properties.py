@@ -1,8 +1,9 @@
 """Property checks where no golden value exists: learned parameters do not
 depend on partitioning; scaled values stay in range; bins cover all rows."""
 
+import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from tableprep.operators.compare import RemoveDuplicateColumns
@@ -45,7 +46,7 @@ def test_fit_independent_of_partitioning(spark, make):
     assert _approx_equal(one, many), (one, many)
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=15, deadline=None, derandomize=True)
 @given(st.lists(st.one_of(st.none(), st.floats(-1e6, 1e6, allow_nan=False)), min_size=1, max_size=40),
        st.floats(-10, 10), st.floats(0.5, 20))
 def test_minmax_in_range_and_bins_cover(spark, values, lo, width):
@@ -61,7 +62,7 @@ def test_minmax_in_range_and_bins_cover(spark, values, lo, width):
         assert sum(r.x is not None for r in b) == sum(v is not None for v in values)
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=12, deadline=None, derandomize=True)
 @given(st.lists(st.one_of(st.sampled_from([0.0, 1.5, -2.0, 7.0]), st.floats(-1e4, 1e4, allow_nan=False)),
                 min_size=1, max_size=300),
        st.sampled_from([2, 5, 1000]), st.sampled_from([2, 16, 4096]))
@@ -75,7 +76,7 @@ def test_exact_quantiles_random(spark, values, local_rows, buckets):
     assert np.allclose(got, np.percentile(np.array(values), [p * 100 for p in probs]), rtol=0, atol=1e-9)
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=8, deadline=None, derandomize=True)
 @given(st.lists(st.one_of(st.sampled_from([3.0, 3.5]), st.floats(-100, 100, allow_nan=False)), min_size=2,
                 max_size=200), st.lists(st.floats(-120, 120, allow_nan=False), min_size=1, max_size=6))
 def test_prefix_index_random(spark, values, points):
@@ -113,7 +114,7 @@ def test_exact_quantiles_tiny_range(spark):
     assert exact_quantiles(df, {"x": [0.0, 0.5, 1.0]}, local_rows=2, buckets=2)["x"] == [0.0, 0.0, 5e-324]
 
 
-@settings(max_examples=10, deadline=None)
+@settings(max_examples=10, deadline=None, derandomize=True)
 @given(st.lists(st.one_of(st.none(), st.integers(-20, 20).map(float)), min_size=1, max_size=40),
        st.lists(st.integers(-25, 25), min_size=2, max_size=6, unique=True))
 def test_range_bins_match_python(spark, values, edges):
@@ -131,7 +132,7 @@ def test_range_bins_match_python(spark, values, edges):
         assert out[i] == want
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=8, deadline=None, derandomize=True)
 @given(st.lists(st.tuples(st.integers(0, 3), st.one_of(st.none(), st.integers(0, 9))), min_size=1, max_size=60),
        st.sampled_from([2, 3, 7]), st.booleans(), st.booleans())
 def test_fill_matches_python(spark, rows, ranges, forward, grouped):
@@ -149,7 +150,7 @@ def test_fill_matches_python(spark, rows, ranges, forward, grouped):
         assert got[i] == (data[i][2], data[i][3]) if data[i][2] is not None else got[i] == last.get(key, (None, None))
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=8, deadline=None, derandomize=True)
 @given(st.lists(st.one_of(st.none(), st.integers(0, 4)), max_size=12),
        st.lists(st.one_of(st.none(), st.integers(0, 4)), max_size=12),
        st.sampled_from(["inner", "left", "right", "outer"]))
@@ -173,9 +174,10 @@ def test_null_safe_join_matches_python(spark, lkeys, rkeys, how):
     assert got == want
 
 
-@settings(max_examples=10, deadline=None)
-@given(st.lists(st.one_of(st.none(), st.floats(-1e3, 1e3, allow_nan=False)), min_size=1, max_size=80),
-       st.integers(2, 12))
+@settings(max_examples=10, deadline=None, derandomize=True)
+@example(values=[1.7597087647499416e-306], bins=2)
+@given(values=st.lists(st.one_of(st.none(), st.floats(-1e3, 1e3, allow_nan=False)), min_size=1, max_size=80),
+       bins=st.integers(2, 12))
 def test_histogram_matches_pandas_cut(spark, values, bins):
     import pandas as pd
     from tableprep.operators.profile import histogram
@@ -186,11 +188,12 @@ def test_histogram_matches_pandas_cut(spark, values, bins):
         assert got == []
         return
     assert len(got) == bins
-    ref = pd.cut(present, bins).value_counts(sort=False).tolist()
+    # by bucket number: intervals that print alike are one label in pandas
+    ref = np.bincount(pd.cut(present, bins, labels=False).astype(int), minlength=bins).tolist()
     assert [r["count"] for r in got] == ref
 
 
-@settings(max_examples=10, deadline=None)
+@settings(max_examples=10, deadline=None, derandomize=True)
 @given(st.lists(st.one_of(st.none(), st.sampled_from(["a", "b", "c", "d"])), min_size=1, max_size=50))
 def test_value_summary_matches_counter(spark, values):
     from collections import Counter
