@@ -39,16 +39,22 @@ def hold(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tableprep-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def parts_for(rows: int, per_part: int) -> int:
+    """Files for a stored table of so many rows."""
+    return 1 + rows // per_part
+
+
+def stored(df: DataFrame, parts: int | None = None) -> DataFrame:
     """``df`` written once as Parquet under ``spark.checkpoint.dir`` and read back.
 
     Cuts the lineage at a file every executor can read: later jobs see the
     same rows even if executors are lost, and nothing above is computed again.
-    The files live as long as the cluster keeps its checkpoint folder.
+    The files live as long as the cluster keeps its checkpoint folder; with
+    ``parts`` there are at most so many (a slim table needs few).
     """
     spark = df.sparkSession
     path = hold(spark)
-    df.write.parquet(path)
+    (df if parts is None else df.coalesce(parts)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import parts_for, stored
 
 MAX_ROUNDS = 60
+EDGES_PER_FILE = 200_000
 
 
 def components(edges: DataFrame, *, max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -19,7 +20,7 @@ def components(edges: DataFrame, *, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     the edge list is stored between rounds. Fails if it has not settled.
     """
     cur = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
-    last = None
+    parts, last = parts_for(cur.count(), EDGES_PER_FILE), None  # a round leaves no more edges than it finds
     for _ in range(max_rounds):
         # large star: neighbours above a node go to the node's smallest neighbour (or itself)
         both = cur.select("v", "u").unionByName(cur.select(F.col("u").alias("v"), F.col("v").alias("u")))
@@ -32,7 +33,7 @@ def components(edges: DataFrame, *, max_rounds: int = MAX_ROUNDS) -> DataFrame:
         down = large.join(low, "v")
         small = down.filter("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(
             low.select("v", F.col("m").alias("u")))
-        cur = stored(small.distinct())
+        cur = stored(small.distinct(), parts)
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == last:
             # settled: every node points at its root, which points nowhere

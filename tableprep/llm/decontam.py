@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, q, read, small, stored
+from .common import fresh, parts_for, q, read, small, stored
 from .textblock import Words, byte_map, slices, trim
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -231,7 +231,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
     """
     (mark,) = fresh(docs, "leak_row")
     marked = docs.withColumn(mark, F.concat_ws(":", q(doc_id).cast("string"), F.xxhash64(q(text)).cast("string")))
-    bad = stored(find_leaks(marked, benchmark, doc_id=mark, text=text, **options).select(F.col("doc_id").alias("leak_of")).distinct())
+    bad = stored(find_leaks(marked, benchmark, doc_id=mark, text=text, **options).select(F.col("doc_id").alias("leak_of")).distinct(),
+                 parts_for(docs.count(), 5_000_000))
     return marked.join(small(bad, bad.count()), marked[mark] == bad["leak_of"], "left_anti").select(*[q(c) for c in docs.columns])
 
 

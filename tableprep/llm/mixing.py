@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut_step, fresh, n_words, q, random_key, read, small, stored
+from .common import cut_step, fresh, n_words, parts_for, q, random_key, read, small, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)     # the mix holds 3/2 of all words
@@ -86,7 +86,8 @@ def mix_sources(docs: DataFrame, *, text: str = "text", source: str = "source",
                      fresh(docs, "size", "source_size", "target", "taken", "mix_key", "mix_cut", "mix_src",
                            "mix_cut_of", "mix_before", "mix_budget"), strict=True))
     n = names.__getitem__
-    step = cut_step(docs.count())
+    n_rows = docs.count()
+    step = cut_step(n_rows)
     rows = docs.withColumns({n("size"): size if size is not None else n_words(q(text)),
                              n("key"): random_key(seed, q(doc_id), F.md5(F.coalesce(q(text), F.lit("")).cast("binary")))})
     rows = rows.withColumn(n("cut"), F.expr(f"`{n('key')}` div {step}L"))
@@ -102,7 +103,7 @@ def mix_sources(docs: DataFrame, *, text: str = "text", source: str = "source",
         F.col("c.source").alias(n("src")), F.col("c.cut").alias(n("of")), F.col("before").alias(n("before")),
         F.col("g.size").alias(n("source_size")), F.col("target").alias(n("target")), F.col("budget").alias(n("budget")))
 
-    cuts = stored(cuts)
+    cuts = stored(cuts, parts_for(n_rows, 5_000_000))
     joined = rows.join(small(cuts, cuts.count()), q(source).eqNullSafe(q(n("src"))) & (q(n("cut")) == q(n("of"))))
     inside = (W.partitionBy(q(source), q(n("cut"))).orderBy(q(n("key")), q(doc_id), q(n("size")))
               .rowsBetween(W.unboundedPreceding, -1))

@@ -10,6 +10,7 @@ order again. Shard sizes are fixed beforehand, at most one row apart.
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -115,8 +116,10 @@ def shuffle_shards(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         return local.withColumns({shard: F.lit(0), slot: F.lit(0).cast("long")}).select(
             *[q(c) for c in docs.columns], q(shard), q(slot)), shard, slot
     sent = communication_matrix([n for _, n in counts], shards, seed).cumsum(axis=1)
-    table = spark.createDataFrame([(p, row.tolist()) for (p, _), row in zip(counts, sent, strict=True)],
-                                  f"`{part}` long, `{upto}` array<long>")
+    # a constant table, made by SQL functions alone (createDataFrame would start Python workers)
+    text = json.dumps([{"p": p, "u": row.tolist()} for (p, _), row in zip(counts, sent, strict=True)])
+    table = spark.range(1).select(F.inline(F.from_json(F.lit(text), "array<struct<p: bigint, u: array<bigint>>>")))
+    table = table.select(F.col("p").alias(part), F.col("u").alias(upto))
     # a row's shard: how many shards end at or before its random rank in the partition
     placed = (local.join(small(table, len(counts) * shards), part)
               .withColumn(shard, F.expr(f"cast(size(filter(`{upto}`, u -> u <= `{rank}`)) as int)"))

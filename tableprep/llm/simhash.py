@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, q, read, stored
+from .common import fresh, parts_for, q, read, stored
 from .components import components
 from .golay import ball_indices
 from .textblock import trim
@@ -28,6 +28,7 @@ SHINGLE, MAX_BITS = 3, 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit, bits
 #: Keys with more fingerprints than this are grouped by neighbouring words.
 JOIN_MOST = 32
+NODES_PER_FILE = 25_000
 _CHUNK = 200_000  # shingles whose bits are added up at once
 
 
@@ -97,9 +98,10 @@ def near_pairs(fps: DataFrame, max_bits: int = MAX_BITS, join_most: int = JOIN_M
     """
     if max_bits != 2:
         raise ValueError("the keys guarantee exactly distances of two bits or less")
-    keys = stored(fuzzy_keys(fps))
+    parts = parts_for(fps.count(), NODES_PER_FILE)
+    keys = stored(fuzzy_keys(fps), parts)
     held = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = stored(keys.join(held, "key"))  # most keys belong to one fingerprint and end here
+    shared = stored(keys.join(held, "key"), parts)  # most keys belong to one fingerprint and end here
     # keys of a few fingerprints: all pairs of a bounded list, verified
     few = shared.filter(F.col("n") <= join_most).groupBy("key").agg(F.collect_list("fp").alias("all_"))
     few = few.select(F.explode("all_").alias("a"), "all_").select("a", F.explode(F.filter(
@@ -127,7 +129,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     copies of any size costs one node.
     """
     marked = stored(fingerprints(docs, text=text, keep=[q(doc_id)], names=["doc_id"], shingle=shingle))
-    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), parts_for(marked.count(), NODES_PER_FILE))
     comp = components(near_pairs(nodes.select("fp"), max_bits))
     roots = nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     ids = roots.groupBy("root").agg(F.min("low").alias("component_id"))
