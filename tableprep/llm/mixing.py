@@ -82,15 +82,17 @@ def mix_sources(docs: DataFrame, *, text: str = "text", source: str = "source",
     rounded to a whole word; no document is taken more than ``max_epochs``
     times. Other columns are carried along unread.
     """
-    names = dict(zip(("size", "source_size", "target", "taken", "key", "cut", "src", "of", "before", "budget"),
+    names = dict(zip(("size", "source_size", "target", "taken", "key", "cut", "src", "of_src", "of", "before", "budget"),
                      fresh(docs, "size", "source_size", "target", "taken", "mix_key", "mix_cut", "mix_src",
-                           "mix_cut_of", "mix_before", "mix_budget"), strict=True))
+                           "mix_src_of", "mix_cut_of", "mix_before", "mix_budget"), strict=True))
     n = names.__getitem__
     n_rows = docs.count()
     step = cut_step(n_rows)
     rows = docs.withColumns({n("size"): size if size is not None else n_words(q(text)),
                              n("key"): random_key(seed, q(doc_id), F.md5(F.coalesce(q(text), F.lit("")).cast("binary")))})
-    rows = rows.withColumn(n("cut"), F.expr(f"`{n('key')}` div {step}L"))
+    # join and window go by the same two columns, so that rows are dealt out once
+    src = F.coalesce(F.concat(F.lit("s"), q(source).cast("string")), F.lit("n"))
+    rows = rows.withColumns({n("cut"): F.expr(f"`{n('key')}` div {step}L"), n("src"): src})
 
     # words per (source, range): one small row each, added up before the shuffle
     cuts = rows.groupBy(q(source).alias("source"), q(n("cut")).alias("cut")).agg(F.sum(q(n("size"))).alias("words"))
@@ -100,12 +102,12 @@ def mix_sources(docs: DataFrame, *, text: str = "text", source: str = "source",
     before = W.partitionBy("source").orderBy("cut").rowsBetween(W.unboundedPreceding, -1)
     cuts = cuts.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
     cuts = cuts.alias("c").join(goal.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source"))).select(
-        F.col("c.source").alias(n("src")), F.col("c.cut").alias(n("of")), F.col("before").alias(n("before")),
+        F.coalesce(F.concat(F.lit("s"), F.col("c.source").cast("string")), F.lit("n")).alias(n("of_src")), F.col("c.cut").alias(n("of")), F.col("before").alias(n("before")),
         F.col("g.size").alias(n("source_size")), F.col("target").alias(n("target")), F.col("budget").alias(n("budget")))
 
     cuts = stored(cuts, parts_for(n_rows, 5_000_000))
-    joined = rows.join(small(cuts, cuts.count()), q(source).eqNullSafe(q(n("src"))) & (q(n("cut")) == q(n("of"))))
-    inside = (W.partitionBy(q(source), q(n("cut"))).orderBy(q(n("key")), q(doc_id), q(n("size")))
+    joined = rows.join(small(cuts, cuts.count()), (q(n("src")) == q(n("of_src"))) & (q(n("cut")) == q(n("of"))))
+    inside = (W.partitionBy(q(n("src")), q(n("cut"))).orderBy(q(n("key")), q(doc_id), q(n("size")))
               .rowsBetween(W.unboundedPreceding, -1))
     first = q(n("before")) + F.coalesce(F.sum(q(n("size"))).over(inside), F.lit(0))
     whole = F.when(q(n("source_size")) > 0, F.expr(f"`{n('budget')}` div `{n('source_size')}`")).otherwise(0)
