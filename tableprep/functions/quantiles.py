@@ -25,12 +25,13 @@ DuckDB ``quantile_cont``).
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..names import qcol
+from ..names import qcol, quoted
 
 BUCKETS = 4096
 
@@ -63,6 +64,28 @@ def _in_cell_sql(v: str, chain) -> str:
     return " AND ".join(parts)
 
 
+def _cell_of_sql(v: str, mine) -> str:
+    """Number of the cell that holds ``v`` (NULL: none), for cells given as (number, chain).
+
+    Cells of one parent are told apart by one bucket number looked up in a
+    list, so the expression does not repeat the arithmetic per cell.
+    """
+    groups: dict = {}
+    parts = []
+    for i, chain in mine:
+        if chain:
+            lo, w, nb, b = chain[-1]
+            groups.setdefault((chain[:-1], lo, w, nb), []).append((b, i))
+        else:
+            parts.append(f"CASE WHEN {v} IS NOT NULL THEN {i} END")
+    for (parent, lo, w, nb), items in groups.items():
+        numbers = ", ".join(_d(b) for b, _ in items)
+        cells = ", ".join(str(i) for _, i in items)
+        at = f"CAST(nullif(array_position(array({numbers}), CAST({_bucket_sql(v, lo, w, nb)} AS DOUBLE)), 0) AS INT)"
+        parts.append(f"CASE WHEN {_in_cell_sql(v, parent)} THEN try_element_at(array({cells}), {at}) END")
+    return parts[0] if len(parts) == 1 else f"coalesce({', '.join(parts)})"
+
+
 def minmax_count_aggs(cols, prefix="__qm"):
     """Aggregates whose result :func:`read_minmax_count` turns into ``prefetched``."""
     out = []
@@ -126,41 +149,35 @@ def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], local_rows: int
         cells = sorted({(c, st[0], st[3], st[4]) for (c, _), st in big.items()}, key=str)
         structs = []
         for c in cols:
-            mine = [(i, chain, lo, hi) for i, (cc, chain, lo, hi) in enumerate(cells) if cc == c]
-            if not mine:
-                continue
-            v = f"`{c}`"
-            cell_sql, bucket_sql = [], []
-            for i, chain, lo, hi in mine:
-                cond = _in_cell_sql(v, chain)
-                blo, bw = width(c, lo, hi, buckets)
-                # a range too narrow to split holds at most ``buckets`` + 1 doubles:
-                # the value itself is the bucket, every bucket single-valued
-                b = _bucket_sql(v, blo, bw, buckets) if bw > 0 else v
-                cell_sql.append(f"WHEN {cond} THEN {i}")
-                bucket_sql.append(f"WHEN {cond} THEN CAST({b} AS DOUBLE)")
-            structs.append(F.struct(F.expr(f"CASE {' '.join(cell_sql)} END").alias("cell"),
-                                    F.expr(f"CASE {' '.join(bucket_sql)} END").alias("b"), qcol(c).alias("v")))
-        rows = (src.select(F.inline(F.array(*structs))).where(qcol("cell").isNotNull())
-                .groupBy("cell", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                                          F.max("v").alias("hi")).collect())
-        hist = {}
-        for r in rows:
-            hist.setdefault(r["cell"], []).append((r["b"], r["n"], r["lo"], r["hi"]))
+            mine = [(i, chain) for i, (cc, chain, _, _) in enumerate(cells) if cc == c]
+            if mine:
+                structs.append(F.struct(F.expr(_cell_of_sql(quoted(c), mine)).alias("cell"), qcol(c).alias("v")))
+        # a range too narrow to split holds at most ``buckets`` + 1 doubles: the
+        # value itself is the bucket, every bucket single-valued
+        size = [width(c, lo, hi, buckets) for c, _, lo, hi in cells]
+        first, step = (F.expr(f"element_at(array({', '.join(_d(x[j]) for x in size)}), cell + 1)") for j in (0, 1))
+        tagged = (src.select(F.inline(F.array(*structs))).where(qcol("cell").isNotNull())
+                  .select("cell", "v", first.alias("first"), step.alias("step")))
+        f = F.floor((F.col("v") - F.col("first")) / F.col("step")).cast("double")
+        b_ = (F.when(F.col("step") <= 0, F.col("v")).when(F.col("v") == -INF, F.lit(-1.0)).when(F.col("v") == INF, F.lit(float(buckets)))
+              .otherwise(F.least(f, F.lit(buckets - 1.0))))
+        counts = tagged.groupBy("cell", b_.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        # the bucket of each wanted rank is found in Spark: one row per rank comes back
+        cum = counts.withColumn("before", F.sum("n").over(Window.partitionBy("cell").orderBy("b")) - F.col("n"))
+        at = {cell: i for i, cell in enumerate(cells)}
+        wanted = json.dumps([{"c": at[c, st[0], st[3], st[4]], "k": k - st[1]} for (c, k), st in big.items()])
+        ranks = df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(wanted), "array<struct<c: int, k: bigint>>")))
+        hit = cum.join(F.broadcast(ranks), (F.col("cell") == F.col("c")) & (F.col("k") >= F.col("before"))
+                       & (F.col("k") < F.col("before") + F.col("n")))
+        rows = {(r["c"], r["k"]): r for r in hit.select("c", "k", "b", "n", "before", "lo", "hi").collect()}
         for (c, k), (chain, base, size, lo, hi) in big.items():
-            i = cells.index((c, chain, lo, hi))
-            blo, w = width(c, lo, hi, buckets)
-            cum = base
-            blo_cell = blo
-            for b, n, blo, bhi in sorted(hist[i]):
-                if k < cum + n:
-                    if blo == bhi:
-                        found[(c, k)] = blo
-                        del state[(c, k)]
-                    else:
-                        state[(c, k)] = (chain + ((blo_cell, w, buckets, b),), cum, n, blo, bhi)
-                    break
-                cum += n
+            blo_cell, w = width(c, lo, hi, buckets)
+            r = rows[at[c, chain, lo, hi], k - base]
+            if r["lo"] == r["hi"]:
+                found[(c, k)] = r["lo"]
+                del state[(c, k)]
+            else:
+                state[(c, k)] = (chain + ((blo_cell, w, buckets, r["b"]),), base + r["before"], r["n"], r["lo"], r["hi"])
 
     if state:
         cells = sorted({(c, st[0]) for (c, _), st in state.items()}, key=str)
@@ -169,9 +186,7 @@ def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], local_rows: int
             mine = [(i, chain) for i, (cc, chain) in enumerate(cells) if cc == c]
             if not mine:
                 continue
-            v = f"`{c}`"
-            cell_sql = [f"WHEN {_in_cell_sql(v, chain)} THEN {i}" for i, chain in mine]
-            structs.append(F.struct(F.expr(f"CASE {' '.join(cell_sql)} END").alias("cell"), qcol(c).alias("v")))
+            structs.append(F.struct(F.expr(_cell_of_sql(quoted(c), mine)).alias("cell"), qcol(c).alias("v")))
         tagged = src.select(F.inline(F.array(*structs))).where(qcol("cell").isNotNull())
         ranked = tagged.select("cell", "v", (F.row_number().over(Window.partitionBy("cell").orderBy("v")) - 1)
                                .alias("r"))

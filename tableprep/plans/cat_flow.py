@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from .catalogue import query, r4, table
@@ -59,6 +61,18 @@ def dag_flagship(spark, sf_dir):
                      r4("price").alias("price"), r4("c_acctbal").alias("c_acctbal"), "price_band")
 
 
+@query("dag_from_json", "SELECT CAST(count(*) AS BIGINT) AS n, round(sum(CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_totalprice END)"
+       " / count(*) FILTER (o_orderstatus <> 'P'), 2) AS learned_mean FROM orders")
+def dag_from_json(spark, sf_dir):
+    """A graph saved as text, loaded, run, and its report read back."""
+    g = StepGraph.from_json(StepGraph([
+        {"id": "orders", "step": "input", "options": {"table": "orders"}},
+        {"id": "fill", "step": "fill_nan", "inputs": ["orders"], "options": {"method": "mean", "selected": ["price"]}}]).to_json())
+    results, report = g.run(spark, {"orders": flagship_inputs(spark, sf_dir)["orders"]})
+    learned = [json.loads(v) for node, _, kind, key, v in report if (node, kind, key) == ("fill", "learned", "means")]
+    return results["fill"].df.agg(F.count("price").alias("n")).select("n", F.round(F.lit(learned[0]["price"]), 2).alias("learned_mean"))
+
+
 BRANCH_NODES = [
     {"id": "orders", "step": "input", "options": {"table": "orders"}},
     {"id": "nation", "step": "input", "options": {"table": "nation"}},
