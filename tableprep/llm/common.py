@@ -39,7 +39,11 @@ def hold(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tableprep-{uuid.uuid4().hex}"
 
 
-def parts_for(rows: int, per_part: int) -> int:
+#: Documents in a file of a stored table at least, where the input is split finer.
+DOCS_PER_FILE = 4_000
+
+
+def parts_for(rows: int, per_part: int = DOCS_PER_FILE) -> int:
     """Files for a stored table of so many rows."""
     return 1 + rows // per_part
 

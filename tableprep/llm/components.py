@@ -11,15 +11,16 @@ MAX_ROUNDS = 60
 EDGES_PER_FILE = 200_000
 
 
-def components(edges: DataFrame, *, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def components(edges: DataFrame, parts: int | None = None, *, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """``(a, b)`` long -> ``(node, root)``: the smallest node that each node of an edge can reach.
 
     Large-star and small-star steps in turn, each a grouping whose groups are
     only reduced to their minimum, so a star of any size is never gathered.
+    ``parts``: files of the first edge list, if known to be few.
     The number of rounds grows with the logarithm of the largest component;
     the edge list is stored between rounds. Fails if it has not settled.
     """
-    cur = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
+    cur = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), parts)
     parts, last = parts_for(cur.count(), EDGES_PER_FILE), None  # a round leaves no more edges than it finds
     for _ in range(max_rounds):
         # large star: neighbours above a node go to the node's smallest neighbour (or itself)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, q, read, stored
+from .common import hash_share, parts_for, q, read, stored
 from .compress_quality import held_out
 from .hmm import Packed, expected_counts, first_guess, forward, groups, reestimate
 from .textblock import trim
@@ -239,10 +239,11 @@ def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(q(doc_id).alias("doc_id"), held.alias("held_out"),
                        F.coalesce(q(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     learn = rows.filter(~F.col("held_out"))
-    counts = stored(word_counts(learn.select("text")))
-    vocab, n, v = build_vocabulary(counts, learn.count())
+    n_docs = learn.count()
+    counts = stored(word_counts(learn.select("text")), parts_for(n_docs))
+    vocab, n, v = build_vocabulary(counts, n_docs)
     # the written row numbers name the rows from here on
-    encoded = stored(encode(rows, vocab).withColumn("row", F.monotonically_increasing_id()))
+    encoded = stored(encode(rows, vocab).withColumn("row", F.monotonically_increasing_id()), parts_for(docs.count()))
     params = train(encoded.filter(~F.col("held_out")), vocab, states, rounds)
     path = _forward_scores(encoded, params, vocab, ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "spread"])
     rare = encoded.filter(F.size("rare") > 0).select("row", F.inline(F.arrays_zip(F.col("rare").alias("token"), F.col("rare_n").alias("n"))))

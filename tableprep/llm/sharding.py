@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut_step, fresh, q, read, small, stored
+from .common import cut_step, fresh, parts_for, q, read, small, stored
 
 SHARDS = 16
 SEED = 20
@@ -105,7 +105,8 @@ def shuffle_shards(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         docs, "shard_key", "shard_again", "shard_part", "shard_rank", "shard", "slot", "shard_upto", "shard_cut",
         "shard_of", "shard_cut_of", "shard_before")
     ident = F.xxhash64(q(doc_id), q(text))
-    local = (docs.withColumns({key: F.xxhash64(F.lit(seed), q(doc_id), ident),
+    # blocks are the input's partitions, but for inputs split into very small ones
+    local = (docs.coalesce(parts_for(docs.count())).withColumns({key: F.xxhash64(F.lit(seed), q(doc_id), ident),
                                again: F.xxhash64(F.lit(seed + 1), q(doc_id), ident).bitwiseAND(F.lit((1 << 60) - 1))})
              .sortWithinPartitions(q(key), q(again), q(doc_id))
              .withColumn(part, F.monotonically_increasing_id()))

@@ -128,9 +128,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     Documents of one fingerprint are one node of the graph, so a group of
     copies of any size costs one node.
     """
-    marked = stored(fingerprints(docs, text=text, keep=[q(doc_id)], names=["doc_id"], shingle=shingle))
+    marked = stored(fingerprints(docs, text=text, keep=[q(doc_id)], names=["doc_id"], shingle=shingle), parts_for(docs.count()))
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), parts_for(marked.count(), NODES_PER_FILE))
-    comp = components(near_pairs(nodes.select("fp"), max_bits))
+    comp = components(near_pairs(nodes.select("fp"), max_bits), parts_for(nodes.count(), NODES_PER_FILE))
     roots = nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     ids = roots.groupBy("root").agg(F.min("low").alias("component_id"))
     of = roots.select("fp", "root").join(ids, "root").select("fp", "component_id")
