@@ -8,7 +8,6 @@ index through a temp view or a saved table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..errors import OptionError
 from ..functions.store import stored

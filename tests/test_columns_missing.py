@@ -1,4 +1,4 @@
-"""P1-P7, P11, P12 and F1-F6 against the reference's golden tables."""
+"""P1-P7, P11, P12 and F1-F6 on small tables."""
 
 import pytest
 from pyspark.sql import functions as F
