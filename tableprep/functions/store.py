@@ -11,7 +11,11 @@ from ..session import ensure_checkpoint_dir
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as Parquet under ``spark.checkpoint.dir``: later reads see the same rows and compute nothing again."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tableprep-{uuid.uuid4().hex}"
+    return df.sparkSession.read.schema(df.schema).parquet(stored_at(df))
+
+
+def stored_at(df: DataFrame) -> str:
+    """Where ``df`` was written as Parquet under ``spark.checkpoint.dir``."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tableprep-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path

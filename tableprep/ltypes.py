@@ -3,7 +3,8 @@
 Five logical types: String, Numeric, Nominal, Ordinal, Datetime. Anything
 else is ``Other`` and is passed through untouched. Nominal and Ordinal are
 stored as strings; their category list (ordered for Ordinal) lives in the
-field metadata under ``ltype`` / ``categories``. Metadata is lost by computed
+field metadata under ``ltype`` / ``categories``, or, if long, in a stored table
+that ``category_table`` names. Metadata is lost by computed
 expressions, so every operator re-attaches it with :func:`typed`.
 """
 
@@ -77,9 +78,18 @@ def categories(df: DataFrame, name: str) -> list[str] | None:
     return list(cats) if cats is not None else None
 
 
+def category_source(field: T.StructField) -> list[str] | dict | None:
+    """The category list, ``{"table": path}`` if it is a stored table, or None."""
+    md = field.metadata or {}
+    if md.get("category_table") is not None:
+        return {"table": md["category_table"]}
+    return list(md["categories"]) if md.get("categories") is not None else None
+
+
 def meta(lt: LType, cats=None) -> dict:
     if lt in CATEGORICAL:
-        # no list: more categories than metadata should hold
+        if isinstance(cats, dict):  # more categories than metadata should hold
+            return {"ltype": lt.value, "category_table": cats["table"]}
         return {"ltype": lt.value} if cats is None else {"ltype": lt.value, "categories": list(cats)}
     return {}
 

@@ -11,19 +11,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SchemaError
+from ..functions.category_table import open_table, with_code
 from ..functions.timeutil import epoch_micros
-from ..ltypes import CATEGORICAL, LType, categories, category_code, field_of, ltypes
+from ..ltypes import CATEGORICAL, LType, category_code, category_source, field_of, ltype_of_field, ltypes
 from ..names import qcol
 from ..table import Table
 
 
-def _numeric_view(df, c, lt):
+def _with_codes(df, cols):
+    """``df`` with the codes of the columns that have a stored category table, and the code column of each."""
+    codes = {}
+    for c in dict.fromkeys(cols):
+        f = field_of(df, c)
+        cats = category_source(f) if ltype_of_field(f) in CATEGORICAL else None
+        if isinstance(cats, dict):
+            codes[c] = f"__code{len(codes)}"
+            df = with_code(df, c, open_table(df.sparkSession, cats), codes[c])
+    return df, codes
+
+
+def _numeric_view(df, c, lt, codes):
+    if c in codes:
+        return qcol(codes[c]).cast("double")
     if lt == LType.NUMERIC:
         return qcol(c).cast("double")
     if lt in CATEGORICAL:
-        cats = categories(df, c)
+        cats = category_source(field_of(df, c))
         if cats is None:
-            raise SchemaError(f"{c}: no category list (too many categories to plot)")
+            raise SchemaError(f"{c}: no category list")
         return category_code(qcol(c), cats).cast("double")
     if lt == LType.DATETIME:
         return epoch_micros(qcol(c), field_of(df, c).dataType) / 1000.0
@@ -41,7 +56,8 @@ def scatter_data(x, columns, colour: str | None = None, fraction: float | None =
     cols = list(columns)
     if len(cols) < 2:
         raise SchemaError("scatter needs at least two columns")
-    exprs = [_numeric_view(df, c, lt[c]).alias(c) for c in cols]
+    df, codes = _with_codes(df, cols)
+    exprs = [_numeric_view(df, c, lt[c], codes).alias(c) for c in cols]
     if colour:
         exprs.append(qcol(colour).cast("string").alias(colour))
     out = df.select(*exprs)
@@ -67,7 +83,8 @@ def series_data(x, time: str, values, ids=None, id_column: str | None = None) ->
             raise SchemaError(f"{v}: values must be Numeric or Ordinal")
     if ids is not None and len(values) > 1:
         raise SchemaError("either many columns or many ids, not both")
-    tcol = _numeric_view(df, time, lt[time]).alias("t")
+    df, codes = _with_codes(df, [time, *values])
+    tcol = _numeric_view(df, time, lt[time], codes).alias("t")
     base = df
     if ids is not None:
         key = t.icol(t.index[0]) if id_column is None else qcol(id_column)
@@ -77,9 +94,9 @@ def series_data(x, time: str, values, ids=None, id_column: str | None = None) ->
         else:
             base = base.where(key.isin(list(ids)))
         series = key.cast("string")
-        arr = F.array(F.struct(series.alias("series"), _numeric_view(df, values[0], lt[values[0]]).alias("value")))
+        arr = F.array(F.struct(series.alias("series"), _numeric_view(df, values[0], lt[values[0]], codes).alias("value")))
     else:
-        arr = F.array(*[F.struct(F.lit(v).alias("series"), _numeric_view(df, v, lt[v]).alias("value"))
+        arr = F.array(*[F.struct(F.lit(v).alias("series"), _numeric_view(df, v, lt[v], codes).alias("value"))
                         for v in values])
     return base.select(tcol, F.inline(arr)).where(qcol("t").isNotNull()).select("series", "t", "value")
 

@@ -2,8 +2,8 @@
 
 All row-local ``select``s except ``ToCategorical`` without a category list,
 whose fit is one distributed ``distinct``. Up to ``LISTED`` categories are
-kept as a list in the column's metadata; a column with more is Nominal (or
-Ordinal) without a list, and what needs its categories takes its sorted distinct values.
+kept as a list in the column's metadata; more are kept as a stored table
+(value, code) that the metadata names.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SchemaError
+from ..functions.category_table import keep, numbered
 from ..functions.pyformat import INFER_FORMATS, NUMBER_RE, number, py_float_str, strptime_to_spark
-from ..ltypes import CATEGORICAL, LType, STRINGLIKE, categories, field_of, ltype_of_field, typed
+from ..ltypes import CATEGORICAL, LType, STRINGLIKE, category_source, field_of, ltype_of_field, typed
 from ..names import qcol
 from ..step import Step, register
 
@@ -110,14 +111,14 @@ class ToCategorical(Step):
                 continue
             f = field_of(t.df, c)
             if ltype_of_field(f) in CATEGORICAL:  # Nominal <-> Ordinal keeps the category list
-                learned[c] = categories(t.df, c)
+                learned[c] = category_source(f)
                 continue
             most = LISTED if cap is None else int(cap)
-            vals = (t.df.select(as_text(f).alias("v")).where(qcol("v").isNotNull())
-                    .distinct().limit(most + 1).collect())
+            distinct = t.df.select(as_text(f).alias("v")).where(qcol("v").isNotNull()).distinct()
+            vals = distinct.limit(most + 1).collect()
             if len(vals) > most and cap is not None:
                 raise SchemaError(f"to_categorical: {c} has more than {cap} distinct values")
-            learned[c] = sorted(r["v"] for r in vals) if len(vals) <= most else None
+            learned[c] = sorted(r["v"] for r in vals) if len(vals) <= most else keep(numbered(distinct, "v"))
         return {"categories": learned}
 
     def _transform(self, t, params):

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..errors import SchemaError
-from ..functions.store import stored
+from ..functions.category_table import numbered, open_table, with_code
 from ..functions.timeutil import epoch_micros
-from ..ltypes import CATEGORICAL, LType, categories, category_code, ltype, typed
+from ..ltypes import CATEGORICAL, LType, category_code, category_source, field_of, ltype, typed
 from ..names import qcol
 from ..step import Step, register
 
@@ -27,22 +27,9 @@ LITERAL = 64
 
 
 def code_table(df, column: str):
-    """``(v, code)``: the sorted distinct non-missing values and their positions.
-
-    Sorted over range partitions; a value's position is its row in its
-    partition plus the rows of the partitions before (one number each on the driver).
-    """
-    vals = df.select(qcol(column).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct().orderBy("v")
-    # the written rows fix the partitions, so that counts and rows agree
-    rows = stored(vals.withColumn("at", F.monotonically_increasing_id()))
-    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    before, total = [], 0
-    for p_, n in sizes:
-        before.append((p_, total))
-        total += n
-    first = df.sparkSession.createDataFrame(before, "p long, before long")
-    return rows.withColumn("p", part).join(first, "p").select("v", (F.col("before") + row).cast("int").alias("code"))
+    """``(v, code)``: the sorted distinct non-missing values and their positions."""
+    vals = df.select(qcol(column).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct()
+    return numbered(vals, "v")
 
 
 @register
@@ -68,7 +55,11 @@ class OneHotEncoder(Step):
         cap = self.options.get("max_categories")  # an error above it, only if asked for
         values = {}
         for c in self.options["attributes"]:
-            cats = categories(t.df, c) if ltype(t.df, c) in CATEGORICAL else None
+            cats = category_source(field_of(t.df, c)) if ltype(t.df, c) in CATEGORICAL else None
+            if isinstance(cats, dict):
+                codes = open_table(t.df.sparkSession, cats)
+                most = codes if cap is None else codes.limit(int(cap) + 1)
+                cats = [r["v"] for r in sorted(most.collect(), key=lambda r: r["code"])]
             values[c] = list(cats) if cats is not None else distinct_values(t.df, c, cap)
             if cap is not None and len(values[c]) > int(cap):
                 raise SchemaError(f"onehot: {c} has more than {cap} categories")
@@ -113,7 +104,7 @@ class CategoryCodes(Step):
     def _fit(self, t):
         out = {}
         for c in self.options["attributes"]:
-            cats = categories(t.df, c) if ltype(t.df, c) in CATEGORICAL else None
+            cats = category_source(field_of(t.df, c)) if ltype(t.df, c) in CATEGORICAL else None
             if cats is None:
                 few = t.df.select(qcol(c)).where(qcol(c).isNotNull()).distinct().limit(LITERAL + 1).count()
                 # many values: a table, kept with the model
@@ -129,9 +120,10 @@ class CategoryCodes(Step):
                 continue
             if isinstance(x, list):
                 x = df.sparkSession.createDataFrame([(v, j) for j, v in enumerate(x)], "v string, code int")
-            v, code = f"__v{i}", f"__code{i}"
-            df = df.join(x.select(F.col("v").alias(v), F.col("code").alias(code)), qcol(c) == F.col(v), "left").drop(v)
-            joined[c] = code
+            elif isinstance(x, dict):
+                x = open_table(df.sparkSession, x)
+            joined[c] = f"__code{i}"
+            df = with_code(df, c, x, joined[c])
         exprs = []
         for f in t.df.columns:
             if f in joined:

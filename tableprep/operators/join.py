@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import OptionError
-from ..ltypes import CATEGORICAL, STRINGLIKE, LType, field_of, ltype_of_field, typed
+from ..ltypes import CATEGORICAL, STRINGLIKE, LType, category_source, field_of, ltype_of_field, typed
 from ..names import qcol, qcols, quoted
 from ..step import Step, register
 from ..table import Table, ix
@@ -128,7 +128,7 @@ def skew_join(L, R, lkeys, rkeys, how, o):
 def _key_meta(lf, rf):
     la, lb = ltype_of_field(lf), ltype_of_field(rf)
     if la == lb:
-        return la, (lf.metadata or {}).get("categories")
+        return la, category_source(lf)
     return LType.STRING, None
 
 

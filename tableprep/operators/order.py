@@ -13,16 +13,19 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..ltypes import LType, categories, category_code, ltypes
+from ..functions.category_table import open_table, with_code
+from ..ltypes import LType, category_code, category_source, field_of, ltypes
 from ..names import qcol
 from ..step import Step, register
 from ..table import Table
 
 
-def sort_key(df, name):
-    lt = ltypes(df)[name]
-    if lt == LType.ORDINAL:
-        cats = categories(df, name)
+def sort_key(df, name, code=None):
+    """What ``name`` is sorted by; ``code``: the column that holds its positions in a stored category table."""
+    if code is not None:
+        return qcol(code)
+    if ltypes(df)[name] == LType.ORDINAL:
+        cats = category_source(field_of(df, name))
         # without a list the categories are the sorted values themselves
         return qcol(name) if cats is None else category_code(qcol(name), cats)
     return qcol(name)
@@ -45,12 +48,16 @@ class SortRows(Step):
         asc = [asc] * len(by) if isinstance(asc, bool) else list(asc)
         df = t.df
         keys = []
-        for name, a in zip(by, asc):
-            col = f"__ix__{name}" if name in t.index else name
-            k = sort_key(df, col)
+        for i, (name, a) in enumerate(zip(by, asc)):
+            col, code = f"__ix__{name}" if name in t.index else name, None
+            cats = category_source(field_of(t.df, col)) if ltypes(t.df)[col] == LType.ORDINAL else None
+            if isinstance(cats, dict):
+                code = f"__code{i}"
+                df = with_code(df, col, open_table(df.sparkSession, cats), code)
+            k = sort_key(df, col, code)
             keys.append(k.asc_nulls_last() if a else k.desc_nulls_last())
-        tiebreak = F.xxhash64(*[qcol(c) for c in df.columns])
-        return t.with_df(df.orderBy(*keys, tiebreak))
+        tiebreak = F.xxhash64(*[qcol(c) for c in t.df.columns])
+        return t.with_df(df.orderBy(*keys, tiebreak).select(*[qcol(c) for c in t.df.columns]))
 
 
 def append_tables(*xs):

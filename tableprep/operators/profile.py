@@ -16,9 +16,10 @@ from pyspark.sql import types as T
 
 from ..errors import SchemaError
 from ..functions.buckets import count_below
+from ..functions.category_table import open_table
 from ..functions.quantiles import exact_quantiles
 from ..functions.timeutil import epoch_micros, from_epoch_micros
-from ..ltypes import CATEGORICAL, LType, categories, field_of, ltypes
+from ..ltypes import CATEGORICAL, LType, category_source, field_of, ltypes
 from ..names import qcol
 from ..table import Table
 
@@ -124,11 +125,12 @@ def value_counts(x, column: str) -> DataFrame:
     counts = (df.where(qcol(column).isNotNull())
               .groupBy(qcol(column).cast("string").alias("value"))
               .agg(F.count(F.lit(1)).alias("count")))
-    cats = categories(df, column) if ltypes(df)[column] in CATEGORICAL else None
+    cats = category_source(field_of(df, column)) if ltypes(df)[column] in CATEGORICAL else None
     if cats is None:
         return counts
     spark = df.sparkSession
-    catdf = spark.createDataFrame([(str(v),) for v in cats], "value string")
+    catdf = (open_table(spark, cats).select(F.col("v").alias("value")) if isinstance(cats, dict)
+             else spark.createDataFrame([(str(v),) for v in cats], "value string"))
     # values outside the declared list (a model fitted on other rows lets them through) are counted too
     return (catdf.join(counts, "value", "full")
             .select("value", F.coalesce(qcol("count"), F.lit(0)).cast("long").alias("count")))

@@ -3,7 +3,7 @@
 Lists are applied in sequence, later ones see earlier results, as a fold of
 ``when(cond, new).otherwise(prev)``; a replacement or a listed value may be
 missing (``None``; ``"nan"`` in a Numeric column). Category lists in the
-field metadata are carried through the same fold.
+field metadata are carried through the same fold, stored category tables too.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..ltypes import CATEGORICAL, LType, categories, ltype_of_field, typed
+from ..functions.category_table import keep, open_table, replaced
+from ..ltypes import CATEGORICAL, LType, category_source, ltype_of_field, typed
 from ..names import qcol
 from ..step import Step, register
 
@@ -81,8 +82,8 @@ class ReplaceValues(Step):
             lt = ltype_of_field(f)
             numeric = lt == LType.NUMERIC
             c = qcol(f.name).cast("double") if numeric and f.dataType.typeName() != "double" else qcol(f.name)
-            cats = categories(t.df, f.name) if lt in CATEGORICAL else None
-            cur = c
+            cats = category_source(f) if lt in CATEGORICAL else None
+            cur, steps = c, []
             for values, rep in zip(table[f.name]["values"], table[f.name]["replace"]):
                 vals, has_missing = _norm(values, numeric)
                 listed = F.coalesce(cur.isin(vals), F.lit(False)) if vals else F.lit(False)
@@ -96,8 +97,11 @@ class ReplaceValues(Step):
                     r = None if rep is None else str(rep)
                     new = F.lit(r).cast("string")
                 cur = F.when(cond, new).otherwise(cur)
-                if cats is not None:
+                steps.append((vals, r))
+                if isinstance(cats, list):
                     cats = _replace_categories(cats, vals, has_missing, r, inverted)
+            if isinstance(cats, dict) and steps:
+                cats = keep(replaced(open_table(t.df.sparkSession, cats), steps, inverted))
             if numeric:
                 exprs.append(typed(cur, f.name, LType.NUMERIC))
             elif cats is not None:

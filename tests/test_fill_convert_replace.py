@@ -153,6 +153,46 @@ def test_wide_categories_have_no_list(spark, monkeypatch):
         ToCategorical(attributes={"k": {}}, max_categories=100)(df)
 
 
+def test_wide_categories_act_like_listed_ones(spark, monkeypatch):
+    """10,001 values (a stored table) give what a list of them gives, in every operator that uses categories."""
+    from tableprep.operators.chartdata import scatter_data, series_data
+    from tableprep.operators.encode import CategoryCodes, OneHotEncoder
+    from tableprep.operators.join import Join
+    from tableprep.operators.order import SortRows
+    from tableprep.operators.profile import value_counts
+    df = spark.range(10_001).selectExpr("cast(id as int) AS i", "concat('k', id) AS k")
+    swap = {"k": {"values": [["k9999", "k3"], ["k10", None]], "replace": ["a0", None]}}
+
+    def all_of(cat):
+        few = cat.where("i % 1000 = 7")
+        swapped = ReplaceValues(table=swap)(cat)
+        turned = ReplaceValues(table={"k": {"values": [["k5", "k77", "k4000"]], "replace": ["other"]}}, inverted=True)(cat)
+        joined = Join(on="columns", left_on="k", right_on="k", how="left")(few, few)
+        sort = lambda t: [tuple(r) for r in t.collect()]
+        return {
+            "ltypes": [ltypes(x)["k"] for x in (cat, few, swapped, turned, joined)],
+            "filtered codes": col(CategoryCodes(attributes=["k"])(few), "k"),
+            "swapped codes": col(CategoryCodes(attributes=["k"])(swapped.where("i % 1000 = 3 or i > 9990")), "k"),
+            "turned codes": col(CategoryCodes(attributes=["k"])(turned.where("i < 90")), "k"),
+            "joined codes": sorted(r["k"] for r in CategoryCodes(attributes=["k"])(joined).collect()),
+            "scatter": sorted(sort(scatter_data(few, ["i", "k"]))),
+            "series": sorted(sort(series_data(few, "k", "i"))),
+            "counts": sorted(sort(value_counts(few, "k"))),
+            "swapped counts": sorted(sort(value_counts(swapped, "k"))),
+            "order": [r["i"] for r in SortRows(by="k", ascending=False)(swapped.where("i > 9990 or i < 5")).collect()],
+            "onehot": OneHotEncoder(attributes=["k"])(turned).columns}
+
+    def made(listed):
+        monkeypatch.setattr("tableprep.operators.convert.LISTED", listed)
+        cat = ToCategorical(attributes={"k": {"ordered": True}})(df)
+        assert (categories(cat, "k") is None) == (listed == 10_000)
+        return all_of(cat)
+
+    wide, short = made(10_000), made(20_000)
+    for name, want in short.items():
+        assert wide[name] == want, name
+
+
 def test_to_timestamp(spark):
     days = [datetime(2003, 2, 1), datetime(1987, 11, 30), None]
     texts = [None if d is None else d.strftime("%d/%m/%Y") for d in days]
