@@ -137,10 +137,8 @@ def shuffle_shards(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
 
 def op10_shard(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select(
-        "doc_id", F.xxhash64("text").alias("text_hash"),
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
-    out, shard, slot = shuffle_shards(docs, text="text_hash")
-    return out.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), q(shard).alias("shard"),
+    out, shard, slot = shuffle_shards(read(spark, sf_dir, "documents"))
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return out.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit(LAW).alias("law"), q(shard).alias("shard"),
                       q(slot).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 
+from tableprep.llm import sharding
 from tableprep.llm.sharding import _hypergeometric, communication_matrix, op10_shard, shuffle_shards
 
 SF = "/root/testdata/sf0.01"
@@ -29,6 +30,19 @@ def test_query(spark):
         assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(b) + 1, zlib.crc32(b), "rows", None)
 
 
+def test_query_moves_whole_documents(spark, monkeypatch):
+    """Both permutations and the exchange carry the columns of ``documents``, the text among them."""
+    seen = []
+    keep = sharding.stored
+    monkeypatch.setattr(sharding, "stored", lambda df, *a: seen.append(df.columns) or keep(df, *a))
+    out = op10_shard(spark, "/root/testdata/sf0.001")
+    want = set(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").columns)
+    assert seen and want <= set(seen[0])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    window = next(x for x in plan.splitlines() if "Window [row_number()" in x)
+    assert "crc32" not in plan[plan.index(window):] and "text#" in plan[plan.index(window):]
+
+
 def test_matrix_sums_and_law():
     rows = [5, 0, 100, 37, 1, 1000]
     m = communication_matrix(rows, 7, 1)
