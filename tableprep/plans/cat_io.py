@@ -54,6 +54,13 @@ def named_table(spark, sf):
     return catalog.set_input(spark, "tp_nation").to_df()
 
 
+# the same over a table that grows with the data
+@query("named_table_documents", "SELECT * FROM documents")
+def named_table_documents(spark, sf):
+    catalog.to_variable(table(spark, sf, "documents"), "tp_documents")
+    return catalog.set_input(spark, "tp_documents").to_df()
+
+
 @query("head_page", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 400 OFFSET 100")
 def head_page(spark, sf):
     return catalog.head(table(spark, sf, "orders"), n=400, offset=100, order_by="o_orderkey")

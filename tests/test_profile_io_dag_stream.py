@@ -226,3 +226,13 @@ def test_graph_fitted_on_batch_runs_on_stream(spark, tmp_path):
     b = spark.table("tp_batch_scaled").select("event_id", "value")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     spark.sql("DROP TABLE IF EXISTS tp_stream_scaled")
+
+
+def test_a_named_table_query_grows_with_the_data(spark):
+    """Some named_table query stores and reads back more rows where the data has more."""
+    import __spark_entry__ as E
+    named = {k: v for k, v in E.queries().items() if k.startswith("named_table")}
+    sql = E.oracle_sql()
+    assert all(k in sql for k in named)
+    n = {k: [f(spark, sf).count() for sf in (SF0001, SF001)] for k, f in named.items()}
+    assert any(small < large for small, large in n.values())
