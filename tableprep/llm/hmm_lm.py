@@ -4,7 +4,8 @@ Words are counted over all training texts. The states emit word classes:
 frequent words are classes of their own, the others fall into classes by their
 last letters; within a class a word has its share of the class's counts (each
 word's count plus one, and one for words never seen). Baum-Welch counts are
-taken over all training texts, added up across partitions, and the scaled
+taken over all training texts, added up across partitions, round after round
+until the likelihood hardly gains, and the scaled
 forward recursion gives the exact likelihood of each text.
 """
 
@@ -19,20 +20,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, parts_for, q, read, stored
+from .common import parts_for, q, read, stored
 from .compress_quality import held_out
 from .hmm import Packed, expected_counts, first_guess, forward, groups, reestimate
 from .textblock import trim
 
-STATES, ROUNDS = 8, 2
+STATES = 8
+#: Rounds go on until the log10 likelihood of the training texts gains less than this a token.
+TOLERANCE = 0.001
 #: The most frequent words (at most so many, of at most so many bytes) are sent to the tasks; the others are joined.
 DICTIONARY, WORD_BYTES = 131_072, 64
 OWN_CLASS = 16_384        # the most frequent of these are classes of their own
 BUCKETS = 2_048           # classes of the other words, by their last SUFFIX bytes
 SUFFIX = 3
 SMOOTH = 100.0
-#: The first guess is refined on at most so many texts of at most so many words.
-GUESS_DOCS, GUESS_WORDS, GUESS_ROUNDS = 400, 2_000, 15
 GROUP = 200_000           # symbols packed at once in training
 SEED = 2
 _HELD = 300_000           # distinct words a task gathers before it passes them on
@@ -150,56 +151,61 @@ def _sequences(column) -> tuple[np.ndarray, np.ndarray]:
 
 def baum_welch(encoded: DataFrame, params, prior: np.ndarray, smooth: float = SMOOTH):
     """One round over all rows of ``encoded``: tasks add up expected counts, Spark adds up the tasks."""
+    return _round(encoded, params, prior, smooth)[0]
+
+
+def _round(encoded: DataFrame, params, prior: np.ndarray, smooth: float = SMOOTH):
+    """New parameters of one round, and the log likelihood of ``encoded`` under the old ones."""
     states = len(params[0])
     shared = encoded.sparkSession.sparkContext.broadcast(params)
     names = [f"e{i}" for i in range(states)]
 
     def run(batches):
         start, move, emit = shared.value
-        starts, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros_like(emit)
+        starts, moves, emits, like = np.zeros(states), np.zeros((states, states)), np.zeros_like(emit), np.zeros(states)
         for b in batches:
             classes, offsets = _sequences(b.column(0))
             for p in groups(classes, offsets, GROUP):
-                s, m, e, _ = expected_counts(p, start, move, emit)
+                s, m, e, x = expected_counts(p, start, move, emit)
                 starts += s
                 moves += m
                 emits += e
-        # one row per class seen; below zero the moves of each state and, last, the starts
+                like[0] += x
+        # one row per class seen; below zero the moves of each state, the starts and, last, the likelihood
         seen = np.flatnonzero(emits.any(axis=1))
-        table = np.vstack([emits[seen], moves, starts[None]])
-        keys = np.concatenate([seen, -1 - np.arange(states + 1)])
+        table = np.vstack([emits[seen], moves, starts[None], like[None]])
+        keys = np.concatenate([seen, -1 - np.arange(states + 2)])
         yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), *(pa.array(table[:, i].copy()) for i in range(states))],
                                          ["k", *names])
         trim()
     rows = encoded.select("classes").mapInArrow(run, "k int, " + ", ".join(f"{n} double" for n in names))
-    total = rows.groupBy("k").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # at most classes + states + 1 rows
+    total = rows.groupBy("k").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # at most classes + states + 2 rows
     starts, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((len(prior), states))
-    keys = total["k"].to_numpy()
+    keys, like = total["k"].to_numpy(), 0.0
     table = np.stack([total[n].to_numpy() for n in names], axis=1) if len(keys) else np.zeros((0, states))
     emits[keys[keys >= 0]] = table[keys >= 0]
     for k, row in zip(keys[keys < 0].tolist(), table[keys < 0], strict=True):
         if k == -1 - states:
             starts = row
+        elif k == -2 - states:
+            like = float(row[0])
         else:
             moves[-1 - k] = row
-    return reestimate(starts, moves, emits, prior, smooth)
+    return reestimate(starts, moves, emits, prior, smooth), like
 
 
-def train(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: int = ROUNDS):
-    """Parameters: a guess refined on a bounded sample, then ``rounds`` of Baum-Welch over all rows."""
+def train(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: int | None = None):
+    """Parameters: ``rounds`` of Baum-Welch over all rows from a random guess, by default until the gain is below TOLERANCE."""
     rng = np.random.default_rng(SEED)
     params = first_guess(vocab.prior, states, rng)
-    short, key = encoded.filter(F.col("n_tokens") <= GUESS_WORDS), F.xxhash64("row", "classes")
-    sample = (short.filter(hash_share(key, GUESS_DOCS, short.count())).orderBy(F.shiftrightunsigned(key, 1), "classes")
-              .limit(GUESS_DOCS).select("classes").toArrow())
-    if len(sample):
-        classes, offsets = _sequences(sample["classes"].combine_chunks())
-        packs = list(groups(classes, offsets, GROUP))
-        for _ in range(GUESS_ROUNDS):
-            parts = [expected_counts(p, *params) for p in packs]
-            params = reestimate(*(sum(x[i] for x in parts) for i in range(3)), vocab.prior, SMOOTH)
-    for _ in range(rounds):
-        params = baum_welch(encoded, params, vocab.prior)
+    tokens = max(1, encoded.agg(F.sum("n_tokens")).first()[0] or 0)
+    last, done = -np.inf, 0
+    while rounds is None or done < rounds:
+        params, like = _round(encoded, params, vocab.prior)
+        done += 1
+        if rounds is None and like - last < TOLERANCE * np.log(10) * tokens:
+            break
+        last = like
     return params
 
 
@@ -224,7 +230,7 @@ def _forward_scores(encoded: DataFrame, params, vocab: Vocabulary, kept: list[st
 
 
 def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held: Column | None = None,
-                states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+                states: int = STATES, rounds: int | None = None) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row per row of ``docs``.
 
     ``held``: condition for rows the model may not learn from (none by

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tableprep.llm import hmm_lm as H
 from tableprep.llm.hmm import Packed, expected_counts, first_guess, forward, groups, reestimate
@@ -100,6 +101,25 @@ def test_spark_round_equals_one_process(spark):
     assert all(np.allclose(a, b) for a, b in zip(got, want))
 
 
+def test_training_goes_on_until_the_likelihood_settles(spark):
+    """Long texts alone: another round over all of them gains less than the tolerance."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(12):  # two hidden states that stay, each with words of its own and some shared
+        state, words = 0, []
+        for _ in range(2_500):
+            state ^= int(rng.random() < 0.1)
+            words.append("w%d" % (rng.integers(0, 12) + 8 * state))
+        rows.append((i, False, bytearray(" ".join(words).encode())))
+    texts = spark.createDataFrame(rows, "doc_id long, held_out boolean, text binary").repartition(3)
+    counts = H.stored(H.word_counts(texts.select("text")), 1)
+    vocab, *_ = H.build_vocabulary(counts, len(rows))
+    enc = H.stored(H.encode(texts, vocab).withColumn("row", F.monotonically_increasing_id()), 1)
+    like = lambda p: H._forward_scores(enc, p, vocab, ["row"]).agg(F.sum("path")).first()[0] / (12 * 2_501)
+    got = H.train(enc, vocab, 2)
+    assert like(H.baum_welch(enc, got, vocab.prior)) - like(got) < 0.001
+
+
 def test_probabilities_add_up(spark, monkeypatch):
     """Over all words there are, and one that is not, the model's first step adds up to one."""
     monkeypatch.setattr(H, "OWN_CLASS", 3)
