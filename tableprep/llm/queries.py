@@ -9,6 +9,7 @@ from .chat import OP7_SQL, op7_chat
 from .compress_quality import op8_quality
 from .decontam import op4_decontam
 from .hmm_lm import op2_hmm
+from .laesa import OP13_SQL, op13_laesa
 from .mixing import OP1_SQL, op1_mix
 from .quality_rules import op6_quality
 from .secret_scan import op9_secrets
@@ -27,12 +28,14 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_shard": op10_shard,
+    "op13_laesa": op13_laesa,
     "pipeline": pipeline,
 }
 
 ORACLES = {
     "op1_mix": OP1_SQL,
     "op7_chat": OP7_SQL,
+    "op13_laesa": OP13_SQL,
 }
 if PIPELINE_SQL is not None:
     ORACLES["pipeline"] = PIPELINE_SQL
