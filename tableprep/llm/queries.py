@@ -7,6 +7,7 @@ from corpus_pipeline import run as pipeline
 
 from .chat import OP7_SQL, op7_chat
 from .compress_quality import op8_quality
+from .cws import op12_cws
 from .decontam import op4_decontam
 from .hmm_lm import op2_hmm
 from .laesa import OP13_SQL, op13_laesa
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_shard": op10_shard,
+    "op12_cws": op12_cws,
     "op13_laesa": op13_laesa,
     "pipeline": pipeline,
 }
