@@ -11,6 +11,7 @@ from .cws import op12_cws
 from .decontam import op4_decontam
 from .hmm_lm import op2_hmm
 from .laesa import OP13_SQL, op13_laesa
+from .lemp import OP11_SQL, op11_lemp
 from .mixing import OP1_SQL, op1_mix
 from .quality_rules import op6_quality
 from .secret_scan import op9_secrets
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_shard": op10_shard,
+    "op11_lemp": op11_lemp,
     "op12_cws": op12_cws,
     "op13_laesa": op13_laesa,
     "pipeline": pipeline,
@@ -37,6 +39,7 @@ QUERIES = {
 ORACLES = {
     "op1_mix": OP1_SQL,
     "op7_chat": OP7_SQL,
+    "op11_lemp": OP11_SQL,
     "op13_laesa": OP13_SQL,
 }
 if PIPELINE_SQL is not None:
