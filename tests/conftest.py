@@ -1,30 +1,13 @@
 import os
 import sys
-from datetime import datetime
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF001 = "/root/testdata/sf0.01"
-SF0001 = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
     from tableprep.session import get_spark
     s = get_spark(master="local[*]", shuffle_partitions=8)
     yield s
-
-
-def rows(df, *cols):
-    """Column values as python lists (order of the given key column)."""
-    return [tuple(r) for r in df.select(*cols).collect()]
-
-
-def col(df, name, order="i"):
-    return [r[name] for r in df.orderBy(order).select(name).collect()]
-
-
-def dt(s):
-    return datetime.strptime(s, "%Y-%m-%d %H:%M:%S") if " " in s else datetime.strptime(s, "%Y-%m-%d")

@@ -9,7 +9,7 @@ from tableprep.operators import columns as C
 from tableprep.operators import missing as M
 from tableprep.table import Table
 
-from conftest import col
+from helpers import col
 
 
 @pytest.fixture

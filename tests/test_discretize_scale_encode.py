@@ -12,7 +12,7 @@ from tableprep.operators.discretize import BinsDiscretizer, DateDiscretizer, Ran
 from tableprep.operators.encode import CategoryCodes, EpochMillis, OneHotEncoder
 from tableprep.operators.scale import MinMaxScaler, StandardScaler
 
-from conftest import SF001, col
+from helpers import SF001, col
 
 
 A = [12.0, -3.0, 0.5, 4.25, 27.0, 8.0]

@@ -11,7 +11,7 @@ from tableprep.operators.convert import ToCategorical, ToNumeric, ToString, ToTi
 from tableprep.operators.fill import FillNan, directional_fill
 from tableprep.operators.replace import ReplaceValues
 
-from conftest import SF001, col
+from helpers import SF001, col
 
 GRADES = ["poor", "fair", "fine"]
 ROWS = [(i, None if i % 4 == 1 else 1.5 * i - 4, GRADES[i % 3] if i % 5 < 3 else None, f"note {i}" if i % 3 else None,

@@ -19,7 +19,7 @@ from tableprep.sources import catalog, parquet
 from tableprep.sources import csv as csvsrc
 from tableprep.streaming import stream as S
 
-from conftest import SF0001, SF001
+from helpers import SF0001, SF001
 
 
 def test_exact_quantiles_brute_force(spark):

@@ -13,7 +13,7 @@ from tableprep.operators.fill import FillNan
 from tableprep.operators.missing import RemoveNanColumns
 from tableprep.operators.scale import MinMaxScaler, StandardScaler
 
-from conftest import SF001
+from helpers import SF001
 
 STEPS = [
     lambda: MinMaxScaler(attributes={"l_extendedprice": {"range": (0, 1)}, "l_quantity": {"range": (-1, 1)}}),
