@@ -32,26 +32,27 @@ SAMPLE_BITS = 24
 _VALUE_SHIFT, _VALUE_SCALE = 256.0, float(1 << 30)  # values lie between -140 and 6: 39 bits in steps of 1e-9
 
 #: Cuts of the id order hold about this many rows, and there are at most so many.
-ROWS_PER_CUT, MOST_CUTS = 1_000, 65_536
+ROWS_PER_CUT, MOST_CUTS = 500, 65_536
 
 
-def _uniform(bits: Column) -> Column:
-    """32 bits (as a long) -> (0, 1)."""
-    return (bits.cast("double") + F.lit(0.5)) * F.lit(2.0 ** -32)
+def _uniform(bits: Column, n: int) -> Column:
+    """``n`` bits (as a long) -> (0, 1)."""
+    return (bits.cast("double") + F.lit(0.5)) * F.lit(2.0 ** -n)
 
 
 def _draws(base: Column, i: int) -> tuple[Column, Column, Column]:
     """r ~ gamma(2, 1), ln c with c ~ gamma(2, 1), b ~ uniform, of sample ``i`` of a word's chunk hash."""
-    h = [F.xxhash64(base, F.lit(3 * i + k)) for k in range(3)]
-    pair = [_uniform(F.shiftrightunsigned(x, 32)) * _uniform(x.bitwiseAND(F.lit(0xFFFFFFFF))) for x in h[:2]]
-    return -F.log(pair[0]), F.log(-F.log(pair[1])), F.shiftrightunsigned(h[2], 11).cast("double") * F.lit(2.0 ** -53)
+    one, two = (F.xxhash64(base, F.lit(2 * i + k)) for k in range(2))
+    r = _uniform(F.shiftrightunsigned(one, 42), 22) * _uniform(F.shiftrightunsigned(one, 20).bitwiseAND(F.lit((1 << 22) - 1)), 22)
+    c = _uniform(F.shiftrightunsigned(two, 32), 32) * _uniform(two.bitwiseAND(F.lit((1 << 32) - 1)), 32)
+    return -F.log(r), F.log(-F.log(c)), _uniform(one.bitwiseAND(F.lit((1 << 20) - 1)), 20)
 
 
 def _packed(base: Column, i: int, r: Column, ln_c: Column, b: Column, ln_w: Column) -> Column:
     """Value and sample in one long, so that the smallest one is the sample (null weight: null)."""
     t = F.floor(ln_w / r + b)
     value = ((ln_c - r * (t.cast("double") - b) - r + F.lit(_VALUE_SHIFT)) * F.lit(_VALUE_SCALE)).cast("long")
-    mark = F.xxhash64(base, F.lit(-1 - i), t).bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1))
+    mark = F.shiftrightunsigned(base, 5 * i).bitwiseXOR(t).bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1))
     return F.shiftleft(value, SAMPLE_BITS).bitwiseOR(mark)
 
 
@@ -84,13 +85,15 @@ def sketch(rows: DataFrame, keys: list[str], texts: list[str], samples: int = SA
     bags = weighted_words(rows, keys, texts).select(
         *key, F.explode(F.array(*[F.lit(j) for j in range(chunks)])).alias("chunk"), "term",
         *[F.log(F.col(f"w{s}").cast("double")).alias(f"w{s}") for s in sides])  # null where the text lacks the word
-    base = F.xxhash64(F.col("term"), F.col("chunk"))
-    best = []
-    for i in range(CHUNK):
-        r, ln_c, b = _draws(base, i)
-        best += [F.min(_packed(base, i, r, ln_c, b, F.col(f"w{s}"))).alias(f"m{s}_{i}") for s in sides]
+    bags = bags.withColumn("base", F.xxhash64("term", "chunk"))
+    # the draws are columns of their own, so that all texts share them
+    drawn = [c.alias(f"{name}{i}") for i in range(CHUNK) for name, c in zip(("r", "c", "b"), _draws(F.col("base"), i), strict=True)]
+    bags = bags.select(*key, "chunk", "base", *[f"w{s}" for s in sides], *drawn)
+    best = [F.min(_packed(F.col("base"), i, F.col(f"r{i}"), F.col(f"c{i}"), F.col(f"b{i}"), F.col(f"w{s}"))).alias(f"m{s}_{i}")
+            for i in range(CHUNK) for s in sides]
+    parts = bags.groupBy(*key, "chunk").agg(*best)
     low = F.lit((1 << SAMPLE_BITS) - 1)
-    parts = bags.groupBy(*key, "chunk").agg(*best).select(
+    parts = parts.select(
         *key, "chunk", *[F.array(*[q(f"m{s}_{i}").bitwiseAND(low).cast("int") for i in range(CHUNK)]).alias(f"s{s}") for s in sides])
     out = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("chunk", *[f"s{s}" for s in sides]))).alias("parts"))
     return out.select(*key, *[F.flatten(F.col(f"parts.s{s}")).alias(f"s{s}") for s in sides])
@@ -171,6 +174,7 @@ def beside_next(docs: DataFrame, doc_id: str, text: str, rows_per_cut: int = ROW
     homes = F.explode(F.when(is_first, F.array(own, ghost)).otherwise(F.array(own)))
     sent = of.join(F.broadcast(first), F.col("cut") == F.col("of_cut"), "left").select(
         homes.alias("home"), "doc_id", "tie", "body").select("home.cut", "home.ghost", "doc_id", "tie", "body")
+    sent = sent.repartition(cuts, "cut")  # as many tasks as cuts: what a task holds does not grow with the table
     inside = W.partitionBy("cut").orderBy("ghost", "doc_id", "tie")
     return sent.select("cut", F.row_number().over(inside).alias("pos"), "ghost", "doc_id", "body", F.lead("body").over(inside).alias("after"))
 

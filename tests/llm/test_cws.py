@@ -37,12 +37,14 @@ def plain_sketch(text):
         best = None
         for word, w in words.items():
             base = h64(42, h64(42, (12,), word.encode()), (j,))
-            a, b, c = (h64(42, base, (3 * i + n,)) for n in range(3))
-            u = [((x >> 32) + 0.5) / 2**32 * (((x & 0xFFFFFFFF) + 0.5) / 2**32) for x in (a, b)]
-            r, ln_c, beta = -math.log(u[0]), math.log(-math.log(u[1])), (c >> 11) / 2**53
+            a, c = (h64(42, base, (2 * i + n,)) for n in range(2))
+            low = (1 << 22) - 1
+            r = -math.log(((a >> 42) + 0.5) / 2**22 * (((a >> 20 & low) + 0.5) / 2**22))
+            ln_c = math.log(-math.log(((c >> 32) + 0.5) / 2**32 * (((c & 0xFFFFFFFF) + 0.5) / 2**32)))
+            beta = ((a & (1 << 20) - 1) + 0.5) / 2**20
             t = math.floor(math.log(w) / r + beta)
             value = int((ln_c - r * (t - beta) - r + 256) * 2**30)
-            mark = h64(42, base, (-1 - i,), t) & 0xFFFFFF
+            mark = (base >> 5 * i ^ t) & 0xFFFFFF
             best = min(best or (value, mark), (value, mark))
         out.append(best[1])
     return out
