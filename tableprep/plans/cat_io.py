@@ -77,6 +77,16 @@ def csv_text_exact(spark, sf):
     return csvsrc.read_csv(spark, path)
 
 
+# one file whose cells are full of line ends, read in splits
+@query("csv_multiline_split", """
+SELECT doc_id::DOUBLE AS doc_id, replace(text, ' ', chr(10)) || '"' AS text, lang FROM documents""")
+def csv_multiline_split(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.translate("text", " ", "\n"), F.lit('"')).alias("text"), "lang")
+    path = scratch(spark, "documents-lines")
+    csvsrc.write_csv(d.coalesce(1), path, index=False)  # the test of the reader: one large file
+    return csvsrc.read_csv(spark, path)
+
+
 @query("csv_schema", """
 SELECT event_id, CASE WHEN event_type <> 'error' THEN value END AS value, event_type FROM events""")
 def csv_schema(spark, sf):

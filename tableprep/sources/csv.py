@@ -1,8 +1,9 @@
 """S1 CSV load with a typing pass, S5 CSV write with Python-style layout, S6
 bounded output files.
 
-Load: every column is read as text (no ``inferSchema`` pass), the NA tokens
-become NULL, then ONE aggregate over all columns decides per column: all
+Load: the files are cut into records split by split (``csv_records``), Spark's
+own CSV parser makes cells of them, all text (no ``inferSchema`` pass), the NA
+tokens become NULL, then ONE aggregate over all columns decides per column: all
 non-missing values numbers -> double, all booleans -> boolean, else string.
 Dates stay text until ``ToTimestamp``, as in the reference.
 """
@@ -20,6 +21,7 @@ from ..functions.pyformat import NUMBER_RE, number, py_float_str, strptime_to_sp
 from ..ltypes import LType, canonicalize, ltype_of_field
 from ..names import qcol, qcols
 from ..table import Table
+from .csv_records import OPEN, records
 
 # fixed values: text read as missing (the pandas read_csv default NA set)
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -39,42 +41,49 @@ def _sep(sep: str) -> str:
     return s
 
 
-EXTRA = "__extra_cell"
-
-
-def _reader(spark, sep, multiline):
+def _header(spark, path, sep, multiline) -> list[str]:
+    """Column names: the first record of the first file."""
     # quotes inside a quoted cell are doubled; a quoted cell may hold line ends
-    return (spark.read.option("header", True).option("sep", _sep(sep)).option("quote", '"').option("escape", '"')
-            .option("multiLine", multiline).option("nullValue", "").option("mode", "PERMISSIVE"))
+    return (spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+            .option("multiLine", multiline).option("inferSchema", False).csv(path).columns)
 
 
-def _no_extra(df):
-    """Fails the job on a row with more cells than the header (Spark alone would drop them)."""
-    guard = F.when(qcol(EXTRA).isNotNull(), F.raise_error(F.lit("read_csv: a row has more cells than the header")).cast("boolean"))
-    return df.where(F.coalesce(guard, F.lit(True))).drop(EXTRA)
+def _cells(spark, path, sep, multiline, line_end, fields) -> DataFrame:
+    """The rows of the files as columns; a row that does not fit is an error, not a guess."""
+    rows = records(spark, path, sep, multiline, line_end)
+    wide = len(fields)
+    fault = (F.when(F.col("cells") == OPEN, F.lit("read_csv: a quoted cell never ends"))
+             .when(F.col("head") & (F.col("cells") != wide), F.lit(f"read_csv: the header of a file does not have {wide} cells"))
+             .when(F.col("cells") > wide, F.lit("read_csv: a row has more cells than the header")))
+    rows = rows.where(F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(~F.col("head")))
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields)
+    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "nullValue": "", "mode": "PERMISSIVE"}
+    return rows.select(F.from_csv("record", ddl, options).alias("r")).select("r.*")
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", columns=None,
-             typed: bool = True, schema=None, multiline: bool = True) -> DataFrame:
-    """S1. ``schema`` (DDL string or StructType) skips the typing pass: one scan
-    instead of two, and the only form that works on a stream. Rows with more
-    cells than the header are an error, shorter rows end in missing cells.
-    ``multiline=False`` lets Spark split large files where no cell holds a line end."""
+             typed: bool = True, schema=None, multiline: bool = True, line_end: str = "\n") -> DataFrame:
+    """S1. Files of any size are read in splits, whatever their quoted cells hold (see ``csv_records``).
+
+    ``schema`` (DDL string or StructType) skips the typing pass. A row with more cells than the header (even empty
+    ones), a quoted cell that never ends and a file whose header has another number of cells are errors; shorter rows
+    end in missing cells and empty lines are skipped. ``multiline=False`` saves the pass that looks for line ends in
+    quoted cells. ``line_end`` is the character that ends lines (a carriage return before it is dropped).
+    """
     if columns is not None and not columns:
         raise OptionError([("no_columns", "no column selected")])
+    sep = _sep(sep)
     if schema is not None:
         kinds = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-        wide = T.StructType([*kinds.fields, T.StructField(EXTRA, T.StringType())])
-        df = _no_extra(_reader(spark, sep, multiline).schema(wide).csv(path))
+        df = _cells(spark, path, sep, multiline, line_end, kinds.fields)
         if columns is not None:
             df = df.select(*qcols(columns))
         strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
         df = df.select(*[F.when(qcol(c).isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(qcol(c)).alias(c)
                          if c in strings else qcol(c) for c in df.columns])
         return canonicalize(df)
-    names = _reader(spark, sep, multiline).option("inferSchema", False).csv(path).columns
-    text = T.StructType([T.StructField(c, T.StringType()) for c in [*names, EXTRA]])
-    raw = _no_extra(_reader(spark, sep, multiline).schema(text).csv(path))
+    names = _header(spark, path, sep, multiline)
+    raw = _cells(spark, path, sep, multiline, line_end, [T.StructField(c, T.StringType()) for c in names])
     if columns is not None:
         raw = raw.select(*qcols(columns))
     cleaned = raw.select(*[F.when(qcol(c).isin(NA_TOKENS), F.lit(None).cast("string"))
