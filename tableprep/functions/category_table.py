@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import SchemaError
 from ..names import qcol
 from .store import stored, stored_at
 
@@ -36,6 +37,8 @@ def keep(codes: DataFrame) -> dict:
 
 def open_table(spark, ref: dict) -> DataFrame:
     """``(v, code)`` of a reference."""
+    if ref["table"].startswith("_"):
+        raise SchemaError("categories lie beside the rows of a saved table: read it with read_table")
     return spark.read.schema(SCHEMA).parquet(ref["table"])
 
 

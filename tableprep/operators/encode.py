@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..errors import SchemaError
-from ..functions.category_table import numbered, open_table, with_code
+from ..functions.category_table import keep, numbered, open_table, with_code
 from ..functions.timeutil import epoch_micros
 from ..ltypes import CATEGORICAL, LType, category_code, category_source, field_of, ltype, typed
 from ..names import qcol
@@ -107,8 +107,8 @@ class CategoryCodes(Step):
             cats = category_source(field_of(t.df, c)) if ltype(t.df, c) in CATEGORICAL else None
             if cats is None:
                 few = t.df.select(qcol(c)).where(qcol(c).isNotNull()).distinct().limit(LITERAL + 1).count()
-                # many values: a table, kept with the model
-                cats = distinct_values(t.df, c) if few <= LITERAL else code_table(t.df, c)
+                # many values: a stored table that the learned parameters name
+                cats = distinct_values(t.df, c) if few <= LITERAL else keep(code_table(t.df, c))
             out[c] = cats
         return {"categories": out}
 

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from .cat_io import scratch
 from .catalogue import query, r4, table
 from .dag import StepGraph
 
@@ -73,6 +74,26 @@ def dag_from_json(spark, sf_dir):
     return results["fill"].df.agg(F.count("price").alias("n")).select("n", F.round(F.lit(learned[0]["price"]), 2).alias("learned_mean"))
 
 
+@query("dag_wide_saved", """
+WITH ok AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS v FROM orders)),
+ck AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS v FROM orders))
+SELECT l_linenumber, l_orderkey, CAST(ok.code AS INTEGER) AS okey, CAST(ck.code AS INTEGER) AS cust
+FROM lineitem LEFT JOIN ok ON ok.v = CAST(l_orderkey AS VARCHAR) LEFT JOIN ck ON ck.v = CAST(l_partkey AS VARCHAR)""")
+def dag_wide_saved(spark, sf_dir):
+    """A graph that learned codes of thousands of values, saved with its tables, loaded and applied to another table."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("okey"), F.col("o_custkey").cast("string").alias("cust"))
+    g = StepGraph([{"id": "in", "step": "input", "options": {"table": "t"}},
+                   {"id": "codes", "step": "category_codes", "inputs": ["in"], "options": {"attributes": ["okey", "cust"]}}])
+    g.run(spark, {"t": orders})
+    path = scratch(spark, "graph")
+    g.save(spark, path, g.fitted)
+    back = StepGraph.load(spark, path)
+    lines = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_orderkey", F.col("l_orderkey").cast("string").alias("okey"),
+                                                    F.col("l_partkey").cast("string").alias("cust"))
+    results, _ = back.run(spark, {"t": lines}, fitted=back.saved_fitted)
+    return results["codes"].to_df().select("l_linenumber", "l_orderkey", "okey", "cust")
+
+
 BRANCH_NODES = [
     {"id": "orders", "step": "input", "options": {"table": "orders"}},
     {"id": "nation", "step": "input", "options": {"table": "nation"}},

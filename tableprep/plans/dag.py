@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import step as stepmod
 from ..errors import GraphError, OptionError
+from ..functions import params
 from ..sources import catalog, parquet
 from ..sources import csv as csvsrc
 from ..streaming import stream
@@ -98,14 +99,28 @@ class StepGraph:
 
     # ---- G5 ---------------------------------------------------------------
     def to_json(self, fitted: dict | None = None) -> str:
+        """The graph as text. Learned tables stay where they are stored and are named by their full path; to take
+        them along, use :meth:`save`."""
         doc = {"nodes": self.nodes}
         if fitted:
             doc["fitted"] = fitted
-        return json.dumps(doc, sort_keys=True, default=str)
+        return params.dumps(doc)
 
     @staticmethod
     def from_json(text: str) -> "StepGraph":
-        doc = json.loads(text)
+        doc = params.loads(text)
+        g = StepGraph(doc["nodes"])
+        g.saved_fitted = doc.get("fitted") or {}
+        return g
+
+    def save(self, spark: SparkSession, path: str, fitted: dict | None = None) -> None:
+        """The graph as a folder: the JSON text and a copy of every learned table, named relative to the folder."""
+        params.save(spark, path, {"nodes": self.nodes, "fitted": fitted or {}})
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "StepGraph":
+        """A saved folder, wherever it lies now; its learned parameters are ``saved_fitted``."""
+        doc = params.load(spark, path)
         g = StepGraph(doc["nodes"])
         g.saved_fitted = doc.get("fitted") or {}
         return g
@@ -221,9 +236,7 @@ class StepGraph:
     @staticmethod
     def _sink(t: Table, opts):
         if "name" in opts:
-            catalog.to_variable(t, opts["name"])
-            # a view is lazy: run it once so the row count is observed
-            t.df.write.format("noop").mode("overwrite").save()
+            catalog.to_variable(t, opts["name"])  # writes the rows, which are counted on the way
         elif "parquet" in opts:
             parquet.write_table(t, opts["parquet"])
         elif "csv" in opts:
