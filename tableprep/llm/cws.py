@@ -22,8 +22,8 @@ from ..functions.buckets import with_count_below
 from .common import fresh, q, read, stored
 
 SAMPLES = 64
-#: Samples worked out together, in one row of a word (a power of two keeps chunks whole).
-CHUNK = 8
+#: Samples worked out together, in one row of a word: few enough that the generated method is compiled by the JVM.
+CHUNK = 4
 SEED = 12
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WHITE = " \t\n\x0b\f\r"
@@ -51,7 +51,7 @@ def _draws(base: Column, i: int) -> tuple[Column, Column, Column]:
 def _packed(base: Column, i: int, r: Column, ln_c: Column, b: Column, ln_w: Column) -> Column:
     """Value and sample in one long, so that the smallest one is the sample (null weight: null)."""
     t = F.floor(ln_w / r + b)
-    value = ((ln_c - r * (t.cast("double") - b) - r + F.lit(_VALUE_SHIFT)) * F.lit(_VALUE_SCALE)).cast("long")
+    value = F.floor((ln_c - r * (t.cast("double") - b + 1.0) + F.lit(_VALUE_SHIFT)) * F.lit(_VALUE_SCALE))
     mark = F.shiftrightunsigned(base, 5 * i).bitwiseXOR(t).bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1))
     return F.shiftleft(value, SAMPLE_BITS).bitwiseOR(mark)
 
@@ -86,10 +86,15 @@ def sketch(rows: DataFrame, keys: list[str], texts: list[str], samples: int = SA
         *key, F.explode(F.array(*[F.lit(j) for j in range(chunks)])).alias("chunk"), "term",
         *[F.log(F.col(f"w{s}").cast("double")).alias(f"w{s}") for s in sides])  # null where the text lacks the word
     bags = bags.withColumn("base", F.xxhash64("term", "chunk"))
-    # the draws are columns of their own, so that all texts share them
+    # the draws are columns of their own, so that all texts share them; a word as frequent in two texts has one value
     drawn = [c.alias(f"{name}{i}") for i in range(CHUNK) for name, c in zip(("r", "c", "b"), _draws(F.col("base"), i), strict=True)]
     bags = bags.select(*key, "chunk", "base", *[f"w{s}" for s in sides], *drawn)
-    best = [F.min(_packed(F.col("base"), i, F.col(f"r{i}"), F.col(f"c{i}"), F.col(f"b{i}"), F.col(f"w{s}"))).alias(f"m{s}_{i}")
+
+    def value(i, s):
+        return _packed(F.col("base"), i, F.col(f"r{i}"), F.col(f"c{i}"), F.col(f"b{i}"), F.col(f"w{s}"))
+    bags = bags.select(*key, "chunk", *[f"w{s}" for s in sides], "base", *[f"{x}{i}" for i in range(CHUNK) for x in "rcb"],
+                       *[value(i, 0).alias(f"v{i}") for i in range(CHUNK)])
+    best = [F.min(F.col(f"v{i}") if s == 0 else F.when(F.col(f"w{s}") == F.col("w0"), F.col(f"v{i}")).otherwise(value(i, s))).alias(f"m{s}_{i}")
             for i in range(CHUNK) for s in sides]
     parts = bags.groupBy(*key, "chunk").agg(*best)
     low = F.lit((1 << SAMPLE_BITS) - 1)
