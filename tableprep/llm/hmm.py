@@ -11,9 +11,9 @@ import numpy as np
 
 
 class Packed:
-    """Sequences given as one class array and offsets, packed by time."""
+    """Sequences given as one class array and offsets, packed by time; each counts ``weight`` times (default: once)."""
 
-    def __init__(self, classes: np.ndarray, offsets: np.ndarray):
+    def __init__(self, classes: np.ndarray, offsets: np.ndarray, weight: np.ndarray | None = None):
         size = np.diff(offsets)
         self.order = np.argsort(-size, kind="stable")       # longest first
         size, begin = size[self.order], offsets[:-1][self.order]
@@ -25,56 +25,71 @@ class Packed:
         row = np.arange(int(self.at[-1])) - self.at[step]
         self.classes = classes[begin[row] + step]
         self.step, self.row = step, row
+        self.weight = None if weight is None else np.asarray(weight, dtype=np.float64)[self.order]
 
 
-def forward(p: Packed, start: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: bool = False):
+def _by_state(p: Packed, emit: np.ndarray, kind) -> np.ndarray:
+    """Emission probabilities of all symbols, one contiguous row for each state."""
+    return np.take(np.ascontiguousarray(emit.T, dtype=kind), p.classes, axis=1)
+
+
+def forward(p: Packed, start: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: bool = False, kind=np.float64):
     """Natural log likelihood of each sequence (input order); with ``keep`` also the scaled states and scales.
 
-    ``emit[k, s]`` is the probability of class k in state s. No sequence may be empty.
+    ``emit[k, s]`` is the probability of class k in state s. No sequence may be empty. States are rows of the working
+    arrays (of type ``kind``), symbols columns, so that sums over states run over whole vectors.
     """
-    n = len(p.order)
-    total = np.zeros(n)
-    states = np.empty((len(p.classes), len(start))) if keep else None
-    scales = np.empty(len(p.classes)) if keep else None
+    n, total = len(p.order), len(p.classes)
+    given = _by_state(p, emit, kind)
+    back = np.ascontiguousarray(move.T, dtype=kind)
+    states = np.empty((len(start), total), dtype=kind) if keep else None
+    scales = np.empty(total, dtype=kind)
     a = None
     for t, m in enumerate(p.running.tolist()):
         lo = p.at[t]
-        b = emit[p.classes[lo:lo + m]]
-        a = start * b if t == 0 else (a[:m] @ move) * b
-        c = a.sum(axis=1)
-        a /= c[:, None]
-        total[:m] += np.log(c)
+        a = start.astype(kind)[:, None] * given[:, :m] if t == 0 else (back @ a[:, :m]) * given[:, lo:lo + m]
+        c = a.sum(axis=0)
+        a /= c
+        scales[lo:lo + m] = c
         if keep:
-            states[lo:lo + m], scales[lo:lo + m] = a, c
+            states[:, lo:lo + m] = a
     out = np.empty(n)
-    out[p.order] = total
-    return (out, states, scales) if keep else out
+    out[p.order] = np.bincount(p.row, weights=np.log(scales.astype(np.float64)), minlength=n)
+    return (out, states, scales, given) if keep else out
 
 
-def expected_counts(p: Packed, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
-    """Baum-Welch: expected starts, moves and (class, state) emissions, and the total log likelihood."""
-    like, alpha, scale = forward(p, start, move, emit, keep=True)
-    s = len(start)
-    ahead = np.empty_like(alpha)      # emission times backward weight, over the scale
-    beta = np.ones((0, s))
-    gamma = np.empty_like(alpha)
+def expected_counts(p: Packed, start: np.ndarray, move: np.ndarray, emit: np.ndarray, kind=np.float64):
+    """Baum-Welch: expected starts, moves and (class, state) emissions, and the total log likelihood.
+
+    A sequence counts as often as its weight says (see ``Packed``). ``kind`` is the type of the recursion; counts are
+    added up as doubles.
+    """
+    like, alpha, scale, given = forward(p, start, move, emit, keep=True, kind=kind)
+    s, ahead = len(start), given       # emission times backward weight, over the scale: in place of the emissions
+    gamma = alpha.copy()
+    beta = np.ones((s, 0), dtype=kind)
+    forth = np.ascontiguousarray(move, dtype=kind)
+    ahead /= scale
     for t in range(len(p.running) - 1, -1, -1):
-        lo, m = p.at[t], int(p.running[t])
-        now = np.ones((m, s))
-        now[:len(beta)] = beta
-        gamma[lo:lo + m] = alpha[lo:lo + m] * now
-        ahead[lo:lo + m] = emit[p.classes[lo:lo + m]] * now / scale[lo:lo + m, None]
-        beta = ahead[lo:lo + m] @ move.T
+        lo, m = p.at[t], beta.shape[1]  # sequences that end here have a backward weight of one
+        gamma[:, lo:lo + m] *= beta
+        ahead[:, lo:lo + m] *= beta
+        beta = forth @ ahead[:, lo:lo + int(p.running[t])]
     first = int(p.running[0]) if len(p.running) else 0
+    if p.weight is not None:
+        of_symbol = p.weight[p.row].astype(kind)
+        gamma *= of_symbol
+        ahead *= of_symbol
+        like = like * p.weight[np.argsort(p.order, kind="stable")]
     # symbol pairs: a sequence's state at t with what lies ahead at t + 1
     later = np.arange(first, len(p.classes))
     before = p.at[p.step[later] - 1] + p.row[later]
-    moves = (alpha[before].T @ ahead[later]) * move
-    emits = np.stack([np.bincount(p.classes, weights=gamma[:, k], minlength=len(emit)) for k in range(s)], axis=1)
-    return gamma[:first].sum(axis=0), moves, emits, float(like.sum())
+    moves = (np.take(alpha, before, axis=1) @ ahead[:, first:].T).astype(np.float64) * move
+    emits = np.stack([np.bincount(p.classes, weights=gamma[k], minlength=len(emit)) for k in range(s)], axis=1)
+    return gamma[:, :first].sum(axis=1, dtype=np.float64), moves, emits, float(like.sum())
 
 
-def groups(classes: np.ndarray, offsets: np.ndarray, most: int):
+def groups(classes: np.ndarray, offsets: np.ndarray, most: int, weight: np.ndarray | None = None):
     """``Packed`` groups of sequences of like length holding about ``most`` symbols each (a longer one alone)."""
     size = np.diff(offsets)
     order = np.argsort(size, kind="stable")
@@ -84,7 +99,8 @@ def groups(classes: np.ndarray, offsets: np.ndarray, most: int):
         j = i + max(1, int(np.searchsorted(total, most, "right")))
         pick = order[i:j]
         parts = [classes[offsets[x]:offsets[x + 1]] for x in pick.tolist()]
-        yield Packed(np.concatenate(parts), np.concatenate([[0], np.cumsum(size[pick])]))
+        yield Packed(np.concatenate(parts), np.concatenate([[0], np.cumsum(size[pick])]),
+                     None if weight is None else weight[pick])
         i = j
 
 

@@ -155,7 +155,11 @@ def baum_welch(encoded: DataFrame, params, prior: np.ndarray, smooth: float = SM
 
 
 def _round(encoded: DataFrame, params, prior: np.ndarray, smooth: float = SMOOTH):
-    """New parameters of one round, and the log likelihood of ``encoded`` under the old ones."""
+    """New parameters of one round, and the log likelihood of ``encoded`` under the old ones.
+
+    The recursion runs in single precision (the likelihood moves in the ninth digit); counts add up as doubles, and
+    scoring uses doubles throughout.
+    """
     states = len(params[0])
     shared = encoded.sparkSession.sparkContext.broadcast(params)
     names = [f"e{i}" for i in range(states)]
@@ -166,7 +170,7 @@ def _round(encoded: DataFrame, params, prior: np.ndarray, smooth: float = SMOOTH
         for b in batches:
             classes, offsets = _sequences(b.column(0))
             for p in groups(classes, offsets, GROUP):
-                s, m, e, x = expected_counts(p, start, move, emit)
+                s, m, e, x = expected_counts(p, start, move, emit, np.float32)
                 starts += s
                 moves += m
                 emits += e
