@@ -1,26 +1,28 @@
-"""Exact quantiles without a one-task sort.
+"""Exact quantiles without a one-task sort: radix selection.
 
 Spark's exact ``percentile`` keeps a value->count map per group and merges all
 partial maps in one task: memory grows with the number of distinct values.
-Here each wanted order statistic is found by histogram refinement:
-
-1. a *cell* is a value range of one column, identified by a chain of bucket
-   numbers; the first cell of a column is [min, max] (the caller's own
-   aggregate usually has min, max and count already);
-2. while a cell holding a wanted rank has more than ``local_rows`` values
-   and more than one distinct value, ONE scan cuts every pending cell into
-   ``buckets`` equal-width buckets and counts per (cell, bucket) -- count,
-   min, max -- with map-side combining (a bounded number of groups). The
-   bucket number is a monotone function of the value, so ranks stay exact:
-   the wanted rank falls in one bucket, which becomes the next cell. A
-   bucket whose min equals its max answers at once (a hot value never needs
-   more work);
-3. the remaining small cells are ranked by a window partitioned by cell
-   (each holds at most ``local_rows`` rows), fed by ONE scan.
-
-Only small count tables reach the driver. Results use linear interpolation
-between the two neighbouring order statistics (pandas / ``percentile`` /
-DuckDB ``quantile_cont``).
+Here each wanted order statistic is found digit by digit, for all columns and
+ranks at once:
+
+1. a *cell* is a range of one column, identified by a chain of digits; the
+   first cell of a column is [min, max] (the caller's own aggregate usually has
+   min, max and count already);
+2. ONE scan a round counts (count, min, max) per (cell, digit) with map-side
+   combining. A digit is 12 bits of the value: of its place in the cell if the
+   cell spans less than 12 powers of two (4096 equal steps), else its sign and
+   power of two. Both rise with the value, so ranks stay exact: the digit that
+   holds a wanted rank is the next cell. Its min and max are the cell's new
+   ends, and a digit of one value answers at once (a hot value never needs more
+   work);
+3. a cell of one power of two holds 52 bits of values, so six rounds settle
+   every rank, however the values are spread (one for the power, five of 12
+   bits). Cells of at most ``local_rows`` values are ranked earlier, by a window
+   partitioned by cell, fed by ONE scan.
+
+One row per wanted rank and round reaches the driver. Results use linear
+interpolation between the two neighbouring order statistics (pandas /
+``percentile`` / DuckDB ``quantile_cont``).
 """
 
 from __future__ import annotations
@@ -34,9 +36,9 @@ from pyspark.sql import functions as F
 from ..names import qcol, quoted
 
 BUCKETS = 4096
-
-
 INF = float("inf")
+#: Rounds within which every cell is one value: a power of two, then 52 bits by 12, and one in hand for rounding.
+ROUNDS = 7
 
 
 # The search builds many CASE branches; as SQL text each column costs one JVM
@@ -51,38 +53,49 @@ def _d(x: float) -> str:
     return f"CAST('{float(x)!r}' AS DOUBLE)"
 
 
-def _bucket_sql(v: str, lo: float, w: float, nb: int) -> str:
-    f = f"FLOOR(({v} - {_d(lo)}) / {_d(w)})"
-    return (f"(CASE WHEN {v} = {_d(-INF)} THEN -1 WHEN {v} = {_d(INF)} THEN {nb} "
-            f"WHEN {f} > {nb - 1} THEN {nb - 1} ELSE {f} END)")
+def _split(lo: float, hi: float, nb: int) -> tuple[float, float] | None:
+    """(first, step) of ``nb`` equal steps of a cell; None if it is to be split by powers of two.
+
+    A step of 0: the cell is so narrow that its values are told apart as they are.
+    """
+    small, large = sorted((abs(lo), abs(hi)))
+    if lo < 0 < hi or large == INF or large > small * max(nb, 8):
+        return None
+    return lo, (hi - lo) / nb
 
 
-def _in_cell_sql(v: str, chain) -> str:
-    parts = [f"{v} IS NOT NULL"]
-    for lo, w, nb, b in chain:
-        parts.append(f"{_bucket_sql(v, lo, w, nb)} = {_d(b)}")
-    return " AND ".join(parts)
+def _digit_sql(v: str, how: tuple[float, float] | None, nb: int) -> str:
+    if how is None:  # 1074 powers below 1, 1024 above; infinity has its own
+        power = f"(1100 + floor(greatest(-1075D, least(1024D, log2(abs({v}))))))"
+        return f"CAST(CASE WHEN {v} = 0 THEN 0 WHEN {v} > 0 THEN {power} ELSE -{power} END AS DOUBLE)"
+    first, step = how
+    if step <= 0:
+        return v
+    return f"least({_d(nb - 1)}, CAST(floor(({v} - {_d(first)}) / {_d(step)}) AS DOUBLE))"
 
 
-def _cell_of_sql(v: str, mine) -> str:
+def _in_cell_sql(v: str, chain, nb: int) -> str:
+    return " AND ".join([f"{v} IS NOT NULL", *(f"{_digit_sql(v, how, nb)} = {_d(b)}" for how, b in chain)])
+
+
+def _cell_of_sql(v: str, mine, nb: int) -> str:
     """Number of the cell that holds ``v`` (NULL: none), for cells given as (number, chain).
 
-    Cells of one parent are told apart by one bucket number looked up in a
-    list, so the expression does not repeat the arithmetic per cell.
+    Cells of one parent are told apart by one digit looked up in a list, so the
+    expression does not repeat the arithmetic per cell.
     """
     groups: dict = {}
     parts = []
     for i, chain in mine:
         if chain:
-            lo, w, nb, b = chain[-1]
-            groups.setdefault((chain[:-1], lo, w, nb), []).append((b, i))
+            groups.setdefault((chain[:-1], chain[-1][0]), []).append((chain[-1][1], i))
         else:
             parts.append(f"CASE WHEN {v} IS NOT NULL THEN {i} END")
-    for (parent, lo, w, nb), items in groups.items():
+    for (parent, how), items in groups.items():
         numbers = ", ".join(_d(b) for b, _ in items)
         cells = ", ".join(str(i) for _, i in items)
-        at = f"CAST(nullif(array_position(array({numbers}), CAST({_bucket_sql(v, lo, w, nb)} AS DOUBLE)), 0) AS INT)"
-        parts.append(f"CASE WHEN {_in_cell_sql(v, parent)} THEN try_element_at(array({cells}), {at}) END")
+        at = f"CAST(nullif(array_position(array({numbers}), {_digit_sql(v, how, nb)}), 0) AS INT)"
+        parts.append(f"CASE WHEN {_in_cell_sql(v, parent, nb)} THEN try_element_at(array({cells}), {at}) END")
     return parts[0] if len(parts) == 1 else f"coalesce({', '.join(parts)})"
 
 
@@ -99,6 +112,16 @@ def read_minmax_count(row, cols, prefix="__qm"):
     return {c: (int(row[f"{prefix}n{i}"]), row[f"{prefix}a{i}"], row[f"{prefix}b{i}"]) for i, c in enumerate(cols)}
 
 
+def _cells_of(src: DataFrame, cols, cells, nb: int) -> DataFrame:
+    """``(cell, v)`` of the values that lie in one of ``cells``, a list of (column, chain)."""
+    structs = []
+    for c in cols:
+        mine = [(i, chain) for i, (cc, chain) in enumerate(cells) if cc == c]
+        if mine:
+            structs.append(F.struct(F.expr(_cell_of_sql(quoted(c), mine, nb)).alias("cell"), qcol(c).alias("v")))
+    return src.select(F.inline(F.array(*structs))).where(qcol("cell").isNotNull())
+
+
 def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], local_rows: int = 200_000,
                     buckets: int = BUCKETS, prefetched: dict | None = None) -> dict[str, list[float | None]]:
     """``prefetched``: {column: (count, min, max)} from the caller's aggregate."""
@@ -109,18 +132,8 @@ def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], local_rows: int
     if prefetched is None:
         prefetched = read_minmax_count(src.agg(*minmax_count_aggs(cols)).collect()[0], cols)
 
-    # bucket widths come from the finite range: one more aggregate only when a
-    # column holds an infinity
-    inf_cols = [c for c in cols if prefetched[c][0] and (abs(prefetched[c][1]) == INF or abs(prefetched[c][2]) == INF)]
-    finite = {}
-    if inf_cols:
-        fin = lambda c: F.when(F.abs(qcol(c)) < F.lit(INF), qcol(c))
-        r = src.agg(*[F.min(fin(c)).alias(f"a{i}") for i, c in enumerate(inf_cols)],
-                    *[F.max(fin(c)).alias(f"b{i}") for i, c in enumerate(inf_cols)]).collect()[0]
-        finite = {c: (r[f"a{i}"], r[f"b{i}"]) for i, c in enumerate(inf_cols)}
-
     found: dict[tuple[str, int], float] = {}
-    # (column, rank) -> (chain, base = #values before the cell, size, cell min, cell max)
+    # (column, rank) -> (chain of digits, values before the cell, values in it, its min, its max)
     state = {}
     for c in cols:
         n, mn, mx = prefetched[c]
@@ -134,72 +147,46 @@ def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], local_rows: int
                 else:
                     state[(c, k)] = ((), 0, n, mn, mx)
 
-    def width(c, lo, hi, nb):
-        if abs(lo) == INF or abs(hi) == INF:  # only the root cell can hold infinities
-            flo, fhi = finite.get(c, (None, None))
-            if flo is None or flo == fhi:
-                return (flo if flo is not None else 0.0), 1.0
-            return flo, (fhi - flo) / nb
-        return lo, (hi - lo) / nb
-
-    for _ in range(64):
+    rounds = ROUNDS + int(64 / math.log2(buckets))  # fewer steps a round (in tests) take more rounds
+    for _ in range(rounds):
         big = {key: st for key, st in state.items() if st[2] > local_rows}
         if not big:
             break
-        cells = sorted({(c, st[0], st[3], st[4]) for (c, _), st in big.items()}, key=str)
-        structs = []
-        for c in cols:
-            mine = [(i, chain) for i, (cc, chain, _, _) in enumerate(cells) if cc == c]
-            if mine:
-                structs.append(F.struct(F.expr(_cell_of_sql(quoted(c), mine)).alias("cell"), qcol(c).alias("v")))
-        # a range too narrow to split holds at most ``buckets`` + 1 doubles: the
-        # value itself is the bucket, every bucket single-valued
-        size = [width(c, lo, hi, buckets) for c, _, lo, hi in cells]
-        first, step = (F.expr(f"element_at(array({', '.join(_d(x[j]) for x in size)}), cell + 1)") for j in (0, 1))
-        tagged = (src.select(F.inline(F.array(*structs))).where(qcol("cell").isNotNull())
-                  .select("cell", "v", first.alias("first"), step.alias("step")))
-        f = F.floor((F.col("v") - F.col("first")) / F.col("step")).cast("double")
-        b_ = (F.when(F.col("step") <= 0, F.col("v")).when(F.col("v") == -INF, F.lit(-1.0)).when(F.col("v") == INF, F.lit(float(buckets)))
-              .otherwise(F.least(f, F.lit(buckets - 1.0))))
-        counts = tagged.groupBy("cell", b_.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        # the bucket of each wanted rank is found in Spark: one row per rank comes back
+        ends = {(c, st[0]): _split(st[3], st[4], buckets) for (c, _), st in big.items()}
+        cells = sorted(ends, key=str)
+        # how each cell is split, looked up by its number (a step below 0: by powers of two)
+        first, step = (F.expr(f"element_at(array({', '.join(_d((ends[x] or (0.0, -1.0))[j]) for x in cells)}), cell + 1)") for j in (0, 1))
+        tagged = _cells_of(src, cols, cells, buckets).select("cell", "v", first.alias("first"), step.alias("step"))
+        equal = F.least(F.lit(buckets - 1.0), F.floor((F.col("v") - F.col("first")) / F.col("step")).cast("double"))
+        digit = F.when(F.col("step") > 0, equal).when(F.col("step") == 0, F.col("v")).otherwise(F.expr(_digit_sql("v", None, buckets)))
+        counts = tagged.groupBy("cell", digit.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        # the digit of each wanted rank is found in Spark: one row per rank comes back
         cum = counts.withColumn("before", F.sum("n").over(Window.partitionBy("cell").orderBy("b")) - F.col("n"))
         at = {cell: i for i, cell in enumerate(cells)}
-        wanted = json.dumps([{"c": at[c, st[0], st[3], st[4]], "k": k - st[1]} for (c, k), st in big.items()])
+        wanted = json.dumps([{"c": at[c, st[0]], "k": k - st[1]} for (c, k), st in big.items()])
         ranks = df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(wanted), "array<struct<c: int, k: bigint>>")))
         hit = cum.join(F.broadcast(ranks), (F.col("cell") == F.col("c")) & (F.col("k") >= F.col("before"))
                        & (F.col("k") < F.col("before") + F.col("n")))
         rows = {(r["c"], r["k"]): r for r in hit.select("c", "k", "b", "n", "before", "lo", "hi").collect()}
-        for (c, k), (chain, base, size, lo, hi) in big.items():
-            blo_cell, w = width(c, lo, hi, buckets)
-            r = rows[at[c, chain, lo, hi], k - base]
+        for (c, k), (chain, base, _, _, _) in big.items():
+            r = rows[at[c, chain], k - base]
             if r["lo"] == r["hi"]:
                 found[(c, k)] = r["lo"]
                 del state[(c, k)]
             else:
-                state[(c, k)] = (chain + ((blo_cell, w, buckets, r["b"]),), base + r["before"], r["n"], r["lo"], r["hi"])
+                state[(c, k)] = (chain + ((ends[c, chain], r["b"]),), base + r["before"], r["n"], r["lo"], r["hi"])
 
     if state:
         cells = sorted({(c, st[0]) for (c, _), st in state.items()}, key=str)
-        structs = []
-        for c in cols:
-            mine = [(i, chain) for i, (cc, chain) in enumerate(cells) if cc == c]
-            if not mine:
-                continue
-            structs.append(F.struct(F.expr(_cell_of_sql(quoted(c), mine)).alias("cell"), qcol(c).alias("v")))
-        tagged = src.select(F.inline(F.array(*structs))).where(qcol("cell").isNotNull())
-        ranked = tagged.select("cell", "v", (F.row_number().over(Window.partitionBy("cell").orderBy("v")) - 1)
-                               .alias("r"))
-        need = {}
-        for (c, k), (chain, base, size, lo, hi) in state.items():
-            need.setdefault(cells.index((c, chain)), set()).add(k - base)
-        cond = None
-        for i, rs in need.items():
-            term = (qcol("cell") == i) & qcol("r").isin(sorted(rs))
-            cond = term if cond is None else (cond | term)
-        got = {(r["cell"], r["r"]): r["v"] for r in ranked.where(cond).collect()}
-        for (c, k), (chain, base, size, lo, hi) in state.items():
-            found[(c, k)] = got[(cells.index((c, chain)), k - base)]
+        at = {cell: i for i, cell in enumerate(cells)}
+        order = Window.partitionBy("cell").orderBy("v")
+        ranked = _cells_of(src, cols, cells, buckets).select("cell", "v", (F.row_number().over(order) - 1).cast("long").alias("r"))
+        wanted = json.dumps([{"c": at[c, st[0]], "k": k - st[1]} for (c, k), st in state.items()])
+        ranks = df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(wanted), "array<struct<c: int, k: bigint>>")))
+        hit = ranked.join(F.broadcast(ranks.distinct()), (F.col("cell") == F.col("c")) & (F.col("r") == F.col("k")))
+        got = {(r["c"], r["k"]): r["v"] for r in hit.collect()}
+        for (c, k), (chain, base, _, _, _) in state.items():
+            found[(c, k)] = got[at[c, chain], k - base]
 
     out: dict[str, list[float | None]] = {}
     for c in cols:
