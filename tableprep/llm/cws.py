@@ -25,7 +25,6 @@ SAMPLES = 64
 #: Samples worked out together, in one row of a word: few enough that the generated method is compiled by the JVM.
 CHUNK = 4
 SEED = 12
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WHITE = " \t\n\x0b\f\r"
 #: A sample is kept in 24 bits; different samples share them once in 16 million.
 SAMPLE_BITS = 24
@@ -57,8 +56,8 @@ def _packed(base: Column, i: int, r: Column, ln_c: Column, b: Column, ln_w: Colu
 
 
 def words(text: Column) -> Column:
-    """Words of a text, A-Z lower-cased; a text without any has the empty word."""
-    return F.split(F.btrim(F.translate(text, _UPPER, _LOWER), F.lit(_WHITE)), r"[\x20\x09-\x0D]+")
+    """Words of a text in lower case; a text without any has the empty word."""
+    return F.split(F.btrim(F.lower(text), F.lit(_WHITE)), r"[\x20\x09-\x0D]+")
 
 
 def weighted_words(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:

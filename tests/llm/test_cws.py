@@ -15,8 +15,7 @@ M = (1 << 64) - 1
 
 
 def bag(text):
-    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    return Counter(re.findall(r"[^\x20\x09-\x0D]+", text) or [""])
+    return Counter(re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower()) or [""])
 
 
 def jaccard(a, b):
