@@ -12,8 +12,6 @@ forward recursion gives the exact likelihood of each text.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import parts_for, q, read, stored
 from .compress_quality import held_out
 from .hmm import Packed, expected_counts, first_guess, forward, groups, reestimate
-from .textblock import trim
+from .textblock import Words, byte_map, slices, trim
 
 STATES = 8
 #: Rounds go on until the log10 likelihood of the training texts gains less than this a token.
@@ -36,22 +34,66 @@ SUFFIX = 3
 SMOOTH = 100.0
 GROUP = 200_000           # symbols packed at once in training
 SEED = 2
-_HELD = 300_000           # distinct words a task gathers before it passes them on
+RUN_BYTES = 4_000_000     # text worked on at once
+_HELD = 600_000           # words (each once a run) a task gathers before it passes them on
+
+
+def _table() -> np.ndarray:
+    """Bytes of words: A-Z lower-cased, white space separates, NUL takes the place of the space."""
+    out = byte_map(lower=True)
+    out[0] = 0x20
+    return out
+
+
+_MAP = _table()
+
+
+def _slices_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of an Arrow binary array with the given pieces of ``data``."""
+    size = end - start
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)
+    return offsets.astype(np.int64), data[at]
+
+
+def _binary(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    """A binary array (of 32-bit offsets, as Spark takes them: a run of texts is far below 2 GB)."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()),
+                                                                 pa.py_buffer(np.ascontiguousarray(data).tobytes())])
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """``text`` binary -> ``(token, c)``; added up in the tasks, then by token."""
+    """``text`` binary -> ``(token, c)``; added up in the tasks by a 64-bit hash, then by token."""
     def run(batches):
+        held, n = [], 0  # per run of texts: hashes, counts, words
+
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], ["token", "c"])
-        held = Counter()
+            h, c, place = (np.concatenate([x[i] for x in held]) for i in (0, 1, 2))
+            first, back = np.unique(h, return_index=True, return_inverse=True)[1:]
+            total = np.bincount(back, weights=c).astype(np.int64)
+            # the words themselves, from the run where each was first met
+            offsets, data = [np.zeros(1, np.int64)], []
+            which = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])[first]
+            order = np.argsort(which, kind="stable")
+            for r in np.unique(which).tolist():
+                mine = place[first[order[which[order] == r]]]
+                o, d = _slices_of(held[r][3], mine[:, 0], mine[:, 1])
+                offsets.append(o[1:] + offsets[-1][-1])
+                data.append(d)
+            return pa.RecordBatch.from_arrays([_binary(np.concatenate(offsets), np.concatenate(data) if data else np.zeros(0, np.uint8)),
+                                               pa.array(total[order])], ["token", "c"])
         for b in batches:
-            for t in b.column(0):
-                held.update(t.as_py().lower().split())  # bytes: exactly ASCII letters and ASCII white space
-                if len(held) > _HELD:
+            for _, _, data, offsets in slices(b.column(0), RUN_BYTES):
+                words = Words(data, offsets, _MAP)
+                h, first, c = np.unique(words.hash, return_index=True, return_counts=True)
+                o, d = _slices_of(words.bytes, words.start[first], words.end[first])
+                held.append((h, c, np.stack([o[:-1], o[1:]], axis=1), d))
+                n += len(h)
+                if n > _HELD:
                     yield out()
-                    held = Counter()
-        yield out()
+                    held, n = [], 0
+        if held:
+            yield out()
         trim()
     return texts.mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -71,13 +113,40 @@ class Vocabulary:
         self.prior = total / total.sum()
 
     def parts(self):
-        return self.words, self.counts, self.classes, self.first_bucket, self.n_end
+        """What encoding needs: hashes of the words in order, and by hash order their classes and log10(count + 1)."""
+        offsets = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).astype(np.int64)
+        spaced = np.frombuffer(b"".join(self.words) + bytes(8), dtype=np.uint8)
+        h = Words.of_spans(spaced, offsets[:-1], offsets[1:])
+        order = np.argsort(h, kind="stable")
+        return h[order], self.classes[order], np.log10(self.counts + 1.0)[order], self.first_bucket, self.n_end
 
 
 def bucket(word: bytes) -> int:
     return zlib.crc32(word[-SUFFIX:]) % BUCKETS
 
 
+def _crc_table() -> np.ndarray:
+    """CRC-32 of single bytes, the step of the checksum that zlib and Spark share."""
+    out = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        out = np.where(out & 1, (out >> 1) ^ np.uint32(0xEDB88320), out >> 1)
+    return out
+
+
+_CRC = _crc_table()
+
+
+def buckets_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """:func:`bucket` of pieces of ``data``."""
+    crc = np.full(len(start), 0xFFFFFFFF, dtype=np.uint32)
+    for k in range(SUFFIX, 0, -1):
+        at = end - k
+        there = at >= start
+        new = _CRC[(crc ^ data[np.maximum(at, 0)]) & np.uint32(0xFF)] ^ (crc >> np.uint32(8))
+        crc = np.where(there, new, crc)
+    return ((crc ^ np.uint32(0xFFFFFFFF)) % np.uint32(BUCKETS)).astype(np.int64)
+
+
 def build_vocabulary(counts: DataFrame, n_docs: int) -> tuple[Vocabulary, int, int]:
     """(vocabulary, N, V) from the counts of all training words and the number of training texts."""
     # how many words are at least so frequent, in steps of a 64th of a doubling (some 3,000 rows at most)
@@ -111,32 +180,37 @@ def encode(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches):
-        words, counts, classes, first_bucket, n_end = shared.value
-        get = {w: i for i, w in enumerate(words)}.get
-        classes = np.append(classes, np.uint16(0))
-        logs = np.append(np.log10(counts + 1.0), 0.0)
+        known, classes, logs, first_bucket, n_end = shared.value
         end_log = float(np.log10(n_end + 1.0))
         for b in batches:
-            out = [[] for _ in range(7)]
-            for t in b.column(len(kept)):
-                tokens = t.as_py().lower().split()
-                ids = np.fromiter(map(get, tokens, repeat(-1)), np.int64, len(tokens))
-                cls = np.zeros(len(tokens) + 1, dtype=np.uint16)
-                cls[:-1] = classes[ids]
-                far = np.flatnonzero(ids < 0)
-                rare = Counter()
-                if len(far):
-                    odd = [tokens[i] for i in far.tolist()]
-                    cls[far] = [first_bucket + zlib.crc32(x[-SUFFIX:]) % BUCKETS for x in odd]
-                    rare.update(odd)
-                val = logs[ids]
-                spread = float(val[cls[:-1] >= first_bucket].sum())
-                for col, v in zip(out, (len(cls), len(tokens) - len(far) + (1 if n_end else 0), float(val.sum()) + end_log, spread,
-                                        cls.tobytes(), list(rare.keys()), list(rare.values())), strict=True):
-                    col.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))],
-                                             [*kept, "n_tokens", "known", "logs", "spread", "classes", "rare", "rare_n"])
+            for row, n, data, offsets in slices(b.column(len(kept)), RUN_BYTES):
+                w = Words(data, offsets, _MAP)
+                doc = w.doc_of()
+                at = np.minimum(np.searchsorted(known, w.hash), max(0, len(known) - 1))
+                found = known[at] == w.hash if len(known) else np.zeros(len(w), bool)
+                cls, val = np.zeros(len(w), dtype=np.int64), np.zeros(len(w))
+                cls[found], val[found] = classes[at[found]], logs[at[found]]
+                far = np.flatnonzero(~found)
+                cls[far] = first_bucket + buckets_of(w.bytes, w.start[far], w.end[far])
+                # each text's classes and, last, the end's
+                size = np.diff(w.first) + 1
+                symbols = np.zeros(len(w) + n, dtype=np.uint16)
+                symbols[np.arange(len(w)) + doc] = cls
+                # each text's other words, once, and how often they occur
+                key = np.lexsort((w.hash[far], doc[far]))
+                far = far[key]
+                new = np.append(True, (doc[far][1:] != doc[far][:-1]) | (w.hash[far][1:] != w.hash[far][:-1]))[:len(far)]
+                one = np.flatnonzero(new)
+                times = np.diff(np.append(one, len(far)))
+                lists = np.concatenate([[0], np.cumsum(np.bincount(doc[far[one]], minlength=n))]).astype(np.int32)
+                each = lambda x: np.bincount(doc, weights=x, minlength=n).astype(np.float64)
+                cols = [pa.array(size.astype(np.int64)), pa.array((each(found) + (1 if n_end else 0)).astype(np.int64)),
+                        pa.array(each(val) + end_log), pa.array(each(np.where(cls >= first_bucket, val, 0.0))),
+                        _binary(2 * np.concatenate([[0], np.cumsum(size)]), symbols),
+                        pa.ListArray.from_arrays(lists, _binary(*_slices_of(w.bytes, w.start[far[one]], w.end[far[one]]))),
+                        pa.ListArray.from_arrays(lists, pa.array(times.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(row, n) for i in range(len(kept))), *cols],
+                                                 [*kept, "n_tokens", "known", "logs", "spread", "classes", "rare", "rare_n"])
         trim()
     return rows.mapInArrow(run, fields + ", n_tokens long, known long, logs double, spread double, classes binary, "
                                          "rare array<binary>, rare_n array<int>")

@@ -103,12 +103,17 @@ class Words:
 
     def hash_spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hashes of byte ranges (equal bytes, equal hashes)."""
+        return self.of_spans(self.bytes, start, end)
+
+    @staticmethod
+    def of_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """:meth:`hash_spans` of any bytes with eight to spare at the end."""
         left = end - start
-        lanes = np.ndarray((max(0, len(self.bytes) - 7),), dtype="<u8", buffer=self.bytes, strides=(1,))
+        lanes = np.ndarray((max(0, len(data) - 7),), dtype="<u8", buffer=data, strides=(1,))
         h = left.astype(np.uint64) * _M1
         long = left > _LONG  # hashed one by one: a text may be one word of any length
         for i in np.flatnonzero(long).tolist():
-            h[i] = xxhash.xxh64_intdigest(self.bytes[start[i]:start[i] + left[i]])
+            h[i] = xxhash.xxh64_intdigest(data[start[i]:start[i] + left[i]])
         todo = np.flatnonzero(~long)
         k = 0
         while len(todo):

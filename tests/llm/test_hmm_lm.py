@@ -160,6 +160,27 @@ def test_probabilities_add_up(spark, monkeypatch):
     assert abs(total - 1) < 1e-9
 
 
+def test_counts_and_codes_equal_plain_python(spark):
+    """Bytes of all kinds (NUL, control and other white space, long words) in the vectorised paths."""
+    rng = np.random.default_rng(9)
+    bits = ["a", "B", "é", "Z9", "\x00", "\x01", "\x0b", " ", "\n", "\x1f", "\u2003", "long" * 30, "x"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.integers(0, 60))) for _ in range(300)]
+    df = spark.createDataFrame([(i, bytearray(t.encode())) for i, t in enumerate(texts)], "i int, text binary").repartition(3)
+    space = lambda w: w.replace("\x00", " ").encode()  # NUL takes the place of the space
+    want = Counter(space(w) for t in texts for w in tokens(t))
+    got = {bytes(r["token"]): r["c"] for r in H.word_counts(df.select("text")).collect()}
+    assert got == want
+    words = sorted(want, key=lambda w: (-want[w], w))[:40]
+    vocab = H.Vocabulary(words, np.array([want[w] for w in words]), np.zeros(H.BUCKETS), 7)
+    cls = {w: int(c) for w, c in zip(words, vocab.classes)}
+    for r in H.encode(df, vocab).collect():
+        w = [space(x) for x in tokens(texts[r["i"]])]
+        assert np.frombuffer(r["classes"], dtype=np.uint16).tolist() == [cls.get(x, vocab.first_bucket + H.bucket(x)) for x in w] + [0]
+        assert (r["n_tokens"], r["known"]) == (len(w) + 1, sum(x in cls for x in w) + 1)
+        assert math.isclose(r["logs"], sum(math.log10(want[x] + 1) for x in w if x in cls) + math.log10(8))
+        assert Counter(dict(zip(map(bytes, r["rare"]), r["rare_n"]))) == Counter(x for x in w if x not in cls)
+
+
 def test_odd_rows(spark, empty_docs):
     long = " ".join(f"t{i % 3000}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "Hello HELLO hello"), (4, "Hello HELLO hello"), (None, "never seen"),
