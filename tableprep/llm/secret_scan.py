@@ -27,6 +27,8 @@ MODEL_KIND = "markov"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 #: Words that may serve as ordinary identifiers.
 IDENTIFIER = r"[A-Za-z0-9_-]{6,}"
+#: A whole run of key-like characters that may be a key: it has digits and letters. Not taken for an identifier.
+UNSURE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}+"
 #: Bound of the sample of ordinary texts: about this many, by hash of the row.
 SAMPLE_DOCS = 2_000
 THRESHOLD = 0.4   # nats per character
@@ -38,6 +40,21 @@ def _quick(kind: str) -> str:
     return {"access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}"}.get(kind, dict((k, p) for k, p, _, _ in KINDS)[kind])
 
 
+def running(values: Column, joined) -> Column:
+    """Running totals of an array: ``joined`` (sum, or another associative operation) of each element and all before it.
+
+    By doubling: after k steps an element covers the 2**k elements up to it, so an array of n takes log2(n) linear
+    steps (an ``aggregate`` that appends would copy the array n times).
+    """
+    rounds = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")))
+
+    def step(acc, k):
+        hop = F.least(F.call_function("shiftleft", F.lit(1), k), F.size(acc))
+        back = F.concat(F.array_repeat(F.lit(None).cast("int"), hop), F.slice(acc, F.lit(1), F.size(acc) - hop))
+        return F.zip_with(acc, back, lambda x, y: F.when(y.isNull(), x).otherwise(joined(x, y)))
+    return F.aggregate(rounds, values, step)
+
+
 def spans_of(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
     """Accepted matches of one pattern: array of (start, order, end, kind, value), code points.
 
@@ -46,16 +63,13 @@ def spans_of(text: Column, kind: str, order: int, pattern: str, group: int, leas
     """
     gaps, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    steps = F.arrays_zip(gaps.alias("g"), found.alias("m"), value.alias("v"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-
-    def add(acc, x):
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"),
-                               F.lit(kind).alias("kind"), x["v"].alias("value")))
-        return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-    return F.aggregate(steps, zero, add, lambda acc: acc["out"])
+    sizes = F.transform(found, lambda m: F.length(m))
+    # the piece after the last match has none behind it
+    ends = running(F.zip_with(F.slice(F.transform(gaps, lambda g: F.length(g)), F.lit(1), F.size(found)), sizes, lambda g, m: g + m),
+                   lambda x, y: x + y)
+    spans = F.transform(F.arrays_zip(ends.alias("e"), sizes.alias("n"), value.alias("v")), lambda x: F.struct(
+        (x["e"] - x["n"]).alias("start"), F.lit(order).alias("order"), x["e"].alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value")))
+    return F.filter(spans, lambda s: F.length(s["value"]) >= least)
 
 
 SPANS = "array<struct<start:int,order:int,end:int,kind:string,value:string>>"
@@ -65,32 +79,56 @@ def base_spans(text: Column) -> Column:
     none = F.array().cast(SPANS)
     parts = [F.when(text.rlike(_quick(k)), spans_of(text, k, i, p, g, n)).otherwise(none)
              for i, (k, p, g, n) in enumerate(KINDS)]
-    return F.array_sort(F.concat(*parts))
+    return F.sort_array(F.concat(*parts))
 
 
 def join_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _codes(token: Column) -> Column:
+    """Character pairs of a text of ASCII characters as first * CODES + second, in one pass."""
+    each = F.transform(F.split(token, ""), lambda c: F.ascii(c))
+    n = F.size(each)
+    return F.zip_with(F.slice(each, F.lit(1), n - 1), F.slice(each, F.lit(2), n - 1), lambda a, b: a * CODES + b)
+
+
 def _pairs(strings: DataFrame, name: str) -> DataFrame:
     """Counts of character pairs: (code, count). ``strings`` has one column s."""
-    at = F.sequence(F.lit(1), F.length("s") - 1)
-    pairs = strings.filter(F.length("s") >= 2).select(F.explode(F.transform(at, lambda i: F.substring(F.col("s"), i, F.lit(2)))).alias("p"))
-    code = F.ascii(F.substring("p", 1, 1)) * CODES + F.ascii(F.substring("p", 2, 1))
-    return pairs.groupBy(code.alias("code")).agg(F.count("*").alias(name))
+    pairs = strings.filter(F.length("s") >= 2).select(F.explode(_codes(F.col("s"))).alias("code"))
+    return pairs.groupBy("code").agg(F.count("*").alias(name))
+
+
+def clear_of(spans: Column, base: Column) -> Column:
+    """The spans that overlap none of ``base``.
+
+    Both are put in one order: a base span where it begins, another span where it ends. On the way the furthest end
+    of the base spans so far is kept, and a span is clear if that does not reach beyond its start.
+    """
+    events = F.sort_array(F.concat(
+        F.transform(spans, lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("kind"), s["start"].alias("start"), F.lit(0).alias("reach"))),
+        F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("kind"), b["start"].alias("start"), b["end"].alias("reach")))))
+    reach = running(F.transform(events, lambda e: e["reach"]), lambda x, y: F.greatest(x, y))
+    verdicts = F.zip_with(events, reach, lambda e, r: F.struct(e["at"].alias("at"), e["kind"].alias("kind"), (r <= e["start"]).alias("clear")))
+    # spans are in order and do not overlap each other: their verdicts come in the same order
+    clear = F.filter(verdicts, lambda v: v["kind"] == 0)
+    both = F.zip_with(spans, clear, lambda s, v: F.struct(s.alias("span"), v["clear"].alias("clear")))
+    return F.transform(F.filter(both, lambda x: x["clear"]), lambda x: x["span"])
 
 
 def train(docs: DataFrame, text: str, doc_id: str, sample_docs: int = SAMPLE_DOCS) -> list[float]:
     """Log-likelihood ratio per character pair, as CODES * CODES doubles.
 
     Labelled random: the values of all accepted spans. Labelled ordinary: the
-    identifiers of texts without spans, from a bounded sample of texts by hash.
+    identifiers of texts without spans, from a bounded sample of texts by hash;
+    runs that might be keys themselves (see ``UNSURE``) are left out.
     Both models are smoothed by one count per character of the key alphabet.
     """
     body = F.coalesce(q(text), F.lit(""))
     secrets = docs.select(F.explode(F.transform(base_spans(body), lambda s: s["value"])).alias("s"))
     few = docs.filter(hash_share(F.xxhash64(F.lit(9), q(doc_id), q(text)), sample_docs, docs.count()))
-    plain = few.filter(F.size(base_spans(body)) == 0).select(F.explode(F.regexp_extract_all(body, F.lit(IDENTIFIER), F.lit(0))).alias("s"))
+    plain = few.filter(F.size(base_spans(body)) == 0).select(F.explode(F.regexp_extract_all(
+        F.regexp_replace(body, UNSURE, " "), F.lit(IDENTIFIER), F.lit(0))).alias("s"))
     both = _pairs(secrets, "r").join(_pairs(plain, "o"), "code", "full")
     return llr_table({row[0]: (row[1] or 0, row[2] or 0) for row in both.collect()})  # at most CODES * CODES rows
 
@@ -130,17 +168,14 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     ratios = F.from_json(F.lit(json.dumps(table)), "array<double>")  # folded to one constant
 
     def likely(token):
-        total = F.aggregate(F.sequence(F.lit(2), F.length(token)), F.lit(0.0), lambda acc, i: acc + F.element_at(
-            ratios, F.ascii(F.substring(token, i - 1, F.lit(1))) * CODES + F.ascii(F.substring(token, i, F.lit(1))) + 1))
+        # constants are folded, and an array constant is looked up in place
+        total = F.aggregate(_codes(token), F.lit(0.0), lambda acc, code: acc + F.get(ratios, code))
         return total > threshold * (F.length(token) - 1)
 
     # most texts have no likely candidate: positions are only worked out where one is
-    tokens = F.filter(F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)), likely)
-    out = scanned.withColumn(found, tokens)
-    spans = spans_of(body, MODEL_KIND, len(KINDS), CANDIDATE, 0, 16)
-    extra = F.filter(spans, lambda s: F.array_contains(q(found), s["value"]) & ~F.exists(
-        q(base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    out = out.withColumn(every, F.when(F.size(q(found)) > 0, F.array_sort(F.concat(q(base), extra))).otherwise(q(base)))
+    out = scanned.withColumn(found, F.exists(F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)), likely))
+    spans = F.filter(spans_of(body, MODEL_KIND, len(KINDS), CANDIDATE, 0, 16), lambda s: likely(s["value"]))
+    out = out.withColumn(every, F.when(q(found), F.sort_array(F.concat(q(base), clear_of(spans, q(base))))).otherwise(q(base)))
     return out.drop(found), base, every
 
 

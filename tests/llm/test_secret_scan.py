@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -70,3 +71,45 @@ def test_odd_rows(spark, empty_docs):
     assert all(r["b"] == joined(base(r["text"])) for r in got)
     assert scan_secrets(empty_docs)[0].count() == 0
     assert scan_secrets(docs.filter("doc_id = 1"))[0].select(join_spans(F.col(every))).first()[0] == ""
+
+
+def test_long_tokens_and_many_matches_in_linear_time(spark):
+    """A token of a million characters, 100,000 lines of hashes: seconds, not hours, and the same spans as Python's."""
+    rng = random.Random(3)
+    key = lambda chars, n: "".join(rng.choices(chars, k=n))
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    dump = "\n".join(key("0123456789abcdef", 32 + i % 9) for i in range(100_000))
+    mixed = " ".join(f"token={key(b64, 12)} {key(b64, 40)}" for _ in range(5_000))
+    plain = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").filter("not text rlike '(?i)token|secret|passw|key'").limit(300)
+    got = {}
+    for rows in ([(-1, "data:image/png;base64," + key(b64, 1_000_000)), (-3, mixed)], [(-2, dump), (-4, "plain words only")]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).unionByName(plain)
+        t = time.time()
+        out, b, every = scan_secrets(docs)
+        out = out.filter("doc_id < 0").select("doc_id", join_spans(F.col(b)).alias("b"), join_spans(F.col(every)).alias("e"))
+        got |= {-r["doc_id"]: (r["b"], r["e"]) for r in out.collect()}
+        assert time.time() - t < 60
+    assert got[2][0] == joined(base(dump)) and got[2][0].count("hex") == 100_000
+    assert got[1] == ("", "markov:22:1000022") and got[4] == ("", "")
+    # of the keys beside the assignments most are found, and none that overlaps a base span
+    spans = [tuple(map(int, x.split(":")[1:])) for x in got[3][1].split(",") if x.startswith("markov")]
+    taken = [(a, e) for a, _, e, _ in base(mixed)]
+    assert len(spans) > 4_500 and not any(a < e2 and a2 < e for a, e in spans for a2, e2 in taken)
+
+
+def test_overlaps_against_every_pair(spark):
+    from tableprep.llm.secret_scan import SPANS, clear_of
+    rng = random.Random(5)
+    rows = []
+    for i in range(200):
+        at, spans = 0, []
+        for _ in range(rng.randint(0, 6)):
+            a = at + rng.randint(0, 4)
+            at = a + rng.randint(1, 5)
+            spans.append((a, 3, at, "markov", "v"))
+        base_ = sorted((a, rng.randint(0, 2), a + rng.randint(1, 7), "k", "v") for a in (rng.randint(0, 25) for _ in range(rng.randint(0, 5))))
+        rows.append((i, spans, base_))
+    df = spark.createDataFrame(rows, f"i int, s {SPANS}, b {SPANS}")
+    for r in df.select("i", clear_of(F.col("s"), F.col("b")).alias("c")).collect():
+        _, spans, base_ = rows[r["i"]]
+        assert [tuple(x) for x in r["c"]] == [s for s in spans if not any(b[0] < s[2] and s[0] < b[2] for b in base_)]
