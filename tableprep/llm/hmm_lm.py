@@ -34,8 +34,8 @@ SUFFIX = 3
 SMOOTH = 100.0
 GROUP = 200_000           # symbols packed at once in training
 SEED = 2
-RUN_BYTES = 4_000_000     # text worked on at once
-_HELD = 600_000           # words (each once a run) a task gathers before it passes them on
+RUN_BYTES = 1_000_000     # text worked on at once
+_HELD = 200_000           # words (each once a run) a task gathers before it passes them on
 
 
 def _table() -> np.ndarray:
