@@ -89,8 +89,8 @@ def expected_counts(p: Packed, start: np.ndarray, move: np.ndarray, emit: np.nda
     return gamma[:, :first].sum(axis=1, dtype=np.float64), moves, emits, float(like.sum())
 
 
-def groups(classes: np.ndarray, offsets: np.ndarray, most: int, weight: np.ndarray | None = None):
-    """``Packed`` groups of sequences of like length holding about ``most`` symbols each (a longer one alone)."""
+def picked(classes: np.ndarray, offsets: np.ndarray, most: int, weight: np.ndarray | None = None):
+    """(sequence numbers, ``Packed``) groups of sequences of like length holding about ``most`` symbols each (a longer one alone)."""
     size = np.diff(offsets)
     order = np.argsort(size, kind="stable")
     i = 0
@@ -99,11 +99,16 @@ def groups(classes: np.ndarray, offsets: np.ndarray, most: int, weight: np.ndarr
         j = i + max(1, int(np.searchsorted(total, most, "right")))
         pick = order[i:j]
         parts = [classes[offsets[x]:offsets[x + 1]] for x in pick.tolist()]
-        yield Packed(np.concatenate(parts), np.concatenate([[0], np.cumsum(size[pick])]),
-                     None if weight is None else weight[pick])
+        yield pick, Packed(np.concatenate(parts), np.concatenate([[0], np.cumsum(size[pick])]), None if weight is None else weight[pick])
         i = j
 
 
+def groups(classes: np.ndarray, offsets: np.ndarray, most: int, weight: np.ndarray | None = None):
+    """The ``Packed`` groups of :func:`picked`."""
+    for _, p in picked(classes, offsets, most, weight):
+        yield p
+
+
 def reestimate(starts, moves, emits, prior: np.ndarray, smooth: float):
     """Parameters from expected counts; emissions are smoothed towards ``prior`` (class probabilities)."""
     s = len(starts)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import parts_for, q, read, stored
 from .compress_quality import held_out
-from .hmm import Packed, expected_counts, first_guess, forward, groups, reestimate
+from .hmm import expected_counts, first_guess, forward, groups, picked, reestimate
 from .textblock import Words, byte_map, slices, trim
 
 STATES = 8
@@ -297,7 +297,9 @@ def _forward_scores(encoded: DataFrame, params, vocab: Vocabulary, kept: list[st
         (start, move, emit), mass = shared.value
         for b in batches:
             classes, offsets = _sequences(b.column(len(kept)))
-            out = forward(Packed(classes, offsets), start, move, emit) / np.log(10)
+            out = np.empty(len(offsets) - 1)
+            for pick, p in picked(classes, offsets, GROUP):
+                out[pick] = forward(p, start, move, emit) / np.log(10)
             spent = np.concatenate([[0.0], np.cumsum(mass[classes])])
             path = out - (spent[offsets[1:]] - spent[offsets[:-1]])
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(path)], [*kept, "path"])
