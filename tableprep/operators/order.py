@@ -11,9 +11,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..errors import OptionError
 from ..functions.category_table import open_table, with_code
+from ..functions.store import stored
 from ..ltypes import LType, category_code, category_source, field_of, ltypes
 from ..names import qcol
 from ..step import Step, register
@@ -43,21 +46,47 @@ class SortRows(Step):
             yield ("not_given", "no sort column")
 
     def _transform(self, t, params):
-        by = [self.options["by"]] if isinstance(self.options["by"], str) else list(self.options["by"])
         asc = self.options.get("ascending", True)
-        asc = [asc] * len(by) if isinstance(asc, bool) else list(asc)
-        df = t.df
-        keys = []
-        for i, (name, a) in enumerate(zip(by, asc)):
-            col, code = f"__ix__{name}" if name in t.index else name, None
-            cats = category_source(field_of(t.df, col)) if ltypes(t.df)[col] == LType.ORDINAL else None
-            if isinstance(cats, dict):
-                code = f"__code{i}"
-                df = with_code(df, col, open_table(df.sparkSession, cats), code)
-            k = sort_key(df, col, code)
-            keys.append(k.asc_nulls_last() if a else k.desc_nulls_last())
-        tiebreak = F.xxhash64(*[qcol(c) for c in t.df.columns])
-        return t.with_df(df.orderBy(*keys, tiebreak).select(*[qcol(c) for c in t.df.columns]))
+        df, keys = sorted_by(t, self.options["by"], asc)
+        return t.with_df(df.orderBy(*keys).select(*[qcol(c) for c in t.df.columns]))
+
+
+def sorted_by(t: Table, by, ascending=True):
+    """``t``'s rows with what they are sorted by, and the sort keys: missing values last, ties in the order of a hash
+    of the whole row."""
+    by = [by] if isinstance(by, str) else list(by)
+    asc = [ascending] * len(by) if isinstance(ascending, bool) else list(ascending)
+    df, keys = t.df, []
+    for i, (name, a) in enumerate(zip(by, asc)):
+        col, code = f"__ix__{name}" if name in t.index else name, None
+        cats = category_source(field_of(t.df, col)) if ltypes(t.df)[col] == LType.ORDINAL else None
+        if isinstance(cats, dict):
+            code = f"__code{i}"
+            df = with_code(df, col, open_table(df.sparkSession, cats), code)
+        k = sort_key(df, col, code)
+        keys.append(k.asc_nulls_last() if a else k.desc_nulls_last())
+    return df, [*keys, F.xxhash64(*[qcol(c) for c in t.df.columns])]
+
+
+def with_positions(x, by, ascending=True, name: str = "position"):
+    """O1/O2: every row with its position (from 0) in the order of ``by``, as column ``name``.
+
+    The sorted rows are stored once, range by range; a row's position is its
+    place in its range plus the rows of the ranges before (one number each), so
+    no window runs over the whole table.
+    """
+    t = Table.of(x)
+    if name in t.columns:
+        raise OptionError([("taken", f"there is a column {name}")])
+    df, keys = sorted_by(t, by, ascending)
+    rows = stored(df.orderBy(*keys).select(*[qcol(c) for c in t.df.columns], F.monotonically_increasing_id().alias(name)))
+    part, row = F.shiftright(qcol(name), 33), qcol(name).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))  # a row for each range
+    before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))
+    out = rows.withColumn("__p", part).join(F.broadcast(before), "__p")
+    out = out.select(*[qcol(c) for c in t.df.columns], (F.col("__before") + row).alias(name))
+    out = Table(out, t.index)
+    return out if isinstance(x, Table) else out.to_df()
 
 
 def append_tables(*xs):

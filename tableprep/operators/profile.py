@@ -103,18 +103,42 @@ def stacked_values(df: DataFrame, cols) -> DataFrame:
     return df.select(F.inline(arr)).where(qcol("value").isNotNull())
 
 
+#: Most tied values whose texts are fetched by a broadcast join; more are fetched by a shuffled one.
+TIES = 100_000
+
+
 def value_summary(df: DataFrame, cols) -> DataFrame:
     """Per column: distinct count, most frequent value and its count (ties:
-    smallest value). One shuffle on (column, value) with map-side counting, so
-    a hot value collapses before the shuffle; distinct count and top count are
-    hash aggregates, and only the rows carrying the top count are compared as
-    text for the tie-break."""
-    vc = stacked_values(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    per = vc.groupBy("column").agg(F.count(F.lit(1)).alias("unique"), F.max("n").alias("top_count"))
-    tops = (vc.join(F.broadcast(per), "column")  # one row per column
-            .where(qcol("n") == qcol("top_count"))
-            .groupBy("column").agg(F.min("value").alias("top")))
-    return per.join(tops, "column").select("column", "unique", "top", "top_count")
+    smallest value). Values are counted by 128-bit hashes of their text (map-side,
+    so a hot value collapses before the shuffle): what is shuffled does not depend
+    on how long the texts are. Only then the texts of the most frequent values
+    are fetched, where they stand, and compared; where all values of a column are
+    equally frequent the winner is its smallest value and nothing is fetched."""
+    def hashed(x):
+        return x.withColumns({"h1": F.xxhash64("value"), "h2": F.xxhash64(F.lit(1), "value")})
+    long = hashed(stacked_values(df, cols))
+    counts = long.groupBy("column", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    # how many values are how frequent: at most one row for each frequency there is
+    freq = counts.groupBy("column", "n").agg(F.count(F.lit(1)).alias("values"))
+    per = freq.groupBy("column").agg(F.sum("values").alias("unique"), F.max("n").alias("top_count"),
+                                     F.max_by("values", "n").alias("ties")).collect()
+    spark = df.sparkSession
+    if not per:
+        return spark.createDataFrame([], "column string, unique long, top string, top_count long")
+    even = [r["column"] for r in per if r["ties"] == r["unique"]]
+    rest = [r for r in per if r["ties"] < r["unique"]]
+    tops = {}
+    if even:
+        row = df.agg(*[F.min(qcol(c).cast("string")).alias(f"m{i}") for i, c in enumerate(even)]).first()
+        tops |= {c: row[f"m{i}"] for i, c in enumerate(even)}
+    if rest:
+        best = spark.createDataFrame([(r["column"], r["top_count"]) for r in rest], "column string, n long")
+        won = counts.join(F.broadcast(best), ["column", "n"]).select("column", "h1", "h2")  # one row per column to compare with
+        won = F.broadcast(won) if sum(r["ties"] for r in rest) <= TIES else won
+        texts = hashed(stacked_values(df, [r["column"] for r in rest])).join(won, ["column", "h1", "h2"], "left_semi")
+        tops |= {r["column"]: r["top"] for r in texts.groupBy("column").agg(F.min("value").alias("top")).collect()}
+    return spark.createDataFrame([(r["column"], r["unique"], tops[r["column"]], r["top_count"]) for r in per],
+                                 "column string, unique long, top string, top_count long")
 
 
 def value_counts(x, column: str) -> DataFrame:

@@ -67,13 +67,25 @@ def sort_by_priority(spark, sf):
 
 
 @query("append_tables", """
-SELECT o_orderkey AS k, o_totalprice AS amount, NULL::VARCHAR AS note FROM orders WHERE o_orderstatus = 'F'
+SELECT o_orderkey AS k, o_totalprice AS amount, NULL::VARCHAR AS note FROM orders
 UNION ALL SELECT c_custkey, c_acctbal, c_mktsegment FROM customer""")
 def append_tables_q(spark, sf):
     from pyspark.sql import functions as F
     from ..operators.order import append_tables
-    o = (table(spark, sf, "orders").where(F.col("o_orderstatus") == "F")
-         .select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("amount")))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("amount"))
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("amount"),
                                             F.col("c_mktsegment").alias("note"))
     return append_tables(o, c)
+
+
+# order made visible: rows with their positions
+@query("sort_positions", """
+SELECT o_orderkey, o_orderpriority, o_orderdate, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '5-LOW' THEN 0
+  WHEN '4-NOT SPECIFIED' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '2-HIGH' THEN 3 ELSE 4 END, o_orderdate DESC, o_orderkey) - 1 AS position
+FROM orders""")
+def sort_positions(spark, sf):
+    from ..operators.convert import ToCategorical
+    from ..operators.order import with_positions
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    o = ToCategorical(attributes={"o_orderpriority": {"cat": ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"], "ordered": True}})(o)
+    return with_positions(o, ["o_orderpriority", "o_orderdate", "o_orderkey"], [True, False, True])

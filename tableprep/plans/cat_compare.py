@@ -66,3 +66,39 @@ s AS (SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier)
 SELECT count(*) = 0 AS equal FROM ((SELECT * FROM s EXCEPT ALL SELECT * FROM c) UNION ALL (SELECT * FROM c EXCEPT ALL SELECT * FROM s))""")
 def table_equal_changed(spark, sf):
     return table_equal(table(spark, sf, "supplier"), _supplier_changed(spark, sf))
+
+
+# long texts: an edit here and there, a row left out, one added
+@query("table_diff_documents", """
+WITH c AS (SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN text || '.' ELSE text END AS text,
+                  CASE WHEN source IS NULL OR lang = 'es' AND doc_id % 7 = 0 THEN 'edited' ELSE source END AS source FROM documents WHERE doc_id <> 5
+           UNION ALL SELECT -1, 'new', 'new'),
+d AS (SELECT doc_id, text, source FROM documents),
+j AS (SELECT coalesce(d.doc_id, c.doc_id) AS doc_id, d.doc_id AS l, c.doc_id AS r, d.text AS lt, c.text AS rt, d.source AS ls, c.source AS rs
+      FROM d FULL JOIN c ON d.doc_id = c.doc_id)
+SELECT doc_id, 'text' AS "column", md5(lt) AS "left", md5(rt) AS "right" FROM j WHERE l IS NULL OR r IS NULL OR lt IS DISTINCT FROM rt
+UNION ALL
+SELECT doc_id, 'source', md5(ls), md5(rs) FROM j WHERE l IS NULL OR r IS NULL OR ls IS DISTINCT FROM rs""")
+def table_diff_documents(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text", "source")
+    c = table(spark, sf, "documents").where("doc_id <> 5").select(
+        "doc_id", F.when(F.col("doc_id") % 97 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("source").isNull() | ((F.col("lang") == "es") & (F.col("doc_id") % 7 == 0)), "edited").otherwise(F.col("source")).alias("source"))
+    c = c.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("new").alias("text"), F.lit("new").alias("source")))
+    return table_diff(d, c, "doc_id").withColumns({x: F.md5(F.col(x).cast("binary")) for x in ("left", "right")})
+
+
+@query("table_equal_documents", """
+SELECT 'same' AS what, true AS equal UNION ALL SELECT 'one text changed', false UNION ALL SELECT 'one row twice', false""")
+def table_equal_documents(spark, sf):
+    d = table(spark, sf, "documents")
+    first = d.agg(F.min("doc_id").alias("first"))
+    changed = d.join(F.broadcast(first), F.col("doc_id") == F.col("first"), "left").withColumn(
+        "text", F.when(F.col("first").isNotNull(), F.concat(F.col("text"), F.lit(" "))).otherwise(F.col("text"))).drop("first")
+    twice = d.unionByName(d.join(F.broadcast(first), F.col("doc_id") == F.col("first")).drop("first"))
+    tests = {"same": d.select(*reversed(d.columns)), "one text changed": changed, "one row twice": twice}
+    out = None
+    for what, other in tests.items():
+        one = table_equal(d, other).select(F.lit(what).alias("what"), "equal")
+        out = one if out is None else out.unionByName(one)
+    return out

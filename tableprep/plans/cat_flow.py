@@ -6,6 +6,10 @@ import json
 
 from pyspark.sql import functions as F
 
+from ..operators.convert import ToCategorical
+from ..operators.scale import MinMaxScaler
+from ..step import register_step
+from ..streaming import stream
 from .cat_io import scratch
 from .catalogue import query, r4, table
 from .dag import StepGraph
@@ -130,3 +134,45 @@ def dag_branch_join(spark, sf_dir):
     df = results["both"].to_df()
     return df.select("o_orderkey", F.col("o_orderpriority").alias("prio_code"), "n_name",
                      r4("c_acctbal").alias("acctbal_z"))
+
+
+@query("dag_report", """
+SELECT 'orders' AS node, 'input' AS step, 'option' AS kind, 'source' AS key, '{"table": "orders"}' AS value
+UNION ALL SELECT 'fill', 'fill_nan', 'option', 'method', '"mean"'
+UNION ALL SELECT 'fill', 'fill_nan', 'option', 'selected', '["price"]'
+UNION ALL SELECT 'fill', 'fill_nan', 'schema', 'columns', '["o_orderkey", "o_custkey", "o_orderstatus", "price"]'
+UNION ALL SELECT 'out', 'output', 'result', 'rows', CAST(count(*) AS VARCHAR) FROM orders""")
+def dag_report(spark, sf_dir):
+    """What a run reports of options, schemas and results (G6; learned means are in dag_from_json)."""
+    g = StepGraph([{"id": "orders", "step": "input", "options": {"table": "orders"}},
+                   {"id": "fill", "step": "fill_nan", "inputs": ["orders"], "options": {"method": "mean", "selected": ["price"]}},
+                   {"id": "out", "step": "output", "inputs": ["fill"], "options": {"name": "tp_report_out"}}])
+    _, report = g.run(spark, {"orders": flagship_inputs(spark, sf_dir)["orders"]})
+    return g.report_df(spark, report).where("kind <> 'learned'")
+
+
+@query("user_step", "SELECT o_orderkey, o_totalprice * 2 AS o_totalprice FROM orders")
+def user_step(spark, sf_dir):
+    """A step of the user's own, registered by name and run in a graph (2.13)."""
+    register_step("double_price", lambda df: df.withColumn("o_totalprice", F.col("o_totalprice") * 2))
+    g = StepGraph([{"id": "in", "step": "input", "options": {"table": "t"}}, {"id": "twice", "step": "double_price", "inputs": ["in"]}])
+    results, _ = g.run(spark, {"t": table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")})
+    return results["twice"].to_df()
+
+
+@query("stream_scaled", """
+SELECT event_id, round((value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()), 4) AS value,
+       CASE WHEN event_type IN ('click', 'view') THEN event_type END AS event_type FROM events""")
+def stream_scaled(spark, sf_dir):
+    """Steps fitted on a batch, applied to a stream of files, written through a streaming sink (2.14)."""
+    batch = table(spark, sf_dir, "events").select("event_id", "value", "event_type")
+    models = stream.fit_on_batch([MinMaxScaler(attributes={"value": {"range": [0, 1]}}),
+                                  ToCategorical(attributes={"event_type": {"cat": ["click", "view"]}})], batch)
+    src = scratch(spark, "stream-in")  # a stream reads a folder
+    batch.write.parquet(src)
+    path = scratch(spark, "stream-out")
+    out = stream.apply_models(models, stream.read_parquet_stream(spark, src, batch.schema))
+    query_ = (out.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch(spark, "stream-log"))
+              .trigger(availableNow=True).start())
+    query_.awaitTermination()
+    return spark.read.parquet(path).select("event_id", r4("value").alias("value"), "event_type")

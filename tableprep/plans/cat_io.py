@@ -48,13 +48,12 @@ def parquet_types_roundtrip(spark, sf):
         "c_custkey", F.col("c_mktsegment_txt").alias("c_mktsegment"), F.col("c_mktsegment").alias("code"))
 
 
-@query("named_table", "SELECT * FROM nation")
+@query("named_table", "SELECT * FROM orders")
 def named_table(spark, sf):
-    catalog.to_variable(table(spark, sf, "nation"), "tp_nation")
-    return catalog.set_input(spark, "tp_nation").to_df()
+    catalog.to_variable(table(spark, sf, "orders"), "tp_orders")
+    return catalog.set_input(spark, "tp_orders").to_df()
 
 
-# the same over a table that grows with the data
 @query("named_table_documents", "SELECT * FROM documents")
 def named_table_documents(spark, sf):
     catalog.to_variable(table(spark, sf, "documents"), "tp_documents")
@@ -66,6 +65,15 @@ def head_page(spark, sf):
     return catalog.head(table(spark, sf, "orders"), n=400, offset=100, order_by="o_orderkey")
 
 
+# a page deep in the table, in an order with ties and missing keys
+@query("head_page_deep", """
+SELECT l_orderkey, l_linenumber, k FROM (SELECT *, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_extendedprice END AS k FROM lineitem)
+ORDER BY k NULLS FIRST, l_orderkey, l_linenumber LIMIT 500 OFFSET 40000""")
+def head_page_deep(spark, sf):
+    t = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") != 7, F.col("l_extendedprice")).alias("k"))
+    return catalog.head(t, n=500, offset=40_000, order_by=["k", "l_orderkey", "l_linenumber"])
+
+
 # texts with quotes, commas, line ends and padding go through a file unchanged
 @query("csv_text_exact", """
 SELECT doc_id::DOUBLE AS doc_id, '  "' || text || chr(10) || ', ""x"" ' AS text, doc_id % 3 = 0 AS flag FROM documents""")

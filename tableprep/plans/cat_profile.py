@@ -133,3 +133,15 @@ def hist_all_numeric(spark, sf):
     h = P.histograms(table(spark, sf, "lineitem"), HIST_COLS, bins=20)
     return h.select("column", F.col("bucket").cast("int").alias("bucket"), r4("left").alias("left"),
                     r4("right").alias("right"), "count")
+
+
+# long texts: only hashes are shuffled, the winners' texts are fetched afterwards
+@query("stats_string_documents", """
+WITH v AS (SELECT 'text' AS "column", text AS value FROM documents UNION ALL SELECT 'lang', lang FROM documents
+           UNION ALL SELECT 'source', source FROM documents UNION ALL SELECT 'key', 'document ' || doc_id FROM documents),
+c AS (SELECT "column", value, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY ALL)
+SELECT "column", count(*) AS "unique", max(n) AS top_count, md5(min(value) FILTER (n = m)) AS top
+FROM (SELECT *, max(n) OVER (PARTITION BY "column") AS m FROM c) GROUP BY "column" """)
+def stats_string_documents(spark, sf):
+    d = table(spark, sf, "documents").select("text", "lang", "source", F.concat(F.lit("document "), "doc_id").alias("key"))
+    return P.value_summary(d, d.columns).withColumn("top", F.md5(F.col("top").cast("binary")))
