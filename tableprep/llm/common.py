@@ -48,17 +48,19 @@ def parts_for(rows: int, per_part: int = DOCS_PER_FILE) -> int:
     return 1 + rows // per_part
 
 
-def stored(df: DataFrame, parts: int | None = None) -> DataFrame:
+def stored(df: DataFrame, parts: int | None = None, by: str | None = None) -> DataFrame:
     """``df`` written once as Parquet under ``spark.checkpoint.dir`` and read back.
 
     Cuts the lineage at a file every executor can read: later jobs see the
     same rows even if executors are lost, and nothing above is computed again.
     The files live as long as the cluster keeps its checkpoint folder; with
-    ``parts`` there are at most so many (a slim table needs few).
+    ``parts`` there are at most so many (a slim table needs few). ``by``: an int
+    column whose values get folders of their own, so that a filter on it reads only those.
     """
     spark = df.sparkSession
     path = hold(spark)
-    (df if parts is None else df.coalesce(parts)).write.parquet(path)
+    out = (df if parts is None else df.coalesce(parts)).write
+    (out if by is None else out.partitionBy(by)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
