@@ -9,8 +9,11 @@
   skew-join splitting of hot keys). ``hint='broadcast'`` is honoured only
   after a bounded count proves the side has at most ``max_broadcast_rows``
   rows; otherwise the plan stays a shuffled join.
-* A full outer join is one join; where keys are hot (AQE cannot split the
-  skewed partitions of a full outer join) ask for ``skew``.
+* AQE cannot split the skewed partitions of a full outer join, so there hot keys
+  are looked for by default (``skew='found'``): one pass over both sides' keys
+  feeds a mergeable sketch of the most frequent key hashes; keys that outgrow
+  two average shuffle partitions are counted exactly and split off as below. Sides
+  of together less than a megabyte are joined as they are.
 * ``skew='auto'`` or a list of hot key values splits hot keys off explicitly:
   keys with at least ``skew_min_rows`` rows on either side (one grouped count
   over both sides' keys; NULL is a key like any other) are joined by a salted
@@ -29,6 +32,7 @@ from pyspark.sql import types as T
 from ..errors import OptionError
 from ..ltypes import CATEGORICAL, STRINGLIKE, LType, category_source, field_of, ltype_of_field, typed
 from ..names import qcol, qcols, quoted
+from ..session import shuffle_partitions
 from ..step import Step, register
 from ..table import Table, ix
 
@@ -63,6 +67,36 @@ def _hot_keys(L, R, lkeys, rkeys, min_rows):
     return [(tuple(r[n] for n in names), r["__nl"], r["__nr"]) for r in rows]
 
 
+#: Hot keys the sketch can return, and key hashes it tracks (its error: about 3.5 rows in so many).
+SKETCH_KEYS, SKETCH_ITEMS = 200, 20_000
+#: Sides of together fewer bytes (by Spark's estimate) are joined without a look at their keys.
+SMALL_BYTES = 1 << 20
+
+
+def _key_hash(keys):
+    return F.xxhash64(*[x for k in keys for x in (qcol(k), qcol(k).isNull())])
+
+
+def _estimated_bytes(df) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def found_hot_keys(L, R, lkeys, rkeys):
+    """Keys with more rows on one side than two average shuffle partitions of both, as (key..., rows left, rows right),
+    and the rows of such an average partition."""
+    if _estimated_bytes(L) + _estimated_bytes(R) < SMALL_BYTES:
+        return [], 1
+    sides = [df.select(_key_hash(keys).alias("h"), F.lit(i).alias("side")) for i, (df, keys) in enumerate(((L, lkeys), (R, rkeys)))]
+    top = F.expr(f"approx_top_k(h, {SKETCH_KEYS}, {SKETCH_ITEMS})")
+    rows = sides[0].unionByName(sides[1]).groupBy("side").agg(F.count(F.lit(1)).alias("n"), top.alias("top")).collect()
+    average = max(1, sum(r["n"] for r in rows) // shuffle_partitions(L.sparkSession))
+    seen = sorted({x["item"] for r in rows for x in r["top"] if x["count"] > 2 * average})
+    if not seen:
+        return [], average
+    few = [df.where(_key_hash(keys).isin(seen)) for df, keys in ((L, lkeys), (R, rkeys))]
+    return _hot_keys(*few, lkeys, rkeys, 2 * average), average
+
+
 def skew_join(L, R, lkeys, rkeys, how, o):
     """Equi-join (null-safe) of L and R on lkeys/rkeys with hot keys split off.
     ``how`` in inner/left/right/full. Returns L columns + R columns."""
@@ -73,14 +107,17 @@ def skew_join(L, R, lkeys, rkeys, how, o):
             c = t_ if c is None else c & t_
         return c
 
-    skew = o.get("skew")
+    skew = o.get("skew", "found" if how == "full" and not (L.isStreaming or R.isStreaming) else None)
     spark = L.sparkSession
     plain = lambda: L.join(R, cond_of(L, R, lkeys, rkeys), how)
     if not skew:
         return plain()
     S = int(o.get("salt_buckets", 64))
     per_bucket = int(o.get("rows_per_salt", 2_000_000))
-    if skew == "auto":
+    if skew == "found":
+        hot, average = found_hot_keys(L, R, lkeys, rkeys)
+        S, per_bucket = 2, min(per_bucket, max(1, average // 2))
+    elif skew == "auto":
         hot = _hot_keys(L, R, lkeys, rkeys, int(o.get("skew_min_rows", 5_000_000)))
     else:
         hot = [(tuple(k) if isinstance(k, (list, tuple)) else (k,), 1, 0) for k in skew]
