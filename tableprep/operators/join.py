@@ -116,7 +116,8 @@ def skew_join(L, R, lkeys, rkeys, how, o):
     per_bucket = int(o.get("rows_per_salt", 2_000_000))
     if skew == "found":
         hot, average = found_hot_keys(L, R, lkeys, rkeys)
-        S, per_bucket = 2, min(per_bucket, max(1, average // 2))
+        # pieces well below an average partition, so that pieces which meet in one stay near it
+        S, per_bucket = 2, min(per_bucket, max(1, average // 8))
     elif skew == "auto":
         hot = _hot_keys(L, R, lkeys, rkeys, int(o.get("skew_min_rows", 5_000_000)))
     else:
