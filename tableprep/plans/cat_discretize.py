@@ -49,7 +49,20 @@ def bins_quantile(spark, sf):
     return BinsDiscretizer(attributes={"l_extendedprice": {"bins": 4}}, strategy="quantile")(li)
 
 
-@query("bins_kmeans")
+# Lloyd's rounds as a recursive query over the distinct values: uniform start, ties to the lower centre
+@query("bins_kmeans", """
+WITH RECURSIVE v AS (SELECT CAST(l_quantity AS DOUBLE) AS v, count(*) AS n FROM lineitem GROUP BY 1),
+mm AS (SELECT min(v) AS lo, max(v) AS hi FROM v),
+it AS (
+  SELECT 0 AS r, lo + (hi - lo) / 6 AS a, lo + (hi - lo) / 2 AS b, lo + (hi - lo) * 5 / 6 AS c FROM mm
+  UNION ALL
+  SELECT r + 1, coalesce(sum(v * n) FILTER (v <= (a + b) / 2) / sum(n) FILTER (v <= (a + b) / 2), a),
+         coalesce(sum(v * n) FILTER (v > (a + b) / 2 AND v <= (b + c) / 2) / sum(n) FILTER (v > (a + b) / 2 AND v <= (b + c) / 2), b),
+         coalesce(sum(v * n) FILTER (v > (b + c) / 2) / sum(n) FILTER (v > (b + c) / 2), c)
+  FROM it, v WHERE r < 60 GROUP BY r, a, b, c),
+e AS (SELECT (a + b) / 2 AS x, (b + c) / 2 AS y FROM it WHERE r = 60)
+SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_quantity + (1e-8 + 1e-5 * abs(l_quantity)) >= y THEN '2.0'
+  WHEN l_quantity + (1e-8 + 1e-5 * abs(l_quantity)) >= x THEN '1.0' ELSE '0.0' END AS l_quantity_km FROM lineitem, e""")
 def bins_kmeans(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     return BinsDiscretizer(attributes={"l_quantity": {"bins": 3}}, strategy="kmeans", suffix="_km")(li)

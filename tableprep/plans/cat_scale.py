@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.convert import ToCategorical
-from ..operators.encode import CategoryCodes, EpochMillis, OneHotEncoder
+from ..operators.encode import CategoryCodes, EpochMillis, OneHotEncoder, expand_onehot
 from ..operators.scale import MinMaxScaler, StandardScaler
 from .catalogue import query, r4, table
 
@@ -81,3 +81,20 @@ def cat_codes(spark, sf):
 @query("epoch_ms", "SELECT event_id, CAST(epoch_us(ts) AS DOUBLE) / 1000 AS ts FROM events")
 def epoch_ms(spark, sf):
     return EpochMillis(attributes=["ts"])(table(spark, sf, "events").select("event_id", "ts"))
+
+
+# thousands of values: one sparse column, and the columns of two of them
+@query("onehot_sparse", """
+WITH c AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n
+           FROM (SELECT DISTINCT 'part ' || l_partkey AS v FROM lineitem)),
+l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber < 6 THEN 'part ' || l_partkey END AS part FROM lineitem)
+SELECT l_orderkey, l_linenumber, CAST((SELECT max(n) + 1 FROM c) AS INTEGER) AS size,
+       CAST(CASE WHEN part IS NULL THEN (SELECT max(n) FROM c) ELSE i END AS INTEGER) AS "index",
+       CAST(coalesce(part = 'part 7', false) AS INTEGER) AS "part_part 7", CAST(coalesce(part = 'part 12', false) AS INTEGER) AS "part_part 12"
+FROM l LEFT JOIN c ON c.v = part""")
+def onehot_sparse(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("part "), "l_partkey").alias("part"))
+    model = OneHotEncoder(attributes=["part"], output="sparse", include_nan=True).fit(li)
+    out = model.transform(li.withColumn("part", F.when(F.col("l_linenumber") < 6, F.col("part"))))
+    out = expand_onehot(out, "part_onehot", ["part 7", "part 12"])
+    return out.select("l_orderkey", "l_linenumber", "part_onehot.size", "part_onehot.index", "`part_part 7`", "`part_part 12`")

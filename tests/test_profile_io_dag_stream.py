@@ -180,7 +180,7 @@ def test_entry_and_registry(spark):
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     missing = {n for n in set(q) - set(o) if not n.startswith("op") and n != "pipeline"}
-    assert missing == {"bins_kmeans"}
+    assert missing == set()
 
 
 def test_register_user_step(spark):
