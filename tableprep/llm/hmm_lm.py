@@ -32,8 +32,7 @@ OWN_CLASS = 16_384        # the most frequent of these are classes of their own
 BUCKETS = 2_048           # classes of the other words, by their last SUFFIX bytes
 SUFFIX = 3
 SMOOTH = 100.0
-GROUP = 100_000           # symbols packed at once in training
-BLOCKS = 4                # steps of a round over the training texts
+GROUP = 200_000           # symbols packed at once in training
 SEED = 2
 RUN_BYTES = 1_000_000     # text worked on at once
 _HELD = 200_000           # words (each once a run) a task gathers before it passes them on
@@ -273,24 +272,14 @@ def _counts(encoded: DataFrame, params, n_classes: int):
     return starts, moves, emits, like
 
 
-def train(encoded: DataFrame | list[DataFrame], vocab: Vocabulary, states: int = STATES, rounds: int | None = None):
-    """Parameters: ``rounds`` of Baum-Welch over all rows from a random guess, by default until the gain is below TOLERANCE.
-
-    The rows may come in blocks. A round goes through all of them, and after each block the parameters are estimated
-    anew from the latest expected counts of every block seen (incremental Baum-Welch: each step raises the same bound
-    on the likelihood as a whole round does), so a round moves several steps.
-    """
-    blocks = encoded if isinstance(encoded, list) else [encoded]
-    rng = np.random.default_rng(SEED)
-    params = first_guess(vocab.prior, states, rng)
-    tokens = max(1, sum(b.agg(F.sum("n_tokens")).first()[0] or 0 for b in blocks))
-    last, done, seen = -np.inf, 0, {}
+def train(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: int | None = None):
+    """Parameters: ``rounds`` of Baum-Welch over all rows from a random guess, by default until the gain is below TOLERANCE."""
+    params = first_guess(vocab.prior, states, np.random.default_rng(SEED))
+    tokens = max(1, encoded.agg(F.sum("n_tokens")).first()[0] or 0)
+    last, done = -np.inf, 0
     while rounds is None or done < rounds:
-        like = 0.0
-        for i, block in enumerate(blocks):
-            *seen[i], gain = _counts(block, params, len(vocab.prior))
-            like += gain
-            params = reestimate(*(sum(c[j] for c in seen.values()) for j in range(3)), vocab.prior, SMOOTH)
+        *counts, like = _counts(encoded, params, len(vocab.prior))
+        params = reestimate(*counts, vocab.prior, SMOOTH)
         done += 1
         if rounds is None and like - last < TOLERANCE * np.log(10) * tokens:
             break
@@ -340,11 +329,8 @@ def score_texts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     counts = stored(word_counts(learn.select("text")), parts_for(n_docs))
     vocab, n, v = build_vocabulary(counts, n_docs)
     # the written row numbers name the rows from here on
-    marked = encode(rows, vocab).withColumn("row", F.monotonically_increasing_id())
-    # training rows in blocks, each a folder of its own; the other rows are block -1
-    block = F.when(F.col("held_out"), -1).otherwise(F.pmod("row", F.lit(BLOCKS)).cast("int"))
-    encoded = stored(marked.withColumn("block", block), parts_for(docs.count()), "block")
-    params = train([encoded.filter(F.col("block") == i) for i in range(BLOCKS)], vocab, states, rounds)
+    encoded = stored(encode(rows, vocab).withColumn("row", F.monotonically_increasing_id()), parts_for(docs.count()))
+    params = train(encoded.filter(~F.col("held_out")), vocab, states, rounds)
     path = _forward_scores(encoded, params, vocab, ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "spread"])
     rare = encoded.filter(F.size("rare") > 0).select("row", F.inline(F.arrays_zip(F.col("rare").alias("token"), F.col("rare_n").alias("n"))))
     rare = rare.join(counts, "token").groupBy(F.col("row").alias("rare_row")).agg(
