@@ -10,15 +10,15 @@ order again. Shard sizes are fixed beforehand, at most one row apart.
 
 from __future__ import annotations
 
-import json
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut_step, fresh, parts_for, q, read, small, stored
+from .common import cut_step, fresh, hold, parts_for, q, read, small, stored
 
 SHARDS = 16
 SEED = 20
@@ -61,27 +61,60 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> in
     return mode
 
 
-def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
+def _draw(rng: np.random.Generator, good: np.ndarray, bad: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hypergeometric draws for whole vectors; the few beyond the library's range one by one."""
+    large = (good >= 10**9) | (bad >= 10**9) | (good + bad >= 10**9)
+    out = np.zeros(len(n), dtype=np.int64)
+    out[~large] = rng.hypergeometric(good[~large], bad[~large], n[~large])
+    for i in np.flatnonzero(large).tolist():
+        out[i] = _hypergeometric(rng, int(good[i]), int(bad[i]), int(n[i]))
+    return out
+
+
+def communication_matrix(rows, shards: int, seed: int) -> np.ndarray:
     """``len(rows) x shards`` counts with the given row sums and column sums at most one apart.
 
-    The rows of the matrix are drawn one after another from what the columns
-    have left: the law of a uniform permutation.
+    The law of a uniform permutation, drawn down a tree: of the columns a run of partitions has, its first half takes a
+    multivariate hypergeometric share and its second half the rest. All runs of a level are drawn together, so a
+    million partitions take twenty levels of vector operations. (Draws are exact in double precision.)
     """
-    total = sum(rows)
-    left = [total // shards + (j < total % shards) for j in range(shards)]
+    rows = np.asarray(rows, dtype=np.int64)
+    total, size = int(rows.sum()), 1 << max(0, (len(rows) - 1).bit_length())
+    upto = np.concatenate([[0], np.cumsum(rows)])
     rng = np.random.default_rng(seed)
-    out = np.zeros((len(rows), shards), dtype=np.int64)
-    for i, n in enumerate(rows):
-        rest = sum(left)
+    cells = np.array([[total // shards + (j < total % shards) for j in range(shards)]], dtype=np.int64)  # a row for each run
+    while size > 1:
+        size //= 2
+        begin = np.minimum(np.arange(len(cells)) * 2 * size, len(rows))
+        n = upto[np.minimum(begin + size, len(rows))] - upto[begin]  # rows of the first halves
+        first, rest = np.zeros_like(cells), cells.sum(axis=1)
         for j in range(shards - 1):
-            rest -= left[j]
-            got = _hypergeometric(rng, left[j], rest, n)
-            out[i, j] = got
-            left[j] -= got
-            n -= got
-        out[i, shards - 1] = n
-        left[shards - 1] -= n
-    return out
+            rest = rest - cells[:, j]
+            first[:, j] = _draw(rng, cells[:, j], rest, n)
+            n = n - first[:, j]
+        first[:, shards - 1] = n
+        cells = np.stack([first, cells - first], axis=1).reshape(-1, shards)
+        cells = cells[:-(-len(rows) // size)] if size < len(rows) else cells  # runs past the last partition are empty
+    return cells[:len(rows)]
+
+
+#: Partitions whose rows of the matrix go to Spark at once.
+MATRIX_ROWS = 50_000
+
+
+def _matrix_table(spark, parts: np.ndarray, sent: np.ndarray) -> DataFrame:
+    """``(p, u)``: of each partition the running row counts by shard, as a table (columnar batches made on the driver, read
+    by the JVM; the plan holds no numbers). Beyond MATRIX_ROWS partitions it is stored piece by piece."""
+    def piece(i, j):
+        flat = pa.array(sent[i:j].ravel())
+        return spark.createDataFrame(pa.table({"p": pa.array(parts[i:j]), "u": pa.ListArray.from_arrays(
+            pa.array(np.arange(j - i + 1, dtype=np.int32) * sent.shape[1]), flat)}))
+    if len(parts) <= MATRIX_ROWS:
+        return piece(0, len(parts))
+    path = hold(spark)
+    for i in range(0, len(parts), MATRIX_ROWS):
+        piece(i, min(len(parts), i + MATRIX_ROWS)).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
 
 
 def shuffle_shards(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS,
@@ -90,7 +123,7 @@ def shuffle_shards(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     Shards hold floor or ceiling of rows / shards; slots run from 0 without gaps.
     Only per-partition row counts reach the driver (one number per input
-    partition), where the matrix is drawn; it goes back as one row per
+    partition), where the matrix is drawn; it goes back as a table of one row per
     partition, joined on the partition number.
 
     Defined results: nulls in any column are hashed as such; repeated rows are
@@ -112,20 +145,19 @@ def shuffle_shards(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
              .withColumn(part, F.monotonically_increasing_id()))
     local = stored(local.withColumns({rank: q(part).bitwiseAND(F.lit((1 << _ROW_BITS) - 1)),
                                       part: F.shiftright(q(part), _ROW_BITS)}).drop(key))
-    counts = sorted((r[0], r[1]) for r in local.groupBy(q(part)).count().collect())
-    if not counts:
+    counts = local.groupBy(q(part)).agg(F.count("*")).toArrow()  # one number for each input partition
+    parts, rows = (counts.column(i).to_numpy() for i in (0, 1))
+    parts, rows = parts[np.argsort(parts)], rows[np.argsort(parts)]
+    if not len(parts):
         return local.withColumns({shard: F.lit(0), slot: F.lit(0).cast("long")}).select(
             *[q(c) for c in docs.columns], q(shard), q(slot)), shard, slot
-    sent = communication_matrix([n for _, n in counts], shards, seed).cumsum(axis=1)
-    # a constant table, made by SQL functions alone (createDataFrame would start Python workers)
-    text = json.dumps([{"p": p, "u": row.tolist()} for (p, _), row in zip(counts, sent, strict=True)])
-    table = spark.range(1).select(F.inline(F.from_json(F.lit(text), "array<struct<p: bigint, u: array<bigint>>>")))
-    table = table.select(F.col("p").alias(part), F.col("u").alias(upto))
+    sent = communication_matrix(rows, shards, seed).cumsum(axis=1)
+    table = _matrix_table(spark, parts, sent).select(F.col("p").alias(part), F.col("u").alias(upto))
     # a row's shard: how many shards end at or before its random rank in the partition
-    placed = (local.join(small(table, len(counts) * shards), part)
+    placed = (local.join(small(table, len(parts) * shards), part)
               .withColumn(shard, F.expr(f"cast(size(filter(`{upto}`, u -> u <= `{rank}`)) as int)"))
               .drop(upto, part, rank))
-    step = cut_step(sum(n for _, n in counts))
+    step = cut_step(int(rows.sum()))
     placed = placed.withColumn(cut, F.expr(f"`{again}` div {step}L"))
     sizes = placed.groupBy(q(shard).alias(s_), q(cut).alias(c_)).agg(F.count("*").alias(before_))
     before = W.partitionBy(q(s_)).orderBy(q(c_)).rowsBetween(W.unboundedPreceding, -1)

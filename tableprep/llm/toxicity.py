@@ -9,10 +9,12 @@ them as uncertain as they are on new texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,15 +100,79 @@ def _sample_features(sample: DataFrame, flags: list[str]) -> DataFrame:
     return sample.mapInArrow(run, T.StructType(fields))
 
 
-def _select(marked: DataFrame, flag: str, n_one: int, n_zero: int, most: int) -> list[int]:
-    """The ``most`` features whose shares of documents differ most between the labels, in standard errors."""
-    per = marked.select(F.explode("features").alias("f"), flag).groupBy("f").agg(
-        F.sum(flag).alias("one"), F.count("*").alias("all"))
-    per = per.filter(F.col("all") >= MIN_DOCS)
-    p = F.col("all") / (n_one + n_zero)
-    gap = F.abs(F.col("one") / n_one - (F.col("all") - F.col("one")) / n_zero)
-    z = gap / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n_one + 1 / n_zero))
-    return [r["f"] for r in per.orderBy(z.desc(), "f").limit(most).select("f").collect()]
+def _select(marked: DataFrame, flag: str, sizes: dict[int, tuple[int, int]], skips: list[tuple[int, ...]], most: int) -> dict[tuple, list[int]]:
+    """For each set of folds left out, the ``most`` features whose shares of documents differ most between the labels of
+    the other folds, in standard errors. ``sizes``: documents of each fold with and without the flag."""
+    folds = sorted(sizes)
+    per = marked.select(F.explode("features").alias("f"), flag, "fold").groupBy("f").agg(
+        *[x for j in folds for x in (F.sum(F.when(F.col("fold") == j, F.col(flag)).otherwise(0)).alias(f"one{j}"),
+                                     F.count(F.when(F.col("fold") == j, 1)).alias(f"all{j}"))])
+    each = []
+    for i, skip in enumerate(skips):
+        left = [j for j in folds if j not in skip]
+        n_one, n_zero = (sum(sizes[j][k] for j in left) for k in (0, 1))
+        if not n_one or not n_zero:
+            continue
+        one, every = (sum((F.col(f"{name}{j}") for j in left), F.lit(0)) for name in ("one", "all"))
+        p = every / (n_one + n_zero)
+        z = F.abs(one / n_one - (every - one) / n_zero) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n_one + 1 / n_zero))
+        each.append(F.struct(F.lit(i).alias("i"), F.when(every >= MIN_DOCS, z).alias("z")))
+    out: dict[tuple, list[int]] = {skip: [] for skip in skips}
+    if each:
+        rows = per.select("f", F.inline(F.array(*each))).filter("z is not null")
+        best = rows.withColumn("r", F.row_number().over(W.partitionBy("i").orderBy(F.desc("z"), "f"))).filter(F.col("r") <= most)
+        for r in best.select("i", "f").collect():
+            out[skips[r["i"]]].append(r["f"])
+    return out
+
+
+class Fits:
+    """Chains fitted on a sample without some of its folds, with everything learned from the other folds alone.
+
+    ``x``: rows by features, 0 or 1; ``y``: rows by categories; ``chosen``: for each set of folds left out, the columns
+    of ``x`` that the other folds choose.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, fold: np.ndarray, chosen: dict[tuple, np.ndarray]):
+        self.x, self.y, self.weight, self.fold, self.chosen = x, y, weight, fold, chosen
+        self.known: dict[tuple, list] = {}
+
+    def chain(self, skip: tuple[int, ...], upto: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Models of categories 0 to ``upto``, learned from rows of no fold in ``skip``: (how telling each chosen feature
+        is, weights as ``chain_logits`` takes them). A later model's inputs are out-of-fold logits of the earlier ones."""
+        if (skip, upto) not in self.known:
+            rows = ~np.isin(self.fold, skip)
+            x, y, weight = self.x[rows][:, self.chosen[skip]], self.y[rows], self.weight[rows]
+            earlier = np.stack([self.out_of_fold(skip, c)[rows] for c in range(upto)], axis=1) if upto else np.zeros((len(x), 0))
+            models = self.chain(skip, upto - 1) if upto else []
+            self.known[skip, upto] = [*models, _fit(x, y[:, upto], weight, np.clip(earlier, -CLIP, CLIP))]
+        return self.known[skip, upto]
+
+    def out_of_fold(self, skip: tuple[int, ...], category: int) -> np.ndarray:
+        """Logits of a category for the rows of no fold in ``skip``, each by a chain that saw neither its fold nor ``skip``."""
+        out = np.zeros(len(self.y))
+        for k in sorted(set(self.fold.tolist()) - set(skip)):
+            less = tuple(sorted((*skip, k)))
+            rows = np.flatnonzero(self.fold == k)
+            doc, feat = np.nonzero(self.x[rows][:, self.chosen[less]])
+            out[rows] = chain_logits(doc, feat, len(rows), self.chain(less, category))[:, category]
+        return out
+
+
+def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One model of a chain, from these rows alone."""
+    # each feature counts by its log ratio of shares, so that telling ones are held back less
+    one, zero = weight * y, weight * (1 - y)
+    ratio = np.log((one @ x + 1) / (one.sum() + 2)) - np.log((zero @ x + 1) / (zero.sum() + 2))
+    # one telling feature is enough for a person: the largest ratio present, less its standard error
+    sure = np.maximum(ratio - np.sqrt(1 / (one @ x + 1) + 1 / (zero @ x + 1)), 0)
+    inputs = np.hstack([x * ratio, (x * sure).max(axis=1, initial=0)[:, None], earlier])
+    if len(set(y)) < 2:
+        w = np.zeros(inputs.shape[1] + 1)
+        w[-1] = 20.0 if len(y) and y.all() else -20.0
+    else:
+        w = logistic(inputs, y, weight, RIDGE)
+    return sure, np.concatenate([w[:len(ratio)] * ratio, w[len(ratio):]])
 
 
 class Chain:
@@ -140,65 +206,47 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *,
     """A chain over ``categories`` (name -> condition on ``labels``), in order.
 
     Only the bounded sample reaches the driver, as lists of the chosen
-    features. A category with one label only gets a constant model.
+    features. A category with one label only gets a constant model. Earlier logits that a later model learns from are
+    out of fold throughout: choice of features, their weights and the model all come from the other folds.
     """
     names = list(categories)
     flags = [f"flag{i}" for i in range(len(names))]
     known = clear_labels(labels, doc_id, **dict(zip(flags, categories.values(), strict=True)))
     picked, counts = sample_ids(known, flags, sample_docs, SEED)
     texts = docs.select(q(doc_id).alias("label_id"), F.coalesce(q(text).cast("string"), F.lit("")).cast("binary").alias("raw"))
-    sample = texts.join(F.broadcast(picked), "label_id").select("label_id", *flags, "raw")
-    marked = _sample_features(sample, flags).persist()
+    fold = F.pmod(F.xxhash64(F.lit(SEED), "raw"), F.lit(FOLDS)).cast("int")  # equal texts share a fold
+    sample = texts.join(F.broadcast(picked), "label_id").select("label_id", *flags, fold.alias("fold"), "raw")
+    marked = _sample_features(sample, [*flags, "fold"]).persist()
+    # the sets of folds that a chain so long leaves out of some model
+    skips = [s for n in range(len(names)) for s in combinations(range(FOLDS), n)]
     try:
-        y_rows = marked.select(*flags).collect()
-        chosen: set[int] = set()
+        y_rows = marked.select("fold", *flags).collect()
+        chosen: dict[tuple, set[int]] = {s: set() for s in skips}
         for i, f in enumerate(flags):
-            one = sum(r[i] for r in y_rows)
-            if 0 < one < len(y_rows):
-                chosen |= set(_select(marked, f, one, len(y_rows) - one, most_features))
-        features = np.array(sorted(np.array(sorted(chosen), dtype=np.int64).view(np.uint64)), dtype=np.uint64)
+            sizes = {j: (sum(r[1 + i] for r in y_rows if r[0] == j), sum(1 - r[1 + i] for r in y_rows if r[0] == j)) for j in range(FOLDS)}
+            for s, found in _select(marked, f, sizes, skips, most_features).items():
+                chosen[s] |= set(found)
+        every = sorted(set().union(*chosen.values()))
+        features = np.array(sorted(np.array(every, dtype=np.int64).view(np.uint64)), dtype=np.uint64)
         signed = features.view(np.int64).tolist()
         has = F.array_intersect("features", F.array(*[F.lit(x) for x in signed]) if len(signed) < 2 else F.from_json(
             F.lit(str(signed)), "array<bigint>"))
-        rows = marked.select("label_id", *flags, has.alias("has")).orderBy("label_id", *flags).collect()
+        rows = marked.select("label_id", "fold", *flags, has.alias("has")).orderBy("label_id", *flags).collect()
     finally:
         marked.unpersist()
-    x = np.zeros((len(rows), len(features)))
+    place = lambda v: np.searchsorted(features, np.array(sorted(v), dtype=np.int64).view(np.uint64))
+    x = np.zeros((len(rows), len(features)), dtype=np.float32)
     for r, row in enumerate(rows):
-        x[r, np.searchsorted(features, np.array(row["has"], dtype=np.int64).view(np.uint64))] = 1
+        x[r, place(row["has"])] = 1
     y = np.array([[row[f] for f in flags] for row in rows], dtype=float).reshape(len(rows), len(flags))
     # each combination of labels weighs as much as among all labelled rows
     combos = [tuple(int(v) for v in r) for r in y]
     held = {c: combos.count(c) for c in set(combos)}
     weight = np.array([counts[c] / held[c] for c in combos])
     weight = weight / weight.mean() if len(weight) else weight
-    fold = np.arange(len(rows)) % FOLDS
-    weights, earlier = [], np.zeros((len(rows), 0))
-    for c in range(len(names)):
-        # each feature counts by its log ratio of shares, so that telling ones are held back less
-        one, zero = weight * y[:, c], weight * (1 - y[:, c])
-        ratio = np.log((one @ x + 1) / (one.sum() + 2)) - np.log((zero @ x + 1) / (zero.sum() + 2))
-        # one telling feature is enough for a person: the largest ratio present, less its standard error
-        sure = ratio - np.sqrt(1 / (one @ x + 1) + 1 / (zero @ x + 1))
-        peak = np.maximum((x * np.maximum(sure, 0)).max(axis=1, initial=0), 0)
-        inputs = np.hstack([x * ratio, peak[:, None], earlier])
-        if len(set(y[:, c])) < 2:
-            w = np.zeros(inputs.shape[1] + 1)
-            w[-1] = -20.0 if not y[:, c].any() else 20.0
-            logits = np.full(len(rows), w[-1])
-        else:
-            w = logistic(inputs, y[:, c], weight, RIDGE)
-            logits = np.zeros(len(rows))
-            for k in range(FOLDS):  # predictions for a fold by a model that has not seen it
-                out, rest = fold == k, fold != k
-                if len(set(y[rest, c])) < 2:
-                    logits[out] = inputs[out] @ w[:-1] + w[-1]
-                    continue
-                v = logistic(inputs[rest], y[rest, c], weight[rest], RIDGE)
-                logits[out] = inputs[out] @ v[:-1] + v[-1]
-        weights.append((np.maximum(sure, 0), np.concatenate([w[:len(ratio)] * ratio, w[len(ratio):]])))
-        earlier = np.hstack([earlier, np.clip(logits, -CLIP, CLIP)[:, None]])
-    return Chain(names, features, weights)
+    columns = {s: np.sort(place(v)) for s, v in chosen.items()}
+    fits = Fits(x, y, weight, np.array([row["fold"] for row in rows], dtype=np.int64), columns)
+    return Chain(names, features[columns[()]], fits.chain((), len(names) - 1) if names else [])
 
 
 def score(docs: DataFrame, chain: Chain, *, text: str = "text") -> tuple[DataFrame, dict[str, str]]:

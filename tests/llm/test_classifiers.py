@@ -24,6 +24,21 @@ def test_quality_held_out(spark):
     assert np.mean([a > b for a in good for b in bad]) > 0.97
 
 
+def test_quality_query_equals_plain_compression(spark):
+    """The query's scores are those of the trained dictionaries and curve, text by text."""
+    import zstandard
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    m = C.train(docs.select("doc_id", "text"), labels, learn=~C.held_out(F.col("label_id"), 5, 0))
+    pack = [zstandard.ZstdCompressor(level=m.level, dict_data=zstandard.ZstdCompressionDict(d)) for d in (m.good, m.bad)]
+    got = {r["doc_id"]: r for r in C.op8_quality(spark, sf).collect()}
+    for r in docs.collect():
+        raw = (r["text"] or "").encode()
+        good, bad = (len(p.compress(raw)) for p in pack)
+        want = 1 / (1 + np.exp(-(m.slope * (bad - good) / np.sqrt(len(raw) + 1) + m.shift)))
+        assert abs(got[r["doc_id"]]["score"] - want) < 1e-9 and got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.3)
+
+
 def test_quality_learns_nothing_from_held_out_labels(spark):
     """Turning round the held-out labels changes no score."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
@@ -86,6 +101,67 @@ def test_chain_feeds_earlier_logits():
     assert np.allclose(out, [[21.5, 3 * 8 - 1], [-1.5, 1 - 4.5 - 1], [0.5, 0.5]])
 
 
+def test_a_folds_labels_do_not_reach_its_logits():
+    """Whatever the labels of a fold, of both categories, its out-of-fold logits stay; of three categories too."""
+    rng = np.random.default_rng(7)
+    n, k = 200, 30
+    x = (rng.random((n, k)) < 0.3).astype(np.float32)
+    y = (rng.random((n, 3)) < 0.2 + 0.5 * x[:, :3]).astype(float)
+    fold = np.arange(n) % X.FOLDS
+    from itertools import combinations
+    skips = [s for m in range(3) for s in combinations(range(X.FOLDS), m)]
+    chosen = {s: np.sort(rng.choice(k, 20, replace=False)) for s in skips}
+    weight = np.ones(n)
+    plain = X.Fits(x, y, weight, fold, chosen)
+    flipped = y.copy()
+    flipped[fold == 2] = 1 - flipped[fold == 2]
+    other = X.Fits(x, flipped, weight, fold, chosen)
+    for c in (0, 1):
+        a, b = plain.out_of_fold((), c), other.out_of_fold((), c)
+        assert np.array_equal(a[fold == 2], b[fold == 2]) and not np.allclose(a[fold != 2], b[fold != 2])
+
+
+def test_a_folds_labels_do_not_choose_its_features(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, int(rng.random() < 0.5), i % X.FOLDS, [int(f) for f in np.flatnonzero(rng.random(40) < 0.4)]) for i in range(300)]
+
+    def choose(rows):
+        df = spark.createDataFrame(rows, "label_id int, flag0 int, fold int, features array<bigint>")
+        sizes = {j: (sum(r[1] for r in rows if r[2] == j), sum(1 - r[1] for r in rows if r[2] == j)) for j in range(X.FOLDS)}
+        return {s: set(v) for s, v in X._select(df, "flag0", sizes, [(), (1,), (2,)], 10).items()}
+    a, b = choose(rows), choose([(i, 1 - f if k == 2 else f, k, v) for i, f, k, v in rows])
+    assert a[(2,)] == b[(2,)] and a[()] != b[()] and a[(1,)] != b[(1,)]
+    # against plain counting
+    left = [r for r in rows if r[2] != 2]
+    n1, n0 = sum(r[1] for r in left), sum(1 - r[1] for r in left)
+    z = {}
+    for f in range(40):
+        one, every = sum(r[1] for r in left if f in r[3]), sum(f in r[3] for r in left)
+        p = every / (n1 + n0)
+        z[f] = abs(one / n1 - (every - one) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+    assert a[(2,)] == set(sorted(z, key=lambda f: (-z[f], f))[:10])
+
+
+def test_query_equals_plain_scoring(spark):
+    """The query's probabilities are those of the trained chain, worked out text by text."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    chain = X.train(docs.select("doc_id", "text"), labels, {"junk": 1 - F.col("quality"), "toxic": F.col("toxic")})
+    at = {int(h): i for i, h in enumerate(chain.features)}
+    got = {r["doc_id"]: (r["p_junk"], r["p_toxic"]) for r in X.op5_toxicity(spark, sf).collect()}
+    for r in docs.collect():
+        raw = (r["text"] or "").encode()
+        w = Words(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]), X._MAP)
+        have = sorted({at[int(h)] for h in X._feature_hashes(w)[1] if int(h) in at})
+        logits = []
+        for sure, weights in chain.weights:
+            k = len(sure)
+            z = weights[-1] + sum(weights[i] for i in have) + weights[k] * max([0, *(sure[i] for i in have)])
+            logits.append(z + sum(weights[k + 1 + j] * min(X.CLIP, max(-X.CLIP, e)) for j, e in enumerate(logits)))
+        want = [1 / (1 + np.exp(-z)) for z in logits]
+        assert np.allclose(got[r["doc_id"]], want, atol=1e-5)
+
+
 def test_logistic_finds_the_optimum():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 4))

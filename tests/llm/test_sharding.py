@@ -1,5 +1,6 @@
 """Sharding: exact sizes, gapless slots, and the law of a uniform shuffle."""
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -55,6 +56,36 @@ def test_matrix_sums_and_law():
         assert abs(seen[k] / 4000 - p) < 4 * math.sqrt(p * (1 - p) / 4000) + 1e-3
 
 
+def test_a_million_partitions_in_seconds(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = rng.integers(0, 3000, 1_000_000)
+    t = time.time()
+    m = communication_matrix(rows, 16, 3)
+    assert time.time() - t < 60
+    assert (m.sum(axis=1) == rows).all() and (m >= 0).all()
+    assert m.sum(axis=0).max() - m.sum(axis=0).min() <= 1
+    # each cell has the hypergeometric mean and variance of its row
+    n, total = rows.astype(float), float(rows.sum())
+    z = (m[:, 0] - n / 16)[rows > 100] / np.sqrt(n * (1 / 16) * (15 / 16) * (1 - n / total))[rows > 100]
+    assert abs(z.mean()) < 0.01 and abs(z.var() - 1) < 0.02
+    # as a table it comes in pieces and no number stands in the plan
+    monkeypatch.setattr(sharding, "MATRIX_ROWS", 1_000)
+    few = sharding._matrix_table(spark, np.arange(4_500), m[:4_500].cumsum(axis=1))
+    assert len(few._jdf.queryExecution().optimizedPlan().toString()) < 2_000
+    got = sorted(tuple(r) for r in few.collect())
+    assert [p for p, _ in got] == list(range(4_500)) and (np.array([u for _, u in got]) == m[:4_500].cumsum(axis=1)).all()
+
+
+def test_three_partitions_keep_the_joint_law():
+    """Over many seeds: every cell of a 3 x 3 matrix against the exact probability of the first row."""
+    seen = Counter(tuple(communication_matrix([4, 3, 2], 3, s)[1].tolist()) for s in range(6000))
+    for a in range(4):
+        for b in range(4 - a):
+            c = 3 - a - b
+            p = math.comb(3, a) * math.comb(3, b) * math.comb(3, c) / math.comb(9, 3)
+            assert abs(seen[a, b, c] / 6000 - p) < 4 * math.sqrt(p * (1 - p) / 6000) + 1e-3
+
+
 def test_draw_beyond_library_range():
     rng = np.random.default_rng(3)
     good, bad, n = 2 * 10**9, 10**10, 10_000
