@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SchemaError
+from ..functions import summaries
 from ..functions.buckets import with_count_below
 from ..functions.timeutil import epoch_micros, from_epoch_micros
 from ..ltypes import LType, field_of, ltypes
@@ -239,6 +240,16 @@ class FillNan(Step):
         row = t.df.agg(*aggs).collect()[0]
         return {"means": {c: row[f"m{i}"] for i, c in enumerate(cols)}}
 
+    def summary_columns(self, types):
+        cols = list(self.options["selected"])
+        return cols if self.options["method"] == "mean" and all(types.get(c) == LType.NUMERIC for c in cols) else None
+
+    def fit_from(self, summary):
+        return {"means": {c: summary[c]["mean"] for c in self.options["selected"]}}
+
+    def summary_after(self, summary, params):
+        return {c: summaries.filled(s, params["means"][c]) if c in params["means"] else s for c, s in summary.items()}
+
     def _transform(self, t, params):
         m = self.options["method"]
         df = t.df

@@ -37,6 +37,15 @@ class MinMaxScaler(Step):
         return {"min": {c: row[f"a{i}"] for i, c in enumerate(cols)},
                 "max": {c: row[f"b{i}"] for i, c in enumerate(cols)}}
 
+    def summary_columns(self, types):
+        return list(self.options["attributes"])
+
+    def fit_from(self, summary):
+        return {k: {c: summary[c][k] for c in self.options["attributes"]} for k in ("min", "max")}
+
+    def summary_after(self, summary, params):
+        return {c: s for c, s in summary.items() if c not in self.options["attributes"]}
+
     def _transform(self, t, params):
         attrs = self.options["attributes"]
         exprs = []
@@ -79,6 +88,15 @@ class StandardScaler(Step):
         return {"mean": {c: row[f"m{i}"] for i, c in enumerate(cols)},
                 "std": {c: row[f"s{i}"] for i, c in enumerate(cols)}}
 
+    def summary_columns(self, types):
+        return list(self.options["attributes"])
+
+    def fit_from(self, summary):
+        return {k: {c: summary[c][k] for c in self.options["attributes"]} for k in ("mean", "std")}
+
+    def summary_after(self, summary, params):
+        return {c: s for c, s in summary.items() if c not in self.options["attributes"]}
+
     def _transform(self, t, params):
         cols = set(self.options["attributes"])
         exprs = []

@@ -5,8 +5,9 @@ It is checked as a whole before any Spark job: unknown steps or inputs,
 cycles, wrong number of inputs, repeated edges, no input node, option
 errors of every step (collected together). Running is a topological fold
 that builds lazy DataFrames; fits run in order (one aggregate each), sinks
-are the only other actions. The output of a join followed by fitted steps
-is persisted (memory and disk), so the join runs once instead of once per
+are the only other actions. Fits of a chain that need no more than column
+summaries come from one aggregate together. The output of a join followed by more than one
+fit is persisted (memory and disk), so the join runs once instead of once per
 fit; ``release()`` frees it.
 """
 
@@ -21,12 +22,15 @@ from pyspark.sql import functions as F
 
 from .. import step as stepmod
 from ..errors import GraphError, OptionError
-from ..functions import params
+from ..functions import params, summaries
+from ..ltypes import LType, ltypes
 from ..sources import catalog, parquet
 from ..sources import csv as csvsrc
 from ..streaming import stream
 from ..table import Table
 
+#: Steps whose fits column summaries may answer.
+FUSED = {"fill_nan", "minmax_scaler", "standard_scaler"}
 SOURCES = {"input"}
 SINKS = {"output"}
 
@@ -142,6 +146,7 @@ class StepGraph:
         fan_out = {k: len(v) for k, v in self.children.items()}
         persisted = self._persisted = []
         keep = self._cache_nodes()
+        known: dict = {}  # node -> summaries of the columns of its output
         for nid in self.order:
             n = self.by_id[nid]
             kind = n["step"]
@@ -172,7 +177,9 @@ class StepGraph:
                 if nid in fitted and getattr(s, "arity", 1) == 1:
                     m = Model(s, fitted[nid])
                 else:
-                    m = s.fit(*ins)
+                    m = self._fit(nid, s, ins, known)
+                if nid in known:
+                    known[nid] = s.summary_after(known[nid], m.params)
                 self.fitted[nid] = m.params
                 t = m.transform(*ins)
                 if nid in keep and not Table.of(t).is_streaming:
@@ -185,26 +192,52 @@ class StepGraph:
             results[nid] = Table.of(t)
         return results, report
 
+    def _fit(self, nid, s, ins, known):
+        """Fits a step; where column summaries are all it needs, one aggregate serves it and the steps that follow it."""
+        if getattr(s, "arity", 1) != 1 or ins[0].is_streaming:
+            return s.fit(*ins)
+        s.check_input(ins[0])
+        types = {k: v for k, v in ltypes(ins[0].df).items() if k in ins[0].columns}
+        cols = s.summary_columns(types)
+        if cols is None:
+            return s.fit(*ins)
+        have = known.get(self.by_id[nid]["inputs"][0], {})
+        if not set(cols) <= set(have):
+            wanted, chain = [], nid
+            while chain is not None:  # down the chain as long as steps need only summaries
+                more = self.steps[chain].summary_columns(types) if chain in self.steps else None
+                if more is None:
+                    break
+                wanted += [c for c in more if types.get(c) == LType.NUMERIC and c not in wanted]
+                follow = self.children.get(chain, [])
+                chain = follow[0] if len(follow) == 1 and getattr(self.steps.get(follow[0]), "arity", 1) == 1 else None
+            have = summaries.measure(ins[0].df, wanted)
+        known[nid] = have
+        return stepmod.Model(s, s.fit_from(have))
+
     def _cache_nodes(self):
-        """Join nodes with a fitted step downstream: each fit is one job over the
+        """Join nodes with more than one fit downstream: each is a job over the
         join's output, so without persisting, the join would run once per fit
-        plus once for the sinks."""
+        plus once for the sinks. Steps that one aggregate fits together (see
+        ``_fit``) count once, and a single fit costs less than storing the rows."""
         fitted = {nid for nid, s in self.steps.items() if s.streaming == "fit" or
                   (s.streaming == "no" and getattr(s, "arity", 1) == 1)}
+        together = {nid for nid in fitted if self.steps[nid].key in FUSED}
         out = set()
         for nid, s in self.steps.items():
             if getattr(s, "arity", 1) != 2:
                 continue
-            stack, seen = list(self.children.get(nid, [])), set()
+            stack, seen, fits = [(c, False) for c in self.children.get(nid, [])], set(), 0
             while stack:
-                c = stack.pop()
+                c, served = stack.pop()
                 if c in seen:
                     continue
                 seen.add(c)
-                if c in fitted:
-                    out.add(nid)
-                    break
-                stack.extend(self.children.get(c, []))
+                if c in fitted and not (served and c in together):
+                    fits += 1
+                stack.extend((x, c in together) for x in self.children.get(c, []))
+            if fits > 1:
+                out.add(nid)
         return out
 
     def release(self):

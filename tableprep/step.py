@@ -83,6 +83,19 @@ class Step:
     def _fit(self, t: Table) -> dict:
         return {}
 
+    # -- fits that column summaries answer (see functions.summaries) --------
+    def summary_columns(self, types: dict) -> list[str] | None:
+        """Numeric columns whose summaries are all that ``fit`` learns from (``types``: logical types of the input), or None."""
+        return None
+
+    def fit_from(self, summary: dict) -> dict:
+        """What ``_fit`` returns, from summaries of its columns."""
+        raise NotImplementedError
+
+    def summary_after(self, summary: dict, params: dict) -> dict:
+        """Summaries of the columns after the step, those that still hold."""
+        return {}
+
     def _transform(self, t: Table, params: dict) -> Table:
         raise NotImplementedError
 

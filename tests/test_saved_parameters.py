@@ -96,3 +96,45 @@ def test_saved_rows_hold_their_categories(spark, tmp_path, parts):
     assert open_table(spark, category_source(field_of(again, "s"))).count() == 10_050
     with pytest.raises(SchemaError, match="read_table"):
         CategoryCodes(attributes=["s"])(spark.read.parquet(path + "-two"))
+
+
+def test_chained_fits_from_one_aggregate(spark, monkeypatch):
+    """Mean fill, min-max and standard scaling of a chain: one look at the rows, the parameters of fitting step by step."""
+    from tableprep.functions import summaries
+    from tableprep.operators.fill import FillNan
+    from tableprep.operators.scale import MinMaxScaler, StandardScaler
+    rows = [(i, None if i % 4 == 0 else float(i * i % 37) - 5, None if i % 3 else i, None) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, x double, n int, e double").repartition(3)
+    right = spark.range(50).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2.5).alias("y"))
+    steps = [("fill", "fill_nan", {"method": "mean", "selected": ["x", "y", "n", "e"]}),
+             ("scale", "minmax_scaler", {"attributes": {"x": {"range": [0, 2]}, "n": {"range": [0, 1]}, "e": {}}}),
+             ("std", "standard_scaler", {"attributes": ["y"]}), ("again", "minmax_scaler", {"attributes": {"x": {"range": [5, 6]}}})]
+    nodes = [{"id": "a", "step": "input", "options": {"table": "a"}}, {"id": "b", "step": "input", "options": {"table": "b"}},
+             {"id": "j", "step": "join", "inputs": ["a", "b"], "options": {"on": "columns", "left_on": "k", "right_on": "k", "how": "left"}}]
+    last = "j"
+    for nid, step, options in steps:
+        nodes.append({"id": nid, "step": step, "inputs": [last], "options": options})
+        last = nid
+    looks = []
+    keep = summaries.measure
+    monkeypatch.setattr(summaries, "measure", lambda d, cols: looks.append(sorted(cols)) or keep(d, cols))
+    g = StepGraph(nodes)
+    results, report = g.run(spark, {"a": df, "b": right})
+    assert looks == [["e", "n", "x", "y"], ["x"]]  # a scaled column is looked at again
+    cur = results["j"].df
+    for (nid, _, options), kind in zip(steps, (FillNan, MinMaxScaler, StandardScaler, MinMaxScaler)):
+        model = kind(**options).fit(cur)
+        for name, learned in model.params.items():
+            assert g.fitted[nid][name].keys() == learned.keys()
+            for c, v in learned.items():
+                got = g.fitted[nid][name][c]
+                assert got == v or abs(got - v) < 1e-9 * max(1, abs(v)), (nid, name, c)
+        cur = model.transform(cur)
+    a, b = ({r["k"]: tuple(r) for r in d.select("k", "x", "n", "e", "y").collect()} for d in (cur, results["again"].df))
+    assert a.keys() == b.keys()
+    for k in a:
+        assert all(p == q or abs(p - q) < 1e-9 for p, q in zip(a[k], b[k]))
+    assert ("fill", "learned", "means") in {(r[0], r[2], r[3]) for r in report}
+    assert g._cache_nodes() == set()  # one chain of fits: the join is not stored for it
+    ranked = {"id": "bins", "step": "bins_discretizer", "inputs": ["fill"], "options": {"attributes": {"x": {"bins": 3}}, "strategy": "quantile"}}
+    assert StepGraph([*nodes[:4], ranked])._cache_nodes() == {"j"}  # a second, other fit
