@@ -109,9 +109,9 @@ def directional_fill(df, cols, order_by: str, partition_by=(), forward=True, ran
                                if f.name in cols else qcol(f.name) for f in df.schema.fields])
 
     # max_by over fixed-width values stays a hash aggregate; over text it would
-    # sort every row, so without groups text columns take the position path
+    # sort every row, so text columns carry positions and fetch their values last
     fixed = all(isinstance(df.schema[c].dataType, _FIXED) for c in cols)
-    if part or fixed:
+    if fixed:
         pick = F.max_by if forward else F.min_by
         summary = tagged.groupBy(*qcols(keys)).agg(
             *[pick(qcol(c), F.when(qcol(c).isNotNull(), qcol("__okey"))).alias(c) for c in cols])
@@ -124,7 +124,7 @@ def directional_fill(df, cols, order_by: str, partition_by=(), forward=True, ran
             carry_fn = lambda c: F.first(qcol(c), ignorenulls=True).over(wc)
         carry = summary.select(*qcols(keys), *[carry_fn(c).alias(f"__carry_{i}") for i, c in enumerate(cols)])
     else:
-        carry = _global_carry(tagged, cols, forward)  # at most R rows, of texts of any size: the planner picks the join
+        carry = _carry_by_position(tagged, cols, part, forward)  # texts of any size: the planner picks the join
 
     # at least one partition per range when ranges outnumber shuffle partitions
     n_parts = max(shuffle_partitions(spark), len(edges) + 1)
@@ -162,31 +162,37 @@ def _hot_group(df, part, rows_per_range, ranges) -> bool:
     return (sizes.agg(F.max("__n")).first()[0] or 0) > rows_per_range
 
 
-def _global_carry(tagged, cols, forward):
-    """Carry table (__rid, __carry_i...) of a fill without groups, as one lazy
-    plan: per range the position of the last (first) non-missing value of
-    each column (a hash aggregate over numbers, at most R rows), the carry
-    positions from earlier (later) ranges by a window over those R rows, the
-    values at those positions by a join on (range, position)."""
-    agg = F.max if forward else F.min
-    pos = tagged.groupBy("__rid").agg(
-        *[agg(F.when(qcol(c).isNotNull(), qcol("__okey"))).alias(f"p{i}") for i, c in enumerate(cols)])
+def _carry_by_position(tagged, cols, part, forward):
+    """Carry table (group..., __rid, __carry_i...) of a fill over text, as one lazy
+    plan: per group and range the position of the last (first) non-missing value
+    of each column (a hash aggregate over numbers, at most groups x R rows), the
+    carry positions from earlier (later) ranges by a window over those rows, the
+    values at those positions by a join on (group, range, position). Only the
+    rows at carry positions send their texts."""
+    agg, keys = (F.max if forward else F.min), [*part, "__rid"]
+    pos = tagged.groupBy(*qcols(keys)).agg(
+        *[agg(F.when(qcol(c).isNotNull(), qcol("__okey"))).alias(f"__p{i}") for i, c in enumerate(cols)])
+    w = Window.partitionBy(*qcols(part)).orderBy("__rid")
     if forward:
-        w = Window.orderBy("__rid").rowsBetween(Window.unboundedPreceding, -1)
+        w = w.rowsBetween(Window.unboundedPreceding, -1)
         pick = lambda c: F.last(c, ignorenulls=True).over(w)
     else:
-        w = Window.orderBy("__rid").rowsBetween(1, Window.unboundedFollowing)
+        w = w.rowsBetween(1, Window.unboundedFollowing)
         pick = lambda c: F.first(c, ignorenulls=True).over(w)
-    at = [F.when(qcol(f"p{i}").isNotNull(), F.struct(qcol("__rid").alias("r"), qcol(f"p{i}").alias("p"))) for i in range(len(cols))]
-    carry_pos = pos.select("__rid", *[pick(x).alias(f"cp{i}") for i, x in enumerate(at)])
-    need = (carry_pos.select(qcol("__rid").alias("__to"), F.inline(F.array(*[
-        F.struct(F.lit(i).alias("ci"), qcol(f"cp{i}").alias("cp")) for i in range(len(cols))])))
-        .where(qcol("cp").isNotNull()).select("__to", "ci", F.col("cp.r").alias("__from"), F.col("cp.p").alias("__pos")))
-    # at most R x columns positions of fixed width, against one scan of the table
-    vals = tagged.select("__rid", "__okey", *qcols(cols)).join(
-        F.broadcast(need), (qcol("__rid") == qcol("__from")) & (qcol("__okey") == qcol("__pos")))
-    return vals.groupBy(qcol("__to").alias("__rid")).agg(
-        *[F.max(F.when(qcol("ci") == i, qcol(c))).alias(f"__carry_{i}") for i, c in enumerate(cols)])
+    at = [F.when(qcol(f"__p{i}").isNotNull(), F.struct(qcol("__rid").alias("r"), qcol(f"__p{i}").alias("p"))) for i in range(len(cols))]
+    carry_pos = pos.select(*qcols(keys), *[pick(x).alias(f"__cp{i}") for i, x in enumerate(at)])
+    own = [f"__g{i}" for i in range(len(part))]
+    need = (carry_pos.select(*[qcol(k).alias(o) for k, o in zip(part, own)], qcol("__rid").alias("__to"), F.inline(F.array(*[
+        F.struct(F.lit(i).alias("__ci"), qcol(f"__cp{i}").alias("__cp")) for i in range(len(cols))])))
+        .where(qcol("__cp").isNotNull()).select(*own, "__to", "__ci", F.col("__cp.r").alias("__from"), F.col("__cp.p").alias("__pos")))
+    if not part:
+        need = F.broadcast(need)  # at most R x columns positions of fixed width
+    match = reduce(and_, [qcol(k).eqNullSafe(qcol(o)) for k, o in zip(part, own)],
+                   (qcol("__rid") == qcol("__from")) & (qcol("__okey") == qcol("__pos")))
+    vals = tagged.select(*qcols(keys), "__okey", *qcols(cols)).join(need, match)
+    # one row a column; rows that tie in the order key are as good as each other (collect_list stays a hash aggregate)
+    return vals.groupBy(*[qcol(o).alias(k) for k, o in zip(part, own)], qcol("__to").alias("__rid")).agg(
+        *[F.get(F.sort_array(F.collect_list(F.when(qcol("__ci") == i, qcol(c))), False), F.lit(0)).alias(f"__carry_{i}") for i, c in enumerate(cols)])
 
 
 @register
