@@ -179,7 +179,10 @@ def _searcher(shared, shingle, threshold, radius, blocks, schema):
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        items = Items(shared.value, shingle, radius, blocks)
+        # a worker keeps a broadcast from task to task, and with it the index of its items
+        items = getattr(shared, "indexed", None)
+        if items is None:
+            items = shared.indexed = Items(shared.value, shingle, radius, blocks)
         short = sorted({n for n in items.length if n < shingle})
         for b in batches:
             ids, found = b.column(0), []
