@@ -33,7 +33,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..names import qcol, quoted
+from ..names import qcol
 
 BUCKETS = 4096
 INF = float("inf")
@@ -41,18 +41,6 @@ INF = float("inf")
 ROUNDS = 7
 
 
-# The search builds many CASE branches; as SQL text each column costs one JVM
-# call instead of one per literal and operator (same plan either way).
-
-def _d(x: float) -> str:
-    """Exact double literal."""
-    if x == INF:
-        return "CAST('Infinity' AS DOUBLE)"
-    if x == -INF:
-        return "CAST('-Infinity' AS DOUBLE)"
-    return f"CAST('{float(x)!r}' AS DOUBLE)"
-
-
 def _split(lo: float, hi: float, nb: int) -> tuple[float, float] | None:
     """(first, step) of ``nb`` equal steps of a cell; None if it is to be split by powers of two.
 
@@ -64,39 +52,76 @@ def _split(lo: float, hi: float, nb: int) -> tuple[float, float] | None:
     return lo, (hi - lo) / nb
 
 
-def _digit_sql(v: str, how: tuple[float, float] | None, nb: int) -> str:
-    if how is None:  # 1074 powers below 1, 1024 above; infinity has its own
-        power = f"(1100 + floor(greatest(-1075D, least(1024D, log2(abs({v}))))))"
-        return f"CAST(CASE WHEN {v} = 0 THEN 0 WHEN {v} > 0 THEN {power} ELSE -{power} END AS DOUBLE)"
-    first, step = how
-    if step <= 0:
-        return v
-    return f"least({_d(nb - 1)}, CAST(floor(({v} - {_d(first)}) / {_d(step)}) AS DOUBLE))"
+def _digit(nb: int):
+    """The digit of ``v`` in a cell split as ``first`` and ``step`` say (a step below 0: by sign and power of two)."""
+    v, first, step = F.col("v"), F.col("first"), F.col("step")
+    equal = F.least(F.lit(nb - 1.0), F.floor((v - first) / step).cast("double"))
+    # 1074 powers below 1, 1024 above; infinity has its own
+    power = F.lit(1100) + F.floor(F.greatest(F.lit(-1075.0), F.least(F.lit(1024.0), F.log2(F.abs(v)))))
+    return (F.when(step > 0, equal).when(step == 0, v)
+            .otherwise(F.when(v == 0, F.lit(0)).otherwise(F.when(v > 0, power).otherwise(-power)).cast("double")))
 
 
-def _in_cell_sql(v: str, chain, nb: int) -> str:
-    return " AND ".join([f"{v} IS NOT NULL", *(f"{_digit_sql(v, how, nb)} = {_d(b)}" for how, b in chain)])
+def _table(spark, rows: list[tuple], fields: str):
+    """A small constant table (doubles as text, so that infinities pass)."""
+    names = [f.split()[0] for f in fields.split(", ")]
+    text = json.dumps([{n: None if x is None else str(x) for n, x in zip(names, r)} for r in rows])
+    kind = ", ".join(f"{n}: string" for n in names)
+    out = spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))
+    return out.select(*[F.col(f.split()[0]).cast(f.split()[1]).alias(f.split()[0]) for f in fields.split(", ")])
 
 
-def _cell_of_sql(v: str, mine, nb: int) -> str:
-    """Number of the cell that holds ``v`` (NULL: none), for cells given as (number, chain).
+class _Cells:
+    """The cells of a search: a tree of digits under one root a column.
 
-    Cells of one parent are told apart by one digit looked up in a list, so the
-    expression does not repeat the arithmetic per cell.
+    Which cell a value lies in is looked up level by level, by broadcast joins
+    with small tables, so that the generated code does not grow with the cells.
     """
-    groups: dict = {}
-    parts = []
-    for i, chain in mine:
-        if chain:
-            groups.setdefault((chain[:-1], chain[-1][0]), []).append((chain[-1][1], i))
-        else:
-            parts.append(f"CASE WHEN {v} IS NOT NULL THEN {i} END")
-    for (parent, how), items in groups.items():
-        numbers = ", ".join(_d(b) for b, _ in items)
-        cells = ", ".join(str(i) for _, i in items)
-        at = f"CAST(nullif(array_position(array({numbers}), {_digit_sql(v, how, nb)}), 0) AS INT)"
-        parts.append(f"CASE WHEN {_in_cell_sql(v, parent, nb)} THEN try_element_at(array({cells}), {at}) END")
-    return parts[0] if len(parts) == 1 else f"coalesce({', '.join(parts)})"
+
+    def __init__(self, src: DataFrame, cols: list[str], buckets: int):
+        self.src, self.cols, self.buckets = src, cols, buckets
+        self.parent: list[tuple[int, float] | None] = [None] * len(cols)   # of each cell: (parent, digit); roots are the columns
+        self.how: dict[int, tuple[float, float]] = {}                      # of each cell that was split: (first, step)
+
+    def child(self, cell: int, digit: float) -> int:
+        self.parent.append((cell, digit))
+        return len(self.parent) - 1
+
+    def path(self, cell: int) -> list[int]:
+        out = [cell]
+        while self.parent[out[-1]] is not None:
+            out.append(self.parent[out[-1]][0])
+        return out[::-1]
+
+    def rows(self, wanted: set[int]) -> DataFrame:
+        """``(cell, v, first, step)`` of the values in the wanted cells, none of which lies in another; ONE scan."""
+        spark, paths = self.src.sparkSession, [self.path(x) for x in sorted(wanted)]
+        roots = sorted({p[0] for p in paths})
+        both = self.src.select(F.inline(F.array(*[F.struct(F.lit(r).alias("cell"), qcol(self.cols[r]).alias("v")) for r in roots])))
+        both = both.where(F.col("v").isNotNull())
+        start = {r: self.how.get(r, (None, None)) for r in roots}
+        look = [F.element_at(F.expr(f"array({', '.join(_d(start[r][j]) if r in start and start[r][j] is not None else 'CAST(NULL AS DOUBLE)' for r in range(len(self.cols)))})"),
+                             F.col("cell") + 1) for j in (0, 1)]
+        cur = both.select("cell", "v", look[0].alias("first"), look[1].alias("step"))
+        for level in range(1, max(len(p) for p in paths)):
+            nodes = sorted({p[level] for p in paths if len(p) > level})
+            table = _table(spark, [(*self.parent[x], x, *self.how.get(x, (None, None))) for x in nodes],
+                           "up int, b double, child int, first2 double, step2 double")
+            ended = any(len(p) <= level for p in paths)  # some wanted cells lie higher up: their values pass
+            inside = F.lit(True)
+            if ended:
+                inside = ~F.col("cell").isin([p[-1] for p in paths if len(p) <= level])
+            cur = cur.withColumn("d", F.when(inside, _digit(self.buckets))).join(
+                F.broadcast(table), (F.col("cell") == F.col("up")) & (F.col("d") == F.col("b")), "left" if ended else "inner")
+            if ended:
+                cur = cur.where(F.col("child").isNotNull() | ~inside)
+            cur = cur.select(F.coalesce("child", "cell").alias("cell"), "v", F.col("first2").alias("first"), F.col("step2").alias("step"))
+        return cur
+
+
+def _d(x: float) -> str:
+    """Exact double literal."""
+    return f"CAST('{float(x)!r}' AS DOUBLE)".replace("'inf'", "'Infinity'").replace("'-inf'", "'-Infinity'")
 
 
 def minmax_count_aggs(cols, prefix="__qm"):
@@ -112,17 +137,7 @@ def read_minmax_count(row, cols, prefix="__qm"):
     return {c: (int(row[f"{prefix}n{i}"]), row[f"{prefix}a{i}"], row[f"{prefix}b{i}"]) for i, c in enumerate(cols)}
 
 
-def _cells_of(src: DataFrame, cols, cells, nb: int) -> DataFrame:
-    """``(cell, v)`` of the values that lie in one of ``cells``, a list of (column, chain)."""
-    structs = []
-    for c in cols:
-        mine = [(i, chain) for i, (cc, chain) in enumerate(cells) if cc == c]
-        if mine:
-            structs.append(F.struct(F.expr(_cell_of_sql(quoted(c), mine, nb)).alias("cell"), qcol(c).alias("v")))
-    return src.select(F.inline(F.array(*structs))).where(qcol("cell").isNotNull())
-
-
-def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], local_rows: int = 200_000,
+def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], local_rows: int = 20_000,
                     buckets: int = BUCKETS, prefetched: dict | None = None) -> dict[str, list[float | None]]:
     """``prefetched``: {column: (count, min, max)} from the caller's aggregate."""
     cols = list(spec)
@@ -133,9 +148,10 @@ def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], local_rows: int
         prefetched = read_minmax_count(src.agg(*minmax_count_aggs(cols)).collect()[0], cols)
 
     found: dict[tuple[str, int], float] = {}
-    # (column, rank) -> (chain of digits, values before the cell, values in it, its min, its max)
+    cells = _Cells(src, cols, buckets)
+    # (column, rank) -> (cell, values before the cell, values in it, its min, its max)
     state = {}
-    for c in cols:
+    for i, c in enumerate(cols):
         n, mn, mx = prefetched[c]
         for p in spec[c]:
             if n == 0:
@@ -145,48 +161,47 @@ def exact_quantiles(df: DataFrame, spec: dict[str, list[float]], local_rows: int
                 if mn == mx:
                     found[(c, k)] = mn
                 else:
-                    state[(c, k)] = ((), 0, n, mn, mx)
+                    state[(c, k)] = (i, 0, n, mn, mx)
+
+    def ranks(keys):
+        """What is looked for: (cell, rank in the cell), each once."""
+        wanted = sorted({(state[key][0], key[1] - state[key][1]) for key in keys})
+        return F.broadcast(_table(df.sparkSession, wanted, "c int, k bigint"))
 
     rounds = ROUNDS + int(64 / math.log2(buckets))  # fewer steps a round (in tests) take more rounds
     for _ in range(rounds):
         big = {key: st for key, st in state.items() if st[2] > local_rows}
         if not big:
             break
-        ends = {(c, st[0]): _split(st[3], st[4], buckets) for (c, _), st in big.items()}
-        cells = sorted(ends, key=str)
-        # how each cell is split, looked up by its number (a step below 0: by powers of two)
-        first, step = (F.expr(f"element_at(array({', '.join(_d((ends[x] or (0.0, -1.0))[j]) for x in cells)}), cell + 1)") for j in (0, 1))
-        tagged = _cells_of(src, cols, cells, buckets).select("cell", "v", first.alias("first"), step.alias("step"))
-        equal = F.least(F.lit(buckets - 1.0), F.floor((F.col("v") - F.col("first")) / F.col("step")).cast("double"))
-        digit = F.when(F.col("step") > 0, equal).when(F.col("step") == 0, F.col("v")).otherwise(F.expr(_digit_sql("v", None, buckets)))
-        counts = tagged.groupBy("cell", digit.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        for cell, _, _, lo, hi in big.values():
+            cells.how[cell] = _split(lo, hi, buckets) or (0.0, -1.0)
+        counts = (cells.rows({st[0] for st in big.values()}).groupBy("cell", _digit(buckets).alias("b"))
+                  .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
         # the digit of each wanted rank is found in Spark: one row per rank comes back
         cum = counts.withColumn("before", F.sum("n").over(Window.partitionBy("cell").orderBy("b")) - F.col("n"))
-        at = {cell: i for i, cell in enumerate(cells)}
-        wanted = json.dumps([{"c": at[c, st[0]], "k": k - st[1]} for (c, k), st in big.items()])
-        ranks = df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(wanted), "array<struct<c: int, k: bigint>>")))
-        hit = cum.join(F.broadcast(ranks), (F.col("cell") == F.col("c")) & (F.col("k") >= F.col("before"))
+        hit = cum.join(ranks(big), (F.col("cell") == F.col("c")) & (F.col("k") >= F.col("before"))
                        & (F.col("k") < F.col("before") + F.col("n")))
         rows = {(r["c"], r["k"]): r for r in hit.select("c", "k", "b", "n", "before", "lo", "hi").collect()}
-        for (c, k), (chain, base, _, _, _) in big.items():
-            r = rows[at[c, chain], k - base]
+        children: dict[tuple[int, float], int] = {}
+        for (c, k), (cell, base, _, _, _) in big.items():
+            r = rows[cell, k - base]
             if r["lo"] == r["hi"]:
                 found[(c, k)] = r["lo"]
                 del state[(c, k)]
             else:
-                state[(c, k)] = (chain + ((ends[c, chain], r["b"]),), base + r["before"], r["n"], r["lo"], r["hi"])
+                if (cell, r["b"]) not in children:
+                    children[cell, r["b"]] = cells.child(cell, r["b"])
+                state[(c, k)] = (children[cell, r["b"]], base + r["before"], r["n"], r["lo"], r["hi"])
 
     if state:
-        cells = sorted({(c, st[0]) for (c, _), st in state.items()}, key=str)
-        at = {cell: i for i, cell in enumerate(cells)}
         order = Window.partitionBy("cell").orderBy("v")
-        ranked = _cells_of(src, cols, cells, buckets).select("cell", "v", (F.row_number().over(order) - 1).cast("long").alias("r"))
-        wanted = json.dumps([{"c": at[c, st[0]], "k": k - st[1]} for (c, k), st in state.items()])
-        ranks = df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(wanted), "array<struct<c: int, k: bigint>>")))
-        hit = ranked.join(F.broadcast(ranks.distinct()), (F.col("cell") == F.col("c")) & (F.col("r") == F.col("k")))
-        got = {(r["c"], r["k"]): r["v"] for r in hit.collect()}
-        for (c, k), (chain, base, _, _, _) in state.items():
-            found[(c, k)] = got[at[c, chain], k - base]
+        for st in state.values():
+            cells.how.pop(st[0], None)
+        ranked = cells.rows({st[0] for st in state.values()}).select("cell", "v", (F.row_number().over(order) - 1).cast("long").alias("r"))
+        hit = ranked.join(ranks(state), (F.col("cell") == F.col("c")) & (F.col("r") == F.col("k")))
+        got = {(r["c"], r["k"]): r["v"] for r in hit.select("c", "k", "v").collect()}
+        for (c, k), (cell, base, _, _, _) in state.items():
+            found[(c, k)] = got[cell, k - base]
 
     out: dict[str, list[float | None]] = {}
     for c in cols:

@@ -28,12 +28,12 @@ def test_six_hundred_magnitudes(spark):
     values = spread(20_000, 1) + [0.0] * 50 + [-0.0] * 7
     df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)
     seen = []
-    keep = quantiles._cells_of
-    quantiles._cells_of = lambda *a: seen.append(1) or keep(*a)
+    keep = quantiles._Cells.rows
+    quantiles._Cells.rows = lambda *a: seen.append(1) or keep(*a)
     try:
         got = exact_quantiles(df, {"x": PROBS}, local_rows=0)["x"]
     finally:
-        quantiles._cells_of = keep
+        quantiles._Cells.rows = keep
     same(got, values)
     assert len(seen) <= 6  # scans
 
