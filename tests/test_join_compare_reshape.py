@@ -12,45 +12,51 @@ from tableprep.operators.join import Join, bounded_broadcast
 from tableprep.operators.reshape import extract_series
 from tableprep.table import Table
 
-ORD = {"ltype": "ordinal", "categories": ["3", "4", "5", "6", "0"]}
+SIZES = {"ltype": "ordinal", "categories": ["small", "medium", "large"]}
+PARCELS = [(f"p{i}", ["small", "large", "medium", None][i % 4], i * 1.5, "north" if i % 3 else "south") for i in range(9)]
+TARIFFS = [("large", 9, "fast"), ("medium", 5, "slow"), ("huge", 20, "slow")]
 
 
 @pytest.fixture
-def lr(spark):
-    left = spark.createDataFrame([("1", 3.0, "a", "x"), ("2", 4.0, "b", "y"), ("3", 5.0, "c", "z"),
-                                  ("4", 6.0, "d", "w"), ("10", 0.0, "e", "v")], "col1 string, col2 double, col3 string, date string")
-    right = spark.createDataFrame([("3", 1.0, "A", None), ("4", 2.0, "B", None), ("5", 3.0, "C", None),
-                                   ("6", 4.0, "D", None), ("0", 10.0, "E", None)],
-                                  "col2 string, cowq double, col3 string, date timestamp_ntz")
-    right = right.select(F.col("col2").alias("col2", metadata=ORD), "cowq", "col3", "date")
-    return left, right
-
-
-def test_join_index_single_name_lost(lr):
-    left, right = lr
-    lt = SetIndex(columns=["col1"])(Table(left))
-    rt = SetIndex(columns=["col2"])(Table(right))
-    out = Join(on="index", how="inner", suffixes=("_ll", "_rr"))(lt, rt)
+def parcels_tariffs(spark):
+    """Parcels by size; tariffs by size, one of which no parcel has. Both have a column ``way``."""
+    parcels = spark.createDataFrame([(*r, f"w{r[0]}") for r in PARCELS], "parcel string, size string, weight double, depot string, way string")
+    tariffs = spark.createDataFrame(TARIFFS, "size string, price long, way string")
+    return parcels, tariffs.select(F.col("size").alias("size", metadata=SIZES), "price", "way")
+
+
+def test_join_on_indexes_of_two_names(parcels_tariffs):
+    """Index levels of different names: joined by value, the name is lost, clashing columns get the suffixes."""
+    parcels, tariffs = parcels_tariffs
+    left = SetIndex(columns=["size"])(Table(parcels))
+    right = SetIndex(columns=["kind"])(Table(tariffs.withColumnRenamed("size", "kind")))
+    out = Join(on="index", how="inner", suffixes=("_mine", "_theirs"))(left, right)
     assert out.index == ("index",)
-    assert sorted(out.columns) == sorted(["col2", "col3_ll", "date_ll", "cowq", "col3_rr", "date_rr"])
-    assert sorted(r[0] for r in out.df.select("__ix__index").collect()) == ["3", "4"]
-
-
-def test_join_multi_index(lr):
-    left, right = lr
-    lt = SetIndex(columns=["col1", "col2"])(Table(left.withColumn("col2", F.col("col2").cast("string"))))
-    rt = SetIndex(columns=["col2", "cowq"])(Table(right))
-    out = Join(on="index", how="outer", suffixes=("_ll", "_rr"))(lt, rt)
-    assert out.index == ("col2", "col1", "cowq")
-    assert sorted(out.columns) == ["col3_ll", "col3_rr", "date_ll", "date_rr"]
-
-
-def test_join_type_error(lr):
-    left, right = lr
-    lt = SetIndex(columns=["col2"])(Table(left))  # numeric
-    rt = SetIndex(columns=["col2"])(Table(right))  # ordinal
+    assert sorted(out.columns) == ["depot", "parcel", "price", "way_mine", "way_theirs", "weight"]
+    price = {size: p for size, p, _ in TARIFFS}
+    got = {(r["__ix__index"], r["parcel"], r["price"]) for r in out.df.collect()}
+    assert got == {(size, p, price[size]) for p, size, _, _ in PARCELS if size in price}
+
+
+def test_join_on_levels_in_common(parcels_tariffs):
+    parcels, tariffs = parcels_tariffs
+    left = SetIndex(columns=["depot", "size"])(Table(parcels.select("depot", "size", "parcel", "way")))
+    right = SetIndex(columns=["size", "price"])(Table(tariffs))
+    out = Join(on="index", how="outer", suffixes=("_mine", "_theirs"))(left, right)
+    assert out.index == ("size", "depot", "price")
+    assert sorted(out.columns) == ["parcel", "way_mine", "way_theirs"]
+    rows = {(r["__ix__size"], r["__ix__depot"], r["__ix__price"], r["parcel"]) for r in out.df.collect()}
+    price = {size: p for size, p, _ in TARIFFS}
+    assert rows == {(size, d, price.get(size), p) for p, size, _, d in PARCELS} | {("huge", None, 20, None)}
+
+
+def test_join_of_number_and_category_is_an_error(parcels_tariffs):
+    parcels, tariffs = parcels_tariffs
+    with pytest.raises(OptionError) as e:
+        Join(on="index", how="left")(SetIndex(columns=["weight"])(Table(parcels)), SetIndex(columns=["size"])(Table(tariffs)))
+    assert e.value.codes == ["type"]
     with pytest.raises(OptionError) as e:
-        Join(on="index", how="left")(lt, rt)
+        Join(left_on="weight", right_on="size", how="left")(parcels, tariffs)
     assert e.value.codes == ["type"]
 
 
