@@ -28,7 +28,12 @@ SEED = 12
 _WHITE = " \t\n\x0b\f\r"
 #: A sample is kept in 24 bits; different samples share them once in 16 million.
 SAMPLE_BITS = 24
-_VALUE_SHIFT, _VALUE_SCALE = 256.0, float(1 << 30)  # values lie between -140 and 6: 39 bits in steps of 1e-9
+_VALUE_SHIFT, _VALUE_SCALE = 200.0, float(1 << 30)  # values lie between -140 and 6: 38 bits in steps of 1e-9
+#: A word of weight w has a value a of at least (1 - p') p / w (from its draws, without a logarithm), and the smallest
+#: value of a text of n words is above LIMIT / n once in exp(LIMIT) samples, nine million. So a word whose bound is
+#: above that is not worked out; a sample left without any word takes the smallest mark, so it too depends on the text alone.
+LIMIT = 16.0
+_NONE = 1 << 62  # above all packed values
 
 #: Cuts of the id order hold about this many rows, and there are at most so many.
 ROWS_PER_CUT, MOST_CUTS = 500, 65_536
@@ -40,19 +45,26 @@ def _uniform(bits: Column, n: int) -> Column:
 
 
 def _draws(base: Column, i: int) -> tuple[Column, Column, Column]:
-    """r ~ gamma(2, 1), ln c with c ~ gamma(2, 1), b ~ uniform, of sample ``i`` of a word's chunk hash."""
+    """Products p and p' of two uniforms each, and a uniform b, of sample ``i`` of a word's chunk hash.
+
+    They give r = -ln p and c = -ln p', gamma(2, 1) both.
+    """
     one, two = (F.xxhash64(base, F.lit(2 * i + k)) for k in range(2))
-    r = _uniform(F.shiftrightunsigned(one, 42), 22) * _uniform(F.shiftrightunsigned(one, 20).bitwiseAND(F.lit((1 << 22) - 1)), 22)
-    c = _uniform(F.shiftrightunsigned(two, 32), 32) * _uniform(two.bitwiseAND(F.lit((1 << 32) - 1)), 32)
-    return -F.log(r), F.log(-F.log(c)), _uniform(one.bitwiseAND(F.lit((1 << 20) - 1)), 20)
+    p = _uniform(F.shiftrightunsigned(one, 42), 22) * _uniform(F.shiftrightunsigned(one, 20).bitwiseAND(F.lit((1 << 22) - 1)), 22)
+    p2 = _uniform(F.shiftrightunsigned(two, 32), 32) * _uniform(two.bitwiseAND(F.lit((1 << 32) - 1)), 32)
+    return p, p2, _uniform(one.bitwiseAND(F.lit((1 << 20) - 1)), 20)
+
+
+def _mark(base: Column, i: int, t: Column | int) -> Column:
+    t = F.lit(t) if isinstance(t, int) else t
+    return F.shiftrightunsigned(base, 5 * i).bitwiseXOR(t).bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1))
 
 
 def _packed(base: Column, i: int, r: Column, ln_c: Column, b: Column, ln_w: Column) -> Column:
     """Value and sample in one long, so that the smallest one is the sample (null weight: null)."""
     t = F.floor(ln_w / r + b)
     value = F.floor((ln_c - r * (t.cast("double") - b + 1.0) + F.lit(_VALUE_SHIFT)) * F.lit(_VALUE_SCALE))
-    mark = F.shiftrightunsigned(base, 5 * i).bitwiseXOR(t).bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1))
-    return F.shiftleft(value, SAMPLE_BITS).bitwiseOR(mark)
+    return F.shiftleft(value, SAMPLE_BITS).bitwiseOR(_mark(base, i, t))
 
 
 def words(text: Column) -> Column:
@@ -61,19 +73,21 @@ def words(text: Column) -> Column:
 
 
 def weighted_words(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
-    """``keys``, ``term`` (a 64-bit hash) and a count ``w0``, ``w1``, ... for each text column."""
-    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), q(t).alias("body")) for i, t in enumerate(texts)]))
-    each = rows.select(*[q(k) for k in keys], sides.alias("s")).select(*[q(k) for k in keys], F.col("s.side").alias("side"),
-                                                                       F.explode(words(F.col("s.body"))).alias("word"))
-    each = each.select(*[q(k) for k in keys], F.xxhash64(F.lit(SEED), "word").alias("term"), "side")
+    """``keys``, ``term`` (a 64-bit hash) and for each text column its count ``w0``, ``w1``, ... and, where the text has
+    the term, the text's number of words ``n0``, ``n1``, ..."""
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), words(q(t)).alias("words")) for i, t in enumerate(texts)]))
+    each = rows.select(*[q(k) for k in keys], sides.alias("s")).select(
+        *[q(k) for k in keys], F.col("s.side").alias("side"), F.size("s.words").alias("size"), F.explode("s.words").alias("word"))
+    each = each.select(*[q(k) for k in keys], F.xxhash64(F.lit(SEED), "word").alias("term"), "side", "size")
+    mine = [F.col("side") == i for i in range(len(texts))]
     return each.groupBy(*[q(k) for k in keys], "term").agg(
-        *[F.count(F.when(F.col("side") == i, 1)).alias(f"w{i}") for i in range(len(texts))])
+        *[F.count(F.when(m, 1)).alias(f"w{i}") for i, m in enumerate(mine)], *[F.max(F.when(m, F.col("size"))).alias(f"n{i}") for i, m in enumerate(mine)])
 
 
 def sketch(rows: DataFrame, keys: list[str], texts: list[str], samples: int = SAMPLES) -> DataFrame:
     """``keys`` and, for each text column (never null), an array of ``samples`` 24-bit samples ``s0``, ``s1``, ...
 
-    ``keys`` tell the rows apart and none is called term, side, word, chunk, w<i>, s<i> or m<i>. If the rows are
+    ``keys`` tell the rows apart and none is called term, side, word, size, words, chunk, base, most, or a letter and a number. If the rows are
     already partitioned by one of them, nothing is shuffled. A text takes its task one word at a time, so its length
     does not matter, and a row leaves a task as ``samples`` numbers.
     """
@@ -83,18 +97,26 @@ def sketch(rows: DataFrame, keys: list[str], texts: list[str], samples: int = SA
     key = [q(k) for k in keys]
     bags = weighted_words(rows, keys, texts).select(
         *key, F.explode(F.array(*[F.lit(j) for j in range(chunks)])).alias("chunk"), "term",
-        *[F.log(F.col(f"w{s}").cast("double")).alias(f"w{s}") for s in sides])  # null where the text lacks the word
-    bags = bags.withColumn("base", F.xxhash64("term", "chunk"))
-    # the draws are columns of their own, so that all texts share them; a word as frequent in two texts has one value
-    drawn = [c.alias(f"{name}{i}") for i in range(CHUNK) for name, c in zip(("r", "c", "b"), _draws(F.col("base"), i), strict=True)]
-    bags = bags.select(*key, "chunk", "base", *[f"w{s}" for s in sides], *drawn)
+        *[F.log(F.col(f"w{s}").cast("double")).alias(f"w{s}") for s in sides],  # null where the text lacks the word
+        *[(F.lit(LIMIT) * F.col(f"w{s}") / F.col(f"n{s}")).alias(f"l{s}") for s in sides])
+    limits = [F.col(f"l{s}") for s in sides]
+    bags = bags.withColumns({"base": F.xxhash64("term", "chunk"), "most": F.greatest(*limits) if len(sides) > 1 else limits[0]})
+    # draws, then logarithms of those that may count, then values: columns of their own, so that all texts share them
+    about = [*key, "chunk", "base", "most", *[f"w{s}" for s in sides], *[f"l{s}" for s in sides]]
+    drawn = [c.alias(f"{x}{i}") for i in range(CHUNK) for x, c in zip(("p", "c", "b"), _draws(F.col("base"), i), strict=True)]
+    bags = bags.select(*about, *drawn)
+    bound = [(F.lit(1.0) - F.col(f"c{i}")) * F.col(f"p{i}") for i in range(CHUNK)]
+    bags = bags.select(*about, *[F.col(f"b{i}") for i in range(CHUNK)], *[x.alias(f"u{i}") for i, x in enumerate(bound)],
+                       *[F.when(bound[i] <= F.col("most"), -F.log(F.col(f"p{i}"))).alias(f"r{i}") for i in range(CHUNK)],
+                       *[F.when(bound[i] <= F.col("most"), F.log(-F.log(F.col(f"c{i}")))).alias(f"c{i}") for i in range(CHUNK)])
 
     def value(i, s):
         return _packed(F.col("base"), i, F.col(f"r{i}"), F.col(f"c{i}"), F.col(f"b{i}"), F.col(f"w{s}"))
-    bags = bags.select(*key, "chunk", *[f"w{s}" for s in sides], "base", *[f"{x}{i}" for i in range(CHUNK) for x in "rcb"],
-                       *[value(i, 0).alias(f"v{i}") for i in range(CHUNK)])
-    best = [F.min(F.col(f"v{i}") if s == 0 else F.when(F.col(f"w{s}") == F.col("w0"), F.col(f"v{i}")).otherwise(value(i, s))).alias(f"m{s}_{i}")
-            for i in range(CHUNK) for s in sides]
+
+    def best_of(i, s):
+        under = F.col(f"u{i}") <= F.col(f"l{s}")  # null where the text lacks the word
+        return F.min(F.when(under, value(i, s)).when(~under, F.lit(_NONE).bitwiseOR(_mark(F.col("base"), i, 0)))).alias(f"m{s}_{i}")
+    best = [best_of(i, s) for i in range(CHUNK) for s in sides]
     parts = bags.groupBy(*key, "chunk").agg(*best)
     low = F.lit((1 << SAMPLE_BITS) - 1)
     parts = parts.select(
