@@ -67,7 +67,7 @@ def test_run_is_the_registered_query(spark, outputs):
 def test_every_operator_has_one_query():
     import __spark_entry__ as E
     found = Counter(m[1] for q in E.queries() if (m := re.match(r"op(\d+)_", q)))
-    assert found == {str(i): 1 for i in range(1, 11)}
+    assert found == {str(i): 1 for i in range(1, 14)}
 
 
 def test_empty_and_odd_documents(spark, empty_docs):
