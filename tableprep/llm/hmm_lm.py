@@ -32,7 +32,7 @@ OWN_CLASS = 16_384        # the most frequent of these are classes of their own
 BUCKETS = 2_048           # classes of the other words, by their last SUFFIX bytes
 SUFFIX = 3
 SMOOTH = 100.0
-GROUP = 200_000           # symbols packed at once in training
+GROUP = 400_000           # symbols packed at once in training
 SEED = 2
 RUN_BYTES = 1_000_000     # text worked on at once
 _HELD = 200_000           # words (each once a run) a task gathers before it passes them on
