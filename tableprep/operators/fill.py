@@ -19,6 +19,9 @@ ranges of the order key (range-carry scheme):
    partitioned by group (at most R rows per group);
 5. the window inside (group, range) fills what it can, the carry the rest.
 
+Backward fills run the same growing frames over the order reversed: a frame that
+ends at the last row is evaluated anew for every row, which is quadratic in a range.
+
 A hot group is split over R ranges instead of landing in one task.
 """
 
@@ -87,6 +90,13 @@ def range_edges(df, okey, ranges=None, min_ranges=2, rows_per_range=ROWS_PER_RAN
     return sorted(set(x for x in (e or []) if x is not None))
 
 
+def _so_far(cols, part, forward, end):
+    """The last non-missing value from the first row (backward: the last) up to ``end`` rows from this one, as a function of a column."""
+    order = [qcol(c) if forward else qcol(c).desc() for c in cols]
+    w = Window.partitionBy(*qcols(part)).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    return lambda c: F.last(c, ignorenulls=True).over(w)
+
+
 def directional_fill(df, cols, order_by: str, partition_by=(), forward=True, ranges=None,
                      rows_per_range=ROWS_PER_RANGE):
     """Forward (``forward=True``) or backward fill of ``cols`` over the order of
@@ -99,13 +109,14 @@ def directional_fill(df, cols, order_by: str, partition_by=(), forward=True, ran
     # a missing order key sorts first: a range before all others, where any order is right
     zero = F.lit(0).cast(tagged.schema["__okey"].dataType)
     tagged = tagged.withColumns({"__rid": F.coalesce(qcol("__rid"), F.lit(-1)), "__okey": F.coalesce(qcol("__okey"), zero)})
+    inner = ["__okey"]
+    if not forward:  # rows that tie in the order key stay in the order they came in when the order is reversed
+        tagged, inner = tagged.withColumn("__at", F.monotonically_increasing_id()), ["__okey", "__at"]
     keys = part + ["__rid"]
     if part and not _hot_group(df, part, rows_per_range, ranges):
         # no group outgrows a range: one window per group, no carry needed
-        w = Window.partitionBy(*qcols(part)).orderBy("__rid", "__okey")
-        w = w.rowsBetween(Window.unboundedPreceding, 0) if forward else w.rowsBetween(0, Window.unboundedFollowing)
-        take = F.last if forward else F.first
-        return tagged.select(*[F.coalesce(qcol(f.name), take(qcol(f.name), ignorenulls=True).over(w)).alias(f.name, metadata=f.metadata)
+        win = _so_far(["__rid", *inner], part, forward, 0)
+        return tagged.select(*[F.coalesce(qcol(f.name), win(qcol(f.name))).alias(f.name, metadata=f.metadata)
                                if f.name in cols else qcol(f.name) for f in df.schema.fields])
 
     # max_by over fixed-width values stays a hash aggregate; over text it would
@@ -115,14 +126,8 @@ def directional_fill(df, cols, order_by: str, partition_by=(), forward=True, ran
         pick = F.max_by if forward else F.min_by
         summary = tagged.groupBy(*qcols(keys)).agg(
             *[pick(qcol(c), F.when(qcol(c).isNotNull(), qcol("__okey"))).alias(c) for c in cols])
-        wc = Window.partitionBy(*qcols(part)).orderBy("__rid") if part else Window.orderBy("__rid")
-        if forward:
-            wc = wc.rowsBetween(Window.unboundedPreceding, -1)
-            carry_fn = lambda c: F.last(qcol(c), ignorenulls=True).over(wc)
-        else:
-            wc = wc.rowsBetween(1, Window.unboundedFollowing)
-            carry_fn = lambda c: F.first(qcol(c), ignorenulls=True).over(wc)
-        carry = summary.select(*qcols(keys), *[carry_fn(c).alias(f"__carry_{i}") for i, c in enumerate(cols)])
+        carry_fn = _so_far(["__rid"], part, forward, -1)
+        carry = summary.select(*qcols(keys), *[carry_fn(qcol(c)).alias(f"__carry_{i}") for i, c in enumerate(cols)])
     else:
         carry = _carry_by_position(tagged, cols, part, forward)  # texts of any size: the planner picks the join
 
@@ -136,18 +141,12 @@ def directional_fill(df, cols, order_by: str, partition_by=(), forward=True, ran
         carry = F.broadcast(carry)  # at most R rows of fixed width
     match = reduce(and_, [qcol(k).eqNullSafe(qcol(f"__c{i}")) for i, k in enumerate(keys)])
     joined = data.join(carry, match, "left")
-    w = Window.partitionBy(*qcols(keys)).orderBy("__okey")
-    if forward:
-        w = w.rowsBetween(Window.unboundedPreceding, 0)
-        win = lambda c: F.last(qcol(c), ignorenulls=True).over(w)
-    else:
-        w = w.rowsBetween(0, Window.unboundedFollowing)
-        win = lambda c: F.first(qcol(c), ignorenulls=True).over(w)
+    win = _so_far(inner, keys, forward, 0)
     idx = {c: i for i, c in enumerate(cols)}
     out = []
     for f in df.schema.fields:
         if f.name in idx:
-            e = F.coalesce(qcol(f.name), win(f.name), qcol(f"__carry_{idx[f.name]}"))
+            e = F.coalesce(qcol(f.name), win(qcol(f.name)), qcol(f"__carry_{idx[f.name]}"))
             out.append(e.alias(f.name, metadata=f.metadata))
         else:
             out.append(qcol(f.name))
@@ -172,13 +171,7 @@ def _carry_by_position(tagged, cols, part, forward):
     agg, keys = (F.max if forward else F.min), [*part, "__rid"]
     pos = tagged.groupBy(*qcols(keys)).agg(
         *[agg(F.when(qcol(c).isNotNull(), qcol("__okey"))).alias(f"__p{i}") for i, c in enumerate(cols)])
-    w = Window.partitionBy(*qcols(part)).orderBy("__rid")
-    if forward:
-        w = w.rowsBetween(Window.unboundedPreceding, -1)
-        pick = lambda c: F.last(c, ignorenulls=True).over(w)
-    else:
-        w = w.rowsBetween(1, Window.unboundedFollowing)
-        pick = lambda c: F.first(c, ignorenulls=True).over(w)
+    pick = _so_far(["__rid"], part, forward, -1)
     at = [F.when(qcol(f"__p{i}").isNotNull(), F.struct(qcol("__rid").alias("r"), qcol(f"__p{i}").alias("p"))) for i in range(len(cols))]
     carry_pos = pos.select(*qcols(keys), *[pick(x).alias(f"__cp{i}") for i, x in enumerate(at)])
     own = [f"__g{i}" for i in range(len(part))]

@@ -37,3 +37,19 @@ def test_text_fill_in_ranges(spark, forward, grouped):
         cols = [carried([r[k] for r in members], forward) for k in (2, 3, 4)]
         for r, *want in zip(members, *cols):
             assert got[r[0]] == tuple(want)
+
+
+@pytest.mark.parametrize("part, ranges", [([], None), ([], 3), (["g"], None), (["g"], 3)])
+@pytest.mark.parametrize("cols", [["x"], ["x", "s"]])
+def test_backward_fill_has_no_quadratic_frame(spark, part, ranges, cols):
+    """A frame up to the last row is evaluated anew for every row: the order is reversed instead."""
+    rows = [(i, i % 3, float(i) if i % 7 == 0 else None, f"t{i}" if i % 11 == 0 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, g int, x double, s string")
+    out = directional_fill(df, cols, "k", part, forward=False, ranges=ranges)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+    got = {r["k"]: r for r in out.collect()}
+    for at, c in ((2, "x"), (3, "s")):
+        for k, g, *_ in rows:
+            later = [r[at] for r in rows[k:] if r[at] is not None and (not part or r[1] == g)]
+            want = (later[0] if later else None) if c in cols else rows[k][at]
+            assert got[k][c] == want
