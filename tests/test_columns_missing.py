@@ -131,3 +131,18 @@ def test_sort_rows_ordinal_and_hot_value(spark):
     a = spark.createDataFrame([(1, "x")], "k int, s string")
     b = spark.createDataFrame([(2, 2.0)], "k int, d double")
     assert append_tables(a, b).columns == ["k", "s", "d"] and append_tables(a, b).count() == 2
+
+
+def test_missing_share_of_wide_rows_is_compiled(spark):
+    """98 computed cells in one generated method would be too long for the JVM to compile (over 8,000 bytes)."""
+    import re
+
+    from tableprep.operators.missing import RemoveNanRows
+    gaps = 25 + F.col("id") % 9
+    wide = spark.range(60).repartition(2).select("id", *[F.when(gaps <= j, F.lit(1)).alias(f"c{j}") for j in range(98)], F.lit(2).alias("z"))
+    for options in ({"percentage": 0.29}, {"number": 29}):
+        out = RemoveNanRows(**options)(wide).select("id")
+        text = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "codegen")
+        assert all(int(x) < 8000 for x in re.findall(r"maxMethodCodeSize:(\d+)", text))
+        assert sorted(r["id"] for r in out.collect()) == [i for i in range(60) if 25 + i % 9 <= 29]
+    assert RemoveNanRows(number=0)(wide).count() == 0
