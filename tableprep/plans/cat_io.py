@@ -85,13 +85,18 @@ def csv_text_exact(spark, sf):
     return csvsrc.read_csv(spark, path)
 
 
-# one file whose cells are full of line ends, read in splits
+LARGE_FILE = 256 << 20  # bytes: one task writes a file
+
+
+# a large file whose cells are full of line ends, read in splits
 @query("csv_multiline_split", """
 SELECT doc_id::DOUBLE AS doc_id, replace(text, ' ', chr(10)) || '"' AS text, lang FROM documents""")
 def csv_multiline_split(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.concat(F.translate("text", " ", "\n"), F.lit('"')).alias("text"), "lang")
     path = scratch(spark, "documents-lines")
-    csvsrc.write_csv(d.coalesce(1), path, index=False)  # the test of the reader: one large file
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # the test of the reader: one large file, and more only where each is larger than several splits
+    csvsrc.write_csv(d.coalesce(max(1, size // LARGE_FILE)), path, index=False)
     return csvsrc.read_csv(spark, path)
 
 

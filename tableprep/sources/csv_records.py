@@ -6,7 +6,8 @@ pass works out, for each split, in which state it ends under both states it
 might begin in; going through the splits in order fixes the true states. The
 second pass cuts each split at its real record ends. A record that crosses
 splits comes out in pieces, which are put together afterwards: at most two
-pieces a split.
+pieces a split. The second pass is stored when there are pieces, so that lines are read
+twice however often the records are; Python looks at the lines with quotes only.
 
 A quote opens a cell only at its beginning; inside, two quotes are one and a
 single one closes it; elsewhere a quote is an ordinary character.
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.store import stored
+
 # executors need not have this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -100,18 +103,42 @@ def _states(lines: DataFrame, sep: bytes) -> tuple[dict[int, dict[int, bool]], b
     return out, crossing
 
 
-def _cut(lines: DataFrame, sep: bytes, states: dict[int, dict[int, bool]] | None, pieces: bool) -> DataFrame:
-    """Whole records of the splits (``line``, ``cells``, ``head``: first of its file), or the pieces of records that cross them.
+def _record_lines(rows: pa.Array, sep: bytes, inside: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Whether a record ends with each line, the separators of each line outside of quotes, and the state after the last."""
+    at = np.flatnonzero(pc.match_substring(rows, QUOTE).to_numpy(zero_copy_only=False))
+    seps = pc.count_substring(rows, sep).to_numpy(zero_copy_only=False).astype(np.int64)
+    after, found = np.empty(len(at) + 1, dtype=bool), np.empty(len(at), dtype=np.int64)
+    after[0] = inside
+    for k, line in enumerate(rows.take(pa.array(at)).to_pylist()):
+        inside, found[k] = scan(line, sep, inside)
+        after[k + 1] = inside
+    open_after = np.repeat(after, np.diff([0, *at.tolist(), len(rows)]))  # a line without quotes leaves the state as it is
+    seps[open_after] = 0
+    seps[at] = found
+    return ~open_after, seps, inside
+
 
-    Pieces are ``(file, split, part, done, line, cells)``: part 0 goes on with a record from an earlier split, part 1
-    begins one; ``done`` where it ends. Without ``states`` every line is a record.
+def _cut(lines: DataFrame, sep: bytes, states: dict[int, dict[int, bool]] | None) -> DataFrame:
+    """Records and pieces of records: ``(file, split, part, done, line, cells, head)``.
+
+    Whole records of a split have no ``part``; ``head`` marks the first of its file. Of pieces, part 0 goes on with a
+    record from an earlier split, part 1 begins one; ``done`` where it ends. Without ``states`` every line is a record.
     """
     shared = lines.sparkSession.sparkContext.broadcast(states)
 
     def run(batches):
         states = shared.value
         here, inside, first, held, cells, top = None, False, False, [], 0, False
-        found: list[tuple] = []
+
+        def rows_of(of, part, done, texts, counts, head=None):
+            n = len(texts)
+            same = lambda x, kind: pa.array([x] * n, kind)
+            return pa.RecordBatch.from_arrays([same(of[0], pa.int64()), same(of[1], pa.int64()), same(part, pa.int32()), same(done, pa.bool_()),
+                                               texts, pa.array(counts, pa.int32()), same(False, pa.bool_()) if head is None else head],
+                                              ["file", "split", "part", "done", "line", "cells", "head"])
+
+        def piece(part, done):
+            return rows_of(here, part, done, pa.array([b"\n".join(held)], pa.binary()), [cells])
 
         def heads(texts):
             """Marks the first line with a text, if it is the first of its file."""
@@ -123,64 +150,52 @@ def _cut(lines: DataFrame, sep: bytes, states: dict[int, dict[int, bool]] | None
                     out[at], top = True, False
             return pa.array(out)
 
-        def leave():
-            if held:  # the split's last record goes on in the next split
-                found.append((*here, 0 if first else 1, False, b"\n".join(held), cells))
-
         for batch in batches:
-            out = []
             for file, split, rows in _runs(batch):
                 if (file, split) != here:
-                    leave()
+                    if held:  # the split's last record goes on in the next split
+                        yield piece(0 if first else 1, False)
                     here, held, cells, top = (file, split), [], 0, split == 0
                     if states is not None and split not in states.get(file, ()):
                         raise RuntimeError("read_csv: the files are split otherwise than when they were first read; read them again")
                     inside = first = states is not None and states[file][split]
-                seps = pc.count_substring(rows, sep)
-                quoted = pc.match_substring(rows, QUOTE)
-                if states is None or not inside and not pc.any(quoted).as_py():
-                    if not pieces:
-                        # without quotes a line is a record
-                        if states is None and pc.any(quoted).as_py():
-                            seps = pa.array([scan(x, sep, False)[1] if QUOTE in x else n for x, n in zip(rows.to_pylist(), seps.to_pylist(), strict=True)], pa.int32())
-                        out.append((rows, pc.add(seps, 1), heads(rows)))
+                if states is None:
+                    seps = pc.count_substring(rows, sep).to_numpy(zero_copy_only=False).astype(np.int64)
+                    at = np.flatnonzero(pc.match_substring(rows, QUOTE).to_numpy(zero_copy_only=False))
+                    seps[at] = [scan(x, sep, False)[1] for x in rows.take(pa.array(at)).to_pylist()]
+                    yield rows_of(here, None, True, rows, seps + 1, heads(rows))
                     continue
-                texts, counts = [], []
-                for line, has, n in zip(rows.to_pylist(), quoted.to_pylist(), seps.to_pylist(), strict=True):
-                    if has:
-                        inside, n = scan(line, sep, inside)
-                    elif inside:
-                        n = 0
-                    if not inside and not held:
-                        if first:
-                            found.append((*here, 0, True, line, n))
-                            first = False
-                        else:
-                            texts.append(line)
-                            counts.append(n + 1)
+                ends, seps, inside = _record_lines(rows, sep, inside)
+                edges = np.flatnonzero(ends) + 1
+                begin = 0
+                if held or first:  # the record that is open ends here, or goes on
+                    begin = int(edges[0]) if len(edges) else len(rows)
+                    held += rows.slice(0, begin).to_pylist()
+                    cells += int(seps[:begin].sum())
+                    if not len(edges):
                         continue
-                    held.append(line)
-                    cells += n
-                    if not inside:
-                        if first:
-                            found.append((*here, 0, True, b"\n".join(held), cells))
-                            first = False
-                        else:
-                            texts.append(b"\n".join(held))
-                            counts.append(cells + 1)
-                        held, cells = [], 0
-                texts = pa.array(texts, pa.binary())
-                out.append((texts, pa.array(counts, pa.int32()), heads(texts)))
-            if not pieces:
-                for texts, counts, head in out:
-                    yield pa.RecordBatch.from_arrays([texts.cast(pa.binary()), counts.cast(pa.int32()), head], ["line", "cells", "head"])
-        leave()
-        if pieces and found:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)],
-                                             ["file", "split", "part", "done", "line", "cells"])
-    return lines.mapInArrow(run, "file long, split long, part int, done boolean, line binary, cells int" if pieces
-                            else "line binary, cells int, head boolean")
+                    if first:
+                        yield piece(0, True)
+                    else:
+                        text = pa.array([b"\n".join(held)], pa.binary())
+                        yield rows_of(here, None, True, text, [cells + 1], heads(text))
+                    first, held, cells, edges = False, [], 0, edges[1:]
+                if len(edges):
+                    bounds = np.concatenate([[begin], edges])
+                    part = rows.slice(begin, int(edges[-1]) - begin)
+                    if len(edges) == len(part):
+                        texts = part  # a line each
+                    else:
+                        lists = pa.ListArray.from_arrays(pa.array(bounds - begin, pa.int32()), pa.concat_arrays([part]))
+                        texts = pc.binary_join(lists, pa.scalar(b"\n", pa.binary()))
+                    yield rows_of(here, None, True, texts, np.add.reduceat(seps[begin:edges[-1]], bounds[:-1] - begin) + 1, heads(texts))
+                    begin = int(edges[-1])
+                if begin < len(rows):
+                    held = rows.slice(begin).to_pylist()
+                    cells = int(seps[begin:].sum())
+        if held:
+            yield piece(0 if first else 1, False)
+    return lines.mapInArrow(run, "file long, split long, part int, done boolean, line binary, cells int, head boolean")
 
 
 def _joined(pieces: DataFrame) -> DataFrame:
@@ -203,9 +218,10 @@ def records(spark: SparkSession, path, sep: str, multiline: bool = True, line_en
     """
     lines, mark = _lines(spark, path, line_end), sep.encode()
     states, crossing = _states(lines, mark) if multiline else (None, False)
-    rows = _cut(lines, mark, states, pieces=False)
+    rows = _cut(lines, mark, states)
     if crossing:
-        rows = rows.unionByName(_joined(_cut(lines, mark, states, pieces=True)))
+        rows = stored(rows)
+        rows = rows.filter("part IS NULL").select("line", "cells", "head").unionByName(_joined(rows.filter("part IS NOT NULL")))
     text = F.col("line").cast("string")
     return rows.select(F.when(text.endswith("\r"), F.substring(text, F.lit(1), F.char_length(text) - 1)).otherwise(text).alias("record"),
                        "cells", "head").filter("record <> ''")

@@ -110,3 +110,14 @@ def test_scan_agrees_with_a_character_machine():
         line = "".join(rng.choice('a",') for _ in range(rng.randint(0, 12)))
         for inside in (False, True):
             assert scan(line.encode(), b",", inside) == plain(line, inside), (line, inside)
+
+
+def test_lines_of_crossing_records_are_cut_once(spark, splits, tmp_path):
+    """The typing pass and the result read the stored records; the text files are not cut again for them."""
+    text = "\n".join(f"w{i}" for i in range(400))
+    with open(tmp_path / "a.csv", "w", newline="") as f:
+        csv.writer(f).writerows([["k", "t"], *[[str(i), text + '"'] for i in range(4)]])
+    splits(3000)
+    got = read_csv(spark, str(tmp_path / "a.csv"))
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(float(i), text + '"') for i in range(4)]
